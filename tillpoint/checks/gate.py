@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tillpoint.checks import oracle
 from tillpoint.plans import analytics as A
+from tillpoint.plans import catalog as C
 from tillpoint.session import ensure_defaults
 from tillpoint.sources.testdata import bind
 
@@ -53,6 +54,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sales_by_period": _q(lambda t: A.sales_by_period(t, *PERIOD)),
     "top_customers": _q(lambda t: A.top_customers(t, 10)),
     "top_customers_country": _q(lambda t: A.top_customers(t, 5, oracle.TOP_COUNTRY)),
+    "orders_page": _q(lambda t: C.orders_page(t, *oracle.ORDERS_PAGE).as_frame()),
+    "orders_page_status": _q(lambda t: C.orders_page(t, *oracle.ORDERS_STATUS_PAGE).as_frame()),
+    "orders_by_customer": _q(lambda t: C.orders_by_customer(t, customer_ids=t.customers.select("id"))),
+    "order_detail": _q(lambda t: C.order_detail_lines(t, order_ids=t.orders.select("id"))),
+    "customer_by_id": _q(lambda t: C.customer_by_id(t, customer_ids=t.customers.select("id"))),
+    "customers_page": _q(lambda t: C.customers_page(t, *oracle.CUSTOMERS_PAGE).as_frame()),
+    "product_by_id": _q(lambda t: C.product_by_id(t, product_ids=t.products.select("id"), nested=False)),
+    "products_by_category": _q(lambda t: C.products_by_category(t, category_ids=t.categories.select("id"))),
+    "products_page": _q(lambda t: C.products_page(t, *oracle.PRODUCTS_PAGE).as_frame()),
+    "products_page_all": _q(lambda t: C.products_page(t, *oracle.PRODUCTS_ALL_PAGE,
+                                                      active_only=False).as_frame()),
 }
 
 

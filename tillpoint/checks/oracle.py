@@ -178,3 +178,66 @@ Q["top_customers_country"] = _top_customers(5, TOP_COUNTRY)
 
 def oracle_sql() -> dict[str, str]:
     return dict(Q)
+
+# ---------------------------------------------------------------------------
+# Catalog lookups and pages
+# ---------------------------------------------------------------------------
+_ORDER_SUMMARY = """
+SELECT o.id, o.customer_id, c.first_name || ' ' || c.last_name AS customer_name, o.status,
+       CAST(o.total_c AS DOUBLE) / 100.0 AS total_amount, o.currency, CAST(o.placed_at AS TIMESTAMP) AS placed_at
+FROM ord o JOIN cust c ON c.id = o.customer_id"""
+
+_PAGE_COLS = """, CAST({total} AS BIGINT) AS total_count, CAST({page} AS BIGINT) AS page,
+       CAST({size} AS BIGINT) AS page_size, CAST(ceil({total} / {size}) AS BIGINT) AS total_pages,
+       ({page} < ceil({total} / {size})) AS has_next_page, ({page} > 1) AS has_prev_page"""
+
+
+def _paged(base: str, order: str, total_sql: str, page: int, size: int) -> str:
+    cols = _PAGE_COLS.format(total=f"(SELECT count(*) FROM ({total_sql}))", page=page, size=size)
+    return PREFIX + f"""
+, b AS ({base}),
+pg AS (SELECT * FROM b ORDER BY {order} LIMIT {size} OFFSET {(page - 1) * size})
+SELECT pg.*{cols} FROM pg"""
+
+
+ORDERS_PAGE = (3, 20)
+ORDERS_STATUS_PAGE = (2, 20, "SHIPPED")
+CUSTOMERS_PAGE = (2, 20)
+PRODUCTS_PAGE = (2, 20)
+PRODUCTS_ALL_PAGE = (5, 25)
+
+Q["orders_page"] = _paged(_ORDER_SUMMARY, "placed_at DESC, id DESC", "SELECT * FROM ord",
+                          *ORDERS_PAGE)
+Q["orders_page_status"] = _paged(_ORDER_SUMMARY + " WHERE o.status = 'shipped'", "placed_at DESC, id DESC",
+                                 "SELECT * FROM ord WHERE status = 'shipped'", *ORDERS_STATUS_PAGE[:2])
+Q["orders_by_customer"] = PREFIX + _ORDER_SUMMARY
+
+Q["order_detail"] = PREFIX + """
+SELECT o.id, o.customer_id, o.status, CAST(o.total_c AS DOUBLE) / 100.0 AS total_amount, o.currency,
+       CAST(o.placed_at AS TIMESTAMP) AS placed_at, CAST(NULL AS TIMESTAMP) AS shipped_at,
+       CAST(NULL AS TIMESTAMP) AS delivered_at,
+       c.email AS customer_email, c.first_name AS customer_first_name, c.last_name AS customer_last_name,
+       c.country AS customer_country,
+       i.id AS item_id, i.product_id, CAST(i.quantity AS BIGINT) AS quantity,
+       CAST(i.price_c AS DOUBLE) / 100.0 AS unit_price, CAST(i.sub_c AS DOUBLE) / 100.0 AS subtotal,
+       p.sku AS product_sku, p.name AS product_name
+FROM ord o JOIN cust c ON c.id = o.customer_id JOIN item i ON i.order_id = o.id
+JOIN prod p ON p.id = i.product_id"""
+
+_CUSTOMER_COLS = "id, email, first_name, last_name, country, city, CAST(created_at AS TIMESTAMP) AS created_at, is_active"
+Q["customer_by_id"] = PREFIX + f"SELECT {_CUSTOMER_COLS} FROM cust"
+Q["customers_page"] = _paged(f"SELECT {_CUSTOMER_COLS} FROM cust WHERE is_active", "created_at DESC, id DESC",
+                             "SELECT * FROM cust WHERE is_active", *CUSTOMERS_PAGE)
+
+_PRODUCT_COLS = """p.id, CAST(p.category_id AS BIGINT) AS category_id, p.sku, p.name, p.description,
+       CAST(p.price_c AS DOUBLE) / 100.0 AS unit_price, CAST(p.stock AS BIGINT) AS stock, p.is_active,
+       CAST(p.created_at AS TIMESTAMP) AS created_at"""
+Q["product_by_id"] = PREFIX + f"""
+SELECT {_PRODUCT_COLS}, c.name AS category_name, 'Parts of type ' || c.name AS category_description
+FROM prod p JOIN cat c ON c.id = p.category_id"""
+Q["products_by_category"] = PREFIX + f"""
+SELECT {_PRODUCT_COLS} FROM prod p WHERE p.is_active AND p.category_id IN (SELECT id FROM cat)"""
+Q["products_page"] = _paged(f"SELECT {_PRODUCT_COLS} FROM prod p WHERE p.is_active", "name, id",
+                            "SELECT * FROM prod WHERE is_active", *PRODUCTS_PAGE)
+Q["products_page_all"] = _paged(f"SELECT {_PRODUCT_COLS} FROM prod p", "name, id",
+                                "SELECT * FROM prod", *PRODUCTS_ALL_PAGE)
