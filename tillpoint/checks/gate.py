@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tillpoint.checks import oracle
 from tillpoint.plans import analytics as A
 from tillpoint.plans import catalog as C
+from tillpoint.operators import contracts as K
 from tillpoint.session import ensure_defaults
 from tillpoint.sources.testdata import bind
 
@@ -65,6 +66,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "products_page": _q(lambda t: C.products_page(t, *oracle.PRODUCTS_PAGE).as_frame()),
     "products_page_all": _q(lambda t: C.products_page(t, *oracle.PRODUCTS_ALL_PAGE,
                                                       active_only=False).as_frame()),
+    "contract_violations": _q(K.validate_contract),
+    "insert_if_absent": _q(lambda t: K.insert_if_absent(
+        t.customers.filter(F.col("created_at") < F.lit(dt.datetime(1995, 7, 1))),
+        t.customers, ["email"], prefer="id")),
 }
 
 

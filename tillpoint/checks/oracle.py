@@ -241,3 +241,65 @@ Q["products_page"] = _paged(f"SELECT {_PRODUCT_COLS} FROM prod p WHERE p.is_acti
                             "SELECT * FROM prod WHERE is_active", *PRODUCTS_PAGE)
 Q["products_page_all"] = _paged(f"SELECT {_PRODUCT_COLS} FROM prod p", "name, id",
                                 "SELECT * FROM prod", *PRODUCTS_ALL_PAGE)
+
+# ---------------------------------------------------------------------------
+# Table contract: rendered from the declared rules into DuckDB SQL over the
+# bound tables (money columns are held in cents there, same signs).
+# ---------------------------------------------------------------------------
+_CONTRACT_SOURCES = {
+    "customers": "cust", "categories": "catx", "products": "prod", "orders": "ord", "order_items": "item",
+}
+_COLUMN_SQL = {
+    ("orders", "total_amount"): "total_c", ("order_items", "unit_price"): "price_c",
+    ("order_items", "subtotal"): "sub_c", ("products", "unit_price"): "price_c",
+}
+
+
+def _contract_sql() -> str:
+    from tillpoint.schema import CONTRACTS
+    parts = []
+
+    def col(table, c):
+        return _COLUMN_SQL.get((table, c), c)
+
+    for table, k in CONTRACTS.items():
+        src = _CONTRACT_SOURCES[table]
+        sel = []
+        for c in k.not_null:
+            sel.append(("not_null", c, f"count_if({col(table, c)} IS NULL)"))
+        for c, op, bound in k.ranges:
+            sel.append((f"range{op}{bound:g}", c, f"count_if(NOT ({col(table, c)} {op} {bound:g}))"))
+        for c, values in k.domains:
+            vals = ", ".join(f"'{v}'" for v in values)
+            sel.append(("domain", c, f"count_if({col(table, c)} NOT IN ({vals}))"))
+        for c, n in k.max_length:
+            sel.append((f"max_length_{n}", c, f"count_if(length({col(table, c)}) > {n})"))
+        for c, _rule in k.generated:
+            sel.append(("generated", c, "count_if(sub_c IS DISTINCT FROM quantity * price_c)"))
+        for key in k.unique:
+            kc = key[0]
+            sel.append(("unique", ",".join(key), f"count({kc}) - count(DISTINCT {kc})"))
+        for rule, c, expr in sel:
+            parts.append(f"SELECT '{table}' AS \"table\", '{rule}' AS rule, '{c}' AS \"column\", "
+                         f"CAST({expr} AS BIGINT) AS violations FROM {src}")
+        for c, parent, pcol in k.foreign_keys:
+            psrc = _CONTRACT_SOURCES[parent]
+            parts.append(f"SELECT '{table}' AS \"table\", 'foreign_key' AS rule, '{c}->{parent}.{pcol}' AS \"column\", "
+                         f"CAST(count(*) AS BIGINT) AS violations FROM {src} x "
+                         f"WHERE x.{c} IS NOT NULL AND x.{c} NOT IN (SELECT {pcol} FROM {psrc})")
+    catx = ", catx AS (SELECT id, name, 'Parts of type ' || name AS description, " \
+           "TIMESTAMP '1995-01-01 00:00:00' AS created_at FROM cat)\n"
+    return PREFIX + catx + "\nUNION ALL\n".join(parts)
+
+
+Q["contract_violations"] = _contract_sql()
+
+# insert_if_absent: customers created in the first half of 1995 are the
+# target; every customer arrives as incoming; duplicates keep the lowest id.
+Q["insert_if_absent"] = PREFIX + f"""
+, tgt AS (SELECT {_CUSTOMER_COLS} FROM cust WHERE created_at < TIMESTAMP '1995-07-01 00:00:00'),
+inc AS (SELECT {_CUSTOMER_COLS} FROM cust)
+SELECT * FROM tgt
+UNION ALL
+SELECT * FROM inc WHERE email NOT IN (SELECT email FROM tgt)
+  AND id = (SELECT min(i2.id) FROM inc i2 WHERE i2.email = inc.email)"""
