@@ -16,7 +16,8 @@ from tillpoint.plans import analytics as A
 from tillpoint.plans import catalog as C
 from tillpoint.operators import contracts as K
 from tillpoint.session import ensure_defaults
-from tillpoint.sources.testdata import bind
+from tillpoint.sources.testdata import bind, derive_feed
+from tillpoint.plans import feed_load as L
 
 AS_OF = dt.datetime(2001, 9, 1)
 PERIOD = (dt.datetime(1997, 1, 1), dt.datetime(1997, 12, 31))
@@ -45,6 +46,26 @@ def _q(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _feed(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
+    """Dry-run feed load over the feed derived from the supplied tables."""
+    ensure_defaults(spark)
+    t = bind(spark, sf_dir)
+    feed = derive_feed(spark, sf_dir, t)
+    if part == "clean":
+        return for_oracle(L.clean_rows(L.tag_rows(feed)))
+    res = L.load_feed(t, feed, dry_run=True, source_name="derived:lineitem")
+    if part == "rejects":
+        return for_oracle(res.rejects())
+    if part == "orders":
+        return for_oracle(res.orders)
+    if part == "items":
+        return for_oracle(res.items)
+    if part == "log":
+        return for_oracle(res.run_log.drop("run_at", "duration_ms"))
+    rerun = L.load_feed(t, feed, dry_run=True, ledger=res.ledger, source_name="derived:lineitem")
+    return for_oracle(rerun.classified.select("row_num", "outcome"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "monthly_revenue_summary": _q(A.monthly_revenue_summary),
     "product_sales_ranking": _q(A.product_sales_ranking),
@@ -70,6 +91,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "insert_if_absent": _q(lambda t: K.insert_if_absent(
         t.customers.filter(F.col("created_at") < F.lit(dt.datetime(1995, 7, 1))),
         t.customers, ["email"], prefer="id")),
+    "feed_clean": lambda spark, d: _feed(spark, d, "clean"),
+    "feed_rejects": lambda spark, d: _feed(spark, d, "rejects"),
+    "feed_load_orders": lambda spark, d: _feed(spark, d, "orders"),
+    "feed_load_items": lambda spark, d: _feed(spark, d, "items"),
+    "feed_rerun_skips": lambda spark, d: _feed(spark, d, "rerun"),
+    "feed_run_log": lambda spark, d: _feed(spark, d, "log"),
 }
 
 

@@ -303,3 +303,117 @@ SELECT * FROM tgt
 UNION ALL
 SELECT * FROM inc WHERE email NOT IN (SELECT email FROM tgt)
   AND id = (SELECT min(i2.id) FROM inc i2 WHERE i2.email = inc.email)"""
+
+# ---------------------------------------------------------------------------
+# Feed load: the derived feed, its tagging, lookups, first-wins dedupe and
+# id assignment, all in SQL.
+# ---------------------------------------------------------------------------
+
+_FEED = """
+, fb AS (SELECT i.id AS k, i.order_id, i.product_id, i.quantity AS qty, i.price_c,
+                o.status, o.placed_at, c.email, p.sku
+         FROM item i LEFT JOIN ord o ON o.id = i.order_id LEFT JOIN cust c ON c.id = o.customer_id
+         LEFT JOIN prod p ON p.id = i.product_id),
+fr AS (SELECT k,
+         CASE WHEN k % 101 = 0 THEN '' WHEN k % 101 = 1 THEN '   ' ELSE 'EXT-' || CAST(order_id AS VARCHAR) END AS order_id,
+         CASE WHEN k % 101 = 2 THEN '' WHEN k % 101 = 13 THEN ' ' || upper(email) || ' '
+              WHEN k % 101 = 15 THEN 'nobody' || CAST(k AS VARCHAR) || '@example.com' ELSE email END AS customer_email,
+         CASE WHEN k % 101 = 3 THEN '' WHEN k % 101 = 14 THEN lower(sku)
+              WHEN k % 101 = 16 THEN 'SKU-X' || CAST(k AS VARCHAR) ELSE sku END AS product_sku,
+         CASE WHEN k % 101 = 4 THEN 'abc' WHEN k % 101 = 5 THEN '0' WHEN k % 101 = 6 THEN '-5'
+              ELSE CAST(qty AS VARCHAR) END AS quantity,
+         CASE WHEN k % 101 = 7 THEN '-0.01' WHEN k % 101 = 8 THEN '0'
+              ELSE CAST(CAST(price_c AS DECIMAL(18,0)) / 100 AS DECIMAL(10,2))::VARCHAR END AS unit_price,
+         CASE WHEN k % 101 = 9 THEN 'not-a-date' WHEN k % 101 = 10 THEN '2024-02-30'
+              WHEN k % 101 = 17 THEN strftime(placed_at, '%m/%d/%Y')
+              WHEN k % 101 = 18 THEN strftime(placed_at, '%Y-%m-%d %H:%M:%S')
+              ELSE strftime(placed_at, '%Y-%m-%d') END AS order_date,
+         CASE WHEN k % 101 = 11 THEN 'lost'
+              WHEN k % 101 = 12 THEN ' ' || upper(substr(status, 1, 1)) || substr(status, 2) || ' '
+              ELSE status END AS status,
+         0 AS copy
+       FROM fb),
+fc AS (SELECT * FROM fr UNION ALL SELECT k, order_id, customer_email, product_sku, quantity, unit_price,
+                                        order_date, status, 1 AS copy FROM fr WHERE k % 101 = 19),
+feed AS (SELECT *, row_number() OVER (ORDER BY k, copy) + 1 AS row_num FROM fc),
+tg AS (SELECT row_num, order_id AS raw_id, quantity AS raw_q, unit_price AS raw_p, order_date AS raw_d,
+              status AS raw_s, trim(order_id) AS external_order_id, lower(trim(customer_email)) AS customer_email,
+              upper(trim(product_sku)) AS product_sku,
+              TRY_CAST(trim(quantity) AS INTEGER) AS q, TRY_CAST(trim(unit_price) AS DECIMAL(18,4)) AS p,
+              coalesce(TRY_CAST(trim(order_date) AS TIMESTAMP),
+                       try_strptime(trim(order_date), '%m/%d/%Y')) AS d,
+              lower(trim(status)) AS s,
+              (customer_email IS NULL OR trim(customer_email) = '') AS blank_e,
+              (product_sku IS NULL OR trim(product_sku) = '') AS blank_s,
+              (order_id IS NULL OR trim(order_id) = '') AS blank_o
+       FROM feed),
+tc AS (SELECT *, CASE WHEN blank_o THEN 'missing_order_id' WHEN blank_e THEN 'missing_customer_email'
+                      WHEN blank_s THEN 'missing_product_sku' WHEN q IS NULL OR p IS NULL THEN 'bad_number'
+                      WHEN q <= 0 THEN 'bad_quantity' WHEN p < 0 THEN 'negative_price'
+                      WHEN d IS NULL THEN 'bad_date'
+                      WHEN s IS NULL OR s NOT IN ('pending','confirmed','shipped','delivered','cancelled','refunded')
+                           THEN 'bad_status' END AS code1
+       FROM tg),
+lc AS (SELECT email, min(id) AS customer_id FROM cust WHERE is_active GROUP BY email),
+lp AS (SELECT sku, min(id) AS product_id FROM prod WHERE is_active GROUP BY sku),
+rs AS (SELECT tc.*, lc.customer_id, lp.product_id,
+              coalesce(code1, CASE WHEN lc.customer_id IS NULL THEN 'unknown_customer'
+                                   WHEN lp.product_id IS NULL THEN 'unknown_product' END) AS code
+       FROM tc LEFT JOIN lc ON lc.email = tc.customer_email LEFT JOIN lp ON lp.sku = tc.product_sku),
+msg AS (SELECT *, CASE WHEN code1 IS NOT NULL THEN 1 WHEN code IS NOT NULL THEN 2 END AS stage,
+          CASE code
+            WHEN 'missing_order_id' THEN '[Row ' || row_num || '] Missing order_id'
+            WHEN 'missing_customer_email' THEN '[Row ' || row_num || '] Missing customer_email'
+            WHEN 'missing_product_sku' THEN '[Row ' || row_num || '] Missing product_sku'
+            WHEN 'bad_number' THEN '[Row ' || row_num || '] Invalid number: quantity ''' || coalesce(raw_q, '')
+                                   || ''', unit_price ''' || coalesce(raw_p, '') || ''''
+            WHEN 'bad_quantity' THEN '[Row ' || row_num || '] Quantity must be > 0 (got ' || q || ')'
+            WHEN 'negative_price' THEN '[Row ' || row_num || '] Unit price cannot be negative'
+            WHEN 'bad_date' THEN '[Row ' || row_num || '] Invalid date format: ''' || coalesce(raw_d, '') || ''''
+            WHEN 'bad_status' THEN '[Row ' || row_num || '] Invalid status ''' || coalesce(raw_s, '')
+                                   || '''. Allowed: pending, confirmed, shipped, delivered, cancelled, refunded'
+            WHEN 'unknown_customer' THEN 'Order ' || external_order_id || ': Customer ''' || customer_email || ''' not found'
+            WHEN 'unknown_product' THEN 'Order ' || external_order_id || ': Product (SKU) ''' || product_sku || ''' not found'
+          END AS message
+        FROM rs),
+fw AS (SELECT external_order_id, product_sku, min(row_num) AS row_num FROM msg WHERE code IS NULL
+       GROUP BY external_order_id, product_sku),
+cl AS (SELECT msg.*, CASE WHEN code IS NOT NULL THEN 'rejected'
+                          WHEN row_num IN (SELECT row_num FROM fw) THEN 'loaded' ELSE 'skipped' END AS outcome
+       FROM msg),
+ld AS (SELECT cl.*, row_number() OVER (ORDER BY row_num) AS seq FROM cl WHERE outcome = 'loaded')
+"""
+
+Q["feed_clean"] = PREFIX + _FEED + """
+SELECT row_num, external_order_id, customer_email, product_sku, CAST(q AS BIGINT) AS quantity,
+       CAST(p AS DOUBLE) AS unit_price, CAST(d AS TIMESTAMP) AS order_date, s AS status,
+       CAST(q * p AS DOUBLE) AS subtotal
+FROM tc WHERE code1 IS NULL"""
+
+Q["feed_rejects"] = PREFIX + _FEED + """
+SELECT row_num, CAST(stage AS BIGINT) AS stage, code, message FROM cl WHERE outcome = 'rejected'"""
+
+Q["feed_load_orders"] = PREFIX + _FEED + """
+SELECT (SELECT max(id) FROM ord) + seq AS id, customer_id, s AS status,
+       CAST(CAST(q * p AS DECIMAL(12,2)) AS DOUBLE) AS total_amount, 'USD' AS currency,
+       CAST(d AS TIMESTAMP) AS placed_at, CAST(NULL AS TIMESTAMP) AS shipped_at,
+       CAST(NULL AS TIMESTAMP) AS delivered_at
+FROM ld"""
+
+Q["feed_load_items"] = PREFIX + _FEED + """
+SELECT (SELECT max(id) FROM item) + seq AS id, (SELECT max(id) FROM ord) + seq AS order_id, product_id,
+       CAST(q AS BIGINT) AS quantity, CAST(CAST(p AS DECIMAL(10,2)) AS DOUBLE) AS unit_price,
+       CAST(q * CAST(p AS DECIMAL(10,2)) AS DOUBLE) AS subtotal
+FROM ld"""
+
+Q["feed_rerun_skips"] = PREFIX + _FEED + """
+SELECT row_num, CASE WHEN outcome = 'rejected' THEN 'rejected' ELSE 'skipped' END AS outcome FROM cl"""
+
+Q["feed_run_log"] = PREFIX + _FEED + """
+, tot AS (SELECT count(*) AS r, count_if(outcome = 'loaded') AS l, count_if(outcome = 'rejected') AS f FROM cl),
+em AS (SELECT string_agg(message, '; ' ORDER BY stage, row_num) AS m FROM
+        (SELECT * FROM cl WHERE outcome = 'rejected' ORDER BY stage, row_num LIMIT 10))
+SELECT CAST(1 AS BIGINT) AS id, 'derived:lineitem' AS source_file, CAST(r AS BIGINT) AS records_read,
+       CAST(l AS BIGINT) AS records_loaded, CAST(f AS BIGINT) AS records_failed, 'completed' AS status,
+       m AS error_message
+FROM tot, em"""

@@ -127,3 +127,59 @@ def bind(spark: SparkSession, sf_dir: str) -> Tables:
         orders=bind_orders(spark, sf_dir),
         order_items=bind_order_items(spark, sf_dir),
     )
+
+
+# ---------------------------------------------------------------------------
+# Order feed derived from the supplied tables, with injected defects.
+# Defect chosen by item id modulo DEFECT_MOD (fixed table below); rows with
+# residue DUPLICATE_RESIDUE appear twice (exact repeat right after).
+# ---------------------------------------------------------------------------
+DEFECT_MOD = 101
+DUPLICATE_RESIDUE = 19
+
+
+def _cap(s):
+    return F.concat(F.upper(F.substring(s, 1, 1)), F.expr("substring(status, 2)"))
+
+
+def derive_feed(spark: SparkSession, sf_dir: str, t: Tables | None = None) -> DataFrame:
+    """FEED_COLUMNS + row_num + source_file, one row per line item (plus
+    repeats), strings as a CSV export would hold them."""
+    from tillpoint.operators.ranking import dense_ids
+    t = t or bind(spark, sf_dir)
+    i = t.order_items.select(F.col("id").alias("k"), "order_id", "product_id",
+                             F.col("quantity").alias("qty"), F.col("unit_price").alias("price"))
+    o = t.orders.select(F.col("id").alias("order_id"), F.col("customer_id"), "status", "placed_at")
+    c = t.customers.select(F.col("id").alias("customer_id"), "email")
+    p = t.products.select(F.col("id").alias("product_id"), "sku")
+    j = i.join(o, "order_id", "left").join(c, "customer_id", "left").join(p, "product_id", "left")
+    m = F.col("k") % DEFECT_MOD
+    k = F.col("k").cast("string")
+    feed = j.select(
+        "k",
+        F.when(m == 0, "").when(m == 1, "   ")
+         .otherwise(F.concat(F.lit("EXT-"), F.col("order_id").cast("string"))).alias("order_id"),
+        F.when(m == 2, "").when(m == 13, F.concat(F.lit(" "), F.upper("email"), F.lit(" ")))
+         .when(m == 15, F.concat(F.lit("nobody"), k, F.lit("@example.com")))
+         .otherwise(F.col("email")).alias("customer_email"),
+        F.when(m == 3, "").when(m == 14, F.lower("sku"))
+         .when(m == 16, F.concat(F.lit("SKU-X"), k)).otherwise(F.col("sku")).alias("product_sku"),
+        F.when(m == 4, "abc").when(m == 5, "0").when(m == 6, "-5")
+         .otherwise(F.col("qty").cast("string")).alias("quantity"),
+        F.when(m == 7, "-0.01").when(m == 8, "0")
+         .otherwise(F.format_string("%.2f", F.col("price").cast("double"))).alias("unit_price"),
+        F.when(m == 9, "not-a-date").when(m == 10, "2024-02-30")
+         .when(m == 17, F.date_format("placed_at", "MM/dd/yyyy"))
+         .when(m == 18, F.date_format("placed_at", "yyyy-MM-dd HH:mm:ss"))
+         .otherwise(F.date_format("placed_at", "yyyy-MM-dd")).alias("order_date"),
+        F.when(m == 11, "lost").when(m == 12, F.concat(F.lit(" "), _cap(F.col("status")), F.lit(" ")))
+         .otherwise(F.col("status")).alias("status"),
+        F.lit(0).alias("copy"),
+    )
+    repeats = feed.filter(F.col("k") % DEFECT_MOD == DUPLICATE_RESIDUE).withColumn("copy", F.lit(1))
+    both = feed.unionByName(repeats)
+    numbered = dense_ids(both, ["k", "copy"], "row_num", start=2,
+                         row_bound=t.order_items.count() * 2)
+    return numbered.select("order_id", "customer_email", "product_sku", "quantity", "unit_price",
+                           "order_date", "status", F.lit("derived:lineitem").alias("source_file"),
+                           "row_num")
