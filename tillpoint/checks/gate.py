@@ -18,6 +18,7 @@ from tillpoint.operators import contracts as K
 from tillpoint.session import ensure_defaults
 from tillpoint.sources.testdata import bind, derive_feed
 from tillpoint.plans import feed_load as L
+from tillpoint.plans import placement as P
 
 AS_OF = dt.datetime(2001, 9, 1)
 PERIOD = (dt.datetime(1997, 1, 1), dt.datetime(1997, 12, 31))
@@ -66,6 +67,23 @@ def _feed(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
     return for_oracle(rerun.classified.select("row_num", "outcome"))
 
 
+PLACED_AT = dt.datetime(2001, 9, 1)
+
+
+def _place(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
+    """Placement of the requests derived from pending orders (no oracle:
+    the result is defined by sequential processing; the tests compare it
+    with a one-by-one loop)."""
+    ensure_defaults(spark)
+    t = bind(spark, sf_dir)
+    raw_o = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
+    raw_l = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet")
+    res = P.place_orders(P.requests_from_orders(t, raw_o, raw_l), t, placed_at=PLACED_AT)
+    frame = {"orders": res.orders, "items": res.order_items, "rejects": res.rejects,
+             "stock": res.products.select("id", "sku", "stock")}[part]
+    return for_oracle(frame)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "monthly_revenue_summary": _q(A.monthly_revenue_summary),
     "product_sales_ranking": _q(A.product_sales_ranking),
@@ -97,6 +115,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feed_load_items": lambda spark, d: _feed(spark, d, "items"),
     "feed_rerun_skips": lambda spark, d: _feed(spark, d, "rerun"),
     "feed_run_log": lambda spark, d: _feed(spark, d, "log"),
+    "place_orders_accepted": lambda spark, d: _place(spark, d, "orders"),
+    "place_orders_items": lambda spark, d: _place(spark, d, "items"),
+    "place_orders_rejects": lambda spark, d: _place(spark, d, "rejects"),
+    "place_orders_stock": lambda spark, d: _place(spark, d, "stock"),
 }
 
 

@@ -58,6 +58,7 @@ def _same(a, b) -> bool:
 def window_positions(df: DataFrame, keys: list[SortKey], *, group_by: tuple[str, ...] = (),
                      tie_break: tuple[str, ...] = (), rank: str | None = None,
                      row_number: str | None = None, ntile: tuple[str, int] | None = None,
+                     running_sum: dict[str, str] | None = None,
                      row_bound: int | None = None, force: str | None = None) -> DataFrame:
     """Add rank / row_number / ntile columns ordered by ``keys`` within
     ``group_by`` (whole table if empty).  ``tie_break`` columns make the row
@@ -65,18 +66,22 @@ def window_positions(df: DataFrame, keys: list[SortKey], *, group_by: tuple[str,
 
     ``row_bound`` is an upper bound on the row count, used to choose the
     single-task window; without it the distributed path is taken.
+    ``running_sum`` maps output column -> value column: the inclusive
+    running sum within the group in (keys, tie_break) order, which must be
+    total for the result to be deterministic.
     ``force`` = 'window' | 'distributed' overrides the choice (tests)."""
+    running_sum = running_sum or {}
     if ntile is not None and group_by:
         raise ValueError("ntile is supported over the whole table only")
     spark = df.sparkSession
     limit = single_task_max_rows(spark)
     path = force or ("window" if row_bound is not None and row_bound <= limit else "distributed")
     if path == "window":
-        return _plain(df, keys, group_by, tie_break, rank, row_number, ntile)
-    return _distributed(df, keys, group_by, tie_break, rank, row_number, ntile, row_bound)
+        return _plain(df, keys, group_by, tie_break, rank, row_number, ntile, running_sum)
+    return _distributed(df, keys, group_by, tie_break, rank, row_number, ntile, running_sum, row_bound)
 
 
-def _plain(df, keys, group_by, tie_break, rank, row_number, ntile):
+def _plain(df, keys, group_by, tie_break, rank, row_number, ntile, running_sum):
     order_k = [k.expr() for k in keys]
     order_t = order_k + [F.col(c).asc() for c in tie_break]
     w_rank = Window.partitionBy(*group_by).orderBy(*order_k)
@@ -88,6 +93,9 @@ def _plain(df, keys, group_by, tie_break, rank, row_number, ntile):
         out = out.withColumn(row_number, F.row_number().over(w_total))
     if ntile:
         out = out.withColumn(ntile[0], F.ntile(ntile[1]).over(w_total))
+    frame = w_total.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for name, col in running_sum.items():
+        out = out.withColumn(name, F.sum(col).over(frame))
     return out
 
 
@@ -101,7 +109,7 @@ def ntile_of(position: Column, total: Column, n: int) -> Column:
             .otherwise(m + F.floor((position - 1 - big) / F.greatest(q, F.lit(1))) + 1).cast("int")
 
 
-def _distributed(df, keys, group_by, tie_break, rank, row_number, ntile, row_bound):
+def _distributed(df, keys, group_by, tie_break, rank, row_number, ntile, running_sum, row_bound):
     spark = df.sparkSession
     key_cols = [k.column for k in keys]
     order_k = [k.expr() for k in keys]
@@ -119,6 +127,11 @@ def _distributed(df, keys, group_by, tie_break, rank, row_number, ntile, row_bou
               .withColumn("_grn", F.row_number().over(
                   w_grp.orderBy(*order_k, *[F.col(c).asc() for c in tie_break])))
               .withColumn("_grk", F.rank().over(w_grp.orderBy(*order_k))))
+    w_run = w_grp.orderBy(*order_k, *[F.col(c).asc() for c in tie_break]) \
+                 .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = {name: f"_gs{i}" for i, name in enumerate(running_sum)}
+    for name, col in running_sum.items():
+        staged = staged.withColumn(sums[name], F.sum(col).over(w_run))
     staged = materialize(staged, "ranked")
 
     counts = staged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
@@ -126,7 +139,7 @@ def _distributed(df, keys, group_by, tie_break, rank, row_number, ntile, row_bou
     firsts = {r["_pid"]: r for r in staged.filter(F.col("_rn") == 1).select("_pid", *probe).collect()}
     lasts = {r["_pid"]: r for r in staged.join(F.broadcast(counts), "_pid")
              .filter(F.col("_rn") == F.col("_n"))
-             .select("_pid", "_n", "_grn", "_grk", *probe).collect()}
+             .select("_pid", "_n", "_grn", "_grk", *sums.values(), *probe).collect()}
 
     def gk(row):
         return (tuple(row[c] for c in group_by), tuple(row[c] for c in key_cols))
@@ -139,13 +152,20 @@ def _distributed(df, keys, group_by, tie_break, rank, row_number, ntile, row_bou
     # them precede the current range.
     carry_rows, before = [], 0
     run_g, run_gc, run_t, run_tc = None, 0, None, 0
+    run_sum = {c: 0 for c in sums.values()}
+    sum_carry_rows = []
     for p in sorted(lasts):
         (fg, fk), (lg, lk) = gk(firsts[p]), gk(lasts[p])
         n, l_grn, l_grk = lasts[p]["_n"], lasts[p]["_grn"], lasts[p]["_grk"]
         g_carry = run_gc if run_g is not None and eq(fg, run_g) else 0
         t_carry = run_tc if run_t is not None and eq(fg, run_t[0]) and eq(fk, run_t[1]) else 0
         carry_rows.append((p, before, g_carry, t_carry))
+        same_group = run_g is not None and eq(fg, run_g)
+        s_carry = {c: (run_sum[c] if same_group else 0) for c in sums.values()}
+        sum_carry_rows.append(tuple(s_carry[c] for c in sums.values()))
         one_group = eq(fg, lg)
+        for c in sums.values():
+            run_sum[c] = (s_carry[c] if one_group else 0) + (lasts[p][c] or 0)
         one_tie = one_group and eq(fk, lk)
         run_gc = g_carry + n if one_group else l_grn
         run_tc = t_carry + n if one_tie else l_grn - l_grk + 1
@@ -153,7 +173,11 @@ def _distributed(df, keys, group_by, tie_break, rank, row_number, ntile, row_bou
         before += n
     total = before
 
-    carries = spark.createDataFrame(carry_rows, "_pid int, _before long, _gcarry long, _tcarry long")
+    sum_types = {c: dict(staged.dtypes)[c] for c in sums.values()}
+    carry_schema = "_pid int, _before long, _gcarry long, _tcarry long" + "".join(
+        f", _c{c} {sum_types[c]}" for c in sums.values())
+    rows = [r + sc for r, sc in zip(carry_rows, sum_carry_rows)]
+    carries = spark.createDataFrame(rows, carry_schema)
     out = staged.join(F.broadcast(carries), "_pid")
     first_grp = F.col("_gstart") == 1
     gcarry = F.when(first_grp, F.col("_gcarry")).otherwise(F.lit(0))
@@ -166,7 +190,10 @@ def _distributed(df, keys, group_by, tie_break, rank, row_number, ntile, row_bou
     if ntile:
         pos = F.col("_before") + F.col("_rn")
         out = out.withColumn(ntile[0], ntile_of(pos, F.lit(total), ntile[1]))
-    return out.drop("_pid", "_rn", "_gstart", "_grn", "_grk", "_before", "_gcarry", "_tcarry")
+    for name, c in sums.items():
+        out = out.withColumn(name, F.col(c) + F.when(first_grp, F.col(f"_c{c}")).otherwise(F.lit(0)))
+    extra = list(sums.values()) + [f"_c{c}" for c in sums.values()]
+    return out.drop("_pid", "_rn", "_gstart", "_grn", "_grk", "_before", "_gcarry", "_tcarry", *extra)
 
 
 def dense_ids(df: DataFrame, order_cols: list[str], out: str, start: int = 1,
