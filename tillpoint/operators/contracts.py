@@ -149,8 +149,8 @@ def insert_if_absent(target: DataFrame, incoming: DataFrame, key: list[str],
     if prefer:
         winners = inc.groupBy(*key).agg(F.min(prefer).alias("_w"))
         inc = inc.join(winners.withColumnRenamed("_w", prefer), [*key, prefer], "left_semi")
-    else:
-        inc = inc.dropDuplicates(key)
+    # One row per key in any case (rows equal on key and ``prefer``).
+    inc = inc.dropDuplicates(key)
     new = inc.join(target.select(*key), key, "left_anti")
     return target.unionByName(new)
 
