@@ -60,12 +60,15 @@ def whole_days_between(later: Column, earlier: Column) -> Column:
     return (whole / F.lit(MICROS_PER_DAY)).cast("int")
 
 
-# Unicode white space on both ends (Spark's trim strips only ASCII spaces).
-_TRIM_RE = r"(?U)^\s+|\s+$"
+# The Unicode White_Space characters stripped from both ends
+# (Spark's trim() strips only the ASCII space).
+WHITE_SPACE = ("\t\n\u000b\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+               "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, _TRIM_RE, "")
+    """Strip white space on both ends; btrim with a character set, no regex."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def is_blank(c: Column) -> Column:

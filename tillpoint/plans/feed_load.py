@@ -14,8 +14,9 @@ Plan:
   (external order id, sku) among the resolved rows is the load candidate
   (min aggregate, partial per task), then an anti join against the ledger
   of committed runs; the flag is joined back on the unique row number.
-* The classified feed is written once to the checkpoint folder; totals,
-  the first ten messages, id assignment and the outputs all read it.
+* The resolved feed is written once to the checkpoint folder (the
+  first-row choice reads it twice), then the classified feed; totals, the
+  first ten messages, id assignment and the outputs all read that.
 * Publication is all-or-nothing through ``RunStore`` (E14).
 """
 
@@ -168,6 +169,8 @@ def build_outputs(classified: DataFrame, max_order_id: int, max_item_id: int,
     numbered = dense_ids(loaded, ["row_num"], "_seq", start=1, row_bound=row_bound)
     numbered = numbered.withColumn("order_id", F.col("_seq") + F.lit(max_order_id)) \
                        .withColumn("item_id", F.col("_seq") + F.lit(max_item_id))
+    # Three outputs read the numbered rows: number them once.
+    numbered = materialize(numbered, "feed_numbered")
     orders = conform(numbered.select(
         F.col("order_id").alias("id"), "customer_id", "status",
         F.col("subtotal").cast("decimal(12,2)").alias("total_amount"),
@@ -252,8 +255,10 @@ def load_feed(t: Tables, source: str | DataFrame, store: RunStore | None = None,
     if ledger is None:
         ledger = spark.createDataFrame([], "external_order_id string, product_sku string")
 
-    classified = mark_loads(resolve_keys(tag_rows(feed), t, broadcast_max_rows), ledger)
-    classified = materialize(classified, "feed_classified")
+    # The first-row choice reads the resolved rows twice (aggregate and
+    # join-back): write them once so the CSV parse, checks and lookups run once.
+    resolved = materialize(resolve_keys(tag_rows(feed), t, broadcast_max_rows), "feed_resolved")
+    classified = materialize(mark_loads(resolved, ledger), "feed_classified")
     totals = classified.agg(
         F.count(F.lit(1)).alias("read"),
         F.count_if(F.col("outcome") == "loaded").alias("loaded"),
