@@ -50,10 +50,11 @@ class PlacementResult:
 
 
 def _lines(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """R1: one row per JSON element, plus per-request parse status."""
-    parsed = requests.select(
+    """R1: one row per JSON element, plus per-request parse status.  The
+    parsed requests are written once; heads and lines both read them."""
+    parsed = materialize(requests.select(
         "request_id", "seq", "customer_id", "items_json",
-        F.from_json("items_json", ITEMS_SCHEMA).alias("_items"))
+        F.from_json("items_json", ITEMS_SCHEMA).alias("_items")), "placement_parsed")
     bad_json = F.col("items_json").isNotNull() & F.col("_items").isNull()
     heads = parsed.select("request_id", "seq", "customer_id", bad_json.alias("bad_json"))
     lines = parsed.select("request_id", "seq", F.posexplode("_items").alias("pos", "it")).select(
@@ -71,7 +72,7 @@ def place_orders(requests: DataFrame, t: Tables, placed_at: dt.datetime | None =
     heads, lines = _lines(requests)
     active = t.products.filter(F.col("is_active")).select(
         F.col("id").alias("product_id"), "unit_price", "stock")
-    lines = lines.join(active, "product_id", "left")
+    lines = materialize(lines.join(active, "product_id", "left"), "placement_lines")
 
     # Static checks (do not depend on other requests): R2, R8, bad JSON.
     line_flags = lines.groupBy("request_id").agg(
@@ -98,7 +99,9 @@ def place_orders(requests: DataFrame, t: Tables, placed_at: dt.datetime | None =
         if n_open == 0 or (max_rounds is not None and rounds >= max_rounds):
             break
         rounds += 1
-        live = state.filter(F.col("st") != "R").withColumn(
+        # Only products with undecided lines matter this round (the frontier).
+        frontier = state.filter(F.col("st") == "U").select("product_id").distinct()
+        live = state.filter(F.col("st") != "R").join(frontier, "product_id", "left_semi").withColumn(
             "da", F.when(F.col("st") == "A", F.col("d")).otherwise(F.lit(0))).withColumn(
             "du", F.when(F.col("st") == "U", F.col("d")).otherwise(F.lit(0)))
         run = window_positions(live, [SortKey("seq")], group_by=("product_id",), tie_break=("request_id",),
