@@ -14,7 +14,7 @@ from tillpoint.schema import NON_REVENUE_STATUSES, ORDER_STATUSES
 __all__ = [
     "revenue_status", "full_name", "money", "exact_avg", "pct_of",
     "whole_days_between", "trim_ws", "is_blank", "parse_lenient_timestamp",
-    "valid_status", "subtotal_of", "MICROS_PER_DAY",
+    "valid_status", "normalize_status", "subtotal_of", "MICROS_PER_DAY",
 ]
 
 MICROS_PER_DAY = 86_400_000_000
@@ -80,6 +80,13 @@ def valid_status(c: Column) -> Column:
     return c.isin(*ORDER_STATUSES)
 
 
+def normalize_status(c: Column) -> Column:
+    """Case-insensitive match to a known status, as lower-case text; NULL
+    for NULL, blank or unknown values.  No trimming (the feed trims first)."""
+    low = F.lower(c)
+    return F.when(low.isin(*ORDER_STATUSES), low)
+
+
 def subtotal_of(quantity: Column, unit_price: Column) -> Column:
     """Generated column quantity * unit_price as DECIMAL(12,2)."""
     return (quantity.cast("decimal(10,0)") * unit_price).cast("decimal(12,2)")
