@@ -45,3 +45,13 @@ def test_ntile_expression_matches_formula(spark):
     df = spark.range(1, 60).select(F.col("id").alias("r"))
     got = [x[0] for x in df.select(ntile_of(F.col("r"), F.lit(59), 4)).collect()]
     assert got == [ntile_formula(r, 59, 4) for r in range(1, 60)]
+
+
+@pytest.mark.parametrize("per_bucket", [7, 1000, 10**6])
+def test_dense_ids_by_int_key(spark, per_bucket):
+    from tillpoint.operators.ranking import dense_ids_by_int_key
+    df = spark.range(0, 5000).select((F.col("id") * 3 + F.when(F.col("id") > 4000, 100000).otherwise(0))
+                                     .alias("k"))
+    got = sorted((r.k, r.i) for r in dense_ids_by_int_key(df, "k", "i", start=10,
+                                                          target_rows_per_bucket=per_bucket).collect())
+    assert [i for _, i in got] == list(range(10, 5010))

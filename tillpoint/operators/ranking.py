@@ -204,3 +204,37 @@ def dense_ids(df: DataFrame, order_cols: list[str], out: str, start: int = 1,
     res = window_positions(df, keys, tie_break=tuple(order_cols[1:]), row_number="_dense_rn",
                            row_bound=row_bound, force=force)
     return res.withColumn(out, (F.col("_dense_rn") + F.lit(start - 1)).cast("long")).drop("_dense_rn")
+
+
+def dense_ids_by_int_key(df: DataFrame, key: str, out: str, start: int = 1,
+                         target_rows_per_bucket: int = 200_000) -> DataFrame:
+    """Consecutive ids in order of a unique integer ``key`` (e.g. a feed row
+    number or a request sequence) without a single-task window.
+
+    The key range is cut into equal-width buckets (one aggregate for min,
+    max and count); per-bucket counts - one row per bucket - give offsets;
+    each bucket is numbered by a window partitioned by the bucket, so the
+    work is spread over all tasks.  If the keys are clustered so that one
+    bucket would hold far more than its share, the range-partitioned path
+    of ``dense_ids`` is used instead."""
+    spark = df.sparkSession
+    stats = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if not stats["n"]:
+        return df.withColumn(out, F.lit(None).cast("long"))
+    lo, hi, n = stats["lo"], stats["hi"], stats["n"]
+    buckets = max(1, math.ceil(n / target_rows_per_bucket))
+    width = max(1, math.ceil((hi - lo + 1) / buckets))
+    b = F.floor((F.col(key) - F.lit(lo)) / F.lit(width)).cast("long")
+    tagged = df.withColumn("_bucket", b)
+    counts = sorted((r[0], r[1]) for r in tagged.groupBy("_bucket").count().collect())
+    if buckets > 1 and max(c for _, c in counts) > 4 * target_rows_per_bucket:
+        return dense_ids(df, [key], out, start=start)
+    offsets, before = [], start - 1
+    for bucket, c in counts:
+        offsets.append((bucket, before))
+        before += c
+    table = spark.createDataFrame(offsets, "_bucket long, _off long")
+    w = Window.partitionBy("_bucket").orderBy(F.col(key))
+    return (tagged.join(F.broadcast(table), "_bucket")
+            .withColumn(out, (F.col("_off") + F.row_number().over(w)).cast("long"))
+            .drop("_bucket", "_off"))

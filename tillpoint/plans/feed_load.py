@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 from tillpoint.functions.expr import is_blank, parse_lenient_timestamp, subtotal_of, trim_ws
 from tillpoint.operators.contracts import with_generated
-from tillpoint.operators.ranking import dense_ids
+from tillpoint.operators.ranking import dense_ids_by_int_key
 from tillpoint.schema import DEFAULT_CURRENCY, ORDER_STATUSES
 from tillpoint.session import materialize
-from tillpoint.sources.feed import read_order_feed
+from tillpoint.sources.feed import number_rows, scan_order_feed
 from tillpoint.sources.store import RunStore
 from tillpoint.sources.tables import Tables, conform
 
@@ -61,9 +61,11 @@ def _q(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def tag_rows(feed: DataFrame) -> DataFrame:
-    """E1-E8 on a feed with FEED_COLUMNS + row_num: normalised columns plus
-    ``code`` / ``stage`` / ``message`` (NULL when the row is valid)."""
+def tag_rows(feed: DataFrame, row_prefix: bool = True) -> DataFrame:
+    """E1-E8 on a feed with FEED_COLUMNS (+ row_num): normalised columns
+    plus ``code`` / ``stage`` / ``message`` (NULL when the row is valid).
+    With ``row_prefix=False`` the "[Row n] " prefix is left for
+    ``add_row_prefix`` (row numbers computed later, see ``load_feed``)."""
     qty = trim_ws(F.col("quantity")).try_cast("int")
     price = trim_ws(F.col("unit_price")).try_cast("decimal(18,4)")
     when_ts = parse_lenient_timestamp(F.col("order_date"))
@@ -76,7 +78,7 @@ def tag_rows(feed: DataFrame) -> DataFrame:
              .when(price < 0, "negative_price")
              .when(when_ts.isNull(), "bad_date")
              .when(status.isNull() | ~status.isin(*ORDER_STATUSES), "bad_status"))
-    row = F.concat(F.lit("[Row "), F.col("row_num").cast("string"), F.lit("] "))
+    row = F.concat(F.lit("[Row "), F.col("row_num").cast("string"), F.lit("] ")) if row_prefix else F.lit("")
     c = F.col("code")
     message = (F.when(c == "missing_order_id", F.concat(row, F.lit("Missing order_id")))
                 .when(c == "missing_customer_email", F.concat(row, F.lit("Missing customer_email")))
@@ -90,9 +92,9 @@ def tag_rows(feed: DataFrame) -> DataFrame:
                                                 F.lit("'")))
                 .when(c == "bad_status", F.concat(row, F.lit("Invalid status '"), _q(F.col("status")),
                                                   F.lit("'. Allowed: " + ALLOWED_TEXT))))
-    extra = [c for c in ("source_file",) if c in feed.columns]
+    extra = [c for c in ("row_num", "source_file", "_block", "_mid") if c in feed.columns]
     staged = feed.select(
-        "row_num", *extra, "order_id", "quantity", "order_date", "status",
+        *extra, "order_id", "quantity", "order_date", "status",
         F.col("unit_price").alias("unit_price_raw"),
         trim_ws(F.col("order_id")).alias("external_order_id"),
         F.lower(trim_ws(F.col("customer_email"))).alias("customer_email"),
@@ -100,7 +102,7 @@ def tag_rows(feed: DataFrame) -> DataFrame:
         qty.alias("quantity_n"), price.alias("unit_price_n"), when_ts.alias("order_date_n"),
         status.alias("status_n"), code.alias("code"))
     return staged.select(
-        "row_num", *extra, "external_order_id", "customer_email", "product_sku",
+        *extra, "external_order_id", "customer_email", "product_sku",
         F.col("quantity_n").alias("quantity"), F.col("unit_price_n").alias("unit_price"),
         F.col("order_date_n").alias("order_date"), F.col("status_n").alias("status"),
         (F.col("quantity_n").cast("decimal(10,0)") * F.col("unit_price_n")).alias("subtotal"),
@@ -109,6 +111,13 @@ def tag_rows(feed: DataFrame) -> DataFrame:
         message.alias("message"))
 
 
+def add_row_prefix(df: DataFrame) -> DataFrame:
+    """Prefix validation messages with "[Row n] " once row_num is known."""
+    prefix = F.concat(F.lit("[Row "), F.col("row_num").cast("string"), F.lit("] "), F.col("message"))
+    return df.withColumn("message", F.when(F.col("stage") == STAGE_VALIDATION, prefix)
+                         .otherwise(F.col("message")))
+
+
 def clean_rows(tagged: DataFrame) -> DataFrame:
     """Rows passing validation (the transform's output)."""
     return tagged.filter(F.col("code").isNull()).select(*CLEAN_COLUMNS)
@@ -166,7 +175,7 @@ def build_outputs(classified: DataFrame, max_order_id: int, max_item_id: int,
     """E11/E12: new orders, their single items and the ledger rows, with
     ids max+1.. in feed row order."""
     loaded = classified.filter(F.col("outcome") == "loaded")
-    numbered = dense_ids(loaded, ["row_num"], "_seq", start=1, row_bound=row_bound)
+    numbered = dense_ids_by_int_key(loaded, "row_num", "_seq", start=1)
     numbered = numbered.withColumn("order_id", F.col("_seq") + F.lit(max_order_id)) \
                        .withColumn("item_id", F.col("_seq") + F.lit(max_item_id))
     # Three outputs read the numbered rows: number them once.
@@ -241,7 +250,7 @@ def load_feed(t: Tables, source: str | DataFrame, store: RunStore | None = None,
     run_at = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     run_id = run_id or uuid.uuid4().hex[:16]
     if isinstance(source, str):
-        feed = read_order_feed(spark, source)
+        feed = scan_order_feed(spark, source)
         source_name = source_name or source
     else:
         feed = source
@@ -256,8 +265,15 @@ def load_feed(t: Tables, source: str | DataFrame, store: RunStore | None = None,
         ledger = spark.createDataFrame([], "external_order_id string, product_sku string")
 
     # The first-row choice reads the resolved rows twice (aggregate and
-    # join-back): write them once so the CSV parse, checks and lookups run once.
-    resolved = materialize(resolve_keys(tag_rows(feed), t, broadcast_max_rows), "feed_resolved")
+    # join-back): write them once so the CSV parse, checks and lookups run
+    # once.  A CSV source is numbered afterwards from the written rows' split
+    # tags, so the file is parsed a single time.
+    if "row_num" in feed.columns:
+        resolved = materialize(resolve_keys(tag_rows(feed), t, broadcast_max_rows), "feed_resolved")
+    else:
+        pre = materialize(resolve_keys(tag_rows(feed, row_prefix=False), t, broadcast_max_rows),
+                          "feed_resolved")
+        resolved = add_row_prefix(number_rows(pre))
     classified = materialize(mark_loads(resolved, ledger), "feed_classified")
     totals = classified.agg(
         F.count(F.lit(1)).alias("read"),

@@ -21,8 +21,10 @@ from pyspark.sql.utils import AnalysisException
 from tillpoint.schema import FEED_COLUMNS
 
 
-def read_order_feed(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Columns: order_id ... status (strings), source_file, row_num."""
+def scan_order_feed(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """FEED_COLUMNS + source_file + split tags (_block, _mid), taken right
+    at the scan.  ``number_rows`` turns the tags into record numbers, also
+    after the rows went through joins or were written out."""
     reader = (spark.read.option("header", True).option("inferSchema", False)
               .option("quote", '"').option("escape", '"').option("multiLine", multiline)
               .option("mode", "PERMISSIVE"))
@@ -35,10 +37,15 @@ def read_order_feed(spark: SparkSession, path: str, multiline: bool = False) ->
     missing = [c for c in FEED_COLUMNS if c not in raw.columns]
     if missing:
         raise ValueError(f"Feed header lacks columns: {', '.join(missing)}")
-    tagged = raw.select(*[F.col(c) for c in FEED_COLUMNS],
-                        F.col("_metadata.file_path").alias("source_file"),
-                        F.col("_metadata.file_block_start").alias("_block"),
-                        F.monotonically_increasing_id().alias("_mid"))
+    return raw.select(*[F.col(c) for c in FEED_COLUMNS],
+                      F.col("_metadata.file_path").alias("source_file"),
+                      F.col("_metadata.file_block_start").alias("_block"),
+                      F.monotonically_increasing_id().alias("_mid"))
+
+
+def number_rows(tagged: DataFrame) -> DataFrame:
+    """Replace the split tags by ``row_num`` (index in its file + 2)."""
+    spark = tagged.sparkSession
     splits = (tagged.groupBy("source_file", "_block")
               .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_mid0"))
               .collect())
@@ -48,9 +55,15 @@ def read_order_feed(spark: SparkSession, path: str, multiline: bool = False) ->
         offsets.append((r["source_file"], r["_block"], r["_mid0"], before))
         running[r["source_file"]] = before + r["_n"]
     table = spark.createDataFrame(offsets, "source_file string, _block long, _mid0 long, _before long")
-    return (tagged.join(F.broadcast(table), ["source_file", "_block"])
-            .select(*FEED_COLUMNS, "source_file",
-                    (F.col("_mid") - F.col("_mid0") + F.col("_before") + 2).alias("row_num")))
+    out = tagged.join(F.broadcast(table), ["source_file", "_block"])
+    return out.withColumn("row_num", F.col("_mid") - F.col("_mid0") + F.col("_before") + 2) \
+              .drop("_block", "_mid", "_mid0", "_before")
+
+
+def read_order_feed(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Columns: order_id ... status (strings), source_file, row_num."""
+    return number_rows(scan_order_feed(spark, path, multiline)) \
+        .select(*FEED_COLUMNS, "source_file", "row_num")
 
 
 def write_order_feed(feed: DataFrame, path: str) -> None:
