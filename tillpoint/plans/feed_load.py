@@ -256,11 +256,12 @@ def load_feed(t: Tables, source: str | DataFrame, store: RunStore | None = None,
         feed = source
     res = FeedLoadResult(run_id=run_id, source_file=source_name, dry_run=dry_run)
 
+    committed = store.committed_runs() if store is not None else []
     if store is not None:
-        t = t.with_(orders=t.orders.unionByName(store.table("orders")),
-                    order_items=t.order_items.unionByName(store.table("order_items")))
+        t = t.with_(orders=t.orders.unionByName(store.table("orders", committed)),
+                    order_items=t.order_items.unionByName(store.table("order_items", committed)))
         if ledger is None:
-            ledger = store.table("load_ledger")
+            ledger = store.table("load_ledger", committed)
     if ledger is None:
         ledger = spark.createDataFrame([], "external_order_id string, product_sku string")
 
@@ -300,7 +301,7 @@ def load_feed(t: Tables, source: str | DataFrame, store: RunStore | None = None,
 
     log_id = 1
     if store is not None:
-        prev = store.table("etl_run_log").agg(F.max("id")).first()[0]
+        prev = store.table("etl_run_log", committed).agg(F.max("id")).first()[0]
         log_id = (prev or 0) + 1
     if store is not None and not dry_run:
         try:

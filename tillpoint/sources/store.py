@@ -47,10 +47,11 @@ class RunStore:
             return []
         return [r[0] for r in runs.select("run_id").distinct().collect()]
 
-    def table(self, name: str) -> DataFrame:
+    def table(self, name: str, committed: list[str] | None = None) -> DataFrame:
         """Committed rows of ``name`` (orders, order_items, load_ledger,
-        etl_run_log); empty with the declared schema when none."""
-        committed = self.committed_runs()
+        etl_run_log); empty with the declared schema when none.  Pass
+        ``committed`` to reuse one read of the commit markers."""
+        committed = self.committed_runs() if committed is None else committed
         df = self._read(name) if committed else None
         if df is None:
             if name == "load_ledger":
