@@ -46,3 +46,15 @@ def test_expressions(spark):
                                   (dt.datetime(2024, 1, 3, 1), dt.datetime(2024, 1, 1))], "a timestamp, b timestamp")
     got = [x[0] for x in days.select(whole_days_between(F.col("b"), F.col("a"))).collect()]
     assert got == [0, 2, -2]
+
+
+def test_release_scratch(spark):
+    import os as _os
+
+    from tillpoint.session import materialize, release_scratch, scratch_mark
+    mark = scratch_mark()
+    df = materialize(spark.range(10), "probe")
+    path = df.inputFiles()[0]
+    assert df.count() == 10 and _os.path.exists(path.replace("file:", ""))
+    assert release_scratch(spark, mark) == 1
+    assert not _os.path.exists(path.replace("file:", ""))

@@ -68,8 +68,39 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+# Scratch folders created by this process (released by release_scratch).
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark)}/tillpoint/{uuid.uuid4().hex}/{name}"
+    folder = f"{checkpoint_dir(spark)}/tillpoint/{uuid.uuid4().hex}"
+    _SCRATCH.append(folder)
+    return f"{folder}/{name}"
+
+
+def scratch_mark() -> int:
+    """Position to pass to release_scratch(since=...) later."""
+    return len(_SCRATCH)
+
+
+def release_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Delete the scratch folders this process created after the mark
+    ``since`` (all by default).  Call it once the DataFrames that read them have been
+    consumed (they are lazy and read the folders when executed).  Uses the
+    Hadoop FileSystem of the checkpoint folder, so it works for HDFS, object
+    stores and local paths; a no-op when the JVM gateway is not available."""
+    victims = list(_SCRATCH[since:])
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    except Exception:  # noqa: BLE001 - e.g. a remote (Connect) session
+        return 0
+    done = 0
+    for folder in victims:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+        _SCRATCH.remove(folder)
+        done += 1
+    return done
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
