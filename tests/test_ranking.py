@@ -55,3 +55,10 @@ def test_dense_ids_by_int_key(spark, per_bucket):
     got = sorted((r.k, r.i) for r in dense_ids_by_int_key(df, "k", "i", start=10,
                                                           target_rows_per_bucket=per_bucket).collect())
     assert [i for _, i in got] == list(range(10, 5010))
+
+
+def test_distributed_path_on_empty_input(spark):
+    df = spark.range(0).select("id", (F.col("id") % 3).alias("v"))
+    out = window_positions(df, [SortKey("v", descending=True)], tie_break=("id",), rank="r",
+                           row_number="rn", ntile=("nt", 4), running_sum={"s": "v"}, force="distributed")
+    assert out.count() == 0 and {"r", "rn", "nt", "s"} <= set(out.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tillpoint.functions.expr import subtotal_of
 from tillpoint.operators.ranking import dense_ids
-from tillpoint.schema import CONTRACTS, DEFAULT_CURRENCY, DEFAULT_ORDER_STATUS, SCHEMAS
+from tillpoint.schema import CONTRACTS, DEFAULT_CURRENCY, DEFAULT_ORDER_STATUS
 from tillpoint.sources.tables import Tables
 
 RESULT_SCHEMA = "table string, rule string, column string, violations long"
@@ -160,8 +160,3 @@ def delete_cascade(t: Tables, keep_orders: DataFrame) -> Tables:
     removed orders (ON DELETE CASCADE), as a semi join on order id."""
     items = t.order_items.join(keep_orders.select(F.col("id").alias("order_id")), "order_id", "left_semi")
     return t.with_(orders=keep_orders, order_items=items)
-
-
-def conform_schema(df: DataFrame, table: str) -> DataFrame:
-    schema = SCHEMAS[table]
-    return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])

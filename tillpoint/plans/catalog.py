@@ -56,10 +56,6 @@ def _page(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
-def _ids(ids) -> DataFrame | list:
-    return ids
-
-
 # ---------------------------------------------------------------------------
 # Orders
 # ---------------------------------------------------------------------------

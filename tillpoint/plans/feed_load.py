@@ -23,6 +23,7 @@ Plan:
 from __future__ import annotations
 
 import datetime as dt
+import re
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -45,22 +46,44 @@ MAX_ERRORS_ALLOWED = 100
 ERROR_TEXT_MESSAGES = 10
 
 # ---------------------------------------------------------------------------
-# Reject codes (in rule order) and message texts
+# Reject codes in rule order, and their message texts.
+# {name} is replaced by a column value; validation messages are prefixed
+# with "[Row {row_num}] ".  bad_number is ours (the original aborts the run).
 # ---------------------------------------------------------------------------
-VALIDATION_CODES = ("missing_order_id", "missing_customer_email", "missing_product_sku",
-                    "bad_number", "bad_quantity", "negative_price", "bad_date", "bad_status")
-LOOKUP_CODES = ("unknown_customer", "unknown_product")
-ALLOWED_TEXT = ", ".join(ORDER_STATUSES)
+ROW_PREFIX = "[Row {row_num}] "
+MESSAGES = {
+    "missing_order_id": "Missing order_id",
+    "missing_customer_email": "Missing customer_email",
+    "missing_product_sku": "Missing product_sku",
+    "bad_number": "Invalid number: quantity '{quantity}', unit_price '{unit_price}'",
+    "bad_quantity": "Quantity must be > 0 (got {quantity_n})",
+    "negative_price": "Unit price cannot be negative",
+    "bad_date": "Invalid date format: '{order_date}'",
+    "bad_status": "Invalid status '{status}'. Allowed: pending, confirmed, shipped, delivered, cancelled, refunded",
+    "unknown_customer": "Order {external_order_id}: Customer '{customer_email}' not found",
+    "unknown_product": "Order {external_order_id}: Product (SKU) '{product_sku}' not found",
+}
 # ---------------------------------------------------------------------------
+VALIDATION_CODES = tuple(MESSAGES)[:8]
+LOOKUP_CODES = tuple(MESSAGES)[8:]
+
+
+def render(template: str, columns: dict[str, Column] | None = None) -> Column:
+    """A message template as a concat of literals and (NULL-safe) columns."""
+    parts = []
+    for i, piece in enumerate(re.split(r"\{(\w+)\}", template)):
+        if i % 2 == 0:
+            if piece:
+                parts.append(F.lit(piece))
+        else:
+            col = (columns or {}).get(piece, F.col(piece))
+            parts.append(F.coalesce(col.cast("string"), F.lit("")))
+    return F.concat(*parts) if parts else F.lit("")
 
 CLEAN_COLUMNS = ["row_num", "external_order_id", "customer_email", "product_sku", "quantity",
                  "unit_price", "order_date", "status", "subtotal"]
 
 
-def _q(c: Column) -> Column:
-    return F.coalesce(c, F.lit(""))
-
-
 def tag_rows(feed: DataFrame, row_prefix: bool = True) -> DataFrame:
     """E1-E8 on a feed with FEED_COLUMNS (+ row_num): normalised columns
     plus ``code`` / ``stage`` / ``message`` (NULL when the row is valid).
@@ -78,20 +101,13 @@ def tag_rows(feed: DataFrame, row_prefix: bool = True) -> DataFrame:
              .when(price < 0, "negative_price")
              .when(when_ts.isNull(), "bad_date")
              .when(status.isNull() | ~status.isin(*ORDER_STATUSES), "bad_status"))
-    row = F.concat(F.lit("[Row "), F.col("row_num").cast("string"), F.lit("] ")) if row_prefix else F.lit("")
-    c = F.col("code")
-    message = (F.when(c == "missing_order_id", F.concat(row, F.lit("Missing order_id")))
-                .when(c == "missing_customer_email", F.concat(row, F.lit("Missing customer_email")))
-                .when(c == "missing_product_sku", F.concat(row, F.lit("Missing product_sku")))
-                .when(c == "bad_number", F.concat(row, F.lit("Invalid number: quantity '"), _q(F.col("quantity")),
-                                                  F.lit("', unit_price '"), _q(F.col("unit_price_raw")), F.lit("'")))
-                .when(c == "bad_quantity", F.concat(row, F.lit("Quantity must be > 0 (got "),
-                                                    F.col("quantity_n").cast("string"), F.lit(")")))
-                .when(c == "negative_price", F.concat(row, F.lit("Unit price cannot be negative")))
-                .when(c == "bad_date", F.concat(row, F.lit("Invalid date format: '"), _q(F.col("order_date")),
-                                                F.lit("'")))
-                .when(c == "bad_status", F.concat(row, F.lit("Invalid status '"), _q(F.col("status")),
-                                                  F.lit("'. Allowed: " + ALLOWED_TEXT))))
+    raw = {"quantity": F.col("quantity"), "unit_price": F.col("unit_price_raw"),
+           "order_date": F.col("order_date"), "status": F.col("status")}
+    message = None
+    for code_name in VALIDATION_CODES:
+        text = render((ROW_PREFIX if row_prefix else "") + MESSAGES[code_name], raw)
+        message = (F.when(F.col("code") == code_name, text) if message is None
+                   else message.when(F.col("code") == code_name, text))
     extra = [c for c in ("row_num", "source_file", "_block", "_mid") if c in feed.columns]
     staged = feed.select(
         *extra, "order_id", "quantity", "order_date", "status",
@@ -113,7 +129,7 @@ def tag_rows(feed: DataFrame, row_prefix: bool = True) -> DataFrame:
 
 def add_row_prefix(df: DataFrame) -> DataFrame:
     """Prefix validation messages with "[Row n] " once row_num is known."""
-    prefix = F.concat(F.lit("[Row "), F.col("row_num").cast("string"), F.lit("] "), F.col("message"))
+    prefix = F.concat(render(ROW_PREFIX), F.col("message"))
     return df.withColumn("message", F.when(F.col("stage") == STAGE_VALIDATION, prefix)
                          .otherwise(F.col("message")))
 
@@ -140,12 +156,8 @@ def resolve_keys(tagged: DataFrame, t: Tables, broadcast_max_rows: int | None =
     valid = F.col("code").isNull()
     code2 = (F.when(valid & F.col("customer_id").isNull(), "unknown_customer")
               .when(valid & F.col("product_id").isNull(), "unknown_product"))
-    msg2 = (F.when(code2 == "unknown_customer",
-                   F.concat(F.lit("Order "), F.col("external_order_id"), F.lit(": Customer '"),
-                            F.col("customer_email"), F.lit("' not found")))
-             .when(code2 == "unknown_product",
-                   F.concat(F.lit("Order "), F.col("external_order_id"), F.lit(": Product (SKU) '"),
-                            F.col("product_sku"), F.lit("' not found"))))
+    msg2 = (F.when(code2 == "unknown_customer", render(MESSAGES["unknown_customer"]))
+             .when(code2 == "unknown_product", render(MESSAGES["unknown_product"])))
     return (j.withColumn("message", F.coalesce(F.col("message"), msg2))
              .withColumn("stage", F.coalesce(F.col("stage"), F.when(code2.isNotNull(), F.lit(STAGE_LOOKUP))))
              .withColumn("code", F.coalesce(F.col("code"), code2)))
