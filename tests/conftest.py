@@ -8,9 +8,11 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from tillpoint.session import get_session
-    s = get_session(master="local[*]", shuffle_partitions=8, extra={"spark.driver.memory": "8g"})
+    warehouse = str(tmp_path_factory.mktemp("warehouse"))
+    s = get_session(master="local[*]", shuffle_partitions=8,
+                    extra={"spark.driver.memory": "8g", "spark.sql.warehouse.dir": warehouse})
     s.sparkContext.setLogLevel("ERROR")
     yield s
 

@@ -58,3 +58,19 @@ def test_release_scratch(spark):
     assert df.count() == 10 and _os.path.exists(path.replace("file:", ""))
     assert release_scratch(spark, mark) == 1
     assert not _os.path.exists(path.replace("file:", ""))
+
+
+def test_bucketed_layout_avoids_shuffle_for_order_item_joins(spark, seed):
+    from tillpoint.plans import catalog as C
+    tables.save_bucketed(seed, "tp_bucketed", buckets=4)
+    t = tables.load_catalog(spark, "tp_bucketed")
+    j = t.orders.join(t.order_items.withColumnRenamed("id", "item_id").withColumnRenamed("order_id", "id"), "id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert C.order_detail_lines(t, order_ids=t.orders.select("id")).count() == 30
+    assert [r.revenue for r in A.monthly_revenue_summary(t).collect()][0] == \
+        [r.revenue for r in A.monthly_revenue_summary(seed).collect()][0]
