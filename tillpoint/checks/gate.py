@@ -67,6 +67,13 @@ def _feed(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
     return for_oracle(rerun.classified.select("row_num", "outcome"))
 
 
+def _nth_order_key(t, n: int):
+    """(placed_at, id) of the n-th order in newest-first order: the keyset
+    cursor a client holds after reading n rows."""
+    r = t.orders.orderBy(F.col("placed_at").desc(), F.col("id").desc()).offset(n - 1).limit(1).first()
+    return (r["placed_at"], r["id"])
+
+
 PLACED_AT = dt.datetime(2001, 9, 1)
 
 
@@ -96,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_customers_country": _q(lambda t: A.top_customers(t, 5, oracle.TOP_COUNTRY)),
     "orders_page": _q(lambda t: C.orders_page(t, *oracle.ORDERS_PAGE).as_frame()),
     "orders_page_status": _q(lambda t: C.orders_page(t, *oracle.ORDERS_STATUS_PAGE).as_frame()),
+    "orders_keyset_page": _q(lambda t: C.orders_page_after(
+        t, oracle.ORDERS_PAGE[1], after=_nth_order_key(t, (oracle.ORDERS_PAGE[0] - 1) * oracle.ORDERS_PAGE[1]))),
     "orders_by_customer": _q(lambda t: C.orders_by_customer(t, customer_ids=t.customers.select("id"))),
     "order_detail": _q(lambda t: C.order_detail_lines(t, order_ids=t.orders.select("id"))),
     "customer_by_id": _q(lambda t: C.customer_by_id(t, customer_ids=t.customers.select("id"))),

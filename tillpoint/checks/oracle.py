@@ -211,6 +211,9 @@ Q["orders_page"] = _paged(_ORDER_SUMMARY, "placed_at DESC, id DESC", "SELECT * F
 Q["orders_page_status"] = _paged(_ORDER_SUMMARY + " WHERE o.status = 'shipped'", "placed_at DESC, id DESC",
                                  "SELECT * FROM ord WHERE status = 'shipped'", *ORDERS_STATUS_PAGE[:2])
 Q["orders_by_customer"] = PREFIX + _ORDER_SUMMARY
+Q["orders_keyset_page"] = PREFIX + f"""
+SELECT * FROM ({_ORDER_SUMMARY}) ORDER BY placed_at DESC, id DESC
+LIMIT {ORDERS_PAGE[1]} OFFSET {(ORDERS_PAGE[0] - 1) * ORDERS_PAGE[1]}"""
 
 Q["order_detail"] = PREFIX + """
 SELECT o.id, o.customer_id, o.status, CAST(o.total_c AS DOUBLE) / 100.0 AS total_amount, o.currency,
