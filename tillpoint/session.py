@@ -55,12 +55,15 @@ def ensure_defaults(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a private
-    scratch folder is created and registered."""
+    Read from the session.  Only a local-mode session (tests) without the
+    setting gets a private scratch folder; on a cluster a missing setting is
+    an error, since a machine-local folder would not survive executor loss."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder (HDFS / object store)")
         d = tempfile.mkdtemp(prefix="tillpoint-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
