@@ -6,7 +6,6 @@ and 30 order items of the seed script, and the ten-row sample feed.
 
 from __future__ import annotations
 
-import datetime as dt
 from decimal import Decimal as D
 
 from tillpoint.operators.contracts import with_generated
@@ -104,28 +103,41 @@ EXT-010,pedro.santos@email.com,HOME-001,1,129.99,2024-03-10,delivered
 """
 # ---------------------------------------------------------------------------
 
-NOW = dt.datetime(2023, 1, 1)
+NOW = "2023-01-01 00:00:00"
 
 
 def ts(s):
-    return None if s is None else dt.datetime.fromisoformat(s)
+    """Timestamps travel as text and are cast in the session zone (UTC), so
+    the fixture does not depend on the Python process's local zone."""
+    return s
+
+
+def _cast_ts(df, *cols):
+    from pyspark.sql import functions as F
+    for c in cols:
+        df = df.withColumn(c, F.col(c).cast("timestamp"))
+    return df
 
 
 def seed_tables(spark, orders=None, items=None, customers=None, products=None, categories=None) -> Tables:
-    cats = spark.createDataFrame([(i, n, d, NOW) for i, n, d in (categories or CATEGORIES)],
-                                 "id long, name string, description string, created_at timestamp")
+    cats = _cast_ts(spark.createDataFrame([(i, n, d, NOW) for i, n, d in (categories or CATEGORIES)],
+                                          "id long, name string, description string, created_at string"),
+                    "created_at")
     prods = spark.createDataFrame(
         [(i, c, s, n, None, D(p), st, True, NOW) for i, c, s, n, p, st in (products or PRODUCTS)],
         "id long, category_id long, sku string, name string, description string, unit_price decimal(10,2), "
-        "stock int, is_active boolean, created_at timestamp")
+        "stock int, is_active boolean, created_at string")
+    prods = _cast_ts(prods, "created_at")
     custs = spark.createDataFrame(
         [(i, e, f, l, co, ci, ts(c), True) for i, e, f, l, co, ci, c in (customers or CUSTOMERS)],
         "id long, email string, first_name string, last_name string, country string, city string, "
-        "created_at timestamp, is_active boolean")
+        "created_at string, is_active boolean")
+    custs = _cast_ts(custs, "created_at")
     ords = spark.createDataFrame(
         [(i, c, s, D(a), "USD", ts(p), ts(sh), ts(de)) for i, c, s, a, p, sh, de in (orders or ORDERS)],
         "id long, customer_id long, status string, total_amount decimal(12,2), currency string, "
-        "placed_at timestamp, shipped_at timestamp, delivered_at timestamp")
+        "placed_at string, shipped_at string, delivered_at string")
+    ords = _cast_ts(ords, "placed_at", "shipped_at", "delivered_at")
     its = spark.createDataFrame(
         [(n + 1, o, p, q, D(u)) for n, (o, p, q, u) in enumerate(items or ORDER_ITEMS)],
         "id long, order_id long, product_id long, quantity int, unit_price decimal(10,2)")

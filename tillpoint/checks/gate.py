@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillpoint.checks import oracle
+from tillpoint.functions.expr import ts_lit
 from tillpoint.plans import analytics as A
 from tillpoint.plans import catalog as C
 from tillpoint.operators import contracts as K
@@ -116,7 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                                                       active_only=False).as_frame()),
     "contract_violations": _q(K.validate_contract),
     "insert_if_absent": _q(lambda t: K.insert_if_absent(
-        t.customers.filter(F.col("created_at") < F.lit(dt.datetime(1995, 7, 1))),
+        t.customers.filter(F.col("created_at") < ts_lit(dt.datetime(1995, 7, 1))),
         t.customers, ["email"], prefer="id")),
     "feed_clean": lambda spark, d: _feed(spark, d, "clean"),
     "feed_rejects": lambda spark, d: _feed(spark, d, "rejects"),

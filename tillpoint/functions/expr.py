@@ -6,6 +6,8 @@ codegen); no Python UDF is involved.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,12 +16,25 @@ from tillpoint.schema import NON_REVENUE_STATUSES, ORDER_STATUSES
 __all__ = [
     "revenue_status", "full_name", "money", "exact_avg", "pct_of",
     "whole_days_between", "trim_ws", "is_blank", "parse_lenient_timestamp",
-    "valid_status", "normalize_status", "subtotal_of", "MICROS_PER_DAY",
+    "valid_status", "normalize_status", "subtotal_of", "MICROS_PER_DAY", "ts_lit",
 ]
 
 MICROS_PER_DAY = 86_400_000_000
 
 
+def ts_lit(value) -> Column:
+    """Timestamp literal.  A naive datetime is UTC wall-clock time and is
+    read in the session zone (UTC), not in the Python process's local zone
+    as F.lit(datetime) would; an aware one is converted to UTC first."""
+    if isinstance(value, dt.datetime):
+        if value.tzinfo is not None:
+            value = value.astimezone(dt.timezone.utc).replace(tzinfo=None)
+        return F.lit(value.isoformat(sep=" ")).cast("timestamp")
+    if isinstance(value, dt.date):
+        return F.lit(value.isoformat()).cast("timestamp")
+    return F.lit(value).cast("timestamp")
+
+
 def revenue_status(status: Column | str = "status") -> Column:
     """Status predicate used everywhere revenue is counted:
     NOT IN ('cancelled', 'refunded').  NULL status gives NULL (not counted)."""

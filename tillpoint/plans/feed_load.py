@@ -259,7 +259,7 @@ def load_feed(t: Tables, source: str | DataFrame, store: RunStore | None = None,
     only (nothing is written)."""
     spark = t.spark
     started = time.time()
-    run_at = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    run_at = dt.datetime.now(dt.timezone.utc)          # aware: stored as the same instant
     run_id = run_id or uuid.uuid4().hex[:16]
     if isinstance(source, str):
         feed = scan_order_feed(spark, source)

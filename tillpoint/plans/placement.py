@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpoint.functions.expr import subtotal_of
+from tillpoint.functions.expr import subtotal_of, ts_lit
 from tillpoint.operators.ranking import SortKey, dense_ids, window_positions
 from tillpoint.session import materialize
 from tillpoint.sources.tables import Tables, conform
@@ -144,7 +144,7 @@ def place_orders(requests: DataFrame, t: Tables, placed_at: dt.datetime | None =
                                  subtotal_of(F.col("quantity"), F.col("unit_price")).alias("subtotal")),
                     "order_items")
     totals = items.groupBy("order_id").agg(F.sum("subtotal").alias("_total"))
-    when = F.current_timestamp() if placed_at is None else F.lit(placed_at).cast("timestamp")
+    when = F.current_timestamp() if placed_at is None else ts_lit(placed_at)
     orders = conform(numbered.join(totals, "order_id", "left").select(
         F.col("order_id").alias("id"), "customer_id", F.lit("pending").alias("status"),
         F.coalesce(F.col("_total"), F.lit(0)).cast("decimal(12,2)").alias("total_amount"),

@@ -65,5 +65,5 @@ class RunStore:
         for name, df in frames.items():
             df.write.mode("overwrite").parquet(f"{self._path(name)}/run_id={run_id}")
         marker = self.spark.createDataFrame(
-            [(dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),)], "committed_at timestamp")
+            [(dt.datetime.now(dt.timezone.utc),)], "committed_at timestamp")
         marker.write.mode("overwrite").parquet(f"{self._path('_runs')}/run_id={run_id}")

@@ -14,7 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillpoint.functions.expr import subtotal_of
+from tillpoint.functions.expr import subtotal_of, ts_lit
 from tillpoint.sources.tables import Tables, conform
 
 # ---------------------------------------------------------------------------
@@ -41,7 +41,7 @@ def bind_customers(spark, sf_dir) -> DataFrame:
         F.expr("substr(c_name, 10)").alias("last_name"),
         F.col("n_name").alias("country"),
         F.col("c_mktsegment").alias("city"),
-        (F.lit(BASE_DATE).cast("timestamp")
+        (ts_lit(BASE_DATE)
          + F.make_interval(days=(F.col("c_custkey") % 365).cast("int"))).alias("created_at"),
         (F.col("c_custkey") % 10 != 0).alias("is_active"),
     )
@@ -49,8 +49,9 @@ def bind_customers(spark, sf_dir) -> DataFrame:
 
 
 def bind_categories(spark, sf_dir=None) -> DataFrame:
-    rows = [(i + 1, name, f"Parts of type {name}", BASE_DATE) for i, name in enumerate(CATEGORY_TYPES)]
-    df = spark.createDataFrame(rows, "id long, name string, description string, created_at timestamp")
+    rows = [(i + 1, name, f"Parts of type {name}") for i, name in enumerate(CATEGORY_TYPES)]
+    df = spark.createDataFrame(rows, "id long, name string, description string") \
+              .withColumn("created_at", ts_lit(BASE_DATE))
     return conform(df, "categories")
 
 
@@ -70,7 +71,7 @@ def bind_products(spark, sf_dir) -> DataFrame:
         F.col("p_retailprice").cast("decimal(10,2)").alias("unit_price"),
         F.col("p_size").alias("stock"),
         (F.col("p_partkey") % 10 != 0).alias("is_active"),
-        F.lit(BASE_DATE).cast("timestamp").alias("created_at"),
+        ts_lit(BASE_DATE).alias("created_at"),
     )
     return conform(df, "products")
 
