@@ -164,3 +164,10 @@ def test_q1_total_equals_q7_over_full_range(seed):
     q1 = sum(r.revenue for r in A.monthly_revenue_summary(seed).collect())
     q7a = A.sales_by_period(seed, dt.datetime(2023, 10, 1), dt.datetime(2024, 3, 31)).collect()
     assert q1 == sum(r.revenue for r in q7a)
+
+
+def test_exclude_cancelled_variant_for_products(edge, seed):
+    base = {r.product_id: r.total_revenue for r in A.product_sales_ranking(seed).collect()}
+    excl = {r.product_id: r.total_revenue for r in A.product_sales_ranking(edge, exclude_cancelled=True).collect()}
+    assert excl[9] == base[9] and excl[18] is None
+    assert [r.product_id for r in A.top_products(edge, 1, exclude_cancelled=True).collect()] == [18]
