@@ -154,3 +154,16 @@ def test_totals_property(spark, scratch):
     res = L.load_feed(t, derive_feed(spark, "/root/testdata/sf0.001", t), dry_run=True)
     assert res.records_loaded + res.records_failed + res.records_skipped == res.records_read
     assert res.records_failed > 0 and res.records_skipped > 0
+
+
+def test_command_line(spark, scratch, capsys):
+    from tillpoint.cli import main
+    csv = write(os.path.join(scratch, "cli.csv"),
+                HEADER + "EXT-1,customer.000000001@example.com,SKU-000001,2,10.00,1998-01-02,delivered\n"
+                         "EXT-2,nobody@example.com,SKU-000001,1,1.00,1998-01-02,delivered\n")
+    code = main(["load-feed", csv, "--testdata", "/root/testdata/sf0.001", "--store", os.path.join(scratch, "st")])
+    out = capsys.readouterr().out
+    assert code == 1 and "Records loaded  : 1" in out and "Customer 'nobody@example.com' not found" in out
+    code = main(["load-feed", csv, "--testdata", "/root/testdata/sf0.001", "--dry-run", "--max-errors", "0"])
+    out = capsys.readouterr().out
+    assert code == 2 and "Dry run" in out and "Records skipped : 0" in out
