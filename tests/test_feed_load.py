@@ -167,3 +167,20 @@ def test_command_line(spark, scratch, capsys):
     code = main(["load-feed", csv, "--testdata", "/root/testdata/sf0.001", "--dry-run", "--max-errors", "0"])
     out = capsys.readouterr().out
     assert code == 2 and "Dry run" in out and "Records skipped : 0" in out
+
+
+def test_folder_with_several_files(spark, seed, scratch):
+    folder = os.path.join(scratch, "drop")
+    os.makedirs(folder)
+    write(os.path.join(folder, "a.csv"), HEADER + "\n".join(
+        f"X{i},ana.silva@email.com,ELEC-00{i},1,1.00,2024-03-01,delivered" for i in (1, 2, 3)) + "\n")
+    write(os.path.join(folder, "b.csv"), HEADER + "\n".join(
+        [f"X1,ana.silva@email.com,ELEC-001,1,1.00,2024-03-01,delivered",
+         "Y2,ana.silva@email.com,ELEC-002,1,1.00,2024-03-01,delivered",
+         "Y3,,ELEC-002,1,1.00,2024-03-01,delivered"]) + "\n")
+    res = L.load_feed(seed, folder)
+    assert (res.records_read, res.records_loaded, res.records_skipped, res.records_failed) == (6, 4, 1, 1)
+    rows = {(r.source_file.split("/")[-1], r.row_num): r.outcome for r in res.classified.collect()}
+    assert rows[("a.csv", 2)] == "loaded" and rows[("b.csv", 2)] == "skipped" and rows[("b.csv", 4)] == "rejected"
+    assert sorted(r.id for r in res.orders.collect()) == [21, 22, 23, 24]
+    assert res.errors == ["[Row 4] Missing customer_email"]

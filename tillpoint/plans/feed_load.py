@@ -108,7 +108,7 @@ def tag_rows(feed: DataFrame, row_prefix: bool = True) -> DataFrame:
         text = render((ROW_PREFIX if row_prefix else "") + MESSAGES[code_name], raw)
         message = (F.when(F.col("code") == code_name, text) if message is None
                    else message.when(F.col("code") == code_name, text))
-    extra = [c for c in ("row_num", "source_file", "_block", "_mid") if c in feed.columns]
+    extra = [c for c in ("row_num", "feed_seq", "source_file", "_block", "_mid") if c in feed.columns]
     staged = feed.select(
         *extra, "order_id", "quantity", "order_date", "status",
         F.col("unit_price").alias("unit_price_raw"),
@@ -164,13 +164,16 @@ def resolve_keys(tagged: DataFrame, t: Tables, broadcast_max_rows: int | None =
 
 
 def mark_loads(resolved: DataFrame, ledger: DataFrame) -> DataFrame:
-    """E13: outcome per row - rejected / loaded / skipped."""
+    """E13: outcome per row - rejected / loaded / skipped.  ``feed_seq`` is
+    the run-wide row position (= row_num for a single file)."""
+    if "feed_seq" not in resolved.columns:
+        resolved = resolved.withColumn("feed_seq", F.col("row_num"))
     ok = resolved.filter(F.col("code").isNull())
-    first = ok.groupBy("external_order_id", "product_sku").agg(F.min("row_num").alias("row_num"))
+    first = ok.groupBy("external_order_id", "product_sku").agg(F.min("feed_seq").alias("feed_seq"))
     fresh = first.join(ledger.select("external_order_id", "product_sku"),
                        ["external_order_id", "product_sku"], "left_anti")
-    flags = fresh.select("row_num", F.lit(True).alias("_load"))
-    out = resolved.join(flags, "row_num", "left")
+    flags = fresh.select("feed_seq", F.lit(True).alias("_load"))
+    out = resolved.join(flags, "feed_seq", "left")
     return out.withColumn("outcome", F.when(F.col("code").isNotNull(), "rejected")
                           .when(F.col("_load"), "loaded").otherwise("skipped")).drop("_load")
 
@@ -178,7 +181,7 @@ def mark_loads(resolved: DataFrame, ledger: DataFrame) -> DataFrame:
 def first_messages(classified: DataFrame, n: int = ERROR_TEXT_MESSAGES) -> list[str]:
     """Validation messages first, then lookup messages, each in row order."""
     rows = (classified.filter(F.col("outcome") == "rejected")
-            .orderBy("stage", "row_num").limit(n).select("message").collect())
+            .orderBy("stage", "feed_seq").limit(n).select("message").collect())
     return [r[0] for r in rows]
 
 
@@ -187,7 +190,7 @@ def build_outputs(classified: DataFrame, max_order_id: int, max_item_id: int,
     """E11/E12: new orders, their single items and the ledger rows, with
     ids max+1.. in feed row order."""
     loaded = classified.filter(F.col("outcome") == "loaded")
-    numbered = dense_ids_by_int_key(loaded, "row_num", "_seq", start=1)
+    numbered = dense_ids_by_int_key(loaded, "feed_seq", "_seq", start=1)
     numbered = numbered.withColumn("order_id", F.col("_seq") + F.lit(max_order_id)) \
                        .withColumn("item_id", F.col("_seq") + F.lit(max_item_id))
     # Three outputs read the numbered rows: number them once.

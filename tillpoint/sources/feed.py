@@ -44,26 +44,32 @@ def scan_order_feed(spark: SparkSession, path: str, multiline: bool = False) ->
 
 
 def number_rows(tagged: DataFrame) -> DataFrame:
-    """Replace the split tags by ``row_num`` (index in its file + 2)."""
+    """Replace the split tags by ``row_num`` (index in its file + 2) and
+    ``feed_seq`` (position over all files of the run, files by name), which
+    is unique when a folder holds several files."""
     spark = tagged.sparkSession
     splits = (tagged.groupBy("source_file", "_block")
               .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_mid0"))
               .collect())
-    offsets, running = [], {}
+    offsets, running, overall = [], {}, 0
     for r in sorted(splits, key=lambda r: (r["source_file"], r["_block"])):
         before = running.get(r["source_file"], 0)
-        offsets.append((r["source_file"], r["_block"], r["_mid0"], before))
+        offsets.append((r["source_file"], r["_block"], r["_mid0"], before, overall))
         running[r["source_file"]] = before + r["_n"]
-    table = spark.createDataFrame(offsets, "source_file string, _block long, _mid0 long, _before long")
+        overall += r["_n"]
+    table = spark.createDataFrame(
+        offsets, "source_file string, _block long, _mid0 long, _before long, _overall long")
     out = tagged.join(F.broadcast(table), ["source_file", "_block"])
-    return out.withColumn("row_num", F.col("_mid") - F.col("_mid0") + F.col("_before") + 2) \
-              .drop("_block", "_mid", "_mid0", "_before")
+    local = F.col("_mid") - F.col("_mid0")
+    return out.withColumn("row_num", local + F.col("_before") + 2) \
+              .withColumn("feed_seq", local + F.col("_overall") + 1) \
+              .drop("_block", "_mid", "_mid0", "_before", "_overall")
 
 
 def read_order_feed(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Columns: order_id ... status (strings), source_file, row_num."""
     return number_rows(scan_order_feed(spark, path, multiline)) \
-        .select(*FEED_COLUMNS, "source_file", "row_num")
+        .select(*FEED_COLUMNS, "source_file", "row_num", "feed_seq")
 
 
 def write_order_feed(feed: DataFrame, path: str) -> None:
