@@ -92,6 +92,9 @@ def place_orders(requests: DataFrame, t: Tables, placed_at: dt.datetime | None =
               .groupBy("request_id", "seq", "product_id")
               .agg(F.sum("quantity").alias("d"), F.first("stock").alias("stock")))
     state = materialize(demand.withColumn("st", F.lit("U")), "placement_round0")
+    # Row bounds for the window paths: counts of written data (cheap).
+    line_bound = row_bound if row_bound is not None else state.count()
+    request_bound = row_bound if row_bound is not None else checked.count()
 
     rounds = 0
     while True:
@@ -105,7 +108,7 @@ def place_orders(requests: DataFrame, t: Tables, placed_at: dt.datetime | None =
             "da", F.when(F.col("st") == "A", F.col("d")).otherwise(F.lit(0))).withColumn(
             "du", F.when(F.col("st") == "U", F.col("d")).otherwise(F.lit(0)))
         run = window_positions(live, [SortKey("seq")], group_by=("product_id",), tie_break=("request_id",),
-                               running_sum={"ra": "da", "ru": "du"}, row_bound=row_bound, force=force)
+                               running_sum={"ra": "da", "ru": "du"}, row_bound=line_bound, force=force)
         lo = F.col("ra") - F.col("da")                       # accepted demand before this request
         hi = lo + F.col("ru") - F.col("du")                  # ... plus undecided demand before it
         per_line = run.filter(F.col("st") == "U").select(
@@ -137,9 +140,10 @@ def place_orders(requests: DataFrame, t: Tables, placed_at: dt.datetime | None =
     accepted = decisions.filter("accepted").select("request_id", "seq", "customer_id")
     max_o = t.orders.agg(F.max("id")).first()[0] or 0
     max_i = t.order_items.agg(F.max("id")).first()[0] or 0
-    numbered = dense_ids(accepted, ["seq", "request_id"], "order_id", start=max_o + 1, row_bound=row_bound)
+    numbered = dense_ids(accepted, ["seq", "request_id"], "order_id", start=max_o + 1, row_bound=request_bound)
     acc_lines = lines.join(numbered.select("request_id", "order_id"), "request_id")
-    items = dense_ids(acc_lines, ["order_id", "pos"], "id", start=max_i + 1, row_bound=row_bound)
+    items = dense_ids(acc_lines, ["order_id", "pos"], "id", start=max_i + 1,
+                      row_bound=row_bound if row_bound is not None else lines.count())
     items = conform(items.select("id", "order_id", "product_id", "quantity", "unit_price",
                                  subtotal_of(F.col("quantity"), F.col("unit_price")).alias("subtotal")),
                     "order_items")
