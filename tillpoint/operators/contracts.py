@@ -130,6 +130,8 @@ def assign_ids(new_rows: DataFrame, existing: DataFrame, order_cols: list[str],
     order (must be total).  Dense numbering uses the range-partitioned
     positions of ``operators.ranking`` above the single-task bound."""
     start = existing.agg(F.max(id_col)).first()[0] or 0
+    if row_bound is None:
+        row_bound = new_rows.count()
     return dense_ids(new_rows, order_cols, id_col, start=start + 1, row_bound=row_bound)
 
 
