@@ -171,3 +171,36 @@ def test_exclude_cancelled_variant_for_products(edge, seed):
     excl = {r.product_id: r.total_revenue for r in A.product_sales_ranking(edge, exclude_cancelled=True).collect()}
     assert excl[9] == base[9] and excl[18] is None
     assert [r.product_id for r in A.top_products(edge, 1, exclude_cancelled=True).collect()] == [18]
+
+
+@pytest.mark.parametrize("deep", [False, True])
+def test_pages_on_both_paths(seed, monkeypatch, deep):
+    if deep:
+        monkeypatch.setattr(C, "DEEP_PAGE_ROWS", 3)
+    o = seed.orders
+    full = [r.id for r in o.orderBy(o.placed_at.desc(), o.id.desc()).collect()]
+    got = []
+    for n in range(1, 5):
+        got += [r.id for r in C.orders_page(seed, n, 6).items.collect()]
+    assert got == full
+    c = seed.customers
+    fullc = [r.id for r in c.orderBy(c.created_at.desc(), c.id.desc()).collect()]
+    gotc = []
+    for n in range(1, 4):
+        gotc += [r.id for r in C.customers_page(seed, n, 6).items.collect()]
+    assert gotc == fullc
+    p = seed.products
+    fullp = [r.id for r in p.orderBy(p.name, p.id).collect()]
+    gotp = []
+    for n in range(1, 4):
+        gotp += [r.id for r in C.products_page(seed, n, 7).items.collect()]
+    assert gotp == fullp
+
+
+def test_orders_page_with_orphan_order(spark):
+    orders = ORDERS + [(21, 99, "pending", "1.00", "2024-04-01 00:00:00", None, None)]
+    t = seed_tables(spark, orders=orders)
+    page = C.orders_page(t, 1, 3)
+    assert page.total_count == 21                    # the count query does not join
+    assert [r.id for r in page.items.collect()] == [20, 19, 18]   # join-then-page drops order 21
+    assert [r.id for r in C.orders_page_after(t, 2).collect()] == [20, 19]

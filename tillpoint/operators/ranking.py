@@ -59,7 +59,8 @@ def window_positions(df: DataFrame, keys: list[SortKey], *, group_by: tuple[str,
                      tie_break: tuple[str, ...] = (), rank: str | None = None,
                      row_number: str | None = None, ntile: tuple[str, int] | None = None,
                      running_sum: dict[str, str] | None = None,
-                     row_bound: int | None = None, force: str | None = None) -> DataFrame:
+                     row_bound: int | None = None, force: str | None = None,
+                     tie_desc: bool = False) -> DataFrame:
     """Add rank / row_number / ntile columns ordered by ``keys`` within
     ``group_by`` (whole table if empty).  ``tie_break`` columns make the row
     order total (needed for row_number and ntile).
@@ -69,8 +70,10 @@ def window_positions(df: DataFrame, keys: list[SortKey], *, group_by: tuple[str,
     ``running_sum`` maps output column -> value column: the inclusive
     running sum within the group in (keys, tie_break) order, which must be
     total for the result to be deterministic.
-    ``force`` = 'window' | 'distributed' overrides the choice (tests)."""
+    ``force`` = 'window' | 'distributed' overrides the choice (tests).
+    ``tie_desc`` sorts the tie-break columns descending."""
     running_sum = running_sum or {}
+    tie_break = tuple(F.col(c).desc() if tie_desc else F.col(c).asc() for c in tie_break)
     if ntile is not None and group_by:
         raise ValueError("ntile is supported over the whole table only")
     spark = df.sparkSession
@@ -83,7 +86,7 @@ def window_positions(df: DataFrame, keys: list[SortKey], *, group_by: tuple[str,
 
 def _plain(df, keys, group_by, tie_break, rank, row_number, ntile, running_sum):
     order_k = [k.expr() for k in keys]
-    order_t = order_k + [F.col(c).asc() for c in tie_break]
+    order_t = order_k + list(tie_break)
     w_rank = Window.partitionBy(*group_by).orderBy(*order_k)
     w_total = Window.partitionBy(*group_by).orderBy(*order_t)
     out = df
@@ -113,7 +116,7 @@ def _distributed(df, keys, group_by, tie_break, rank, row_number, ntile, running
     spark = df.sparkSession
     key_cols = [k.column for k in keys]
     order_k = [k.expr() for k in keys]
-    order_all = [F.col(g).asc() for g in group_by] + order_k + [F.col(c).asc() for c in tie_break]
+    order_all = [F.col(g).asc() for g in group_by] + order_k + list(tie_break)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if row_bound:
         n_parts = max(n_parts, math.ceil(row_bound / 1_000_000))
@@ -125,9 +128,9 @@ def _distributed(df, keys, group_by, tie_break, rank, row_number, ntile, running
               .withColumn("_rn", F.row_number().over(w_pid))
               .withColumn("_gstart", F.min("_rn").over(w_grp))
               .withColumn("_grn", F.row_number().over(
-                  w_grp.orderBy(*order_k, *[F.col(c).asc() for c in tie_break])))
+                  w_grp.orderBy(*order_k, *tie_break)))
               .withColumn("_grk", F.rank().over(w_grp.orderBy(*order_k))))
-    w_run = w_grp.orderBy(*order_k, *[F.col(c).asc() for c in tie_break]) \
+    w_run = w_grp.orderBy(*order_k, *tie_break) \
                  .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = {name: f"_gs{i}" for i, name in enumerate(running_sum)}
     for name, col in running_sum.items():

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from tillpoint.functions.args import check_page, normalize_status_arg
 from tillpoint.functions.expr import full_name
+from tillpoint.operators.ranking import SortKey, window_positions
+from tillpoint.session import materialize
 from tillpoint.sources.tables import Tables
 
 
@@ -52,8 +54,26 @@ class PagedResult:
             F.lit(self.has_prev_page).alias("has_prev_page"))
 
 
-def _page(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    return df.orderBy(*order).offset((page - 1) * size).limit(size)
+# Pages ending beyond this many rows are cut from distributed row numbers
+# instead of a top-k (which keeps offset+size rows per task).
+DEEP_PAGE_ROWS = 100_000
+
+
+def _page(df: DataFrame, keys: list[SortKey], tie: list[str], page: int, size: int) -> DataFrame:
+    """Rows (page-1)*size+1 .. page*size in (keys, tie) order."""
+    offset = (page - 1) * size
+    order = [k.expr() for k in keys] + [F.col(c).desc() if tie_desc(keys) else F.col(c).asc() for c in tie]
+    if offset + size <= DEEP_PAGE_ROWS:
+        return df.orderBy(*order).offset(offset).limit(size)
+    ranked = window_positions(df, keys, tie_break=tuple(tie), row_number="_pos", force="distributed",
+                              tie_desc=tie_desc(keys))
+    return (ranked.filter(F.col("_pos").between(offset + 1, offset + size))
+            .orderBy("_pos").drop("_pos"))
+
+
+def tie_desc(keys: list[SortKey]) -> bool:
+    """Tie-break direction follows the first key (newest first -> id DESC)."""
+    return keys[0].descending
 
 
 # ---------------------------------------------------------------------------
@@ -77,8 +97,30 @@ def orders_page(t: Tables, page: int = 1, size: int = 20, status: str | None = N
     if status is not None:
         o = o.filter(F.col("status") == F.lit(status))
     total = o.count()
-    items = _page(_order_summaries(t, o), [F.col("placed_at").desc(), F.col("id").desc()], page, size)
-    return PagedResult(items, total, page, size)
+    return PagedResult(_orders_page_items(t, o, page, size), total, page, size)
+
+
+NEWEST_FIRST = [SortKey("placed_at", descending=True)]
+
+
+def _orders_page_items(t: Tables, o: DataFrame, page: int, size: int) -> DataFrame:
+    """A page of order summaries without joining every order.
+
+    The inner join with customers cannot take a limit, so a direct plan
+    would shuffle all orders for 20 rows.  Instead the first page*size
+    orders are taken (top-k per task) and written, only they are joined
+    with customers, and the page is cut from that.  It equals join-then-
+    page whenever each of those orders has exactly one customer; otherwise
+    (broken foreign key, duplicate customer id) the join-first plan runs."""
+    k = page * size
+    if k > DEEP_PAGE_ROWS:
+        return _page(_order_summaries(t, o), NEWEST_FIRST, ["id"], page, size)
+    order = [F.col("placed_at").desc(), F.col("id").desc()]
+    top = materialize(o.orderBy(*order).limit(k), "orders_page_top")
+    joined = materialize(_order_summaries(t, top), "orders_page_joined")
+    if joined.count() != top.count():
+        return _page(_order_summaries(t, o), NEWEST_FIRST, ["id"], page, size)
+    return joined.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
 def orders_page_after(t: Tables, size: int = 20, after: tuple | None = None,
@@ -94,7 +136,12 @@ def orders_page_after(t: Tables, size: int = 20, after: tuple | None = None,
         ts, oid = after
         o = o.filter((F.col("placed_at") < F.lit(ts)) |
                      ((F.col("placed_at") == F.lit(ts)) & (F.col("id") < F.lit(oid))))
-    return _order_summaries(t, o).orderBy(F.col("placed_at").desc(), F.col("id").desc()).limit(size)
+    order = [F.col("placed_at").desc(), F.col("id").desc()]
+    top = materialize(o.orderBy(*order).limit(size), "orders_after_top")
+    joined = _order_summaries(t, top)
+    if joined.count() == top.count():
+        return joined.orderBy(*order)
+    return _order_summaries(t, o).orderBy(*order).limit(size)
 
 
 def orders_by_customer(t: Tables, customer_id=None, customer_ids: DataFrame | None = None) -> DataFrame:
@@ -181,7 +228,7 @@ def customers_page(t: Tables, page: int = 1, size: int = 20) -> PagedResult:
     check_page(page, size)
     c = t.customers.filter(F.col("is_active"))
     total = c.count()
-    items = _page(c.select(*CUSTOMER_COLS), [F.col("created_at").desc(), F.col("id").desc()], page, size)
+    items = _page(c.select(*CUSTOMER_COLS), [SortKey("created_at", descending=True)], ["id"], page, size)
     return PagedResult(items, total, page, size)
 
 
@@ -230,5 +277,5 @@ def products_page(t: Tables, page: int = 1, size: int = 20, active_only: bool =
     if active_only:
         p = p.filter(F.col("is_active"))
     total = p.count()
-    items = _page(p.select(*PRODUCT_COLS), [F.col("name"), F.col("id")], page, size)
+    items = _page(p.select(*PRODUCT_COLS), [SortKey("name")], ["id"], page, size)
     return PagedResult(items, total, page, size)
