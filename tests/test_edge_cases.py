@@ -204,3 +204,9 @@ def test_orders_page_with_orphan_order(spark):
     assert page.total_count == 21                    # the count query does not join
     assert [r.id for r in page.items.collect()] == [20, 19, 18]   # join-then-page drops order 21
     assert [r.id for r in C.orders_page_after(t, 2).collect()] == [20, 19]
+
+
+def test_top_customers_with_orphan_top_spender(spark):
+    orders = ORDERS + [(21, 99, "delivered", "9999.00", "2024-04-01 00:00:00", None, None)]
+    t = seed_tables(spark, orders=orders)
+    assert [r.customer_id for r in A.top_customers(t, 2).collect()] == [6, 1]
