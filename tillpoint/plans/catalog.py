@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tillpoint.functions.args import check_page, normalize_status_arg
 from tillpoint.functions.expr import full_name
 from tillpoint.operators.ranking import SortKey, window_positions
-from tillpoint.session import materialize
+from tillpoint.plans.head_join import join_head
 from tillpoint.sources.tables import Tables
 
 
@@ -82,9 +82,12 @@ def tie_desc(keys: list[SortKey]) -> bool:
 ORDER_SUMMARY = ["id", "customer_id", "customer_name", "status", "total_amount", "currency", "placed_at"]
 
 
+def _customer_names(t: Tables) -> DataFrame:
+    return t.customers.select(F.col("id").alias("customer_id"), full_name().alias("customer_name"))
+
+
 def _order_summaries(t: Tables, orders: DataFrame) -> DataFrame:
-    cust = t.customers.select(F.col("id").alias("customer_id"), full_name().alias("customer_name"))
-    return orders.join(cust, "customer_id").select(*ORDER_SUMMARY)
+    return orders.join(_customer_names(t), "customer_id").select(*ORDER_SUMMARY)
 
 
 def orders_page(t: Tables, page: int = 1, size: int = 20, status: str | None = None) -> PagedResult:
@@ -116,11 +119,10 @@ def _orders_page_items(t: Tables, o: DataFrame, page: int, size: int) -> DataFra
     if k > DEEP_PAGE_ROWS:
         return _page(_order_summaries(t, o), NEWEST_FIRST, ["id"], page, size)
     order = [F.col("placed_at").desc(), F.col("id").desc()]
-    top = materialize(o.orderBy(*order).limit(k), "orders_page_top")
-    joined = materialize(_order_summaries(t, top), "orders_page_joined")
-    if joined.count() != top.count():
+    joined = join_head(o.orderBy(*order).limit(k), _customer_names(t), "customer_id", k)
+    if joined is None:
         return _page(_order_summaries(t, o), NEWEST_FIRST, ["id"], page, size)
-    return joined.orderBy(*order).offset((page - 1) * size).limit(size)
+    return joined.select(*ORDER_SUMMARY).orderBy(*order).offset((page - 1) * size).limit(size)
 
 
 def orders_page_after(t: Tables, size: int = 20, after: tuple | None = None,
@@ -137,10 +139,9 @@ def orders_page_after(t: Tables, size: int = 20, after: tuple | None = None,
         o = o.filter((F.col("placed_at") < F.lit(ts)) |
                      ((F.col("placed_at") == F.lit(ts)) & (F.col("id") < F.lit(oid))))
     order = [F.col("placed_at").desc(), F.col("id").desc()]
-    top = materialize(o.orderBy(*order).limit(size), "orders_after_top")
-    joined = _order_summaries(t, top)
-    if joined.count() == top.count():
-        return joined.orderBy(*order)
+    joined = join_head(o.orderBy(*order).limit(size), _customer_names(t), "customer_id", size)
+    if joined is not None:
+        return joined.select(*ORDER_SUMMARY).orderBy(*order)
     return _order_summaries(t, o).orderBy(*order).limit(size)
 
 
