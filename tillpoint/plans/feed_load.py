@@ -31,7 +31,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.functions.expr import is_blank, parse_lenient_timestamp, subtotal_of, trim_ws
+from tillpoint.functions.expr import is_blank, parse_lenient_timestamp, trim_ws
 from tillpoint.operators.contracts import with_generated
 from tillpoint.operators.ranking import dense_ids_by_int_key
 from tillpoint.schema import DEFAULT_CURRENCY, ORDER_STATUSES
@@ -80,6 +80,7 @@ def render(template: str, columns: dict[str, Column] | None = None) -> Column:
             parts.append(F.coalesce(col.cast("string"), F.lit("")))
     return F.concat(*parts) if parts else F.lit("")
 
+
 CLEAN_COLUMNS = ["row_num", "external_order_id", "customer_email", "product_sku", "quantity",
                  "unit_price", "order_date", "status", "subtotal"]
 
