@@ -184,3 +184,15 @@ def test_folder_with_several_files(spark, seed, scratch):
     assert rows[("a.csv", 2)] == "loaded" and rows[("b.csv", 2)] == "skipped" and rows[("b.csv", 4)] == "rejected"
     assert sorted(r.id for r in res.orders.collect()) == [21, 22, 23, 24]
     assert res.errors == ["[Row 4] Missing customer_email"]
+
+
+def test_ids_continue_across_runs(spark, seed, scratch):
+    store = RunStore(spark, os.path.join(scratch, "store"))
+    a = write(os.path.join(scratch, "a.csv"), SAMPLE_FEED)
+    b = write(os.path.join(scratch, "b.csv"), HEADER + "N1,ana.silva@email.com,ELEC-005,1,79.99,2024-03-20,pending\n"
+                                                       "N2,ana.silva@email.com,ELEC-004,1,329.00,2024-03-21,pending\n")
+    L.load_feed(seed, a, store)
+    L.load_feed(seed, b, store)
+    assert sorted(r.id for r in store.table("orders").collect()) == list(range(21, 33))
+    assert sorted(r.id for r in store.table("order_items").collect()) == list(range(31, 43))
+    assert store.id_marks(seed.orders, seed.order_items) == (32, 42)

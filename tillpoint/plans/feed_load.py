@@ -264,7 +264,7 @@ def load_feed(t: Tables, source: str | DataFrame, store: RunStore | None = None,
     spark = t.spark
     started = time.time()
     run_at = dt.datetime.now(dt.timezone.utc)          # aware: stored as the same instant
-    run_id = run_id or uuid.uuid4().hex[:16]
+    run_id = run_id or "r" + uuid.uuid4().hex[:16]      # letter first: partition value stays a string
     if isinstance(source, str):
         feed = scan_order_feed(spark, source)
         source_name = source_name or source
@@ -274,10 +274,12 @@ def load_feed(t: Tables, source: str | DataFrame, store: RunStore | None = None,
 
     committed = store.committed_runs() if store is not None else []
     if store is not None:
-        t = t.with_(orders=t.orders.unionByName(store.table("orders", committed)),
-                    order_items=t.order_items.unionByName(store.table("order_items", committed)))
+        max_o, max_i = store.id_marks(t.orders, t.order_items, committed)
         if ledger is None:
             ledger = store.table("load_ledger", committed)
+    else:
+        max_o = t.orders.agg(F.max("id")).first()[0] or 0
+        max_i = t.order_items.agg(F.max("id")).first()[0] or 0
     if ledger is None:
         ledger = spark.createDataFrame([], "external_order_id string, product_sku string")
 
@@ -308,8 +310,6 @@ def load_feed(t: Tables, source: str | DataFrame, store: RunStore | None = None,
             "outcome", F.when(F.col("outcome") == "loaded", "not_loaded").otherwise(F.col("outcome")))
         res.classified = classified
 
-    max_o = t.orders.agg(F.max("id")).first()[0] or 0
-    max_i = t.order_items.agg(F.max("id")).first()[0] or 0
     res.orders, res.items, res.ledger = build_outputs(classified, max_o, max_i, res.records_loaded)
     res.status = "completed"
     res.outcome = ("threshold_exceeded" if res.records_failed > max_errors
@@ -321,7 +321,10 @@ def load_feed(t: Tables, source: str | DataFrame, store: RunStore | None = None,
         log_id = (prev or 0) + 1
     if store is not None and not dry_run:
         try:
-            frames = {"orders": res.orders, "order_items": res.items, "load_ledger": res.ledger}
+            marks = spark.createDataFrame([(max_o + res.records_loaded, max_i + res.records_loaded)],
+                                          "max_order_id long, max_item_id long")
+            frames = {"orders": res.orders, "order_items": res.items, "load_ledger": res.ledger,
+                      "id_marks": marks}
             if fail_fast and totals["invalid"] > 0:
                 frames = {}
             res.duration_ms = int((time.time() - started) * 1000)

@@ -7,6 +7,8 @@ Layout under ``root``::
     order_items/run_id=<id>/...
     load_ledger/run_id=<id>/...   (external_order_id, product_sku) loaded
     etl_run_log/run_id=<id>/...   audit row
+    id_marks/run_id=<id>/...      highest order / item id the run assigned
+    _base_marks/...               highest ids of the base tables (computed once)
     _runs/run_id=<id>/...         commit marker, written last
 
 Readers only trust runs with a commit marker, so a run that dies half way
@@ -60,6 +62,28 @@ class RunStore:
         df = df.filter(F.col("run_id").cast("string").isin(committed)).drop("run_id")
         return df if name == "load_ledger" else conform(df, name)
 
+    def id_marks(self, base_orders: DataFrame, base_items: DataFrame,
+                 committed: list[str] | None = None) -> tuple[int, int]:
+        """Highest order id and item id in use: the base tables' maxima
+        (one scan, cached in the store) and the marks of committed runs, so
+        a run does not scan the whole orders and items tables for them."""
+        base = self._read("_base_marks")
+        if base is None:
+            o = base_orders.agg(F.max("id")).first()[0] or 0
+            i = base_items.agg(F.max("id")).first()[0] or 0
+            self.spark.createDataFrame([(o, i)], "max_order_id long, max_item_id long") \
+                .write.mode("overwrite").parquet(self._path("_base_marks"))
+        else:
+            r = base.first()
+            o, i = r["max_order_id"], r["max_item_id"]
+        committed = self.committed_runs() if committed is None else committed
+        marks = self._read("id_marks") if committed else None
+        if marks is not None:
+            r = (marks.filter(F.col("run_id").cast("string").isin(committed))
+                 .agg(F.max("max_order_id"), F.max("max_item_id")).first())
+            o, i = max(o, r[0] or 0), max(i, r[1] or 0)
+        return o, i
+
     def publish(self, run_id: str, frames: dict[str, DataFrame]) -> None:
         """Write every frame into its run partition, then the commit marker."""
         for name, df in frames.items():
