@@ -16,7 +16,9 @@ requests before r and U = L + demand of undecided requests before r:
 accept r if every line fits under stock - U, reject it if some line does
 not fit under stock - L.  The earliest undecided request always has L = U,
 so every round decides at least one request and typically nearly all; each
-round is written to the checkpoint folder.  The per-product running sums
+round only looks at products that still have undecided lines (the
+frontier) and is written to the checkpoint folder.  The window paths are
+chosen from counts of the written lines and requests.  The per-product running sums
 use ``operators.ranking`` (range partitioned above the single-task bound),
 so a product wanted by a third of all requests is not one task.
 """
