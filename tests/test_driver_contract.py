@@ -51,3 +51,14 @@ def test_query_matches_oracle(spark, duck, name):
 def test_placement_queries_run(spark):
     for name in NO_ORACLE:
         assert E.queries()[name](spark, SF).count() >= 0
+
+
+PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas",
+                "MapInPandas", "MapInArrow", "FlatMapCoGroupsInPandas", "AggregateInPandas")
+
+
+def test_no_python_evaluation_in_any_plan(spark):
+    """Every registered query stays JVM-side (no Python UDF / pandas node)."""
+    for name, fn in E.queries().items():
+        plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert not any(n in plan for n in PYTHON_NODES), name
