@@ -37,10 +37,24 @@ class RunStore:
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def _exists(self, path: str) -> bool:
+        """Folder check through the Hadoop FileSystem of the path (HDFS,
+        object store or local); True when the gateway is unavailable, in
+        which case the read below decides."""
+        try:
+            jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            return bool(p.getFileSystem(conf).exists(p))
+        except Exception:  # noqa: BLE001
+            return True
+
     def _read(self, name: str, schema: str | None = None) -> DataFrame | None:
+        path = self._path(name)
+        if not self._exists(path):
+            return None
         try:
-            return self.spark.read.parquet(self._path(name))
-        except Exception:  # noqa: BLE001 - absent folder means empty
+            return self.spark.read.parquet(path)
+        except Exception:  # noqa: BLE001 - absent or empty folder means empty
             return None
 
     def committed_runs(self) -> list[str]:
