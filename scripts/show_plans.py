@@ -46,6 +46,10 @@ def main():
             t, as_of=dt.datetime(2001, 9, 1)),
         "Q6 category_performance": lambda: A.category_performance(t),
         "Q7 sales_by_period": lambda: A.sales_by_period(t, dt.datetime(1997, 1, 1), dt.datetime(1997, 12, 31)),
+        "Q5 customer_stats (head of the order aggregate, customers looked up by IN filter)":
+            lambda: A.customer_stats(t, 20, as_of=dt.datetime(2001, 9, 1)),
+        "Q8 top_customers (head of the order aggregate, customers looked up by IN filter)":
+            lambda: A.top_customers(t, 10),
         "Q8 top_customers (country)": lambda: A.top_customers(t, 5, "NATION_7"),
         "Q10 orders_page": lambda: C.orders_page(t, 3, 20).items,
     }
