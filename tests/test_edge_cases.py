@@ -210,3 +210,26 @@ def test_top_customers_with_orphan_top_spender(spark):
     orders = ORDERS + [(21, 99, "delivered", "9999.00", "2024-04-01 00:00:00", None, None)]
     t = seed_tables(spark, orders=orders)
     assert [r.customer_id for r in A.top_customers(t, 2).collect()] == [6, 1]
+
+
+def test_keyset_pages_for_customers_and_products(seed):
+    c = seed.customers
+    full = [r.id for r in c.orderBy(c.created_at.desc(), c.id.desc()).collect()]
+    got, after = [], None
+    while True:
+        chunk = C.customers_page_after(seed, 4, after).collect()
+        if not chunk:
+            break
+        got += [r.id for r in chunk]
+        after = (chunk[-1].created_at, chunk[-1].id)
+    assert got == full
+    p = seed.products
+    fullp = [r.id for r in p.orderBy(p.name, p.id).collect()]
+    gotp, after = [], None
+    while True:
+        chunk = C.products_page_after(seed, 5, after).collect()
+        if not chunk:
+            break
+        gotp += [r.id for r in chunk]
+        after = (chunk[-1].name, chunk[-1].id)
+    assert gotp == fullp

@@ -280,3 +280,26 @@ def products_page(t: Tables, page: int = 1, size: int = 20, active_only: bool =
     total = p.count()
     items = _page(p.select(*PRODUCT_COLS), [SortKey("name")], ["id"], page, size)
     return PagedResult(items, total, page, size)
+
+
+def customers_page_after(t: Tables, size: int = 20, after: tuple | None = None) -> DataFrame:
+    """Keyset page of active customers after (created_at, id), newest first."""
+    c = t.customers.filter(F.col("is_active"))
+    if after is not None:
+        ts, cid = after
+        c = c.filter((F.col("created_at") < F.lit(ts)) |
+                     ((F.col("created_at") == F.lit(ts)) & (F.col("id") < F.lit(cid))))
+    return c.select(*CUSTOMER_COLS).orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(size)
+
+
+def products_page_after(t: Tables, size: int = 20, after: tuple | None = None,
+                        active_only: bool = True) -> DataFrame:
+    """Keyset page of products after (name, id), by name."""
+    p = t.products
+    if active_only:
+        p = p.filter(F.col("is_active"))
+    if after is not None:
+        name, pid = after
+        p = p.filter((F.col("name") > F.lit(name)) |
+                     ((F.col("name") == F.lit(name)) & (F.col("id") > F.lit(pid))))
+    return p.select(*PRODUCT_COLS).orderBy("name", "id").limit(size)
