@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.llm import block_naming, decontaminate, jaccard_join, mixing, token_files
+from tillpoint.llm import block_naming, decontaminate, jaccard_join, mixing, quality_mil, token_files
 from tillpoint.llm.common import table
 
 
@@ -24,6 +24,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored, name, best = quality_mil.score(docs, quality_mil.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality_mil.held_out().alias("held_out"), F.col(name).alias("score"),
+                         (F.col(name) >= quality_mil.THRESHOLD).cast("int").alias("predicted"), F.col(best).alias("top_passage"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned, names = mixing.plan_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return planned.select("doc_id", F.col(names["size"]).alias("size"), F.col(names["source_size"]).alias("source_size"),
@@ -50,6 +57,7 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_files": op2_token_files,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_quality": op5_quality,
     "op7_mixing": op7_mixing,
     "op10_decontaminate": op10_decontaminate,
 }
