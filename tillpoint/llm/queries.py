@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.llm import block_naming, decontaminate, jaccard_join, mixing, quality_mil, token_files
+from tillpoint.llm import block_naming, decontaminate, jaccard_join, mixing, quality_mil, suffix_dedup, token_files
 from tillpoint.llm.common import table
 
 
@@ -31,6 +31,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col(name) >= quality_mil.THRESHOLD).cast("int").alias("predicted"), F.col(best).alias("top_passage"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned, names = mixing.plan_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return planned.select("doc_id", F.col(names["size"]).alias("size"), F.col(names["source_size"]).alias("source_size"),
@@ -58,6 +64,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_quality": op5_quality,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_mixing": op7_mixing,
     "op10_decontaminate": op10_decontaminate,
 }
