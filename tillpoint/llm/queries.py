@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.llm import block_naming, decontaminate, jaccard_join, mixing, quality_mil, suffix_dedup, token_files
+from tillpoint.llm import block_naming, chat_hmm, decontaminate, jaccard_join, line_dedup, mixing, quality_mil, suffix_dedup, token_files, warc_revisit
 from tillpoint.llm.common import table
 
 
@@ -24,6 +24,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_revisit.resolve_revisits(warc_revisit.records_of_pages(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.select(F.expr("record_id div 2").alias("page_id"), "outcome", F.expr("target div 2").alias("target_page"),
+                        "validator", F.col("digest").alias("payload_md5"), F.array_join(lines, "\n").alias("headers"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored, name, best = quality_mil.score(docs, quality_mil.fit(docs, table(spark, sf_dir, "labels")))
@@ -44,6 +51,23 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col(names["copies"]) * F.col(names["size"])).alias("taken"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_hmm.transcripts_of(table(spark, sf_dir, "conversations"))
+    model = chat_hmm.fit(rows.filter(~chat_hmm.held_out()))
+    found = chat_hmm.format_chats(rows, model)
+    # The true role of each row, beside the recovered one; rows that agree in all else differ in it at most.
+    true = rows.groupBy(F.xxhash64("conv_id", "turn", "raw").alias("key")).agg(F.min("role").alias("role"))
+    return found.join(true, "key").select("conv_id", "turn", chat_hmm.held_out().alias("held_out"), "role",
+                                          F.element_at("roles", 1).alias("recovered"), F.size("roles").alias("n_lines"), "rendered")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
+    return found.select("doc_id", F.col("units").alias("n_units"), F.size("removed").cast("long").alias("n_removed"),
+                        removed.alias("removed_bytes"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found, n = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
@@ -63,13 +87,18 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_files": op2_token_files,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_warc_revisit": op4_warc_revisit,
     "op5_quality": op5_quality,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_mixing": op7_mixing,
+    "op8_chat_format": op8_chat_format,
+    "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": EXACT_SQL,
+    "op4_warc_revisit": warc_revisit.REVISIT_SQL,
     "op7_mixing": mixing.MIX_SQL,
+    "op9_line_dedup": line_dedup.LINES_SQL,
 }
