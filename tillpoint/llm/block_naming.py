@@ -23,10 +23,13 @@ BLOCK_BYTES = 4096
 
 
 def _names(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Integer names, in sort order, of the keys that occur more than once;
-    written, so that every reader sees the same names."""
+    """Integer names of the keys that occur more than once, in sort order
+    inside each partition; written, so that every reader sees the same names.
+
+    The aggregate's own partitions are sorted: a global sort would send samples
+    of whole blocks to the driver."""
     repeated = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return materialize(repeated.orderBy(*keys).withColumn("name", F.monotonically_increasing_id()), "names")
+    return materialize(repeated.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()), "names")
 
 
 def _blocks(texts: DataFrame, block_bytes: int) -> DataFrame:

@@ -3,6 +3,9 @@ column names that cannot clash with the caller's."""
 
 from __future__ import annotations
 
+import sys
+import types
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +44,12 @@ def row_key(df: DataFrame) -> Column:
     return F.xxhash64(F.to_json(F.struct(*[col(c) for c in df.columns])))
 
 
+def process_store() -> dict:
+    """What tasks of one worker process share.  Functions reach the workers by
+    value, so a module's globals do not outlive a task."""
+    return vars(sys.modules.setdefault("_tillpoint_process", types.ModuleType("_tillpoint_process")))
+
+
 def text_slices(column: pa.ChunkedArray | pa.Array, max_bytes: int = SLICE_BYTES):
     """Yield (first row, binary array) pieces of about ``max_bytes`` each; a
     longer text is a piece of its own.  Null counts as empty."""

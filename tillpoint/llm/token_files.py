@@ -14,6 +14,7 @@ token counts, from the manifest, which has one row per shard."""
 
 from __future__ import annotations
 
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,13 +29,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillpoint.llm.common import as_frame, materialize, text_slices
+from tillpoint.llm.common import as_frame, materialize, process_store, text_slices
 from tillpoint.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-# Distinct words whose ids a task keeps for the next batch.
-KEPT_WORDS = 400_000
+# Distinct pieces whose ids a worker keeps, and bytes of text encoded at once.
+KEPT_WORDS = 1_500_000
+ENCODE_BYTES = 8 << 20
 BATCH_ROWS = 2_000
 
 
@@ -42,18 +44,25 @@ class Encoder:
     """Encodes batches through the tokenizers library, each distinct
     white-space-free piece of text once.
 
-    Exact for tokenizers that drop white space before splitting words, which
-    ``pieces=True`` states; others encode whole texts."""
+    Exact for tokenizers that lower-case, drop white space and split words
+    between an ASCII letter and an ASCII sign, which ``pieces=True`` states;
+    others encode whole texts.  Known pieces are kept
+    as flat arrays: the pieces, where their ids start, how many they are."""
 
     def __init__(self, path: str, pieces: bool = True):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces = pieces
-        self.known: dict[str, np.ndarray] = {}
+        self.clear()
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32)
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def clear(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum())), size
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
@@ -61,29 +70,41 @@ class Encoder:
             parts = [self._ids([t])[0] for t in texts.to_pylist()]
             counts = np.array([len(p) for p in parts], dtype=np.int64)
             return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), counts
-        # The tokenizer lower-cases; doing it for A-Z first merges more pieces.
-        # Not where a special token could then appear that was not there before.
+        # Lower-casing A-Z and splitting off signs first leaves fewer distinct
+        # pieces.  Not where that could make or break a special token.
         if not pc.any(pc.match_substring(texts, "<|")).as_py():
-            texts = pc.ascii_lower(texts)
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([!-/:-@\[-`{-~])", r"\1 \2")
         split = pc.ascii_split_whitespace(texts)
         ends = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary
         if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for i in range(0, len(new), 20_000):
-            self.known.update(zip(new[i:i + 20_000], self._ids(new[i:i + 20_000])))
-        table = [self.known[w] for w in words]
-        sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table))
-        flat = np.concatenate(table) if table else np.zeros(0, np.uint32)
-        first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        per = sizes[which]
+            self.clear()
+        place = pc.index_in(words, value_set=self.known)
+        new = words.filter(pc.is_null(place))
+        found = [self._ids(new.slice(i, 5_000).to_pylist()) for i in range(0, len(new), 5_000)]
+        where = place.to_numpy(zero_copy_only=False)
+        unknown = np.isnan(where) if where.dtype.kind == "f" else np.zeros(len(where), bool)
+        which = np.where(unknown, 0, where).astype(np.int64)
+        which[unknown] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, new])
+        self.flat = np.concatenate([self.flat, *[f for f, _ in found]])
+        self.size = np.concatenate([self.size, *[n for _, n in found]])
+        first = np.cumsum(self.size) - self.size
+        which = which[coded.indices.to_numpy(zero_copy_only=False)]
+        per = self.size[which]
         at = np.concatenate([[0], np.cumsum(per)])
-        ids = flat[np.repeat(first[which] - at[:-1], per) + np.arange(at[-1])]
-        base = ends[0] if len(ends) else 0
-        return ids, np.diff(at[ends - base])
+        pick = np.repeat(first[which] - at[:-1], per)
+        pick += np.arange(at[-1])
+        return self.flat[pick], np.diff(at[ends - (ends[0] if len(ends) else 0)])
+
+
+def encoder(path: str, pieces: bool) -> Encoder:
+    """The worker process's encoder: tasks go on with the pieces known so far."""
+    store = process_store()
+    if store.get("encoder_for") != (path, pieces):
+        store["encoder"], store["encoder_for"] = Encoder(path, pieces), (path, pieces)
+    return store["encoder"]
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,13 +142,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str
             if not batch.num_rows:
                 continue
             if enc is None:
-                enc = Encoder(tokenizer_path, pieces)
+                enc = encoder(tokenizer_path, pieces)
                 store.create_dir(root, recursive=True)
                 out, idx = (store.open_output_stream(f"{root}/{name}.{e}") for e in ("bin", "idx"))
                 id_stream = store.open_output_stream(f"{root}/{name}.ids")
                 ids_file = pq.ParquetWriter(id_stream, pa.schema([batch.schema.field("doc_id")]))
                 idx.write(np.zeros(1, "<i8").tobytes())
-            for _, texts in text_slices(batch.column("text")):
+            for _, texts in text_slices(batch.column("text"), ENCODE_BYTES):
                 ids, counts = with_end(*enc.encode(texts), end_id)
                 if len(ids) and int(ids.max()) > most:
                     raise ValueError(f"token id {int(ids.max())} does not fit {dtype}")
