@@ -23,7 +23,7 @@ from tillpoint.plans import analytics as A  # noqa: E402
 from tillpoint.plans import catalog as C  # noqa: E402
 from tillpoint.plans import feed_load as L  # noqa: E402
 from tillpoint.plans import placement as P  # noqa: E402
-from tillpoint.session import (SINGLE_TASK_ROWS_KEY, get_session, release_scratch,  # noqa: E402
+from tillpoint.session import (get_session, release_scratch,  # noqa: E402
                                scratch_mark, scratch_path)
 from tillpoint.sources.feed import write_order_feed  # noqa: E402
 from tillpoint.sources.store import RunStore  # noqa: E402
@@ -87,22 +87,10 @@ def main() -> None:
                                     spark, scratch_mark())
     release_scratch(spark)
 
-    # The at-scale path of the global ranks (bound forced to 0): range
-    # partitioning + per-range windows + carries.  Reported apart from the
-    # headline total.
-    spark.conf.set(SINGLE_TASK_ROWS_KEY, "0")
-    try:
-        scale = {
-            "q2_product_sales_ranking": timed(lambda: run(A.product_sales_ranking(t)), spark),
-            "q4_customer_lifetime_value": timed(lambda: run(A.customer_lifetime_value(t, as_of=AS_OF)), spark),
-        }
-    finally:
-        spark.conf.unset(SINGLE_TASK_ROWS_KEY)
-
     sf = os.path.basename(SF_DIR.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_seconds_headline_queries", "value": round(sum(results.values()), 3),
                       "unit": "sec", "queries": results, "sf": sf, "cpus": int(CPUS),
-                      "repeats": REPEATS, "scale_path": scale}))
+                      "repeats": REPEATS}))
 
 
 if __name__ == "__main__":

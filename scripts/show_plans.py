@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tillpoint.plans import analytics as A  # noqa: E402
 from tillpoint.plans import catalog as C  # noqa: E402
-from tillpoint.session import SINGLE_TASK_ROWS_KEY, get_session  # noqa: E402
+from tillpoint.session import get_session  # noqa: E402
 from tillpoint.sources.testdata import bind  # noqa: E402
 
 KEEP = ("Exchange", "Join", "HashAggregate", "Window", "TakeOrdered", "Scan", "Filter", "Union")
@@ -40,24 +40,21 @@ def main():
     t = bind(spark, sf_dir)
     q = {
         "Q1 monthly_revenue_summary": lambda: A.monthly_revenue_summary(t),
-        "Q2 product_sales_ranking (single-task window path)": lambda: A.product_sales_ranking(t),
+        "Q2 product_sales_ranking (after the ranges are written)": lambda: A.product_sales_ranking(t),
         "Q3 top_products": lambda: A.top_products(t, 10),
-        "Q4 customer_lifetime_value (single-task window path)": lambda: A.customer_lifetime_value(
+        "Q4 customer_lifetime_value (after the ranges are written)": lambda: A.customer_lifetime_value(
             t, as_of=dt.datetime(2001, 9, 1)),
         "Q6 category_performance": lambda: A.category_performance(t),
         "Q7 sales_by_period": lambda: A.sales_by_period(t, dt.datetime(1997, 1, 1), dt.datetime(1997, 12, 31)),
-        "Q5 customer_stats (head of the order aggregate, customers looked up by IN filter)":
+        "Q5 customer_stats (head of the order aggregate, joined with customers)":
             lambda: A.customer_stats(t, 20, as_of=dt.datetime(2001, 9, 1)),
-        "Q8 top_customers (head of the order aggregate, customers looked up by IN filter)":
+        "Q8 top_customers (head of the order aggregate, joined with customers)":
             lambda: A.top_customers(t, 10),
         "Q8 top_customers (country)": lambda: A.top_customers(t, 5, "NATION_7"),
         "Q10 orders_page": lambda: C.orders_page(t, 3, 20).items,
     }
     for name, fn in q.items():
         print(f"### {name}\n```text\n{condensed(fn())}\n```\n")
-    spark.conf.set(SINGLE_TASK_ROWS_KEY, "0")
-    print("### Q4 customer_lifetime_value (range-partitioned path, after the ranges are written)\n```text\n"
-          + condensed(A.customer_lifetime_value(t, as_of=dt.datetime(2001, 9, 1))) + "\n```")
 
 
 if __name__ == "__main__":

@@ -4,8 +4,11 @@ import datetime as dt
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from seed import CATEGORIES, CUSTOMERS, ORDER_ITEMS, ORDERS, PRODUCTS, seed_tables
+from tillpoint.functions import expr as E
+from tillpoint.operators import contracts as K
 from tillpoint.plans import analytics as A
 from tillpoint.plans import catalog as C
 
@@ -173,10 +176,7 @@ def test_exclude_cancelled_variant_for_products(edge, seed):
     assert [r.product_id for r in A.top_products(edge, 1, exclude_cancelled=True).collect()] == [18]
 
 
-@pytest.mark.parametrize("deep", [False, True])
-def test_pages_on_both_paths(seed, monkeypatch, deep):
-    if deep:
-        monkeypatch.setattr(C, "DEEP_PAGE_ROWS", 3)
+def test_pages_put_together_are_the_whole(seed):
     o = seed.orders
     full = [r.id for r in o.orderBy(o.placed_at.desc(), o.id.desc()).collect()]
     got = []
@@ -233,3 +233,32 @@ def test_keyset_pages_for_customers_and_products(seed):
         gotp += [r.id for r in chunk]
         after = (chunk[-1].name, chunk[-1].id)
     assert gotp == fullp
+
+
+def test_percentage_is_rounded_once(spark):
+    """12.344996 % is 12.34, whatever the money columns' types."""
+    row = spark.sql("SELECT CAST(12344996 AS DECIMAL(38,2)) AS part, CAST(100000000 AS DECIMAL(38,2)) AS whole, "
+                    "CAST(0 AS DECIMAL(38,2)) AS none")
+    got = row.select(E.pct_of(F.col("part"), F.col("whole")), E.pct_of(F.col("part"), F.col("none"))).first()
+    assert float(got[0]) == 12.34 and got[1] is None
+    half = spark.sql("SELECT CAST(12345 AS DECIMAL(38,2)) AS part, CAST(100000 AS DECIMAL(38,2)) AS whole")
+    assert float(half.select(E.pct_of(F.col("part"), F.col("whole"))).first()[0]) == 12.35
+
+
+def test_insert_if_absent_with_null_keys_and_several_keys(spark):
+    schema = "id long, email string, sku string"
+    target = spark.createDataFrame([(1, "a", "x"), (2, None, "y")], schema)
+    incoming = spark.createDataFrame([(3, "a", "p"), (4, None, "q"), (5, None, "q"), (6, "b", "x"), (8, "c", "r"), (7, "c", "s")], schema)
+    got = K.insert_if_absent(target, incoming, ["email"], prefer="id")
+    assert sorted(r.id for r in got.collect()) == [1, 2, 4, 5, 6, 7]
+    both = K.insert_if_absent(target, incoming, [["email"], ["sku"]], prefer="id")
+    assert sorted(r.id for r in both.collect()) == [1, 2, 4, 7]
+
+
+def test_json_documents_rename_nested_fields_and_keep_nulls(spark):
+    import json
+    from tillpoint.sources.sinks import to_json_documents
+    df = spark.sql("SELECT 1 AS order_id, CAST(NULL AS STRING) AS shipped_at, named_struct('first_name', 'A', 'last_name', NULL) AS the_customer, "
+                   "array(named_struct('unit_price', 2)) AS order_items")
+    assert json.loads(to_json_documents(df).first()[0]) == {
+        "orderId": 1, "shippedAt": None, "theCustomer": {"firstName": "A", "lastName": None}, "orderItems": [{"unitPrice": 2}]}

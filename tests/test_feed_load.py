@@ -4,6 +4,7 @@ import os
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from seed import SAMPLE_FEED
 from tillpoint.plans import feed_load as L
@@ -130,12 +131,12 @@ def test_failed_publish_leaves_target_untouched(spark, seed, scratch):
     class Boom(RunStore):
         calls = 0
 
-        def publish(self, run_id, frames):
-            if not run_id.endswith("-failed"):
+        def publish(self, run_id, frames, counts=None):
+            if "-failed" not in run_id:
                 for name, df in frames.items():      # write part of the run, then die
-                    df.write.mode("overwrite").parquet(f"{self.root}/{name}/run_id={run_id}")
+                    df.write.parquet(f"{self.root}/{name}/run_id={run_id}/attempt=dead")
                     raise RuntimeError("executor lost")
-            return super().publish(run_id, frames)
+            return super().publish(run_id, frames, counts)
 
     boom = Boom(spark, store.root)
     with pytest.raises(RuntimeError):
@@ -143,6 +144,7 @@ def test_failed_publish_leaves_target_untouched(spark, seed, scratch):
     assert store.table("orders").count() == 0
     log = store.table("etl_run_log").collect()
     assert len(log) == 1 and log[0].status == "failed" and "executor lost" in log[0].error_message
+    assert log[0].records_loaded == 0
     ok = L.load_feed(seed, csv, store)
     assert ok.records_loaded == 10 and store.table("orders").count() == 10
 
@@ -196,3 +198,82 @@ def test_ids_continue_across_runs(spark, seed, scratch):
     assert sorted(r.id for r in store.table("orders").collect()) == list(range(21, 33))
     assert sorted(r.id for r in store.table("order_items").collect()) == list(range(31, 43))
     assert store.id_marks(seed.orders, seed.order_items) == (32, 42)
+
+
+def test_replay_of_a_committed_run_changes_nothing(spark, seed, scratch):
+    csv = write(os.path.join(scratch, "a.csv"), SAMPLE_FEED)
+    store = RunStore(spark, os.path.join(scratch, "store"))
+    first = L.load_feed(seed, csv, store, run_id="007")
+    orders = sorted(map(tuple, store.table("orders").collect()))
+    for _ in range(2):
+        again = L.load_feed(seed, csv, store, run_id="007")
+        assert again.replayed and (again.records_loaded, again.records_read) == (first.records_loaded, first.records_read)
+        assert again.orders.count() == 10 and again.status == "completed" and again.outcome == "ok"
+    assert sorted(map(tuple, store.table("orders").collect())) == orders and len(orders) == 10
+    assert store.table("load_ledger").count() == 10 and store.table("etl_run_log").count() == 1
+    other = L.load_feed(seed, csv, store, run_id="8")
+    assert (other.records_loaded, other.records_skipped) == (0, 10) and store.table("orders").count() == 10
+
+
+def test_unreadable_marker_is_an_error(spark, seed, scratch):
+    csv = write(os.path.join(scratch, "a.csv"), SAMPLE_FEED)
+    store = RunStore(spark, os.path.join(scratch, "store"))
+    L.load_feed(seed, csv, store, run_id="r1")
+    marker = os.path.join(scratch, "store", "_runs", "run_id=r1")
+    for name in os.listdir(marker):
+        if name.endswith(".parquet"):
+            write(os.path.join(marker, name), "not a parquet file")
+        elif name.endswith(".crc"):
+            os.remove(os.path.join(marker, name))
+    with pytest.raises(Exception):
+        store.table("orders").count()
+    with pytest.raises(Exception):
+        L.load_feed(seed, csv, store, run_id="r2")
+
+
+def test_ids_follow_a_grown_base(spark, seed, scratch):
+    store = RunStore(spark, os.path.join(scratch, "store"))
+    L.load_feed(seed, write(os.path.join(scratch, "a.csv"), SAMPLE_FEED), store)
+    grown = seed.with_(orders=seed.orders.unionByName(seed.orders.limit(1).withColumn("id", F.lit(500).cast("long"))))
+    b = write(os.path.join(scratch, "b.csv"), HEADER + "N1,ana.silva@email.com,ELEC-005,1,79.99,2024-03-20,pending\n")
+    assert [r.id for r in L.load_feed(grown, b, store).orders.collect()] == [501]
+
+
+def test_every_run_leaves_an_audit_row(spark, seed, scratch):
+    store = RunStore(spark, os.path.join(scratch, "store"))
+    with pytest.raises(FileNotFoundError):
+        L.load_feed(seed, os.path.join(scratch, "absent.csv"), store)
+    bad = write(os.path.join(scratch, "bad.csv"), "order_id,status\n1,pending\n")
+    with pytest.raises(ValueError):
+        L.load_feed(seed, bad, store)
+    empty = write(os.path.join(scratch, "empty.csv"), HEADER)
+    assert L.load_feed(seed, empty, store).status == "completed"
+    log = sorted((r.id, r.status, r.records_loaded) for r in store.table("etl_run_log").collect())
+    assert log == [(1, "failed", 0), (2, "failed", 0), (3, "completed", 0)]
+
+
+def test_files_with_other_column_orders(spark, seed, scratch):
+    folder = os.path.join(scratch, "mixed")
+    os.makedirs(folder)
+    write(os.path.join(folder, "a.csv"), HEADER + "X1,ana.silva@email.com,ELEC-005,3,4.00,2024-03-20,pending\n")
+    write(os.path.join(folder, "b.csv"), "status,order_id,customer_email,product_sku,unit_price,quantity,order_date\n"
+                                         "pending,X2,ana.silva@email.com,ELEC-004,4.00,3,2024-03-20\n")
+    res = L.load_feed(seed, folder)
+    assert sorted((r.quantity, float(r.unit_price)) for r in res.items.collect()) == [(3, 4.0), (3, 4.0)]
+    assert sorted((r.row_num, r.feed_seq) for r in res.classified.collect()) == [(2, 1), (2, 2)]
+
+
+def test_line_breaks_in_quotes(spark, seed, scratch):
+    csv = write(os.path.join(scratch, "m.csv"), HEADER + '"X\n1",ana.silva@email.com,ELEC-005,1,4.00,2024-03-20,pending\n'
+                + "X2,ana.silva@email.com,ELEC-004,0,4.00,2024-03-20,pending\n")
+    res = L.load_feed(seed, csv, multiline=True)
+    assert res.errors == ["[Row 3] Quantity must be > 0 (got 0)"]
+    assert [r.external_order_id for r in res.ledger.collect()] == ["X\n1"]
+
+
+def test_prices_that_do_not_fit_are_rejected(spark, seed, scratch):
+    rows = [f"P{i},ana.silva@email.com,ELEC-005,1,{p},2024-03-20,pending" for i, p in enumerate(
+        ["1.23456", "99999999.99", "100000000", "99999999.995", "1e3", "0.0001"])]
+    res = L.load_feed(seed, write(os.path.join(scratch, "p.csv"), HEADER + "\n".join(rows) + "\n"))
+    assert {r.row_num: r.code for r in res.rejects().collect()} == {2: "bad_number", 4: "bad_number", 5: "bad_number"}
+    assert res.orders.count() == 3

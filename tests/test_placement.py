@@ -8,7 +8,9 @@ from decimal import Decimal as D
 import pytest
 
 from seed import seed_tables
-from tillpoint.plans.placement import place_orders
+from tillpoint.plans import placement
+from tillpoint.plans.placement import place_orders, publish_placement
+from tillpoint.sources.store import RunCommittedError, RunStore
 
 REQ_SCHEMA = "request_id long, seq long, customer_id long, items_json string"
 
@@ -39,9 +41,8 @@ def one_by_one(t, reqs):
     return accepted, {p: v[1] for p, v in prods.items()}
 
 
-def check(spark, t, reqs, force=None):
-    res = place_orders(spark.createDataFrame(reqs, REQ_SCHEMA), t, placed_at=dt.datetime(2024, 5, 1),
-                       force=force)
+def check(spark, t, reqs):
+    res = place_orders(spark.createDataFrame(reqs, REQ_SCHEMA), t, placed_at=dt.datetime(2024, 5, 1))
     got = {r.request_id: r.accepted for r in res.decisions.collect()}
     want, stock = one_by_one(t, reqs)
     assert got == want
@@ -85,8 +86,7 @@ def test_last_units_go_to_earliest(spark, seed):
     assert {r.request_id: r.accepted for r in res.decisions.collect()} == {1: False, 2: True, 3: True}
 
 
-@pytest.mark.parametrize("force", ["window", "distributed"])
-def test_random_against_sequential(spark, force):
+def random_case(spark):
     rng = random.Random(7)
     products = [(p, 1, f"SKU-{p}", f"P{p}", "1.00", rng.randint(0, 12)) for p in range(1, 9)]
     t = seed_tables(spark, products=products)
@@ -95,5 +95,56 @@ def test_random_against_sequential(spark, force):
         lines = [{"product_id": rng.randint(1, 9), "quantity": rng.randint(1, 5)}
                  for _ in range(rng.randint(1, 3))]
         reqs.append((i, rng.randint(0, 10_000) * 1000 + i, rng.randint(1, 15), json.dumps(lines)))
-    res = check(spark, t, reqs, force=force)
-    assert res.rounds >= 1
+    return t, reqs
+
+
+@pytest.mark.parametrize("rounds,lines", [(3, 500_000), (0, 500_000), (1, 0)])
+def test_random_against_sequential(spark, monkeypatch, rounds, lines):
+    """Rounds then groups, groups alone, rounds alone."""
+    monkeypatch.setattr(placement, "ROUNDS", rounds)
+    monkeypatch.setattr(placement, "GROUP_LINES", lines)
+    t, reqs = random_case(spark)
+    assert check(spark, t, reqs).rounds >= 1
+
+
+def test_long_chain_needs_few_rounds(spark):
+    """Each request shares one product with the next: one at a time, but not
+    one round at a time."""
+    n = 200
+    products = [(p, 1, f"SKU-{p}", f"P{p}", "1.00", 1) for p in range(1, n + 2)]
+    t = seed_tables(spark, products=products)
+    reqs = [(i, i, 1, json.dumps([{"product_id": i, "quantity": 1}, {"product_id": i + 1, "quantity": 1}]))
+            for i in range(1, n + 1)]
+    assert check(spark, t, reqs).rounds <= placement.ROUNDS + 1
+
+
+def test_strict_json(spark, seed):
+    bad = ['[{"product_id": 1, "quantity": 1}] trailing', '{"product_id": 1, "quantity": 1}', '[1], [2]', "[] ]", "", "null", "7"]
+    reqs = [(i, i, 1, text) for i, text in enumerate(bad)] + [(50, 50, 1, ' [ {"product_id": "1", "quantity": "1"} ] '),
+                                                              (51, 51, 1, "[5]")]
+    res = place_orders(spark.createDataFrame(reqs, REQ_SCHEMA), seed, placed_at=dt.datetime(2024, 5, 1))
+    assert {r.request_id: r.reason for r in res.decisions.collect()} == {
+        **{i: "bad_json" for i in range(len(bad))}, 50: None, 51: "bad_quantity"}
+
+
+def test_repeated_request_id_is_placed_once(spark, seed):
+    line = '[{"product_id": 1, "quantity": 1}]'
+    res = place_orders(spark.createDataFrame([(1, 5, 1, line), (1, 3, 2, line), (2, 4, 1, line), (2, 4, 1, line)], REQ_SCHEMA), seed)
+    assert sorted(r.customer_id for r in res.orders.collect()) == [1, 2] and res.order_items.count() == 2
+    assert sorted((r.request_id, r.reason) for r in res.rejects.collect()) == [(1, "duplicate_request"), (2, "duplicate_request")]
+
+
+def test_publication_is_one_unit_and_ids_never_repeat(spark, seed, scratch):
+    store = RunStore(spark, f"{scratch}/store")
+    for k in range(2):
+        now = store.current(seed)
+        res = place_orders(spark.createDataFrame([(k, k, 1, '[{"product_id": 4, "quantity": 20}]')], REQ_SCHEMA), now, store=store)
+        publish_placement(res, now, store, f"p{k}")
+    with pytest.raises(RunCommittedError):
+        publish_placement(res, now, store, "p1")
+    now = store.current(seed)
+    ids = [r.id for r in now.orders.collect()]
+    assert len(ids) == len(set(ids)) == 22 and now.order_items.count() == 32
+    assert {r.id: r.stock for r in now.products.collect()}[4] == 47 - 40
+    late = place_orders(spark.createDataFrame([(9, 9, 1, '[{"product_id": 4, "quantity": 20}]')], REQ_SCHEMA), now, store=store)
+    assert [r.reason for r in late.rejects.collect()] == ["insufficient_stock"]

@@ -176,6 +176,61 @@ Q["top_customers"] = _top_customers(10, None)
 Q["top_customers_country"] = _top_customers(5, TOP_COUNTRY)
 
 
+# Placement: every order is a request of its lines, placed one by one in key
+# order by a recursive query that carries the stock of all products.
+_PLACE = """
+, line AS (SELECT l_orderkey AS rid, l_partkey AS product_id, CAST(l_quantity AS INTEGER) AS q,
+                  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CAST(l_quantity AS INTEGER)) AS pos
+           FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+act AS MATERIALIZED (SELECT id, price_c, stock, row_number() OVER (ORDER BY id) AS i FROM prod WHERE is_active),
+flag AS (SELECT rid, bool_or(q IS NULL OR q <= 0) AS bad_q, bool_or(act.id IS NULL) AS bad_p
+         FROM line LEFT JOIN act ON act.id = line.product_id GROUP BY rid),
+chk AS MATERIALIZED (
+  SELECT o_orderkey AS rid, o_custkey AS customer_id,
+         CASE WHEN bad_q THEN 'bad_quantity' WHEN bad_p THEN 'unknown_product'
+              WHEN o_custkey IS NULL OR o_custkey NOT IN (SELECT id FROM cust) THEN 'unknown_customer' END AS reason
+  FROM orders LEFT JOIN flag ON flag.rid = o_orderkey),
+need AS (SELECT rid, act.i, sum(q) AS d FROM line JOIN act ON act.id = line.product_id
+         WHERE rid IN (SELECT rid FROM chk WHERE reason IS NULL) GROUP BY rid, act.i),
+want AS MATERIALIZED (
+  SELECT chk.rid, row_number() OVER (ORDER BY chk.rid) AS k, list(struct_pack(i := need.i, d := need.d)) FILTER (WHERE need.i IS NOT NULL) AS w
+  FROM chk LEFT JOIN need ON need.rid = chk.rid WHERE reason IS NULL GROUP BY chk.rid),
+step(k, rid, fits, left_over) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false, (SELECT list(CAST(stock AS BIGINT) ORDER BY i) FROM act)
+  UNION ALL
+  SELECT k, rid, fits, CASE WHEN fits AND w IS NOT NULL
+      THEN list_transform(old, lambda x, n: x - coalesce(list_sum(list_transform(list_filter(w, lambda e: e.i = n), lambda e: e.d)), 0)::BIGINT)
+      ELSE old END
+  FROM (SELECT want.k, want.rid, want.w, step.left_over AS old,
+               coalesce(list_aggregate(list_transform(want.w, lambda e: step.left_over[e.i] >= e.d), 'bool_and'), true) AS fits
+        FROM step JOIN want ON want.k = step.k + 1)),
+dec AS MATERIALIZED (
+  SELECT chk.rid, chk.customer_id, coalesce(chk.reason, CASE WHEN NOT step.fits THEN 'insufficient_stock' END) AS reason
+  FROM chk LEFT JOIN step ON step.rid = chk.rid),
+acc AS (SELECT rid, customer_id, (SELECT max(id) FROM ord) + row_number() OVER (ORDER BY rid) AS order_id FROM dec WHERE reason IS NULL),
+bought AS (SELECT order_id, product_id, q, act.price_c,
+                  (SELECT max(id) FROM item) + row_number() OVER (ORDER BY order_id, pos) AS id
+           FROM acc JOIN line ON line.rid = acc.rid JOIN act ON act.id = line.product_id)
+"""
+_PLACE_PREFIX = PREFIX.replace("WITH", "WITH RECURSIVE", 1) + _PLACE
+
+Q["place_orders_accepted"] = _PLACE_PREFIX + """
+SELECT acc.order_id AS id, customer_id, 'pending' AS status,
+       CAST(coalesce((SELECT sum(q * price_c) FROM bought WHERE bought.order_id = acc.order_id), 0) AS DOUBLE) / 100.0 AS total_amount,
+       'USD' AS currency, TIMESTAMP '2001-09-01 00:00:00' AS placed_at, CAST(NULL AS TIMESTAMP) AS shipped_at,
+       CAST(NULL AS TIMESTAMP) AS delivered_at
+FROM acc"""
+Q["place_orders_items"] = _PLACE_PREFIX + """
+SELECT id, order_id, product_id, CAST(q AS BIGINT) AS quantity, CAST(price_c AS DOUBLE) / 100.0 AS unit_price,
+       CAST(q * price_c AS DOUBLE) / 100.0 AS subtotal
+FROM bought"""
+Q["place_orders_rejects"] = _PLACE_PREFIX + """
+SELECT rid AS request_id, rid AS seq, customer_id, reason FROM dec WHERE reason IS NOT NULL"""
+Q["place_orders_stock"] = _PLACE_PREFIX + """
+SELECT prod.id, sku, CAST(stock - coalesce((SELECT sum(q) FROM bought WHERE bought.product_id = prod.id), 0) AS BIGINT) AS stock
+FROM prod"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(Q)
 

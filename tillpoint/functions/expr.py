@@ -63,8 +63,12 @@ def exact_avg(total: Column, n: Column) -> Column:
 
 
 def pct_of(part: Column, whole: Column) -> Column:
-    """ROUND(part / NULLIF(whole, 0) * 100, 2)."""
-    return F.round(part / F.nullif(whole, F.lit(0)) * 100, 2)
+    """ROUND(part / NULLIF(whole, 0) * 100, 2), rounded once.
+
+    The operands are cast so that Spark's decimal division keeps 14
+    decimals; with the types of a sum it would keep 6 before the * 100."""
+    hundredfold = (part * 100).cast("decimal(24,2)")
+    return F.round(hundredfold / F.nullif(whole, F.lit(0)).cast("decimal(22,2)"), 2)
 
 
 def whole_days_between(later: Column, earlier: Column) -> Column:

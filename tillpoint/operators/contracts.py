@@ -14,6 +14,8 @@ row per task), anti-join those against the parent keys and sum the counts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,36 +126,38 @@ def with_generated(items: DataFrame) -> DataFrame:
     return items.withColumn("subtotal", subtotal_of(F.col("quantity"), F.col("unit_price")))
 
 
-def assign_ids(new_rows: DataFrame, existing: DataFrame, order_cols: list[str], id_col: str = "id",
-               row_bound: int | None = None) -> DataFrame:
+def assign_ids(new_rows: DataFrame, existing: DataFrame, order_cols: list[str], id_col: str = "id") -> DataFrame:
     """Identity for new rows: max(existing id) + 1, 2, ... in ``order_cols``
-    order (must be total).  Dense numbering uses the range-partitioned
-    positions of ``operators.ranking`` above the single-task bound."""
+    order (must be total), numbered in range partitions."""
     start = existing.agg(F.max(id_col)).first()[0] or 0
-    if row_bound is None:
-        row_bound = new_rows.count()
-    return dense_ids(new_rows, order_cols, id_col, start=start + 1, row_bound=row_bound)
+    return dense_ids(new_rows, order_cols, id_col, start=start + 1)
 
 
-def insert_if_absent(target: DataFrame, incoming: DataFrame, key: list[str],
+def insert_if_absent(target: DataFrame, incoming: DataFrame, key: list[str] | list[list[str]],
                      prefer: str | None = None) -> DataFrame:
-    """INSERT ... ON CONFLICT (key) DO NOTHING as a DataFrame: the target
-    plus incoming rows whose key is new.  Among incoming duplicates the row
-    with the smallest ``prefer`` column wins (``prefer`` should be unique
-    within a key, e.g. an id or a feed row number); without it an arbitrary
-    row per key is kept (dropDuplicates).
+    """INSERT ... ON CONFLICT DO NOTHING as a DataFrame: the target plus the
+    incoming rows that conflict with nothing.  ``key`` is one unique key or a
+    list of them (a row then conflicts if it matches on any).  As in SQL,
+    NULLs differ: a row with a NULL in a key conflicts with no row on it.
 
-    The duplicate choice is an aggregation (min of the preferred column,
-    partial aggregation handles a hot key) followed by a semi join on the
-    unique winning values, not a window over a possibly huge group."""
+    Among incoming rows of one key the smallest ``prefer`` wins (unique
+    within a key, e.g. an id or a feed row number); without it an arbitrary
+    one.  The choice is an aggregation (min of the preferred column, partial
+    aggregation handles a hot key) and a semi join, not a window over a
+    possibly huge group.  With several keys, they are applied in turn: each
+    leaves the winners of the rows the one before it let through."""
+    keys = [key] if isinstance(key[0], str) else key
     cols = target.columns
-    inc = incoming.select(*cols)
-    if prefer:
-        winners = inc.groupBy(*key).agg(F.min(prefer).alias("_w"))
-        inc = inc.join(winners.withColumnRenamed("_w", prefer), [*key, prefer], "left_semi")
-    # One row per key in any case (rows equal on key and ``prefer``).
-    inc = inc.dropDuplicates(key)
-    new = inc.join(target.select(*key), key, "left_anti")
+    new = incoming.select(*cols)
+    for k in keys:
+        has_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in k])
+        free, bound = new.filter(has_null), new.filter(~has_null)
+        bound = bound.join(target.select(*k), k, "left_anti")
+        if prefer:
+            winners = bound.groupBy(*k).agg(F.min(prefer).alias(prefer))
+            bound = bound.join(winners, [*k, prefer], "left_semi")
+        # One row per key in any case (rows equal on key and ``prefer``).
+        new = bound.dropDuplicates(k).select(*cols).unionByName(free)
     return target.unionByName(new)
 
 

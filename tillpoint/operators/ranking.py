@@ -1,9 +1,7 @@
 """Rank, row number and ntile over a whole table without one giant task.
 
 An unpartitioned window (``RANK() OVER (ORDER BY v DESC)``) moves every
-row into a single task.  That is fine for a few million rows, and this
-module uses the plain window below ``tillpoint.window.singleTaskMaxRows``.
-Above it:
+row into a single task.  Here, for tables of any size:
 
 1. ``repartitionByRange`` on (group, key, tie-break) - balanced ranges
    from sampling; a huge tie class spills over several ranges instead of
@@ -30,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillpoint.session import materialize, single_task_max_rows
+from tillpoint.session import materialize
 
 
 @dataclass(frozen=True)
@@ -59,29 +57,25 @@ def window_positions(df: DataFrame, keys: list[SortKey], *, group_by: tuple[str,
                      tie_break: tuple[str, ...] = (), rank: str | None = None,
                      row_number: str | None = None, ntile: tuple[str, int] | None = None,
                      running_sum: dict[str, str] | None = None,
-                     row_bound: int | None = None, force: str | None = None,
-                     tie_desc: bool = False) -> DataFrame:
+                     force: str | None = None, tie_desc: bool = False) -> DataFrame:
     """Add rank / row_number / ntile columns ordered by ``keys`` within
     ``group_by`` (whole table if empty).  ``tie_break`` columns make the row
     order total (needed for row_number and ntile).
 
-    ``row_bound`` is an upper bound on the row count, used to choose the
-    single-task window; without it the distributed path is taken.
+    The result is written to the checkpoint folder (see above).
     ``running_sum`` maps output column -> value column: the inclusive
     running sum within the group in (keys, tie_break) order, which must be
     total for the result to be deterministic.
-    ``force`` = 'window' | 'distributed' overrides the choice (tests).
+    ``force='window'`` plans one plain window instead, lazily: the reference
+    for tests, and for tables that are small by nature.
     ``tie_desc`` sorts the tie-break columns descending."""
     running_sum = running_sum or {}
     tie_break = tuple(F.col(c).desc() if tie_desc else F.col(c).asc() for c in tie_break)
     if ntile is not None and group_by:
         raise ValueError("ntile is supported over the whole table only")
-    spark = df.sparkSession
-    limit = single_task_max_rows(spark)
-    path = force or ("window" if row_bound is not None and row_bound <= limit else "distributed")
-    if path == "window":
+    if force == "window":
         return _plain(df, keys, group_by, tie_break, rank, row_number, ntile, running_sum)
-    return _distributed(df, keys, group_by, tie_break, rank, row_number, ntile, running_sum, row_bound)
+    return _distributed(df, keys, group_by, tie_break, rank, row_number, ntile, running_sum)
 
 
 def _plain(df, keys, group_by, tie_break, rank, row_number, ntile, running_sum):
@@ -91,9 +85,9 @@ def _plain(df, keys, group_by, tie_break, rank, row_number, ntile, running_sum):
     w_total = Window.partitionBy(*group_by).orderBy(*order_t)
     out = df
     if rank:
-        out = out.withColumn(rank, F.rank().over(w_rank))
+        out = out.withColumn(rank, F.rank().over(w_rank).cast("long"))
     if row_number:
-        out = out.withColumn(row_number, F.row_number().over(w_total))
+        out = out.withColumn(row_number, F.row_number().over(w_total).cast("long"))
     if ntile:
         out = out.withColumn(ntile[0], F.ntile(ntile[1]).over(w_total))
     frame = w_total.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -112,14 +106,12 @@ def ntile_of(position: Column, total: Column, n: int) -> Column:
             .otherwise(m + F.floor((position - 1 - big) / F.greatest(q, F.lit(1))) + 1).cast("int")
 
 
-def _distributed(df, keys, group_by, tie_break, rank, row_number, ntile, running_sum, row_bound):
+def _distributed(df, keys, group_by, tie_break, rank, row_number, ntile, running_sum):
     spark = df.sparkSession
     key_cols = [k.column for k in keys]
     order_k = [k.expr() for k in keys]
     order_all = [F.col(g).asc() for g in group_by] + order_k + list(tie_break)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if row_bound:
-        n_parts = max(n_parts, math.ceil(row_bound / 1_000_000))
 
     ranged = df.repartitionByRange(n_parts, *order_all).withColumn("_pid", F.spark_partition_id())
     w_pid = Window.partitionBy("_pid").orderBy(*order_all)
@@ -187,9 +179,9 @@ def _distributed(df, keys, group_by, tie_break, rank, row_number, ntile, running
     if rank:
         first_tie = first_grp & (F.col("_grk") == 1)
         out = out.withColumn(rank, F.when(first_tie, F.col("_gcarry") - F.col("_tcarry") + 1)
-                             .otherwise(F.col("_grk") + gcarry).cast("int"))
+                             .otherwise(F.col("_grk") + gcarry).cast("long"))
     if row_number:
-        out = out.withColumn(row_number, (F.col("_grn") + gcarry).cast("int"))
+        out = out.withColumn(row_number, (F.col("_grn") + gcarry).cast("long"))
     if ntile:
         pos = F.col("_before") + F.col("_rn")
         out = out.withColumn(ntile[0], ntile_of(pos, F.lit(total), ntile[1]))
@@ -200,12 +192,12 @@ def _distributed(df, keys, group_by, tie_break, rank, row_number, ntile, running
 
 
 def dense_ids(df: DataFrame, order_cols: list[str], out: str, start: int = 1,
-              row_bound: int | None = None, force: str | None = None) -> DataFrame:
+              force: str | None = None) -> DataFrame:
     """Consecutive ids start, start+1, ... in ``order_cols`` order (which
-    must be total), without a global single-task window above the bound."""
+    must be total), without a global single-task window."""
     keys = [SortKey(c) for c in order_cols[:1]]
     res = window_positions(df, keys, tie_break=tuple(order_cols[1:]), row_number="_dense_rn",
-                           row_bound=row_bound, force=force)
+                           force=force)
     return res.withColumn(out, (F.col("_dense_rn") + F.lit(start - 1)).cast("long")).drop("_dense_rn")
 
 

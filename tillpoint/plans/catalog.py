@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint.functions.args import check_page, normalize_status_arg
-from tillpoint.functions.expr import full_name
-from tillpoint.operators.ranking import SortKey, window_positions
+from tillpoint.functions.expr import full_name, ts_lit
+from tillpoint.operators.ranking import SortKey
 from tillpoint.plans.head_join import join_head
 from tillpoint.sources.tables import Tables
 
@@ -54,21 +54,12 @@ class PagedResult:
             F.lit(self.has_prev_page).alias("has_prev_page"))
 
 
-# Pages ending beyond this many rows are cut from distributed row numbers
-# instead of a top-k (which keeps offset+size rows per task).
-DEEP_PAGE_ROWS = 100_000
-
-
 def _page(df: DataFrame, keys: list[SortKey], tie: list[str], page: int, size: int) -> DataFrame:
-    """Rows (page-1)*size+1 .. page*size in (keys, tie) order."""
+    """Rows (page-1)*size+1 .. page*size in (keys, tie) order: a top-k of
+    offset+size rows per task.  Deep reading belongs to the keyset form."""
     offset = (page - 1) * size
     order = [k.expr() for k in keys] + [F.col(c).desc() if tie_desc(keys) else F.col(c).asc() for c in tie]
-    if offset + size <= DEEP_PAGE_ROWS:
-        return df.orderBy(*order).offset(offset).limit(size)
-    ranked = window_positions(df, keys, tie_break=tuple(tie), row_number="_pos", force="distributed",
-                              tie_desc=tie_desc(keys))
-    return (ranked.filter(F.col("_pos").between(offset + 1, offset + size))
-            .orderBy("_pos").drop("_pos"))
+    return df.orderBy(*order).offset(offset).limit(size)
 
 
 def tie_desc(keys: list[SortKey]) -> bool:
@@ -116,10 +107,8 @@ def _orders_page_items(t: Tables, o: DataFrame, page: int, size: int) -> DataFra
     page whenever each of those orders has exactly one customer; otherwise
     (broken foreign key, duplicate customer id) the join-first plan runs."""
     k = page * size
-    if k > DEEP_PAGE_ROWS:
-        return _page(_order_summaries(t, o), NEWEST_FIRST, ["id"], page, size)
     order = [F.col("placed_at").desc(), F.col("id").desc()]
-    joined = join_head(o.orderBy(*order).limit(k), _customer_names(t), "customer_id", k)
+    joined = join_head(o.orderBy(*order).limit(k), _customer_names(t), "customer_id")
     if joined is None:
         return _page(_order_summaries(t, o), NEWEST_FIRST, ["id"], page, size)
     return joined.select(*ORDER_SUMMARY).orderBy(*order).offset((page - 1) * size).limit(size)
@@ -136,10 +125,10 @@ def orders_page_after(t: Tables, size: int = 20, after: tuple | None = None,
         o = o.filter(F.col("status") == F.lit(status))
     if after is not None:
         ts, oid = after
-        o = o.filter((F.col("placed_at") < F.lit(ts)) |
-                     ((F.col("placed_at") == F.lit(ts)) & (F.col("id") < F.lit(oid))))
+        o = o.filter((F.col("placed_at") < ts_lit(ts)) |
+                     ((F.col("placed_at") == ts_lit(ts)) & (F.col("id") < F.lit(oid))))
     order = [F.col("placed_at").desc(), F.col("id").desc()]
-    joined = join_head(o.orderBy(*order).limit(size), _customer_names(t), "customer_id", size)
+    joined = join_head(o.orderBy(*order).limit(size), _customer_names(t), "customer_id")
     if joined is not None:
         return joined.select(*ORDER_SUMMARY).orderBy(*order)
     return _order_summaries(t, o).orderBy(*order).limit(size)

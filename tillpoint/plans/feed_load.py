@@ -10,14 +10,19 @@ Plan:
   when they are under the broadcast threshold, sort-merge (with skew
   splitting) when not.  An explicit row bound can force the broadcast
   decision instead.
+  Rows that already failed a check carry keys that match nothing and differ
+  from each other, so a blank email or sku is no hot key.
 * Idempotency (E13): the first row (lowest row number) of each
   (external order id, sku) among the resolved rows is the load candidate
   (min aggregate, partial per task), then an anti join against the ledger
-  of committed runs; the flag is joined back on the unique row number.
+  of committed runs; the flag is joined back on the unique row number, for
+  rows that passed all checks only.
 * The resolved feed is written once to the checkpoint folder (the
   first-row choice reads it twice), then the classified feed; totals, the
   first ten messages, id assignment and the outputs all read that.
-* Publication is all-or-nothing through ``RunStore`` (E14).
+* Publication is all-or-nothing through ``RunStore`` (E14).  Loading a run
+  id that is already committed returns the recorded result and writes
+  nothing.  Every run leaves an audit row, whatever became of it (E16).
 """
 
 from __future__ import annotations
@@ -37,13 +42,14 @@ from tillpoint.operators.ranking import dense_ids_by_int_key
 from tillpoint.schema import DEFAULT_CURRENCY, ORDER_STATUSES
 from tillpoint.session import materialize
 from tillpoint.sources.feed import number_rows, scan_order_feed
-from tillpoint.sources.store import RunStore
+from tillpoint.sources.store import RunCommittedError, RunStore, marks_frame, max_ids
 from tillpoint.sources.tables import Tables, conform
 
 STAGE_VALIDATION = 1
 STAGE_LOOKUP = 2
 MAX_ERRORS_ALLOWED = 100
 ERROR_TEXT_MESSAGES = 10
+PRICE_LIMIT = 10 ** 8          # unit_price is DECIMAL(10,2)
 
 # ---------------------------------------------------------------------------
 # Reject codes in rule order, and their message texts.
@@ -91,7 +97,10 @@ def tag_rows(feed: DataFrame, row_prefix: bool = True) -> DataFrame:
     With ``row_prefix=False`` the "[Row n] " prefix is left for
     ``add_row_prefix`` (row numbers computed later, see ``load_feed``)."""
     qty = trim_ws(F.col("quantity")).try_cast("int")
-    price = trim_ws(F.col("unit_price")).try_cast("decimal(18,4)")
+    exact = trim_ws(F.col("unit_price")).try_cast("decimal(24,10)")
+    # More than four decimals, or more than the price column holds: no number.
+    fits = (exact == exact.cast("decimal(24,4)")) & (F.abs(F.round(exact, 2)) < F.lit(PRICE_LIMIT).cast("decimal(12,2)"))
+    price = F.when(fits, exact).cast("decimal(18,4)")
     when_ts = parse_lenient_timestamp(F.col("order_date"))
     status = F.lower(trim_ws(F.col("status")))
     code = (F.when(is_blank(F.col("order_id")), "missing_order_id")
@@ -153,8 +162,14 @@ def resolve_keys(tagged: DataFrame, t: Tables, broadcast_max_rows: int | None =
     match on the normalised feed value)."""
     cust = _lookup(t.customers, "email", "customer_email", "customer_id", broadcast_max_rows)
     prod = _lookup(t.products, "sku", "product_sku", "product_id", broadcast_max_rows)
-    j = tagged.join(cust, "customer_email", "left").join(prod, "product_sku", "left")
     valid = F.col("code").isNull()
+    # No email or sku holds a NUL character, so these keys match nothing.
+    place = F.col("row_num" if "row_num" in tagged.columns else "_mid").cast("string")
+    nowhere = F.concat(F.lit("\u0000"), F.coalesce(place, F.lit("")))
+    keyed = (tagged.withColumn("_email", F.when(valid, F.col("customer_email")).otherwise(nowhere))
+             .withColumn("_sku", F.when(valid, F.col("product_sku")).otherwise(nowhere)))
+    j = (keyed.join(cust.withColumnRenamed("customer_email", "_email"), "_email", "left")
+         .join(prod.withColumnRenamed("product_sku", "_sku"), "_sku", "left").drop("_email", "_sku"))
     code2 = (F.when(valid & F.col("customer_id").isNull(), "unknown_customer")
               .when(valid & F.col("product_id").isNull(), "unknown_product"))
     msg2 = (F.when(code2 == "unknown_customer", render(MESSAGES["unknown_customer"]))
@@ -174,9 +189,10 @@ def mark_loads(resolved: DataFrame, ledger: DataFrame) -> DataFrame:
     fresh = first.join(ledger.select("external_order_id", "product_sku"),
                        ["external_order_id", "product_sku"], "left_anti")
     flags = fresh.select("feed_seq", F.lit(True).alias("_load"))
-    out = resolved.join(flags, "feed_seq", "left")
-    return out.withColumn("outcome", F.when(F.col("code").isNotNull(), "rejected")
-                          .when(F.col("_load"), "loaded").otherwise("skipped")).drop("_load")
+    marked = ok.join(flags, "feed_seq", "left").withColumn(
+        "outcome", F.when(F.col("_load"), "loaded").otherwise("skipped")).drop("_load")
+    rejected = resolved.filter(F.col("code").isNotNull()).withColumn("outcome", F.lit("rejected"))
+    return marked.unionByName(rejected)
 
 
 def first_messages(classified: DataFrame, n: int = ERROR_TEXT_MESSAGES) -> list[str]:
@@ -186,8 +202,8 @@ def first_messages(classified: DataFrame, n: int = ERROR_TEXT_MESSAGES) -> list[
     return [r[0] for r in rows]
 
 
-def build_outputs(classified: DataFrame, max_order_id: int, max_item_id: int,
-                  row_bound: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def build_outputs(classified: DataFrame, max_order_id: int,
+                  max_item_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """E11/E12: new orders, their single items and the ledger rows, with
     ids max+1.. in feed row order."""
     loaded = classified.filter(F.col("outcome") == "loaded")
@@ -225,6 +241,9 @@ class FeedLoadResult:
     items: DataFrame | None = None
     ledger: DataFrame | None = None
     run_log: DataFrame | None = None
+    marks: DataFrame | None = None
+    stopped: bool = False            # fail_fast found an invalid row
+    replayed: bool = False           # the run id was committed before
 
     @property
     def error_message(self) -> str | None:
@@ -255,31 +274,82 @@ def run_log_frame(spark: SparkSession, res: FeedLoadResult, run_at: dt.datetime,
 def load_feed(t: Tables, source: str | DataFrame, store: RunStore | None = None, *,
               dry_run: bool = False, fail_fast: bool = False, max_errors: int = MAX_ERRORS_ALLOWED,
               broadcast_max_rows: int | None = None, run_id: str | None = None,
-              ledger: DataFrame | None = None, source_name: str | None = None) -> FeedLoadResult:
+              ledger: DataFrame | None = None, source_name: str | None = None,
+              multiline: bool = False) -> FeedLoadResult:
     """Run E1-E19 on a CSV path or on a feed DataFrame (FEED_COLUMNS +
-    row_num).  ``t`` holds the current tables; with a ``store`` the rows of
-    committed earlier runs are added to them and the run is published there
-    unless ``dry_run``.  Without a store the result holds the DataFrames
-    only (nothing is written)."""
+    row_num).  ``t`` holds the base tables; with a ``store`` the run is
+    published there unless ``dry_run``, and a failed run leaves its audit
+    row there before the error is raised.  Without a store the result holds
+    the DataFrames only (nothing is written).
+
+    ``multiline``: quoted fields may hold line breaks (a file is then one
+    task).  A ``run_id`` that is already committed is not loaded again."""
     spark = t.spark
     started = time.time()
     run_at = dt.datetime.now(dt.timezone.utc)          # aware: stored as the same instant
-    run_id = run_id or "r" + uuid.uuid4().hex[:16]      # letter first: partition value stays a string
-    if isinstance(source, str):
-        feed = scan_order_feed(spark, source)
-        source_name = source_name or source
-    else:
-        feed = source
-    res = FeedLoadResult(run_id=run_id, source_file=source_name, dry_run=dry_run)
+    run_id = run_id or "r" + uuid.uuid4().hex[:16]
+    name = source_name or (source if isinstance(source, str) else None)
+    res = FeedLoadResult(run_id=run_id, source_file=name, dry_run=dry_run)
+    publishing = store is not None and not dry_run
+    if publishing:
+        done = store.marker(run_id)
+        if done is not None:
+            return _recorded(res, done, store, max_errors)
+    try:
+        _load(res, t, source, store, fail_fast, broadcast_max_rows, ledger, multiline)
+        res.status = "completed"
+        res.outcome = ("threshold_exceeded" if res.records_failed > max_errors
+                       else "errors" if res.records_failed > 0 else "ok")
+        res.duration_ms = int((time.time() - started) * 1000)
+        res.run_log = run_log_frame(spark, res, run_at, _next_log_id(store))
+        if publishing:
+            frames = {"orders": res.orders, "order_items": res.items, "load_ledger": res.ledger, "id_marks": res.marks}
+            frames = {} if res.stopped else frames
+            store.publish(run_id, frames | {"etl_run_log": res.run_log}, {
+                "read": res.records_read, "loaded": res.records_loaded, "failed": res.records_failed, "skipped": res.records_skipped})
+    except Exception as e:
+        # Nothing was committed: the audit row says so, then the error goes on.
+        res.status, res.records_loaded = "failed", 0
+        res.errors = (res.errors + [f"Pipeline error: {e}"])[:ERROR_TEXT_MESSAGES]
+        res.duration_ms = int((time.time() - started) * 1000)
+        if publishing and not isinstance(e, RunCommittedError):
+            failed = run_log_frame(spark, res, run_at, _next_log_id(store))
+            store.publish(f"{run_id}-failed-{uuid.uuid4().hex[:8]}", {"etl_run_log": failed})
+        raise
+    return res
+
+
+def _next_log_id(store: RunStore | None) -> int:
+    if store is None:
+        return 1
+    return (store.table("etl_run_log").agg(F.max("id")).first()[0] or 0) + 1
+
+
+def _recorded(res: FeedLoadResult, done, store: RunStore, max_errors: int) -> FeedLoadResult:
+    """The result of a run that is already committed, from the store."""
+    res.records_read, res.records_loaded = done["records_read"], done["records_loaded"]
+    res.records_failed, res.records_skipped = done["records_failed"], done["records_skipped"]
+    res.orders, res.items, res.ledger, res.run_log = (
+        store.table(n, res.run_id) for n in ("orders", "order_items", "load_ledger", "etl_run_log"))
+    log = res.run_log.first()
+    res.source_file, res.status, res.duration_ms = log["source_file"], log["status"], log["duration_ms"]
+    res.errors = log["error_message"].split("; ") if log["error_message"] else []
+    res.outcome = ("threshold_exceeded" if res.records_failed > max_errors
+                   else "errors" if res.records_failed > 0 else "ok")
+    res.replayed = True
+    return res
 
-    committed = store.committed_runs() if store is not None else []
+
+def _load(res: FeedLoadResult, t: Tables, source: str | DataFrame, store: RunStore | None, fail_fast: bool,
+          broadcast_max_rows: int | None, ledger: DataFrame | None, multiline: bool) -> None:
+    """Everything up to the output frames, into ``res``."""
+    spark = t.spark
+    feed = scan_order_feed(spark, source, multiline) if isinstance(source, str) else source
     if store is not None:
-        max_o, max_i = store.id_marks(t.orders, t.order_items, committed)
-        if ledger is None:
-            ledger = store.table("load_ledger", committed)
+        max_o, max_i = store.id_marks(t.orders, t.order_items)
+        ledger = store.table("load_ledger") if ledger is None else ledger
     else:
-        max_o = t.orders.agg(F.max("id")).first()[0] or 0
-        max_i = t.order_items.agg(F.max("id")).first()[0] or 0
+        max_o, max_i = max_ids(t.orders, t.order_items)
     if ledger is None:
         ledger = spark.createDataFrame([], "external_order_id string, product_sku string")
 
@@ -303,39 +373,11 @@ def load_feed(t: Tables, source: str | DataFrame, store: RunStore | None = None,
     res.records_read, res.records_loaded = totals["read"], totals["loaded"]
     res.records_failed, res.records_skipped = totals["failed"], totals["skipped"]
     res.errors = first_messages(classified)
-    res.classified = classified
-    if fail_fast and totals["invalid"] > 0:
+    res.stopped = fail_fast and totals["invalid"] > 0
+    if res.stopped:
         res.records_loaded = 0
         classified = classified.withColumn(
             "outcome", F.when(F.col("outcome") == "loaded", "not_loaded").otherwise(F.col("outcome")))
-        res.classified = classified
-
-    res.orders, res.items, res.ledger = build_outputs(classified, max_o, max_i, res.records_loaded)
-    res.status = "completed"
-    res.outcome = ("threshold_exceeded" if res.records_failed > max_errors
-                   else "errors" if res.records_failed > 0 else "ok")
-
-    log_id = 1
-    if store is not None:
-        prev = store.table("etl_run_log", committed).agg(F.max("id")).first()[0]
-        log_id = (prev or 0) + 1
-    if store is not None and not dry_run:
-        try:
-            marks = spark.createDataFrame([(max_o + res.records_loaded, max_i + res.records_loaded)],
-                                          "max_order_id long, max_item_id long")
-            frames = {"orders": res.orders, "order_items": res.items, "load_ledger": res.ledger,
-                      "id_marks": marks}
-            if fail_fast and totals["invalid"] > 0:
-                frames = {}
-            res.duration_ms = int((time.time() - started) * 1000)
-            frames["etl_run_log"] = run_log_frame(spark, res, run_at, log_id)
-            store.publish(run_id, frames)
-        except Exception as e:  # noqa: BLE001 - recorded in the audit row, then re-raised
-            res.status = "failed"
-            res.errors = (res.errors + [f"Pipeline error: {e}"])[:ERROR_TEXT_MESSAGES]
-            res.duration_ms = int((time.time() - started) * 1000)
-            store.publish(run_id + "-failed", {"etl_run_log": run_log_frame(spark, res, run_at, log_id)})
-            raise
-    res.duration_ms = int((time.time() - started) * 1000)
-    res.run_log = run_log_frame(spark, res, run_at, log_id)
-    return res
+    res.classified = classified
+    res.orders, res.items, res.ledger = build_outputs(classified, max_o, max_i)
+    res.marks = marks_frame(spark, max_o + res.records_loaded, max_i + res.records_loaded)

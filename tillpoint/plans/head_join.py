@@ -1,46 +1,31 @@
-"""Join a bounded head of a ranking (a top-k report, a page) with its
-dimension rows without joining the whole ranked table.
+"""Join the head of a ranking (a top-k report, a page) with its dimension
+rows without joining the whole ranked table.
 
 Spark cannot push a LIMIT through an inner join, so "join, then take the
-first k" shuffles every row for k results.  Here the first k rows are
-taken first (top-k per task), and only their keys are looked up in the
-dimension (an IN filter that reaches the Parquet scan).  The result equals
-join-then-limit exactly when every head row finds exactly one dimension
-row; otherwise ``None`` is returned and the caller joins first.
-
-Heads up to ``COLLECT_MAX`` rows travel through the driver (they are the
-report itself); larger heads are written to the checkpoint folder.
+first k" shuffles every row for k results.  Here the first k rows are taken
+first (top-k per task) and written; only they are joined with the dimension.
+That equals join-then-limit exactly when every head row finds exactly one
+dimension row.  One aggregate per key checks it; if a key is NULL, unmatched
+or matched twice, the result is ``None`` and the caller joins first.
+
+The path is the same for every k.  Nothing is collected but the outcome of
+the check.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint.session import materialize
 
-COLLECT_MAX = 10_000
-
 
-def join_head(head: DataFrame, dim: DataFrame, key: str, k: int) -> DataFrame | None:
-    spark = head.sparkSession
-    schema = head.join(dim, key).schema
-    if k > COLLECT_MAX:
-        top = materialize(head, "head")
-        joined = materialize(top.join(dim, key), "head_joined")
-        return joined if joined.count() == top.count() else None
-    rows = head.collect()
-    if not rows:
-        return spark.createDataFrame([], schema)
-    ids = sorted({r[key] for r in rows})
-    found = dim.filter(F.col(key).isin(ids)).collect()
-    seen = Counter(r[key] for r in found)
-    if any(seen.get(r[key], 0) != 1 for r in rows):
-        return None
-    by_key = {r[key]: r for r in found}
-    head_cols = [c for c in head.columns if c != key]
-    dim_cols = [c for c in dim.columns if c != key]
-    out = [tuple([r[key]] + [r[c] for c in head_cols] + [by_key[r[key]][c] for c in dim_cols]) for r in rows]
-    return spark.createDataFrame(out, schema)
+def join_head(head: DataFrame, dim: DataFrame, key: str) -> DataFrame | None:
+    top = materialize(head, "head")
+    # The head is a written table of known size: Catalyst broadcasts it when
+    # it is under the threshold, so the dimension is scanned but not moved.
+    joined = materialize(top.join(dim, key), "head_joined")
+    want = top.groupBy(key).agg(F.count(F.lit(1)).alias("_want"))
+    got = joined.groupBy(key).agg(F.count(F.lit(1)).alias("_got"))
+    wrong = want.join(got, key, "left").filter(F.col("_got").isNull() | (F.col("_got") != F.col("_want")))
+    return None if wrong.limit(1).count() else joined

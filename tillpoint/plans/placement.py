@@ -8,37 +8,48 @@ an active product, the customer must exist, and for each product the
 request's summed quantity must fit the stock left by the requests accepted
 before it.  Accepted requests become ``pending`` orders whose total is
 sum(price * quantity) at current prices, items snapshot the price, and the
-stock is decremented.
-
-Sequential stock is resolved by a fixpoint instead of a loop over requests.
-For an undecided request r and product p let L = demand of accepted
-requests before r and U = L + demand of undecided requests before r:
-accept r if every line fits under stock - U, reject it if some line does
-not fit under stock - L.  The earliest undecided request always has L = U,
-so every round decides at least one request and typically nearly all; each
-round only looks at products that still have undecided lines (the
-frontier) and is written to the checkpoint folder.  The window paths are
-chosen from counts of the written lines and requests.  The per-product running sums
-use ``operators.ranking`` (range partitioned above the single-task bound),
-so a product wanted by a third of all requests is not one task.
+stock is decremented.  A request id that comes again is rejected.
+
+Sequential stock without a loop over requests:
+
+1. A product whose whole demand fits its stock needs no order of requests;
+   only the lines of scarce products go on.
+2. For an undecided request r and product p let L = demand of accepted
+   requests before r and U = L + demand of undecided requests before r:
+   accept r if every line fits under stock - U, reject it if some line does
+   not fit under stock - L.  Each round decides at least the first undecided
+   request of every chain, typically nearly all, and keeps only the lines of
+   undecided requests and the accepted lines of their products.  The running
+   sums use ``operators.ranking`` (range partitions), so a product wanted by
+   a third of all requests is not one task.
+3. What a few rounds leave are chains of requests that wait for each other.
+   Requests that share scarce products form connected groups, which do not
+   influence each other; a group of bounded size is played through in one
+   task, and larger ones get further rounds.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillpoint.functions.expr import subtotal_of, ts_lit
+from tillpoint.operators.components import components
 from tillpoint.operators.ranking import SortKey, dense_ids, window_positions
 from tillpoint.session import materialize
+from tillpoint.sources.store import RunStore, marks_frame, max_ids
 from tillpoint.sources.tables import Tables, conform
 
-ITEMS_SCHEMA = "array<struct<product_id:string,quantity:string>>"
 # Reject reasons in priority order (fixed).
-REASONS = ("bad_json", "bad_quantity", "unknown_product", "unknown_customer", "insufficient_stock")
+REASONS = ("duplicate_request", "bad_json", "bad_quantity", "unknown_product", "unknown_customer", "insufficient_stock")
+# Rounds before connected groups are formed, and lines of a group that one task plays through.
+ROUNDS = 3
+GROUP_LINES = 500_000
 
 
 @dataclass
@@ -49,27 +60,120 @@ class PlacementResult:
     rejects: DataFrame
     decisions: DataFrame
     rounds: int
+    stock_changes: DataFrame | None = None
 
 
 def _lines(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """R1: one row per JSON element, plus per-request parse status.  The
-    parsed requests are written once; heads and lines both read them."""
+    parsed requests are written once; heads and lines both read them.
+
+    The text must be one JSON array and nothing else: it must parse as an
+    array, and as the first of two elements of a longer one."""
+    text = F.col("items_json")
+    strict = F.json_array_length(text).isNotNull() & (
+        F.json_array_length(F.concat(F.lit("["), text, F.lit(",0]"))) == 2)
     parsed = materialize(requests.select(
-        "request_id", "seq", "customer_id", "items_json",
-        F.from_json("items_json", ITEMS_SCHEMA).alias("_items")), "placement_parsed")
-    bad_json = F.col("items_json").isNotNull() & F.col("_items").isNull()
-    heads = parsed.select("request_id", "seq", "customer_id", bad_json.alias("bad_json"))
-    lines = parsed.select("request_id", "seq", F.posexplode("_items").alias("pos", "it")).select(
-        "request_id", "seq", "pos",
-        F.col("it.product_id").try_cast("long").alias("product_id"),
-        F.col("it.quantity").try_cast("int").alias("quantity"),
-        (F.col("it.product_id").isNull() | F.col("it.product_id").try_cast("long").isNull()).alias("bad_pid"))
+        "request_id", "seq", "customer_id", F.monotonically_increasing_id().alias("rid"),
+        F.coalesce(strict, F.lit(False)).alias("_strict"), text.isNull().alias("_none"),
+        F.from_json(text, "array<string>").alias("_items")), "placement_parsed")
+    first = parsed.groupBy("request_id").agg(F.min(F.struct("seq", "rid")).alias("_first"))
+    heads = parsed.select("rid", "request_id", "seq", "customer_id", (~F.col("_strict") & ~F.col("_none")).alias("bad_json"))
+    heads = heads.join(first.select(F.col("_first.rid").alias("rid"), F.lit(True).alias("_once")), "rid", "left") \
+                 .withColumn("again", F.col("_once").isNull()).drop("_once")
+    lines = parsed.filter("_strict").select("rid", "seq", F.posexplode("_items").alias("pos", "it")).select(
+        "rid", "seq", "pos",
+        F.get_json_object("it", "$.product_id").try_cast("long").alias("product_id"),
+        F.get_json_object("it", "$.quantity").try_cast("int").alias("quantity"))
     return heads, lines
 
 
+def _round(state: DataFrame) -> DataFrame:
+    """One round over (rid, seq, product_id, d, stock, st): a row (rid,
+    accepted) for each request it decides."""
+    live = state.withColumn("da", F.when(F.col("st") == "A", F.col("d")).otherwise(F.lit(0))) \
+                .withColumn("du", F.when(F.col("st") == "U", F.col("d")).otherwise(F.lit(0)))
+    run = window_positions(live, [SortKey("seq")], group_by=("product_id",), tie_break=("rid",),
+                           running_sum={"ra": "da", "ru": "du"})
+    lo = F.col("ra") - F.col("da")                       # accepted demand before this request
+    hi = lo + F.col("ru") - F.col("du")                  # ... plus undecided demand before it
+    verdict = run.filter(F.col("st") == "U").groupBy("rid").agg(
+        F.min((F.col("d") <= F.col("stock") - hi).cast("int")).alias("acc"),
+        F.max((F.col("d") > F.col("stock") - lo).cast("int")).alias("rej"))
+    return verdict.filter("acc = 1 or rej = 1").select("rid", (F.col("rej") == 0).alias("accepted"))
+
+
+def _apply(state: DataFrame, decided: DataFrame) -> DataFrame:
+    """The lines that later rounds need: of undecided requests, and accepted
+    ones of their products."""
+    new = state.join(decided, "rid", "left").withColumn(
+        "st", F.when(F.col("accepted"), "A").when(F.col("accepted").isNotNull(), "R").otherwise(F.col("st"))).drop("accepted")
+    new = materialize(new.filter("st <> 'R'"), "placement_state")
+    waiting = new.filter("st = 'U'").select("product_id").distinct()
+    return materialize(new.join(waiting, "product_id", "left_semi"), "placement_state")
+
+
+def _play(rows: pd.DataFrame) -> pd.DataFrame:
+    """Place the requests of one connected group one by one."""
+    left = dict(zip(rows["product_id"], rows["stock"]))
+    out = []
+    for (_, rid), lines in rows.sort_values(["seq", "rid"]).groupby(["seq", "rid"], sort=False):
+        wanted = list(zip(lines["product_id"], lines["d"]))
+        undecided = lines["st"].iloc[0] == "U"
+        fits = all(d <= left[p] for p, d in wanted)
+        if fits or not undecided:
+            for p, d in wanted:
+                left[p] -= d
+        if undecided:
+            out.append((rid, fits))
+    return pd.DataFrame(out, columns=["rid", "accepted"])
+
+
+def _groups(state: DataFrame) -> DataFrame:
+    """The lines of connected groups that one task can play through, with
+    their group: products are linked by the undecided requests that want them."""
+    least = F.min("product_id").over(Window.partitionBy("rid"))
+    links = state.filter("st = 'U'").select(F.col("product_id").alias("a"), least.alias("b"))
+    linked = components(links)
+    tagged = state.join(linked.withColumnRenamed("id", "product_id"), "product_id", "left").withColumn(
+        "root", F.coalesce("root", "product_id"))
+    sizes = tagged.groupBy("root").agg(F.count(F.lit(1)).alias("_lines")).filter(F.col("_lines") <= GROUP_LINES)
+    return materialize(tagged.join(sizes.select("root"), "root", "left_semi"), "placement_groups")
+
+
+def decide_stock(demand: DataFrame) -> tuple[DataFrame, int]:
+    """Demand (rid, seq, product_id, d, stock), one row per request and
+    product -> (one row (rid, accepted) per request, number of rounds)."""
+    whole = demand.groupBy("product_id").agg(F.sum("d").alias("_all"))
+    scarce = demand.join(whole, "product_id").filter(F.col("_all") > F.col("stock")).drop("_all")
+    state = materialize(scarce.withColumn("st", F.lit("U")), "placement_state")
+    parts, rounds = [], 0
+    while state.filter("st = 'U'").limit(1).count():
+        rounds += 1
+        if rounds > ROUNDS:
+            group = _groups(state)
+            played = materialize(group.groupBy("root").applyInPandas(_play, "rid long, accepted boolean"), "placement_played")
+            parts.append(played)
+            state = _apply(state, played)
+            if not state.filter("st = 'U'").limit(1).count():
+                break
+        decided = materialize(_round(state), "placement_decided")
+        parts.append(decided)
+        state = _apply(state, decided)
+    everyone = demand.select("rid").distinct()
+    if not parts:
+        return everyone.withColumn("accepted", F.lit(True)), rounds
+    known = reduce(DataFrame.unionByName, parts)
+    # Requests without a scarce product always fit.
+    return materialize(everyone.join(known, "rid", "left").withColumn("accepted", F.coalesce("accepted", F.lit(True))),
+                       "placement_verdicts"), rounds
+
+
 def place_orders(requests: DataFrame, t: Tables, placed_at: dt.datetime | None = None,
-                 max_rounds: int | None = None, row_bound: int | None = None,
-                 force: str | None = None) -> PlacementResult:
+                 store: RunStore | None = None) -> PlacementResult:
+    """Place ``requests`` against the tables ``t``.  With a ``store``, new ids
+    go on from the highest that the base tables or committed runs use; pass
+    ``store.current(t)`` as ``t`` for the current stock, and publish the
+    result with ``publish_placement``."""
     spark = t.spark
     heads, lines = _lines(requests)
     active = t.products.filter(F.col("is_active")).select(
@@ -77,75 +181,34 @@ def place_orders(requests: DataFrame, t: Tables, placed_at: dt.datetime | None =
     lines = materialize(lines.join(active, "product_id", "left"), "placement_lines")
 
     # Static checks (do not depend on other requests): R2, R8, bad JSON.
-    line_flags = lines.groupBy("request_id").agg(
+    line_flags = lines.groupBy("rid").agg(
         F.max((F.col("quantity").isNull() | (F.col("quantity") <= 0)).cast("int")).alias("_bq"),
-        F.max((F.col("bad_pid") | F.col("unit_price").isNull()).cast("int")).alias("_up"))
+        F.max((F.col("product_id").isNull() | F.col("unit_price").isNull()).cast("int")).alias("_up"))
     cust = t.customers.select(F.col("id").alias("customer_id"), F.lit(True).alias("_known"))
-    checked = (heads.join(line_flags, "request_id", "left").join(cust, "customer_id", "left")
-               .withColumn("reason", F.when(F.col("bad_json"), "bad_json")
+    checked = (heads.join(line_flags, "rid", "left").join(cust, "customer_id", "left")
+               .withColumn("reason", F.when(F.col("again"), "duplicate_request")
+                           .when(F.col("bad_json"), "bad_json")
                            .when(F.col("_bq") == 1, "bad_quantity")
                            .when(F.col("_up") == 1, "unknown_product")
                            .when(F.col("_known").isNull(), "unknown_customer")))
-    checked = materialize(checked.select("request_id", "seq", "customer_id", "reason"), "placement_checked")
+    checked = materialize(checked.select("rid", "request_id", "seq", "customer_id", "reason"), "placement_checked")
 
     # Demand per (request, product) for the requests still in play.
-    open_req = checked.filter(F.col("reason").isNull()).select("request_id", "seq")
-    demand = (lines.join(open_req, ["request_id", "seq"], "left_semi")
-              .groupBy("request_id", "seq", "product_id")
-              .agg(F.sum("quantity").alias("d"), F.first("stock").alias("stock")))
-    state = materialize(demand.withColumn("st", F.lit("U")), "placement_round0")
-    # Row bounds for the window paths: counts of written data (cheap).
-    line_bound = row_bound if row_bound is not None else state.count()
-    request_bound = row_bound if row_bound is not None else checked.count()
-
-    rounds = 0
-    while True:
-        n_open = state.filter(F.col("st") == "U").limit(1).count()
-        if n_open == 0 or (max_rounds is not None and rounds >= max_rounds):
-            break
-        rounds += 1
-        # Only products with undecided lines matter this round (the frontier).
-        frontier = state.filter(F.col("st") == "U").select("product_id").distinct()
-        live = state.filter(F.col("st") != "R").join(frontier, "product_id", "left_semi").withColumn(
-            "da", F.when(F.col("st") == "A", F.col("d")).otherwise(F.lit(0))).withColumn(
-            "du", F.when(F.col("st") == "U", F.col("d")).otherwise(F.lit(0)))
-        run = window_positions(live, [SortKey("seq")], group_by=("product_id",), tie_break=("request_id",),
-                               running_sum={"ra": "da", "ru": "du"}, row_bound=line_bound, force=force)
-        lo = F.col("ra") - F.col("da")                       # accepted demand before this request
-        hi = lo + F.col("ru") - F.col("du")                  # ... plus undecided demand before it
-        per_line = run.filter(F.col("st") == "U").select(
-            "request_id",
-            (F.col("d") <= F.col("stock") - hi).alias("fits_hi"),
-            (F.col("d") > F.col("stock") - lo).alias("fails_lo"))
-        verdict = per_line.groupBy("request_id").agg(
-            F.min(F.col("fits_hi").cast("int")).alias("acc"),
-            F.max(F.col("fails_lo").cast("int")).alias("rej"))
-        new_state = (state.join(verdict, "request_id", "left")
-                     .withColumn("st", F.when(F.col("st") != "U", F.col("st"))
-                                 .when(F.col("rej") == 1, "R").when(F.col("acc") == 1, "A")
-                                 .otherwise("U"))
-                     .drop("acc", "rej"))
-        state = materialize(new_state, f"placement_round{rounds}")
-
-    stock_rejected = state.filter(F.col("st") == "R").select("request_id").distinct() \
-                          .withColumn("_stock", F.lit(True))
-    undecided = state.filter(F.col("st") == "U").select("request_id").distinct() \
-                     .withColumn("_undecided", F.lit(True))
-    decisions = (checked.join(stock_rejected, "request_id", "left").join(undecided, "request_id", "left")
-                 .withColumn("reason", F.coalesce(
-                     F.col("reason"), F.when(F.col("_stock"), F.lit("insufficient_stock")),
-                     F.when(F.col("_undecided"), F.lit("undecided"))))
-                 .withColumn("accepted", F.col("reason").isNull())
-                 .drop("_stock", "_undecided"))
+    open_req = checked.filter(F.col("reason").isNull()).select("rid")
+    demand = (lines.join(open_req, "rid", "left_semi").groupBy("rid", "seq", "product_id")
+              .agg(F.sum("quantity").alias("d"), F.first("stock").cast("long").alias("stock")))
+    verdicts, rounds = decide_stock(materialize(demand, "placement_demand"))
+    short = verdicts.filter("not accepted").select("rid", F.lit(True).alias("_short"))
+    decisions = (checked.join(short, "rid", "left")
+                 .withColumn("reason", F.coalesce(F.col("reason"), F.when(F.col("_short"), F.lit("insufficient_stock"))))
+                 .withColumn("accepted", F.col("reason").isNull()).drop("_short"))
     decisions = materialize(decisions, "placement_decisions")
 
-    accepted = decisions.filter("accepted").select("request_id", "seq", "customer_id")
-    max_o = t.orders.agg(F.max("id")).first()[0] or 0
-    max_i = t.order_items.agg(F.max("id")).first()[0] or 0
-    numbered = dense_ids(accepted, ["seq", "request_id"], "order_id", start=max_o + 1, row_bound=request_bound)
-    acc_lines = lines.join(numbered.select("request_id", "order_id"), "request_id")
-    items = dense_ids(acc_lines, ["order_id", "pos"], "id", start=max_i + 1,
-                      row_bound=row_bound if row_bound is not None else lines.count())
+    accepted = decisions.filter("accepted").select("rid", "request_id", "seq", "customer_id")
+    max_o, max_i = max_ids(t.orders, t.order_items) if store is None else store.id_marks(t.orders, t.order_items)
+    numbered = dense_ids(accepted, ["seq", "rid"], "order_id", start=max_o + 1)
+    acc_lines = lines.join(numbered.select("rid", "order_id"), "rid")
+    items = dense_ids(acc_lines, ["order_id", "pos"], "id", start=max_i + 1)
     items = conform(items.select("id", "order_id", "product_id", "quantity", "unit_price",
                                  subtotal_of(F.col("quantity"), F.col("unit_price")).alias("subtotal")),
                     "order_items")
@@ -160,14 +223,25 @@ def place_orders(requests: DataFrame, t: Tables, placed_at: dt.datetime | None =
                        .withColumn("stock", (F.col("stock") - F.coalesce(F.col("_used"), F.lit(0))).cast("int")),
                        "products")
     rejects = decisions.filter(~F.col("accepted")).select("request_id", "seq", "customer_id", "reason")
-    return PlacementResult(orders, items, products, rejects, decisions, rounds)
+    changes = used.select("product_id", (-F.col("_used")).cast("long").alias("change"))
+    return PlacementResult(orders, items, products, rejects, decisions, rounds, changes)
+
+
+def publish_placement(result: PlacementResult, t: Tables, store: RunStore, run_id: str) -> None:
+    """Publish the new orders, their items and the stock changes as one run:
+    all become visible together, and never twice for one run id."""
+    marks = store.id_marks(t.orders, t.order_items)
+    top = max_ids(result.orders, result.order_items)
+    store.publish(run_id, {
+        "orders": result.orders, "order_items": result.order_items, "stock_changes": result.stock_changes,
+        "id_marks": marks_frame(t.spark, max(marks[0], top[0]), max(marks[1], top[1]))})
 
 
 def requests_from_orders(t: Tables, raw_orders: DataFrame, raw_lines: DataFrame) -> DataFrame:
-    """Placement requests derived from the supplied tables: every order with
-    status P becomes a request of its lines (product, quantity), seq and id
-    = order key.  Grouping is per order (one request's own item list)."""
-    pend = raw_orders.filter(F.col("o_orderstatus") == "P").select(
+    """Placement requests derived from the supplied tables: every order
+    becomes a request of its lines (product, quantity), seq and id = order
+    key.  Grouping is per order (one request's own item list)."""
+    pend = raw_orders.select(
         F.col("o_orderkey").alias("request_id"), F.col("o_orderkey").alias("seq"),
         F.col("o_custkey").alias("customer_id"))
     items = (raw_lines.join(pend.select(F.col("request_id").alias("l_orderkey")), "l_orderkey", "left_semi")

@@ -13,10 +13,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows a single task may window over before the distributed path is used.
-SINGLE_TASK_ROWS_KEY = "tillpoint.window.singleTaskMaxRows"
-SINGLE_TASK_ROWS_DEFAULT = 2_000_000
-
 
 def get_session(master: str | None = None, app: str = "tillpoint",
                 shuffle_partitions: int | None = None,
@@ -62,7 +58,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder (HDFS / object store)")
         d = tempfile.mkdtemp(prefix="tillpoint-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
@@ -118,11 +115,6 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def single_task_max_rows(spark: SparkSession) -> int:
-    v = spark.conf.get(SINGLE_TASK_ROWS_KEY, None)
-    return int(v) if v else SINGLE_TASK_ROWS_DEFAULT
-
-
 def local_session_for_tests(cores: int = 8) -> SparkSession:
     os.environ.setdefault("PYSPARK_PYTHON", "python")
     return get_session(master=f"local[{cores}]", shuffle_partitions=8,

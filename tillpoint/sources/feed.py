@@ -8,12 +8,15 @@ row count and first counter of every split (one row per split, the same
 order of magnitude as the scan's task list); offsets per file are prefix
 sums over the splits in block order; a broadcast join of that split table
 adds them back.  Files are split normally, so a large feed is read by many
-tasks.  Quoted fields may not contain line breaks unless ``multiline=True``
+tasks.  A folder may hold files whose headers order the columns differently:
+each group of equal headers is read with its own.  Quoted fields may not contain line breaks unless ``multiline=True``
 (which makes each file a single task).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -21,10 +24,24 @@ from pyspark.sql.utils import AnalysisException
 from tillpoint.schema import FEED_COLUMNS
 
 
+def _header_groups(spark: SparkSession, files: list[str]) -> list[list[str]]:
+    """The files, grouped by their first line (one scan of the lines, one row
+    per file)."""
+    lines = spark.read.text(files).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("mid"))
+    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "mid").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for r in first.collect():
+        groups.setdefault(r["header"].strip("\ufeff\r "), []).append(r["file"])
+    return [sorted(g) for _, g in sorted(groups.items())]
+
+
 def scan_order_feed(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """FEED_COLUMNS + source_file + split tags (_block, _mid), taken right
     at the scan.  ``number_rows`` turns the tags into record numbers, also
-    after the rows went through joins or were written out."""
+    after the rows went through joins or were written out.  Columns are bound
+    by the header of each file."""
     reader = (spark.read.option("header", True).option("inferSchema", False)
               .option("quote", '"').option("escape", '"').option("multiLine", multiline)
               .option("mode", "PERMISSIVE"))
@@ -34,13 +51,19 @@ def scan_order_feed(spark: SparkSession, path: str, multiline: bool = False) ->
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             raise FileNotFoundError(f"CSV file not found: {path}") from e
         raise
-    missing = [c for c in FEED_COLUMNS if c not in raw.columns]
-    if missing:
-        raise ValueError(f"Feed header lacks columns: {', '.join(missing)}")
-    return raw.select(*[F.col(c) for c in FEED_COLUMNS],
-                      F.col("_metadata.file_path").alias("source_file"),
-                      F.col("_metadata.file_block_start").alias("_block"),
-                      F.monotonically_increasing_id().alias("_mid"))
+    files = raw.inputFiles()
+    parts = [raw]
+    if len(files) > 1:
+        groups = _header_groups(spark, files)
+        parts = [reader.csv(g) for g in groups] if len(groups) > 1 else parts
+    for part in parts:
+        missing = [c for c in FEED_COLUMNS if c not in part.columns]
+        if missing:
+            raise ValueError(f"Feed header lacks columns: {', '.join(missing)}")
+    out = [part.select(*[F.col(c) for c in FEED_COLUMNS], F.col("_metadata.file_path").alias("source_file"),
+                       F.col("_metadata.file_block_start").alias("_block"),
+                       F.monotonically_increasing_id().alias("_mid")) for part in parts]
+    return reduce(DataFrame.unionByName, out)
 
 
 def number_rows(tagged: DataFrame) -> DataFrame:

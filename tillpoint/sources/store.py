@@ -1,32 +1,44 @@
-"""Run store for the feed load: all-or-nothing publication of a run's
-orders, items, idempotency ledger and audit row on plain Parquet.
+"""Run store: all-or-nothing publication of a job's output tables on plain
+Parquet (feed loads: orders, items, ledger, audit row; placements: orders,
+items, stock changes).
 
 Layout under ``root``::
 
-    orders/run_id=<id>/...        order rows written by the run
-    order_items/run_id=<id>/...
-    load_ledger/run_id=<id>/...   (external_order_id, product_sku) loaded
-    etl_run_log/run_id=<id>/...   audit row
-    id_marks/run_id=<id>/...      highest order / item id the run assigned
-    _base_marks/...               highest ids of the base tables (computed once)
-    _runs/run_id=<id>/...         commit marker, written last
-
-Readers only trust runs with a commit marker, so a run that dies half way
-leaves nothing visible, and re-running the same run id overwrites its own
-partitions (task and job retries are idempotent).
+    <table>/run_id=<id>/attempt=<token>/...   rows written by one attempt of a run
+    _runs/run_id=<id>/...                     commit marker, written last
+
+The marker names the attempt whose rows count.  An attempt writes into
+folders of its own and never touches another's, so a run that dies, is
+retried or is replayed cannot harm what is committed; the marker is written
+once and refuses to be overwritten.  Readers join each table with the
+markers, so uncommitted rows are invisible.
+
+Only a folder that does not exist counts as empty.  Anything else that keeps
+a table from being read is an error.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillpoint.schema import SCHEMAS
-from tillpoint.sources.tables import conform
+from tillpoint.sources.tables import Tables, conform
 
 LEDGER_SCHEMA = "external_order_id string, product_sku string, row_num long, order_id long"
+MARKS_SCHEMA = "max_order_id long, max_item_id long"
+STOCK_SCHEMA = "product_id long, change long"
+MARKER_SCHEMA = ("attempt string, committed_at timestamp, records_read long, records_loaded long, "
+                 "records_failed long, records_skipped long")
+
+
+class RunCommittedError(RuntimeError):
+    """The run id is already committed."""
 
 
 class RunStore:
@@ -37,71 +49,99 @@ class RunStore:
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _exists(self, path: str) -> bool:
-        """Folder check through the Hadoop FileSystem of the path (HDFS,
-        object store or local); True when the gateway is unavailable, in
-        which case the read below decides."""
-        try:
-            jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            return bool(p.getFileSystem(conf).exists(p))
-        except Exception:  # noqa: BLE001
-            return True
-
-    def _read(self, name: str, schema: str | None = None) -> DataFrame | None:
-        path = self._path(name)
-        if not self._exists(path):
-            return None
+    def _schema(self, name: str) -> T.StructType:
+        fixed = {"load_ledger": LEDGER_SCHEMA, "id_marks": MARKS_SCHEMA, "stock_changes": STOCK_SCHEMA,
+                 "_runs": MARKER_SCHEMA}.get(name)
+        if fixed is None:
+            return SCHEMAS[name]
+        # Not from the session's own parser state: a DDL string names its types.
+        return T.StructType.fromDDL(fixed)
+
+    def _read(self, name: str) -> DataFrame | None:
+        """All attempts of a table, run_id and attempt as text; None if
+        nothing was ever written."""
+        fields = [T.StructField("run_id", T.StringType())]
+        if name != "_runs":
+            fields.append(T.StructField("attempt", T.StringType()))
+        schema = T.StructType([*self._schema(name).fields, *fields])
         try:
-            return self.spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - absent or empty folder means empty
-            return None
+            return self.spark.read.schema(schema).parquet(self._path(name))
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+
+    def markers(self) -> DataFrame:
+        """One row per committed run."""
+        found = self._read("_runs")
+        if found is None:
+            return self.spark.createDataFrame([], f"{MARKER_SCHEMA}, run_id string")
+        return found
 
     def committed_runs(self) -> list[str]:
-        runs = self._read("_runs")
-        if runs is None:
-            return []
-        return [r[0] for r in runs.select("run_id").distinct().collect()]
-
-    def table(self, name: str, committed: list[str] | None = None) -> DataFrame:
-        """Committed rows of ``name`` (orders, order_items, load_ledger,
-        etl_run_log); empty with the declared schema when none.  Pass
-        ``committed`` to reuse one read of the commit markers."""
-        committed = self.committed_runs() if committed is None else committed
-        df = self._read(name) if committed else None
-        if df is None:
-            if name == "load_ledger":
-                return self.spark.createDataFrame([], LEDGER_SCHEMA)
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        df = df.filter(F.col("run_id").cast("string").isin(committed)).drop("run_id")
-        return df if name == "load_ledger" else conform(df, name)
-
-    def id_marks(self, base_orders: DataFrame, base_items: DataFrame,
-                 committed: list[str] | None = None) -> tuple[int, int]:
-        """Highest order id and item id in use: the base tables' maxima
-        (one scan, cached in the store) and the marks of committed runs, so
-        a run does not scan the whole orders and items tables for them."""
-        base = self._read("_base_marks")
-        if base is None:
-            o = base_orders.agg(F.max("id")).first()[0] or 0
-            i = base_items.agg(F.max("id")).first()[0] or 0
-            self.spark.createDataFrame([(o, i)], "max_order_id long, max_item_id long") \
-                .write.mode("overwrite").parquet(self._path("_base_marks"))
-        else:
-            r = base.first()
-            o, i = r["max_order_id"], r["max_item_id"]
-        committed = self.committed_runs() if committed is None else committed
-        marks = self._read("id_marks") if committed else None
-        if marks is not None:
-            r = (marks.filter(F.col("run_id").cast("string").isin(committed))
-                 .agg(F.max("max_order_id"), F.max("max_item_id")).first())
-            o, i = max(o, r[0] or 0), max(i, r[1] or 0)
-        return o, i
-
-    def publish(self, run_id: str, frames: dict[str, DataFrame]) -> None:
-        """Write every frame into its run partition, then the commit marker."""
+        """Ids of the committed runs, for inspection."""
+        return [r[0] for r in self.markers().select("run_id").collect()]
+
+    def marker(self, run_id: str):
+        """The commit marker of a run, or None."""
+        return self.markers().filter(F.col("run_id") == F.lit(run_id)).first()
+
+    def table(self, name: str, run_id: str | None = None) -> DataFrame:
+        """Committed rows of ``name`` (of one run, if given); empty with the
+        declared schema when there are none."""
+        found = self._read(name)
+        if found is None:
+            return self.spark.createDataFrame([], self._schema(name))
+        marks = self.markers().select("run_id", "attempt")
+        if run_id is not None:
+            found, marks = (x.filter(F.col("run_id") == F.lit(run_id)) for x in (found, marks))
+        rows = found.join(marks, ["run_id", "attempt"], "left_semi").drop("run_id", "attempt")
+        return conform(rows, name) if name in SCHEMAS else rows
+
+    def current(self, t: Tables) -> Tables:
+        """``t`` with the committed runs applied: their orders and items
+        added, their stock changes summed per product."""
+        change = self.table("stock_changes").groupBy(F.col("product_id").alias("id")).agg(F.sum("change").alias("_change"))
+        products = t.products.join(change, "id", "left").withColumn(
+            "stock", (F.col("stock") + F.coalesce(F.col("_change"), F.lit(0))).cast("int"))
+        return t.with_(orders=t.orders.unionByName(self.table("orders")),
+                       order_items=t.order_items.unionByName(self.table("order_items")),
+                       products=conform(products, "products"))
+
+    def id_marks(self, base_orders: DataFrame, base_items: DataFrame) -> tuple[int, int]:
+        """Highest order id and item id in use: the base tables' maxima, read
+        anew for every run (Parquet statistics answer them), and the marks of
+        committed runs, whose tables are not scanned."""
+        return max_ids(base_orders, base_items, self.table("id_marks"))
+
+    def publish(self, run_id: str, frames: dict[str, DataFrame], counts: dict[str, int] | None = None) -> str:
+        """Write every frame into a new attempt, then the commit marker.
+        Returns the attempt.  Fails if the run is already committed."""
+        attempt = uuid.uuid4().hex
         for name, df in frames.items():
-            df.write.mode("overwrite").parquet(f"{self._path(name)}/run_id={run_id}")
+            df.write.mode("error").parquet(f"{self._path(name)}/run_id={run_id}/attempt=a{attempt}")
+        n = counts or {}
         marker = self.spark.createDataFrame(
-            [(dt.datetime.now(dt.timezone.utc),)], "committed_at timestamp")
-        marker.write.mode("overwrite").parquet(f"{self._path('_runs')}/run_id={run_id}")
+            [("a" + attempt, dt.datetime.now(dt.timezone.utc), n.get("read"), n.get("loaded"), n.get("failed"), n.get("skipped"))],
+            MARKER_SCHEMA)
+        try:
+            marker.coalesce(1).write.mode("error").parquet(f"{self._path('_runs')}/run_id={run_id}")
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_ALREADY_EXISTS":
+                raise RunCommittedError(f"run {run_id} is already committed") from e
+            raise
+        return "a" + attempt
+
+
+def max_ids(base_orders: DataFrame, base_items: DataFrame, marks: DataFrame | None = None) -> tuple[int, int]:
+    """(highest order id, highest item id); 0 for empty tables."""
+    o = base_orders.agg(F.max("id")).first()[0] or 0
+    i = base_items.agg(F.max("id")).first()[0] or 0
+    if marks is not None:
+        r = marks.agg(F.max("max_order_id"), F.max("max_item_id")).first()
+        o, i = max(o, r[0] or 0), max(i, r[1] or 0)
+    return o, i
+
+
+def marks_frame(spark: SparkSession, order_id: int, item_id: int) -> DataFrame:
+    return spark.createDataFrame([(order_id, item_id)], MARKS_SCHEMA)

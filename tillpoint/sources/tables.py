@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillpoint.schema import SCHEMAS
+from tillpoint.session import checkpoint_dir
 
 TABLE_NAMES = ("customers", "categories", "products", "orders", "order_items")
 
@@ -91,14 +93,21 @@ def load_catalog(spark: SparkSession, database: str) -> Tables:
 
 
 def register_views(t: Tables, prefix: str = "") -> None:
-    """Register the tables and the four reporting views as temp views."""
+    """Register the tables and the four reporting views as temp views.
+
+    The two views that rank a whole table are snapshots, taken now and kept
+    under the checkpoint folder outside the scratch folders; register again
+    to refresh them.  The others are live."""
     from tillpoint.plans import analytics as A
     for name, df in t.items():
         df.createOrReplaceTempView(prefix + name)
     A.monthly_revenue_summary(t).createOrReplaceTempView(prefix + "monthly_revenue_summary")
-    A.product_sales_ranking(t).createOrReplaceTempView(prefix + "product_sales_ranking")
-    A.customer_lifetime_value(t).createOrReplaceTempView(prefix + "customer_lifetime_value")
     A.category_performance(t).createOrReplaceTempView(prefix + "category_performance")
+    for name, df in (("product_sales_ranking", A.product_sales_ranking(t)),
+                     ("customer_lifetime_value", A.customer_lifetime_value(t))):
+        path = f"{checkpoint_dir(t.spark)}/tillpoint/views/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        t.spark.read.parquet(path).createOrReplaceTempView(prefix + name)
 
 
 def sql(spark: SparkSession, text: str, args: dict | None = None) -> DataFrame:

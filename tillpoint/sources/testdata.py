@@ -179,8 +179,7 @@ def derive_feed(spark: SparkSession, sf_dir: str, t: Tables | None = None) -> Da
     )
     repeats = feed.filter(F.col("k") % DEFECT_MOD == DUPLICATE_RESIDUE).withColumn("copy", F.lit(1))
     both = feed.unionByName(repeats)
-    numbered = dense_ids(both, ["k", "copy"], "row_num", start=2,
-                         row_bound=t.order_items.count() * 2)
+    numbered = dense_ids(both, ["k", "copy"], "row_num", start=2)
     return numbered.select("order_id", "customer_email", "product_sku", "quantity", "unit_price",
                            "order_date", "status", F.lit("derived:lineitem").alias("source_file"),
                            "row_num")
