@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tillpoint.llm import block_naming, components, jaccard_join, line_dedup, suffix_dedup, suffix_sort
+from tillpoint.llm import block_naming, jaccard_join, line_dedup, suffix_dedup, suffix_sort
+from tillpoint.operators import components
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpoint.llm.common import as_frame, materialize
+from tillpoint.llm.common import as_frame, growing, materialize
 
 BLOCK_BYTES = 4096
 
@@ -58,7 +58,7 @@ def name_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = materialize(
         cut.select("uid", "at", "blocks", "block", F.when(first, F.col("doc_id")).alias("doc_id"),
                    F.when(first, F.col("text_sha256")).alias("text_sha256"))
-        .join(names, "block", "left").drop("block"), "level")
+        .join(growing(names), "block", "left").drop("block"), "level")
     heads = rows.filter("at = 0").select("doc_id", "uid", "text_sha256", "blocks")
     rows = rows.select("uid", "at", "blocks", "name")
     most = rows.agg(F.max("blocks")).first()[0] or 1
@@ -77,7 +77,7 @@ def name_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       F.coalesce(F.max(F.when(F.col("at") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right")))
         pairs = materialize(pairs, "pairs")
         names = _names(pairs, ["left", "right"])
-        rows = materialize(pairs.join(names, ["left", "right"], "left").select("uid", "at", "blocks", "name"), "level")
+        rows = materialize(pairs.join(growing(names), ["left", "right"], "left").select("uid", "at", "blocks", "name"), "level")
         level += 1
     found = done[0]
     for part in done[1:]:
@@ -102,7 +102,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     alone = named.filter("name is null").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256")
-    return shared.join(groups, key).select(*out).unionByName(alone)
+    return shared.join(growing(groups), key).select(*out).unionByName(alone)
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpoint.llm.common import as_frame, col, free_name, materialize, text_slices
-from tillpoint.llm.components import components
+from tillpoint.llm.common import as_frame, col, free_name, growing, materialize, text_slices
 from tillpoint.llm.text import hash_words, mix, odd, split_words, window_hashes
+from tillpoint.operators.components import components
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -91,14 +91,15 @@ def _sign(n: int):
             for first, texts in text_slices(batch.column("text")):
                 sets = ngram_sets(texts, n)
                 some = [i for i, s in enumerate(sets) if len(s)]
-                sign = np.zeros((len(sets), SIGNATURE), np.int32)
+                sign = np.zeros((len(sets), SIGNATURE), "<i4")
                 if some:
                     sign[some] = signatures([sets[i] for i in some])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, len(texts)), batch.column("key").slice(first, len(texts)),
                      pa.array([set_id(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([s.tobytes() for s in sign], pa.binary())],
-                    names=["doc_id", "key", "id", "grams", "sign"])
+                     pa.array([s.tobytes() for s in sign], pa.binary()),
+                     pa.array([s.tobytes() for s in sign.astype(np.int8)], pa.binary())],
+                    names=["doc_id", "key", "id", "grams", "sign", "short"])
     return run
 
 
@@ -152,14 +153,15 @@ class Forest:
 
 
 def _brute_force(threshold: float):
-    """Compare all signatures inside each node (of at most SMALL sets)."""
+    """Compare the low bytes of all signatures inside each node (of at most
+    SMALL sets); unequal values share one in 256 of them, which only adds candidates."""
     least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / SIGNATURE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, "node"):
             node = rows.column("node").to_numpy()
             ids = rows.column("id").to_pylist()
-            sign = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.int32).reshape(len(ids), SIGNATURE)
+            sign = np.frombuffer(b"".join(rows.column("short").to_pylist()), np.int8).reshape(len(ids), SIGNATURE)
             forest, edges = Forest(), []
             for step in range(1, SMALL):
                 i = np.flatnonzero(node[:-step] == node[step:]) if step < len(ids) else node[:0]
@@ -174,18 +176,18 @@ def _brute_force(threshold: float):
 
 
 def candidate_clusters(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Distinct sets (id, sign) -> rows (id, root) of those in a cluster."""
+    """Distinct sets (id, sign, short) -> rows (id, root) of those in a cluster."""
     runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
-    roots = sets.withColumn("node", F.explode(F.array(*[F.lit(r).cast("long") for r in range(runs)])))
+    roots = sets.select("id", "sign").withColumn("node", F.explode(F.array(*[F.lit(r).cast("long") for r in range(runs)])))
     nodes, found = _children(roots, threshold, 1), []
     for depth in range(1, MAX_DEPTH + 1):
         nodes = materialize(nodes.distinct(), "nodes")
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).filter("size > 1")
         sizes = materialize(sizes, "sizes")
-        shared = materialize(nodes.join(sizes, "node").select("node", "size", "first", "id"), "shared")
-        small = shared.filter(F.col("size") <= SMALL).join(sets, "id")
+        shared = materialize(nodes.join(growing(sizes), "node").select("node", "size", "first", "id"), "shared")
+        small = shared.filter(F.col("size") <= SMALL).join(growing(sets.select("id", "short")), "id")
         parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ordered = small.select("node", "id", "sign").repartition(parts, "node").sortWithinPartitions("node", "id")
+        ordered = small.select("node", "id", "short").repartition(parts, "node").sortWithinPartitions("node", "id")
         found.append(materialize(ordered.mapInArrow(_brute_force(threshold), "a binary, b binary").distinct(), "links"))
         large = shared.filter(F.col("size") > SMALL)
         if not large.limit(1).count():
@@ -193,7 +195,7 @@ def candidate_clusters(sets: DataFrame, threshold: float = THRESHOLD, recall: fl
         if depth == MAX_DEPTH:
             found.append(large.select(F.col("first").alias("a"), F.col("id").alias("b")))
         else:
-            nodes = _children(large.join(sets, "id").select("id", "sign", "node"), threshold, 1)
+            nodes = _children(large.join(growing(sets.select("id", "sign")), "id").select("id", "sign", "node"), threshold, 1)
     edges = found[0]
     for part in found[1:]:
         edges = edges.unionByName(part)
@@ -273,17 +275,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows that link to each other.  An empty table gives an empty result."""
     keyed = _keyed(docs, id_col, text_col)
     id_type = keyed.schema["doc_id"].dataType.simpleString()
-    rows = materialize(keyed.mapInArrow(_sign(ngram), f"doc_id {id_type}, key long, id binary, grams long, sign binary"), "signed")
+    rows = materialize(keyed.mapInArrow(_sign(ngram), f"doc_id {id_type}, key long, id binary, grams long, sign binary, short binary"), "signed")
     sets = materialize(rows.filter("grams > 0").groupBy("id").agg(
-        F.count(F.lit(1)).alias("often"), F.first("sign").alias("sign"), F.min("key").alias("key"), F.first("grams").alias("grams")), "sets")
-    clusters = candidate_clusters(sets.select("id", "sign"), threshold, recall)
-    inside = materialize(clusters.join(sets.select("id", "often", "key", "grams"), "id"), "inside")
+        F.count(F.lit(1)).alias("often"), F.first("sign").alias("sign"), F.first("short").alias("short"), F.min("key").alias("key"), F.first("grams").alias("grams")), "sets")
+    clusters = candidate_clusters(sets.select("id", "sign", "short"), threshold, recall)
+    inside = materialize(clusters.join(growing(sets.select("id", "often", "key", "grams")), "id"), "inside")
     # Blocks hold at most about BLOCK sets and BLOCK_GRAMS n-grams.
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("grams") / F.lit(BLOCK_GRAMS))).cast("int")
     sizes = materialize(inside.groupBy("root").agg(blocks.alias("blocks")), "sizes")
-    members = materialize(inside.drop("grams").join(sizes, "root"), "members")
+    members = materialize(inside.drop("grams").join(growing(sizes), "root"), "members")
     # One text of each member, read again; rows that only share the key drop out by their id.
-    texts = keyed.select("key", "text").join(members, "key").select("id", "root", "blocks", "often", "text")
+    texts = keyed.select("key", "text").join(growing(members), "key").select("id", "root", "blocks", "often", "text")
     full = texts.mapInArrow(_grams(ngram), "id binary, root binary, blocks int, often long, grams binary")
     full = materialize(full.dropDuplicates(["id"]), "grams")
     full = full.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -292,12 +294,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     compared = materialize(pairs.groupBy("root", "lo", "hi").applyInPandas(_compare(threshold), "a binary, b binary, links long"), "compared")
     links = compared.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     joined = components(compared.filter("b is not null").select("a", "b"))
-    of = (sets.select("id", "often").join(joined, "id", "left").join(links, "id", "left")
+    of = (sets.select("id", "often").join(growing(joined), "id", "left").join(growing(links), "id", "left")
           .select("id", F.coalesce("root", "id").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("often") - 1).alias("n_links")))
     of = materialize(of, "classes")
-    placed = materialize(rows.select("doc_id", "key", "id", "grams").filter("grams > 0").join(of, "id"), "placed")
+    placed = materialize(rows.select("doc_id", "key", "id", "grams").filter("grams > 0").join(growing(of), "id"), "placed")
     classes = materialize(placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_docs")), "class")
-    out = placed.join(classes, "root").select(
+    out = placed.join(growing(classes), "root").select(
         "doc_id", "key", "class_id", "class_docs", "n_links", F.lower(F.hex("root")).alias("class_set"))
     alone = rows.filter("grams = 0").select("doc_id", "key", F.col("doc_id").alias("class_id"),
                                            F.lit(1).cast("long").alias("class_docs"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("string").alias("class_set"))
@@ -312,15 +314,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = materialize(jaccard_join(docs, id_col, text_col, **options), "joined").filter("class_docs > 1")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     stay = materialize(found.groupBy("class_set").agg(least.alias("first")).select("class_set", F.col("first.key").alias("stay")), "stay")
-    act = (found.groupBy("key", "class_set").agg(F.count(F.lit(1)).alias("rows")).join(stay, "class_set")
+    act = (found.groupBy("key", "class_set").agg(F.count(F.lit(1)).alias("rows")).join(growing(stay), "class_set")
            .withColumn("drop", F.col("key") != F.col("stay")).filter("drop or rows > 1"))
     act = materialize(act.groupBy("key").agg(F.min("drop").alias("drop")), "act")
     key, drop, seen = free_name(docs, "key"), free_name(docs, "drop"), free_name(docs, "seen")
     marked = docs.withColumn(key, F.xxhash64(col(id_col), col(text_col)))
     of = act.select(F.col("key").alias(seen), F.col("drop").alias(drop))
-    out = marked.join(of.select(seen), col(key) == col(seen), "left_anti").select(*[col(c) for c in docs.columns])
+    out = marked.join(growing(of.select(seen)), col(key) == col(seen), "left_anti").select(*[col(c) for c in docs.columns])
     if act.filter("not drop").limit(1).count():
-        one = marked.join(of.filter(~col(drop)), col(key) == col(seen), "left_semi")
+        one = marked.join(growing(of.filter(~col(drop))), col(key) == col(seen), "left_semi")
         first = F.first(F.struct(*[col(c) for c in docs.columns])).alias(drop)
         out = out.unionByName(one.groupBy(col(key)).agg(first).select(f"{drop}.*"))
     return out

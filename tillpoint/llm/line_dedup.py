@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpoint.llm.common import as_frame, materialize
+from tillpoint.llm.common import as_frame, growing, materialize
 
 MIN_WORDS = 10
 
@@ -83,10 +83,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Counting a document's units once, so that repeated rows alone are no repeat.
     first = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
     first = materialize(first.select("digest", "first.key", "first.lo"), "first")
-    later = found.join(first.select("digest", F.col("key").alias("first_key"), F.col("lo").alias("first_lo")), "digest")
+    later = found.join(growing(first.select("digest", F.col("key").alias("first_key"), F.col("lo").alias("first_lo"))), "digest")
     later = later.filter("key <> first_key or lo <> first_lo").select("key", "lo", "hi").distinct()
     spans = materialize(later.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    texts = keyed.join(spans, "key", "left").select("doc_id", "bytes", "spans")
+    texts = keyed.join(growing(spans), "key", "left").select("doc_id", "bytes", "spans")
     return texts.mapInArrow(_remove(min_words), f"doc_id {kind}, units long, removed array<struct<lo:long,hi:long>>, kept string")
 
 

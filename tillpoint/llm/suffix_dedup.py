@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillpoint.llm.common import as_frame, materialize, text_slices
+from tillpoint.llm.common import as_frame, growing, materialize, text_slices
 from tillpoint.llm.jaccard_join import whole_groups
 from tillpoint.llm.suffix_sort import common_prefixes, suffix_order
 from tillpoint.llm.text import mix
@@ -210,14 +210,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, probe: int = PROBE,
                                             F.max("segment").alias("b"), F.max("moves").alias("moves"))
     buckets = buckets.filter("rows > 1 or moves").select("bucket", F.expr("a <> b or moves").alias("mixed"))
     buckets = materialize(buckets, "buckets")
-    shared = materialize(found.join(buckets, "bucket"), "shared")
+    shared = materialize(found.join(growing(buckets), "bucket"), "shared")
     # A bucket of one segment: all its copies repeat.
     spans = shared.filter("not mixed").select("key", F.col("first").alias("lo"), (F.col("first") + F.col("starts") + (length - 1)).alias("hi"))
     mixed = shared.filter("mixed").drop("mixed")
     distinct = mixed.groupBy("bucket", "segment").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "first", "starts")).alias("at"))
     distinct = materialize(distinct, "segments")
     sizes = materialize(distinct.groupBy("bucket").agg(F.count(F.lit(1)).alias("segments")), "sizes")
-    distinct = materialize(distinct.join(sizes, "bucket").select(
+    distinct = materialize(distinct.join(growing(sizes), "bucket").select(
         "bucket", "segment", "copies", "segments", "at.key", "at.first", "at.starts",
         (F.col("at.starts") + (length - 1)).alias("size")), "segments")
     found_ranges = []
@@ -227,20 +227,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, probe: int = PROBE,
             continue
         wanted = chosen.groupBy("key").agg(F.collect_list(F.struct("bucket", "segment", "copies", "starts", "first", "size")).alias("wanted"))
         wanted = materialize(wanted, "wanted")
-        text = docs.select("key", F.col("text").cast("binary").alias("bytes")).join(wanted, "key").select("bytes", "wanted")
+        text = docs.select("key", F.col("text").cast("binary").alias("bytes")).join(growing(wanted), "key").select("bytes", "wanted")
         cut = text.mapInArrow(_cut, "bucket long, segment long, copies long, starts int, bytes binary")
         if large:
             strings = materialize(cut.mapInArrow(_strings(length), "bucket long, segment long, lo int, copies long, string binary").dropDuplicates(
                 ["bucket", "segment", "lo"]), "strings")
             often = materialize(strings.groupBy("string").agg(F.sum("copies").alias("n")).filter("n > 1").select("string"), "often")
-            found_ranges.append(strings.join(often, "string").select("bucket", "segment", "lo", (F.col("lo") + 1).alias("hi")))
+            found_ranges.append(strings.join(growing(often), "string").select("bucket", "segment", "lo", (F.col("lo") + 1).alias("hi")))
         else:
             ordered = cut.repartition(parts, "bucket").sortWithinPartitions("bucket", "segment")
             ranges = materialize(ordered.mapInArrow(_sort(length), "bucket long, segment long, ranges array<struct<lo:int,hi:int>>"), "ranges")
             found_ranges.append(ranges.select("bucket", "segment", F.explode("ranges").alias("r")).select("bucket", "segment", "r.lo", "r.hi"))
     for ranges in found_ranges:
         ranges = materialize(ranges, "found")
-        spans = spans.unionByName(mixed.join(ranges, ["bucket", "segment"]).select(
+        spans = spans.unionByName(mixed.join(growing(ranges), ["bucket", "segment"]).select(
             "key", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + (length - 1)).alias("hi")))
     return spans.distinct()
 
@@ -285,7 +285,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = keyed.withColumn("key", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(keyed.select("key", "text"), length, probe, bucket_segments)
     covered = materialize(spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("covered")), "covered")
-    texts = keyed.select("key", "doc_id", F.col("text").cast("binary").alias("bytes")).join(covered, "key", "left")
+    texts = keyed.select("key", "doc_id", F.col("text").cast("binary").alias("bytes")).join(growing(covered), "key", "left")
     kind = keyed.schema["doc_id"].dataType.simpleString()
     return texts.select("doc_id", "bytes", "covered").mapInArrow(
         _remove, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<lo:long,hi:long>>, kept binary")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillpoint.llm.common import materialize
+from tillpoint.llm.common import growing, materialize
 
 # Query parameters that do not select content, and headers that describe the
 # stored payload and so are never taken from a not-modified answer.
@@ -85,8 +85,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     revisits = records.filter("kind = 'revisit'").select("record_id", "etag", "last_modified", "digest", "headers")
     stored = records.filter("kind = 'response'").select(
         F.col("record_id").alias("target"), *[F.col(c).alias(f"old_{c}") for c in ("etag", "last_modified", "digest", "headers")])
-    asked = materialize(revisits.join(found, "record_id", "left"), "asked")
-    both = asked.join(stored, "target", "left")
+    asked = materialize(revisits.join(growing(found), "record_id", "left"), "asked")
+    both = asked.join(growing(stored), "target", "left")
     tests = [("etag", _plain_etag(F.col("etag")) == _plain_etag(F.col("old_etag"))),
              ("last_modified", F.col("last_modified") == F.col("old_last_modified")), ("digest", F.col("digest") == F.col("old_digest"))]
     validator = F.coalesce(*[F.when(t.isNotNull(), F.lit(n)) for n, t in tests])
