@@ -34,12 +34,11 @@ from tillpoint.llm.text import mix
 
 LENGTH = 400
 PROBE = 128
-# Starts in one segment, bytes of text hashed at once, segments per bucket,
-# and bytes of segments sorted at once.
-RUN = 256
+# Bytes of text hashed at once, segments per bucket, and bytes of segments
+# sorted at once.
 CHUNK = 1 << 20
 BUCKET_SEGMENTS = 4096
-SORT_BYTES = 4 << 20
+SORT_BYTES = 1 << 20
 
 # Bits for a place in a chunk.
 _PLACE = 21
@@ -80,10 +79,12 @@ def runs(data: np.ndarray, length: int, probe: int, power: tuple[np.ndarray, np.
         ranked = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))
         place = (low - (_smallest(ranked, length - probe + 1) & low)).astype(np.int64)
         least = h[place]
+        # A hash stands in a text's strings for length - probe + 1 starts, unless it
+        # comes again; only runs that repeat themselves reach twice that and are cut.
         new = np.concatenate([[True], least[1:] != least[:-1]])
         since = np.arange(len(least))
         since -= np.maximum.accumulate(np.where(new, since, 0))
-        first = np.flatnonzero(since % RUN == 0)
+        first = np.flatnonzero(since % (2 * (length - probe + 1)) == 0)
         count = np.diff(np.append(first, len(least)))
         moves = place[first] != place[first + count - 1]
         stop = first + count + length - 1
@@ -149,7 +150,9 @@ def repeated_starts(segments: list[bytes], starts: np.ndarray, length: int) -> l
         asked[a:a + n] = True
     order = suffix_order(data, length)
     order = order[asked[order]]
-    long = common_prefixes(data, order[:-1], order[1:], length) >= length
+    # A string that is asked for ends inside its segment: bytes will do here.
+    plain = (data - 1).astype(np.uint8)
+    long = common_prefixes(plain, order[:-1], order[1:], length) >= length
     hit = np.zeros(len(data), bool)
     hit[order[:-1][long]] = hit[order[1:][long]] = True
     return [hit[a:a + n] for a, n in zip(first, starts)]

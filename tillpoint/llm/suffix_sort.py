@@ -10,22 +10,30 @@ from __future__ import annotations
 import numpy as np
 
 _PACK, _BITS = 6, 10
+# Suffixes compared at once.
+_PAIRS = 8192
 
 
-def _refine(rank: np.ndarray, who: np.ndarray, key: np.ndarray) -> None:
-    """Split groups of equal rank (a rank is the group's first place) by
-    ``key``; ``who`` must hold whole groups."""
-    order = np.lexsort((key, rank[who]))
-    who, key = who[order], key[order]
+def _refine(rank: np.ndarray, who: np.ndarray, order: np.ndarray, differs: np.ndarray) -> None:
+    """Split groups of equal rank (a rank is the group's first place).
+    ``who`` holds whole groups, ``order`` sorts it by rank and key, ``differs``
+    says where the key of ``who[order]`` differs from the one before."""
+    who = who[order]
     old = rank[who]
-    first = np.concatenate([[True], old[1:] != old[:-1]])
-    split = first | np.concatenate([[True], key[1:] != key[:-1]])
+    first = np.empty(len(who), bool)
+    first[0], first[1:] = True, old[1:] != old[:-1]
     at = np.arange(len(who))
     group = np.maximum.accumulate(np.where(first, at, 0))
-    start = np.maximum.accumulate(np.where(split, at, 0))
+    start = np.maximum.accumulate(np.where(first | differs, at, 0))
     rank[who] = old + start - group
 
 
+def _differs(key: np.ndarray) -> np.ndarray:
+    out = np.empty(len(key), bool)
+    out[0], out[1:] = True, key[1:] != key[:-1]
+    return out
+
+
 def _tied(rank: np.ndarray, who: np.ndarray) -> np.ndarray:
     count = np.bincount(rank, minlength=len(rank) + 1)
     return who[count[rank[who]] > 1]
@@ -47,12 +55,16 @@ def _sort_smaller(symbols: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray
             inside = done + k < size[who]
             place = np.minimum(at[who] + done + k, n)
             key = (key << _BITS) | np.where(inside, padded[place], 0)
-        _refine(rank, who, key)
+        order = np.argsort(key) if not done else np.lexsort((key, rank[who]))
+        _refine(rank, who, order, _differs(key[order]))
         done += _PACK
         who = _tied(rank, who)
         who = who[size[who] > done]
-    step = 1
+    step, bits = 1, int(m).bit_length()
     who = _tied(rank, np.arange(m))
+    # Three ranks make one key while they fit; 0 stands for the end of the text.
+    ahead = 2 if 3 * bits <= 63 else 1
+    after = np.zeros(m + 1, np.int64)
     while len(who):
         # Units that already cover ``depth`` bytes need no more.
         ends = np.where(who + step < m, at[np.minimum(who + step, m - 1)], n)
@@ -61,10 +73,14 @@ def _sort_smaller(symbols: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray
         who = who[open_rank[rank[who]]]
         if not len(who):
             break
-        nxt = who + step
-        _refine(rank, who, np.where(nxt < m, rank[np.minimum(nxt, m - 1)], -1))
+        after[:m] = rank + 1
+        key = rank[who]
+        for k in range(1, ahead + 1):
+            key = (key << bits) | after[np.minimum(who + k * step, m)]
+        order = np.argsort(key)
+        _refine(rank, who, order, _differs(key[order]))
         who = _tied(rank, who)
-        step *= 2
+        step *= ahead + 1
     return at[np.argsort(rank, kind="stable")]
 
 
@@ -109,20 +125,10 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
 
 def common_prefixes(data: np.ndarray, left: np.ndarray, right: np.ndarray, depth: int) -> np.ndarray:
     """Length of the common prefix of each two suffixes, up to ``depth``."""
-    padded = np.concatenate([data.astype(np.uint16), np.zeros(depth + 4, np.uint16)])
-    four = np.lib.stride_tricks.sliding_window_view(padded, 4)
-    out = np.zeros(len(left), np.int64)
-    who, at = np.arange(len(left)), 0
-    while len(who) and at < depth:
-        a = np.ascontiguousarray(four[left[who] + at]).view("<u8").ravel()
-        b = np.ascontiguousarray(four[right[who] + at]).view("<u8").ravel()
-        differ = a ^ b
-        same = differ == 0
-        low = differ & (~differ + np.uint64(1))
-        bits = np.zeros(len(who), np.int64)
-        some = ~same
-        bits[some] = np.log2(low[some].astype(np.float64)).astype(np.int64) // 16
-        out[who] = at + np.where(same, 4, bits)
-        who = who[same]
-        at += 4
-    return np.minimum(np.minimum(out, depth), len(data) - np.maximum(left, right))
+    window = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(depth, data.dtype)]), depth)
+    out = np.empty(len(left), np.int64)
+    for a in range(0, len(left), _PAIRS):
+        differ = window[left[a:a + _PAIRS]] != window[right[a:a + _PAIRS]]
+        first = differ.argmax(axis=1)
+        out[a:a + _PAIRS] = np.where(differ[np.arange(len(first)), first], first, depth)
+    return np.minimum(out, len(data) - np.maximum(left, right))
