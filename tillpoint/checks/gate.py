@@ -16,7 +16,10 @@ from tillpoint.functions.expr import ts_lit
 from tillpoint.plans import analytics as A
 from tillpoint.plans import catalog as C
 from tillpoint.operators import contracts as K
-from tillpoint.session import ensure_defaults
+from tillpoint.session import ensure_defaults, scratch_path
+from tillpoint.sources.feed import write_feed_files
+from tillpoint.sources.sinks import to_json_documents
+from tillpoint.sources.store import RunStore
 from tillpoint.sources.testdata import bind, derive_feed
 from tillpoint.plans import feed_load as L
 from tillpoint.plans import placement as P
@@ -79,9 +82,7 @@ PLACED_AT = dt.datetime(2001, 9, 1)
 
 
 def _place(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
-    """Placement of the requests derived from pending orders (no oracle:
-    the result is defined by sequential processing; the tests compare it
-    with a one-by-one loop)."""
+    """Placement of the requests derived from all orders."""
     ensure_defaults(spark)
     t = bind(spark, sf_dir)
     raw_o = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
@@ -92,6 +93,89 @@ def _place(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
     return for_oracle(frame)
 
 
+FEED_FILE_ROWS = 5_000
+
+
+def _published(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
+    """The derived feed through CSV files and the store: a load, a replay of
+    it, a load of the same files as a new run, and a load of a missing file."""
+    ensure_defaults(spark)
+    t = bind(spark, sf_dir)
+    folder = scratch_path(spark, "feed_csv")
+    write_feed_files(derive_feed(spark, sf_dir, t), folder, FEED_FILE_ROWS)
+    if part == "csv_rejects":
+        res = L.load_feed(t, folder, dry_run=True)
+        chunk = F.regexp_extract("source_file", r"chunk=(\d+)", 1).cast("long").alias("chunk")
+        return for_oracle(res.classified.filter("outcome = 'rejected'").select(chunk, "row_num", "stage", "code", "message"))
+    store = RunStore(spark, scratch_path(spark, "store"))
+    for run_id in ("1", "1", "2"):
+        L.load_feed(t, folder, store, run_id=run_id, source_name="derived:csv")
+    try:
+        L.load_feed(t, folder + "/absent", store, run_id="3", source_name="derived:absent")
+    except FileNotFoundError:
+        pass
+    if part == "log":
+        return for_oracle(store.table("etl_run_log").select("id", "source_file", "status", "records_read", "records_loaded", "records_failed"))
+    if part == "ledger":
+        return for_oracle(store.table("load_ledger"))
+    return for_oracle(store.table("orders").join(
+        store.table("order_items").select(F.col("id").alias("item_id"), F.col("order_id").alias("id"), "product_id", "quantity"), "id")
+        .select("id", "customer_id", "status", "total_amount", "placed_at", "item_id", "product_id", "quantity"))
+
+
+def _hurt(t):
+    """The tables with breaches of every rule, chosen by id."""
+    def put(df, mod, **changes):
+        for k, (name, value) in enumerate(changes.items(), start=1):
+            column = name.split("__")[0]
+            df = df.withColumn(column, F.when(F.col("id") % mod == k, value).otherwise(F.col(column)).cast(df.schema[column].dataType))
+        return df
+    null = F.lit(None)
+    log = t.orders.select(
+        "id", F.col("placed_at").alias("run_at"), F.lit("feed.csv").alias("source_file"), F.lit(5).cast("long").alias("records_read"),
+        F.lit(5).cast("long").alias("records_loaded"), F.lit(0).cast("long").alias("records_failed"), F.lit("completed").alias("status"),
+        null.cast("string").alias("error_message"), F.lit(1).cast("long").alias("duration_ms"))
+    return t.with_(
+        customers=put(t.customers, 50, email=null, email__2=F.lit("same@example.com"), country=F.repeat(F.lit("x"), F.lit(101)),
+                      is_active=null, first_name=F.repeat(F.lit("n"), F.lit(101)), created_at=null),
+        categories=t.categories.withColumn("name", F.when(F.col("id") <= 2, "TWICE").otherwise(F.col("name"))),
+        products=put(t.products, 40, unit_price=F.lit(-1), stock=F.lit(-1), category_id=F.lit(99), sku=F.repeat(F.lit("S"), F.lit(51)),
+                     sku__2=F.lit("SAME"), name=null),
+        orders=put(t.orders, 60, status=F.lit("lost"), total_amount=F.lit(-1), customer_id=F.lit(10 ** 9), currency=F.lit("EURO"),
+                   placed_at=null, status__2=null, customer_id__2=null),
+        order_items=put(t.order_items, 70, quantity=F.lit(0), unit_price=F.lit(-1), order_id=F.lit(10 ** 9), product_id=null,
+                        subtotal=F.col("subtotal") + 1, subtotal__2=null, id__2=F.lit(7)),
+        etl_run_log=put(log, 80, status=F.lit("unknown"), status__2=F.repeat(F.lit("s"), F.lit(21)), status__3=null,
+                        source_file=F.repeat(F.lit("f"), F.lit(501)), records_read=null, run_at=null))
+
+
+def _one(fn: Callable) -> Callable:
+    """A single-id lookup: ``fn(t, id)`` for the largest id of the orders."""
+    def run(t):
+        r = t.orders.orderBy(F.col("id").desc()).select("id", "customer_id").first()
+        return fn(t, r["id"], r["customer_id"])
+    return _q(run)
+
+
+def _sql(name: str, call: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A SQL table function over views of the bound tables."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ensure_defaults(spark)
+        A.register_table_functions(bind(spark, sf_dir), "gate_")
+        return for_oracle(spark.sql(f"SELECT * FROM gate_{name}({call})"))
+    return run
+
+
+def _null_emails(df):
+    return df.withColumn("email", F.when(F.col("id") % 4 != 0, F.col("email")))
+
+
+def _product_categories(t):
+    """Every product a category of its own: many shares of all sizes."""
+    cats = t.products.select("id", F.col("sku").alias("name"), "description", "created_at")
+    return A.category_performance(t.with_(categories=cats, products=t.products.withColumn("category_id", F.col("id"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "monthly_revenue_summary": _q(A.monthly_revenue_summary),
     "product_sales_ranking": _q(A.product_sales_ranking),
@@ -125,6 +209,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feed_load_items": lambda spark, d: _feed(spark, d, "items"),
     "feed_rerun_skips": lambda spark, d: _feed(spark, d, "rerun"),
     "feed_run_log": lambda spark, d: _feed(spark, d, "log"),
+    "feed_csv_rejects": lambda spark, d: _published(spark, d, "csv_rejects"),
+    "feed_published_twice": lambda spark, d: _published(spark, d, "orders"),
+    "feed_published_ledger": lambda spark, d: _published(spark, d, "ledger"),
+    "feed_published_log": lambda spark, d: _published(spark, d, "log"),
+    "contract_breaches": _q(lambda t: K.validate_contract(_hurt(t))),
+    "insert_if_absent_nulls": _q(lambda t: K.insert_if_absent(
+        _null_emails(t.customers.filter(F.col("created_at") < ts_lit(dt.datetime(1995, 7, 1)))),
+        _null_emails(t.customers), ["email"], prefer="id").select("id", "email")),
+    "apply_defaults": _q(lambda t: K.apply_defaults(t.orders.drop("status", "currency"), "orders")
+                         .select("id", "customer_id", "status", "currency", "total_amount")),
+    "apply_generated": _q(lambda t: K.apply_defaults(t.order_items.drop("subtotal"), "order_items").select("id", "subtotal")),
+    "delete_cascade": _q(lambda t: K.delete_cascade(t, t.orders.filter("status <> 'cancelled'")).order_items),
+    "order_documents": _q(lambda t: to_json_documents(C.order_detail(t, order_ids=t.orders.select("id")))),
+    "order_lookup": _one(lambda t, oid, cid: C.order_detail_lines(t, order_id=oid)),
+    "customer_lookup": _one(lambda t, oid, cid: C.customer_by_id(t, cid)),
+    "customer_orders_lookup": _one(lambda t, oid, cid: C.orders_by_customer(t, cid)),
+    "product_lookup": _one(lambda t, oid, cid: C.product_by_id(t, 1, nested=False)),
+    "category_lookup": _one(lambda t, oid, cid: C.products_by_category(t, 1)),
+    "category_performance_api": _q(lambda t: A.category_performance(t, api_form=True)),
+    "category_shares": _q(_product_categories),
+    "sql_sales_by_period": _sql("get_sales_by_period", "TIMESTAMP '1997-01-01 00:00:00', TIMESTAMP '1997-12-31 00:00:00'"),
+    "sql_top_customers": _sql("get_top_customers", f"5, '{oracle.TOP_COUNTRY}'"),
     "place_orders_accepted": lambda spark, d: _place(spark, d, "orders"),
     "place_orders_items": lambda spark, d: _place(spark, d, "items"),
     "place_orders_rejects": lambda spark, d: _place(spark, d, "rejects"),

@@ -321,6 +321,8 @@ def _contract_sql() -> str:
         return _COLUMN_SQL.get((table, c), c)
 
     for table, k in CONTRACTS.items():
+        if table not in _CONTRACT_SOURCES:
+            continue
         src = _CONTRACT_SOURCES[table]
         sel = []
         for c in k.not_null:
@@ -475,3 +477,132 @@ SELECT CAST(1 AS BIGINT) AS id, 'derived:lineitem' AS source_file, CAST(r AS BIG
        CAST(l AS BIGINT) AS records_loaded, CAST(f AS BIGINT) AS records_failed, 'completed' AS status,
        m AS error_message
 FROM tot, em"""
+
+# ---------------------------------------------------------------------------
+# The feed through files and store: chunks of rows are files, files of the
+# first column order come before those of the other.
+# ---------------------------------------------------------------------------
+_FILES = _FEED.replace("feed AS (SELECT *, row_number() OVER (ORDER BY k, copy) + 1 AS row_num FROM fc)",
+                       """fn AS (SELECT *, row_number() OVER (ORDER BY k, copy) - 1 AS nth FROM fc),
+feed AS (SELECT *, nth // 5000 AS chunk, nth % 5000 + 2 AS line,
+                row_number() OVER (ORDER BY (nth // 5000) % 2, nth) AS row_num FROM fn)""")
+_FILES = _FILES.replace("tg AS (SELECT row_num, ", "tg AS (SELECT row_num, chunk, line, ").replace("[Row ' || row_num ||", "[Row ' || line ||")
+Q["feed_csv_rejects"] = PREFIX + _FILES + """
+SELECT CAST(chunk AS BIGINT) AS chunk, CAST(line AS BIGINT) AS row_num, CAST(stage AS BIGINT) AS stage, code, message
+FROM cl WHERE outcome = 'rejected'"""
+Q["feed_published_twice"] = PREFIX + _FILES + """
+SELECT (SELECT max(id) FROM ord) + seq AS id, customer_id, s AS status,
+       CAST(CAST(q * p AS DECIMAL(12,2)) AS DOUBLE) AS total_amount, CAST(d AS TIMESTAMP) AS placed_at,
+       (SELECT max(id) FROM item) + seq AS item_id, product_id, CAST(q AS BIGINT) AS quantity
+FROM ld"""
+Q["feed_published_ledger"] = PREFIX + _FILES + """
+SELECT external_order_id, product_sku, CAST(line AS BIGINT) AS row_num, (SELECT max(id) FROM ord) + seq AS order_id FROM ld"""
+Q["feed_published_log"] = PREFIX + _FILES + """
+, tot AS (SELECT count(*) AS r, count_if(outcome = 'loaded') AS l, count_if(outcome = 'rejected') AS f FROM cl)
+SELECT CAST(id AS BIGINT) AS id, source_file, status, CAST(CASE WHEN id < 3 THEN r ELSE 0 END AS BIGINT) AS records_read,
+       CAST(CASE id WHEN 1 THEN l ELSE 0 END AS BIGINT) AS records_loaded, CAST(CASE WHEN id < 3 THEN f ELSE 0 END AS BIGINT) AS records_failed
+FROM tot, (VALUES (1, 'derived:csv', 'completed'), (2, 'derived:csv', 'completed'), (3, 'derived:absent', 'failed')) v(id, source_file, status)"""
+
+# ---------------------------------------------------------------------------
+# Breaches of every rule, written out by hand: (table, rule, column, count).
+# ---------------------------------------------------------------------------
+_HURT = PREFIX + """
+, hc AS (SELECT id, CASE WHEN id % 50 = 1 THEN NULL WHEN id % 50 = 2 THEN 'same@example.com' ELSE email END AS email,
+                CASE WHEN id % 50 = 3 THEN repeat('x', 101) ELSE country END AS country,
+                CASE WHEN id % 50 = 4 THEN NULL ELSE is_active END AS is_active,
+                CASE WHEN id % 50 = 5 THEN repeat('n', 101) ELSE first_name END AS first_name,
+                last_name, city, CASE WHEN id % 50 = 6 THEN NULL ELSE created_at END AS created_at FROM cust),
+hk AS (SELECT id, CASE WHEN id <= 2 THEN 'TWICE' ELSE name END AS name, 'x' AS created_at FROM cat),
+hp AS (SELECT id, CASE WHEN id % 40 = 1 THEN -100 ELSE price_c END AS unit_price, CASE WHEN id % 40 = 2 THEN -1 ELSE stock END AS stock,
+              CASE WHEN id % 40 = 3 THEN 99 ELSE category_id END AS category_id,
+              CASE WHEN id % 40 = 4 THEN repeat('S', 51) WHEN id % 40 = 5 THEN 'SAME' ELSE sku END AS sku,
+              CASE WHEN id % 40 = 6 THEN NULL ELSE name END AS name, is_active, created_at FROM prod),
+ho AS (SELECT id, CASE WHEN id % 60 = 1 THEN 'lost' WHEN id % 60 = 6 THEN NULL ELSE status END AS status,
+              CASE WHEN id % 60 = 2 THEN -100 ELSE total_c END AS total_amount,
+              CASE WHEN id % 60 = 3 THEN 1000000000 WHEN id % 60 = 7 THEN NULL ELSE customer_id END AS customer_id,
+              CASE WHEN id % 60 = 4 THEN 'EURO' ELSE currency END AS currency, CASE WHEN id % 60 = 5 THEN NULL ELSE placed_at END AS placed_at
+       FROM ord),
+hi AS (SELECT CASE WHEN id % 70 = 7 THEN 7 ELSE id END AS id, CASE WHEN id % 70 = 1 THEN 0 ELSE quantity END AS quantity,
+              CASE WHEN id % 70 = 2 THEN -100 ELSE price_c END AS unit_price, CASE WHEN id % 70 = 3 THEN 1000000000 ELSE order_id END AS order_id,
+              CASE WHEN id % 70 = 4 THEN NULL ELSE product_id END AS product_id,
+              CASE WHEN id % 70 = 5 THEN sub_c + 100 WHEN id % 70 = 6 THEN NULL ELSE sub_c END AS subtotal FROM item),
+hl AS (SELECT id, CASE id % 80 WHEN 1 THEN 'unknown' WHEN 2 THEN repeat('s', 21) WHEN 3 THEN NULL ELSE 'completed' END AS status,
+              CASE WHEN id % 80 = 4 THEN repeat('f', 501) ELSE 'feed.csv' END AS source_file,
+              CASE WHEN id % 80 = 5 THEN NULL ELSE 5 END AS records_read, 5 AS records_loaded, 0 AS records_failed,
+              CASE WHEN id % 80 = 6 THEN NULL ELSE placed_at END AS run_at FROM ord)
+"""
+_NULLS = [("hc", "customers", "id email first_name last_name created_at is_active"), ("hk", "categories", "id name created_at"),
+          ("hp", "products", "id category_id sku name unit_price stock is_active created_at"),
+          ("ho", "orders", "id customer_id status total_amount currency placed_at"),
+          ("hi", "order_items", "id order_id product_id quantity unit_price"),
+          ("hl", "etl_run_log", "id run_at records_read records_loaded records_failed status")]
+_RULES = [
+    ("hc", "customers", "max_length_255", "email", "length(email) > 255"), ("hc", "customers", "max_length_100", "first_name", "length(first_name) > 100"),
+    ("hc", "customers", "max_length_100", "last_name", "length(last_name) > 100"), ("hc", "customers", "max_length_100", "country", "length(country) > 100"),
+    ("hc", "customers", "max_length_100", "city", "length(city) > 100"), ("hk", "categories", "max_length_100", "name", "length(name) > 100"),
+    ("hp", "products", "range>=0", "unit_price", "unit_price < 0"), ("hp", "products", "range>=0", "stock", "stock < 0"),
+    ("hp", "products", "max_length_50", "sku", "length(sku) > 50"), ("hp", "products", "max_length_255", "name", "length(name) > 255"),
+    ("ho", "orders", "range>=0", "total_amount", "total_amount < 0"),
+    ("ho", "orders", "domain", "status", "status NOT IN ('pending', 'confirmed', 'shipped', 'delivered', 'cancelled', 'refunded')"),
+    ("ho", "orders", "max_length_50", "status", "length(status) > 50"), ("ho", "orders", "max_length_3", "currency", "length(currency) > 3"),
+    ("hi", "order_items", "range>0", "quantity", "quantity <= 0"), ("hi", "order_items", "range>=0", "unit_price", "unit_price < 0"),
+    ("hi", "order_items", "generated", "subtotal", "subtotal IS DISTINCT FROM quantity * unit_price"),
+    ("hl", "etl_run_log", "domain", "status", "status NOT IN ('started', 'completed', 'failed')"),
+    ("hl", "etl_run_log", "max_length_500", "source_file", "length(source_file) > 500"), ("hl", "etl_run_log", "max_length_20", "status", "length(status) > 20"),
+]
+_KEYS = [("hc", "customers", "id"), ("hc", "customers", "email"), ("hk", "categories", "id"), ("hk", "categories", "name"), ("hp", "products", "id"),
+         ("hp", "products", "sku"), ("ho", "orders", "id"), ("hi", "order_items", "id"), ("hl", "etl_run_log", "id")]
+_REFERENCES = [("hp", "products", "category_id", "hk", "categories"), ("ho", "orders", "customer_id", "hc", "customers"),
+               ("hi", "order_items", "order_id", "ho", "orders"), ("hi", "order_items", "product_id", "hp", "products")]
+_LINES = [(src, t, "not_null", c, f"count_if({c} IS NULL)") for src, t, cols in _NULLS for c in cols.split()]
+_LINES += [(src, t, rule, c, f"count_if({cond})") for src, t, rule, c, cond in _RULES]
+_LINES += [(src, t, "unique", c, f"count({c}) - count(DISTINCT {c})") for src, t, c in _KEYS]
+_LINES += [(f"(SELECT * FROM {src} c ANTI JOIN {parent} p ON c.{c} = p.id)", t, "foreign_key", f"{c}->{of}.id", f"count({c})")
+           for src, t, c, parent, of in _REFERENCES]
+Q["contract_breaches"] = _HURT + "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS \"table\", '{rule}' AS rule, '{c}' AS \"column\", CAST({n} AS BIGINT) AS violations FROM {src}"
+    for src, t, rule, c, n in _LINES)
+
+Q["insert_if_absent_nulls"] = PREFIX + """
+, e AS (SELECT id, CASE WHEN id % 4 <> 0 THEN email END AS email, created_at FROM cust),
+tgt AS (SELECT id, email FROM e WHERE created_at < TIMESTAMP '1995-07-01 00:00:00')
+SELECT id, email FROM tgt
+UNION ALL
+SELECT id, email FROM e WHERE email IS NULL
+   OR (email NOT IN (SELECT email FROM tgt WHERE email IS NOT NULL) AND id = (SELECT min(x.id) FROM e x WHERE x.email = e.email))"""
+Q["apply_defaults"] = PREFIX + """
+SELECT id, customer_id, 'pending' AS status, 'USD' AS currency, CAST(total_c AS DOUBLE) / 100.0 AS total_amount FROM ord"""
+Q["apply_generated"] = PREFIX + "SELECT id, CAST(sub_c AS DOUBLE) / 100.0 AS subtotal FROM item"
+Q["delete_cascade"] = PREFIX + """
+SELECT id, order_id, product_id, CAST(quantity AS BIGINT) AS quantity, CAST(price_c AS DOUBLE) / 100.0 AS unit_price,
+       CAST(sub_c AS DOUBLE) / 100.0 AS subtotal
+FROM item WHERE order_id IN (SELECT id FROM ord WHERE status <> 'cancelled')"""
+
+
+def _cents(c: str) -> str:
+    """Cents as the text of a decimal with two places (not negative)."""
+    return f"(({c}) // 100) || '.' || lpad(CAST(({c}) % 100 AS VARCHAR), 2, '0')"
+
+
+Q["order_documents"] = PREFIX + f"""
+, li AS (SELECT i.order_id, i.id, '{{"id":' || i.id || ',"orderId":' || i.order_id || ',"productId":' || i.product_id || ',"quantity":' || i.quantity
+                || ',"unitPrice":' || {_cents('i.price_c')} || ',"subtotal":' || {_cents('i.sub_c')} || ',"product":{{"id":' || p.id
+                || ',"sku":"' || p.sku || '","name":"' || p.name || '"}}}}' AS doc
+         FROM item i JOIN prod p ON p.id = i.product_id),
+ls AS (SELECT order_id, string_agg(doc, ',' ORDER BY id) AS docs FROM li GROUP BY order_id)
+SELECT '{{"id":' || o.id || ',"customerId":' || o.customer_id || ',"status":"' || o.status || '","totalAmount":' || {_cents('o.total_c')}
+       || ',"currency":"USD","placedAt":"' || strftime(o.placed_at, '%Y-%m-%dT%H:%M:%S.000Z') || '","shippedAt":null,"deliveredAt":null,"customer":{{"id":'
+       || c.id || ',"email":"' || c.email || '","firstName":"' || c.first_name || '","lastName":"' || c.last_name || '","country":"' || c.country
+       || '"}},"items":[' || ls.docs || ']}}' AS value
+FROM ord o JOIN cust c ON c.id = o.customer_id JOIN ls ON ls.order_id = o.id"""
+_LAST = "(SELECT max(id) FROM ord)"
+Q["order_lookup"] = Q["order_detail"] + f" WHERE o.id = {_LAST}"
+Q["customer_lookup"] = Q["customer_by_id"] + f" WHERE id = (SELECT customer_id FROM ord WHERE id = {_LAST})"
+Q["customer_orders_lookup"] = PREFIX + _ORDER_SUMMARY + f" WHERE o.customer_id = (SELECT customer_id FROM ord WHERE id = {_LAST})"
+Q["product_lookup"] = Q["product_by_id"] + " WHERE p.id = 1"
+Q["category_lookup"] = PREFIX + f"SELECT {_PRODUCT_COLS} FROM prod p WHERE p.is_active AND p.category_id = 1"
+Q["category_performance_api"] = Q["category_performance"] + " WHERE rev IS NOT NULL"
+Q["category_shares"] = (Q["category_performance"].replace("p.category_id, i.quantity", "p.id AS category_id, i.quantity")
+                        .replace("c.id AS category_id, c.name AS category", "c.id AS category_id, c.sku AS category").replace("FROM cat c LEFT JOIN ca", "FROM prod c LEFT JOIN ca"))
+Q["sql_sales_by_period"] = Q["sales_by_period"]
+Q["sql_top_customers"] = Q["top_customers_country"]

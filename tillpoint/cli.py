@@ -14,7 +14,7 @@ import argparse
 import sys
 
 from tillpoint.plans.feed_load import MAX_ERRORS_ALLOWED, load_feed
-from tillpoint.session import get_session
+from tillpoint.session import get_session, release_scratch
 from tillpoint.sources import tables as tables_mod
 from tillpoint.sources.store import RunStore
 from tillpoint.sources.testdata import bind
@@ -32,13 +32,17 @@ def main(argv: list[str] | None = None) -> int:
     lf.add_argument("--dry-run", action="store_true")
     lf.add_argument("--fail-fast", action="store_true")
     lf.add_argument("--max-errors", type=int, default=MAX_ERRORS_ALLOWED)
+    lf.add_argument("--multiline", action="store_true", help="quoted fields may hold line breaks")
+    lf.add_argument("--run-id", help="a committed run id is not loaded again")
     args = ap.parse_args(argv)
 
     spark = get_session()
     t = bind(spark, args.testdata) if args.testdata else tables_mod.load(spark, args.tables)
     store = RunStore(spark, args.store) if args.store else None
     res = load_feed(t, args.feed, store, dry_run=args.dry_run or store is None,
-                    fail_fast=args.fail_fast, max_errors=args.max_errors)
+                    fail_fast=args.fail_fast, max_errors=args.max_errors, multiline=args.multiline, run_id=args.run_id)
+    # Everything that is kept is published.
+    release_scratch(spark)
     print("Summary:")
     print(f"  Records read    : {res.records_read}")
     print(f"  Records loaded  : {res.records_loaded}")
@@ -54,6 +58,7 @@ def main(argv: list[str] | None = None) -> int:
     if res.dry_run:
         print("Dry run: no data was written")
     if res.outcome == "threshold_exceeded":
+        # Fixed text: scripts look for it.
         print(f"Error threshold exceeded: {res.records_failed} errors, max allowed: {args.max_errors}")
         return 2
     return 1 if res.records_failed > 0 else 0

@@ -6,6 +6,7 @@ import datetime as dt
 
 from tillpoint.schema import ORDER_STATUSES
 
+# The messages are fixed texts: callers show them as they are.
 __all__ = ["check_limit", "check_page", "check_period", "normalize_status_arg"]
 
 

@@ -78,7 +78,7 @@ def validate_table(t: Tables, table: str) -> DataFrame:
 
 
 def validate_contract(t: Tables, tables: tuple[str, ...] | None = None) -> DataFrame:
-    names = tables or tuple(CONTRACTS)
+    names = tables or tuple(n for n in CONTRACTS if t.get(n) is not None)
     out = None
     for name in names:
         v = validate_table(t, name)

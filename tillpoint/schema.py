@@ -128,4 +128,11 @@ CONTRACTS = {
         ranges=(("quantity", ">", 0), ("unit_price", ">=", 0)),
         generated=(("subtotal", "quantity_times_unit_price"),),
     ),
+    "etl_run_log": TableContract(
+        "etl_run_log",
+        not_null=("id", "run_at", "records_read", "records_loaded", "records_failed", "status"),
+        unique=(("id",),),
+        domains=(("status", RUN_STATUSES),),
+        max_length=(("source_file", 500), ("status", 20)),
+    ),
 }

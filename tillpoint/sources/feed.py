@@ -99,5 +99,20 @@ def write_order_feed(feed: DataFrame, path: str) -> None:
     """Write a feed DataFrame (FEED_COLUMNS, ordered by row_num) as one CSV
     file with a header, in row order (test and benchmark input)."""
     (feed.orderBy("row_num").select(*FEED_COLUMNS).coalesce(1)
-     .write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
-     .option("emptyValue", "").csv(path))
+     .write.mode("overwrite").options(**_CSV_OUT).csv(path))
+
+
+_CSV_OUT = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False,
+            "ignoreTrailingWhiteSpace": False}
+
+
+def write_feed_files(feed: DataFrame, root: str, rows_per_file: int) -> None:
+    """Write a feed DataFrame (FEED_COLUMNS + row_num from 2 on) as a folder
+    of CSV files of ``rows_per_file`` consecutive rows each, every second one
+    with its columns in reverse order."""
+    at = F.col("row_num") - 2
+    cut = feed.withColumn("chunk", F.format_string("%06d", F.floor(at / rows_per_file).cast("long")))
+    for odd, columns in ((0, FEED_COLUMNS), (1, FEED_COLUMNS[::-1])):
+        part = cut.filter(F.floor(at / rows_per_file) % 2 == odd)
+        (part.repartition("chunk").sortWithinPartitions("chunk", "row_num").select(*columns, "chunk")
+         .write.mode("overwrite").partitionBy("chunk").options(**_CSV_OUT).csv(f"{root}/side={odd}"))

@@ -21,6 +21,8 @@ class Tables:
     products: DataFrame
     orders: DataFrame
     order_items: DataFrame
+    # The audit log, where a caller wants it checked with the others.
+    etl_run_log: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
