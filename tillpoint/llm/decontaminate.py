@@ -21,7 +21,7 @@ from tillpoint.llm.text import hash_words, split_words, window_hashes
 
 WINDOW = 10
 # Windows in one broadcast block (about 250 bytes each with their words).
-BLOCK_WINDOWS = 400_000
+BLOCK_WINDOWS = 100_000
 
 
 # A block: window length -> sorted hashes, and the windows' words -> items.

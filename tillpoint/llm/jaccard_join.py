@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -103,17 +104,18 @@ def _sign(n: int):
     return run
 
 
-def _children(rows: DataFrame, threshold: float, repeats: int) -> DataFrame:
-    """Rows (node, id, sign) -> rows (node, id): the children each set goes to.
+def _children(rows: DataFrame, threshold: float) -> DataFrame:
+    """Rows (node, num, sign) -> the same with the children each set goes to.
 
     The node's hash picks the coordinates, so sets that agree there meet
-    again; the number of picks is 1/threshold on average."""
+    again; the number of picks is 1/threshold on average.  A pick leads to a
+    node of its own, so no set is in a node twice."""
     extra = int((1 / threshold - 1) * (1 << 20))
-    picks = F.when(F.pmod(F.xxhash64(F.col("node"), F.lit("more")), F.lit(1 << 20)) < extra, F.lit(repeats + 1)).otherwise(F.lit(repeats))
-    rows = rows.select("id", "sign", "node", F.explode(F.sequence(F.lit(1), picks)).alias("pick"))
+    picks = F.when(F.pmod(F.xxhash64(F.col("node"), F.lit("more")), F.lit(1 << 20)) < extra, F.lit(2)).otherwise(F.lit(1))
+    rows = rows.select("num", "sign", "node", F.explode(F.sequence(F.lit(1), picks)).alias("pick"))
     at = F.pmod(F.xxhash64("node", "pick"), F.lit(SIGNATURE)).cast("int")
     value = F.substring(F.col("sign"), at * 4 + 1, F.lit(4))
-    return rows.select(F.xxhash64("node", "pick", at, value).alias("node"), "id")
+    return rows.select(F.xxhash64("node", "pick", at, value).alias("node"), "num", "sign")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -136,7 +138,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
 
 
 class Forest:
-    """Disjoint sets; ``join`` tells whether it joined two."""
+    """Disjoint sets; the root of a set is its smallest member."""
 
     def __init__(self):
         self.up: dict = {}
@@ -146,10 +148,10 @@ class Forest:
             self.up[x] = x = self.up.get(y, y)
         return x
 
-    def join(self, x, y) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[y] = x
-        return x != y
+    def join(self, x, y) -> None:
+        x, y = sorted((self.root(x), self.root(y)))
+        if x != y:
+            self.up[y] = x
 
 
 def _brute_force(threshold: float):
@@ -160,46 +162,55 @@ def _brute_force(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, "node"):
             node = rows.column("node").to_numpy()
-            ids = rows.column("id").to_pylist()
+            ids = rows.column("num").to_pylist()
             sign = np.frombuffer(b"".join(rows.column("short").to_pylist()), np.int8).reshape(len(ids), SIGNATURE)
-            forest, edges = Forest(), []
+            forest = Forest()
             for step in range(1, SMALL):
                 i = np.flatnonzero(node[:-step] == node[step:]) if step < len(ids) else node[:0]
                 if not len(i):
                     break
                 for part in np.array_split(i, len(i) // 20_000 + 1):
                     alike = (sign[part] == sign[part + step]).mean(axis=1) >= least
-                    edges += [(ids[k], ids[k + step]) for k in part[alike].tolist() if forest.join(ids[k], ids[k + step])]
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.binary()),
-                                              pa.array([e[1] for e in edges], pa.binary())], names=["a", "b"])
+                    for k in part[alike].tolist():
+                        forest.join(ids[k], ids[k + step])
+            edges = [(forest.root(x), x) for x in forest.up]
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()),
+                                              pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
     return run
 
 
+def _sized(nodes: DataFrame) -> DataFrame:
+    """Rows (node, num, depth) of nodes with more than one set, with the
+    node's size and first set."""
+    nodes = materialize(nodes, "nodes")
+    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("num").alias("first")).filter("size > 1")
+    return materialize(nodes.join(growing(materialize(sizes, "sizes")), "node"), "sized")
+
+
 def candidate_clusters(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Distinct sets (id, sign, short) -> rows (id, root) of those in a cluster."""
+    """Distinct sets (num, sign, short) -> rows (id, root) of those in a
+    cluster, by num.
+
+    All sets are split once; the sets of large nodes are split on, to all
+    further depths in one pass (the nodes below a small one are compared once
+    more than need be)."""
+    spark = sets.sparkSession
     runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
-    roots = sets.select("id", "sign").withColumn("node", F.explode(F.array(*[F.lit(r).cast("long") for r in range(runs)])))
-    nodes, found = _children(roots, threshold, 1), []
-    for depth in range(1, MAX_DEPTH + 1):
-        nodes = materialize(nodes.distinct(), "nodes")
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).filter("size > 1")
-        sizes = materialize(sizes, "sizes")
-        shared = materialize(nodes.join(growing(sizes), "node").select("node", "size", "first", "id"), "shared")
-        small = shared.filter(F.col("size") <= SMALL).join(growing(sets.select("id", "short")), "id")
-        parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ordered = small.select("node", "id", "short").repartition(parts, "node").sortWithinPartitions("node", "id")
-        found.append(materialize(ordered.mapInArrow(_brute_force(threshold), "a binary, b binary").distinct(), "links"))
-        large = shared.filter(F.col("size") > SMALL)
-        if not large.limit(1).count():
-            break
-        if depth == MAX_DEPTH:
-            found.append(large.select(F.col("first").alias("a"), F.col("id").alias("b")))
-        else:
-            nodes = _children(large.join(growing(sets.select("id", "sign")), "id").select("id", "sign", "node"), threshold, 1)
-    edges = found[0]
-    for part in found[1:]:
-        edges = edges.unionByName(part)
-    return materialize(components(edges), "clusters")
+    roots = sets.select("num", "sign").withColumn("node", F.explode(F.array(*[F.lit(r).cast("long") for r in range(runs)])))
+    first = _sized(_children(roots, threshold).select("node", "num", F.lit(1).alias("depth")))
+    large = first.filter(F.col("size") > SMALL).select("num", "node")
+    level = materialize(large.join(growing(sets.select("num", "sign")), "num"), "large")
+    levels = []
+    for depth in range(2, MAX_DEPTH + 1):
+        level = _children(level, threshold)
+        levels.append(level.select("node", "num", F.lit(depth).alias("depth")))
+    deeper = _sized(reduce(DataFrame.unionByName, levels))
+    small = first.unionByName(deeper).filter(F.col("size") <= SMALL).join(growing(sets.select("num", "short")), "num")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = small.select("node", "num", "short").repartition(parts, "node").sortWithinPartitions("node", "num")
+    compared = ordered.mapInArrow(_brute_force(threshold), "a long, b long")
+    whole = deeper.filter((F.col("size") > SMALL) & (F.col("depth") == MAX_DEPTH)).select(F.col("first").alias("a"), F.col("num").alias("b"))
+    return materialize(components(compared.unionByName(whole)), "clusters")
 
 
 def _compare(threshold: float):
@@ -207,7 +218,7 @@ def _compare(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         grams = [np.frombuffer(g, np.uint64) for g in rows["grams"]]
         sizes = np.array([len(g) for g in grams])
-        ids, often = rows["id"].tolist(), rows["often"].to_numpy()
+        ids, often = rows["num"].tolist(), rows["often"].to_numpy()
         block = rows["block"].to_numpy()
         same = int(rows["lo"].iloc[0]) == int(rows["hi"].iloc[0])
         _, code, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
@@ -232,12 +243,11 @@ def _compare(threshold: float):
             linked &= block[:, None] != block[None, :]
         links = linked.astype(np.int64) @ often.astype(np.int64)
         out = [(i, None, int(n)) for i, n in zip(ids, links) if n]
-        group = np.arange(len(ids))
+        forest = Forest()
         for i, j in zip(*np.nonzero(np.triu(linked))):
-            if group[i] != group[j]:
-                out.append((ids[i], ids[j], 0))
-                group[group == group[j]] = group[i]
-        return pd.DataFrame(out, columns=["a", "b", "links"])
+            forest.join(ids[i], ids[j])
+        out += [(forest.root(x), x, 0) for x in forest.up]
+        return pd.DataFrame(out, columns=["a", "b", "links"]).astype({"a": "int64", "b": "Int64", "links": "int64"})
     return run
 
 
@@ -247,9 +257,10 @@ def _grams(n: int):
             for first, texts in text_slices(batch.column("text")):
                 sets = ngram_sets(texts, n)
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).slice(first, len(texts)) for c in ("id", "root", "blocks", "often")],
-                     pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["id", "root", "blocks", "often", "grams"])
+                    [*[batch.column(c).slice(first, len(texts)) for c in ("num", "id", "root", "blocks", "often")],
+                     pa.array([s.tobytes() for s in sets], pa.binary()),
+                     pa.array([set_id(s) for s in sets], pa.binary())],
+                    names=["num", "id", "root", "blocks", "often", "grams", "found"])
     return run
 
 
@@ -276,31 +287,35 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = _keyed(docs, id_col, text_col)
     id_type = keyed.schema["doc_id"].dataType.simpleString()
     rows = materialize(keyed.mapInArrow(_sign(ngram), f"doc_id {id_type}, key long, id binary, grams long, sign binary, short binary"), "signed")
-    sets = materialize(rows.filter("grams > 0").groupBy("id").agg(
-        F.count(F.lit(1)).alias("often"), F.first("sign").alias("sign"), F.first("short").alias("short"), F.min("key").alias("key"), F.first("grams").alias("grams")), "sets")
-    clusters = candidate_clusters(sets.select("id", "sign", "short"), threshold, recall)
-    inside = materialize(clusters.join(growing(sets.select("id", "often", "key", "grams")), "id"), "inside")
+    sets = rows.filter("grams > 0").groupBy("id").agg(
+        F.count(F.lit(1)).alias("often"), F.first("sign").alias("sign"), F.first("short").alias("short"),
+        F.min("key").alias("key"), F.first("grams").alias("grams"))
+    # From here on a set is a number, fixed by writing it.
+    sets = materialize(sets.withColumn("num", F.monotonically_increasing_id()), "sets")
+    clusters = candidate_clusters(sets.select("num", "sign", "short"), threshold, recall).withColumnRenamed("id", "num")
+    inside = materialize(clusters.join(growing(sets.select("num", "id", "often", "key", "grams")), "num"), "inside")
     # Blocks hold at most about BLOCK sets and BLOCK_GRAMS n-grams.
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("grams") / F.lit(BLOCK_GRAMS))).cast("int")
     sizes = materialize(inside.groupBy("root").agg(blocks.alias("blocks")), "sizes")
     members = materialize(inside.drop("grams").join(growing(sizes), "root"), "members")
-    # One text of each member, read again; rows that only share the key drop out by their id.
-    texts = keyed.select("key", "text").join(growing(members), "key").select("id", "root", "blocks", "often", "text")
-    full = texts.mapInArrow(_grams(ngram), "id binary, root binary, blocks int, often long, grams binary")
-    full = materialize(full.dropDuplicates(["id"]), "grams")
-    full = full.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # One text of each member, read again; rows that only share the key drop out by their set.
+    texts = keyed.select("key", "text").join(growing(members), "key").select("num", "id", "root", "blocks", "often", "text")
+    full = texts.mapInArrow(_grams(ngram), "num long, id binary, root long, blocks int, often long, grams binary, found binary")
+    full = materialize(full.filter("id = found").select("num", "root", "blocks", "often", "grams").dropDuplicates(["num"]), "grams")
+    full = full.withColumn("block", F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int"))
     pairs = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "often", "grams")
-    compared = materialize(pairs.groupBy("root", "lo", "hi").applyInPandas(_compare(threshold), "a binary, b binary, links long"), "compared")
-    links = compared.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
-    joined = components(compared.filter("b is not null").select("a", "b"))
-    of = (sets.select("id", "often").join(growing(joined), "id", "left").join(growing(links), "id", "left")
-          .select("id", F.coalesce("root", "id").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("often") - 1).alias("n_links")))
+        "root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "num", "often", "grams")
+    compared = materialize(pairs.groupBy("root", "lo", "hi").applyInPandas(_compare(threshold), "a long, b long, links long"), "compared")
+    links = compared.filter("b is null").groupBy(F.col("a").alias("num")).agg(F.sum("links").alias("links"))
+    joined = components(compared.filter("b is not null").select("a", "b")).withColumnRenamed("id", "num")
+    of = (sets.select("num", "id", "often").join(growing(joined), "num", "left").join(growing(links), "num", "left")
+          .select("id", F.coalesce("root", "num").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("often") - 1).alias("n_links")))
     of = materialize(of, "classes")
     placed = materialize(rows.select("doc_id", "key", "id", "grams").filter("grams > 0").join(growing(of), "id"), "placed")
-    classes = materialize(placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_docs")), "class")
-    out = placed.join(growing(classes), "root").select(
-        "doc_id", "key", "class_id", "class_docs", "n_links", F.lower(F.hex("root")).alias("class_set"))
+    classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_docs"),
+                                         F.lower(F.hex(F.min("id"))).alias("class_set"))
+    out = placed.join(growing(materialize(classes, "class")), "root").select(
+        "doc_id", "key", "class_id", "class_docs", "n_links", "class_set")
     alone = rows.filter("grams = 0").select("doc_id", "key", F.col("doc_id").alias("class_id"),
                                            F.lit(1).cast("long").alias("class_docs"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("string").alias("class_set"))
     return out.unionByName(alone)

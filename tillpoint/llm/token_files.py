@@ -107,6 +107,15 @@ def encoder(path: str, pieces: bool) -> Encoder:
     return store["encoder"]
 
 
+def shared_uri(spark: SparkSession, folder: str) -> str:
+    """``folder`` as a URI that pyarrow opens on every executor: a path
+    without a scheme belongs to the cluster's default file system."""
+    if ":/" not in folder:
+        default = spark._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        folder = ("file://" if default.startswith("file:") else default.rstrip("/")) + folder
+    return folder.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1)
+
+
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same ids with ``end_id`` after each document."""
     counts = counts.astype(np.int64)
@@ -131,12 +140,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str
     it fails the task."""
     spark = docs.sparkSession
     most = np.iinfo(dtype).max
+    place = shared_uri(spark, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}"
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") \
-            else (fs.LocalFileSystem(), folder)
+        store, root = fs.FileSystem.from_uri(place)
         enc, tokens, rows, ids_file, out, idx = None, 0, 0, None, None, None
         for batch in batches:
             if not batch.num_rows:
@@ -183,10 +192,10 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, id_type:
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("start", T.LongType()),
                            T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
     width = np.dtype(dtype).itemsize
+    place = shared_uri(spark, folder)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") \
-            else (fs.LocalFileSystem(), folder)
+        store, root = fs.FileSystem.from_uri(place)
         for shard in (row for b in batches for row in b.to_pylist()):
             stem = f"{root}/{shard['name']}"
             if isinstance(store, fs.LocalFileSystem):
