@@ -10,7 +10,8 @@ from tillpoint.streaming.feed_watch import watch_feed_directory
 
 def test_json_documents_use_camel_case(seed):
     doc = json.loads(to_json_documents(A.monthly_revenue_summary(seed)).first()["value"])
-    assert set(doc) == {"month", "orderCount", "revenue", "avgOrderValue"}  # NULL fields are omitted
+    assert set(doc) == {"month", "orderCount", "revenue", "avgOrderValue", "prevMonthRevenue", "momGrowthPct"}
+    assert doc["prevMonthRevenue"] is None and doc["momGrowthPct"] is None
     assert doc["orderCount"] == 3
 
 
