@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 from tillpoint.llm.common import as_frame, col, free_name, text_slices
 
 PASSAGE_BYTES = 512
+# Bytes of text whose passages are held at once (about 40 times as much memory).
+PIECE_BYTES = 1 << 20
 SAMPLE_PER_CLASS = 1500
 SAMPLE_PASSAGES = 32
 THRESHOLD = 0.3
@@ -150,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in text_slices(batch.column("text")):
+            for at, texts in text_slices(batch.column("text"), PIECE_BYTES):
                 f, first = passages(texts)
                 bags = []
                 for a, b in zip(first[:-1], first[1:]):
@@ -176,7 +178,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> tuple[DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in text_slices(batch.column(at)):
+            for start, texts in text_slices(batch.column(at), PIECE_BYTES):
                 f, first = passages(texts)
                 out = forward(shared.value, f, first)
                 top = [int(np.argmax(out["a"][a:b])) * PASSAGE_BYTES for a, b in zip(first[:-1], first[1:])]
