@@ -112,20 +112,24 @@ def _apply(state: DataFrame, decided: DataFrame) -> DataFrame:
     return materialize(new.join(waiting, "product_id", "left_semi"), "placement_state")
 
 
-def _play(rows: pd.DataFrame) -> pd.DataFrame:
-    """Place the requests of one connected group one by one."""
-    left = dict(zip(rows["product_id"], rows["stock"]))
-    out = []
-    for (_, rid), lines in rows.sort_values(["seq", "rid"]).groupby(["seq", "rid"], sort=False):
-        wanted = list(zip(lines["product_id"], lines["d"]))
-        undecided = lines["st"].iloc[0] == "U"
-        fits = all(d <= left[p] for p, d in wanted)
-        if fits or not undecided:
-            for p, d in wanted:
-                left[p] -= d
-        if undecided:
-            out.append((rid, fits))
-    return pd.DataFrame(out, columns=["rid", "accepted"])
+def _player():
+    """The function that places the requests of one connected group one by
+    one.  A nested function reaches the workers by value, so executors need no
+    copy of this package."""
+    def play(rows: pd.DataFrame) -> pd.DataFrame:
+        left = dict(zip(rows["product_id"], rows["stock"]))
+        out = []
+        for (_, rid), lines in rows.sort_values(["seq", "rid"]).groupby(["seq", "rid"], sort=False):
+            wanted = list(zip(lines["product_id"], lines["d"]))
+            undecided = lines["st"].iloc[0] == "U"
+            fits = all(d <= left[p] for p, d in wanted)
+            if fits or not undecided:
+                for p, d in wanted:
+                    left[p] -= d
+            if undecided:
+                out.append((rid, fits))
+        return pd.DataFrame(out, columns=["rid", "accepted"])
+    return play
 
 
 def _groups(state: DataFrame) -> DataFrame:
@@ -151,7 +155,7 @@ def decide_stock(demand: DataFrame) -> tuple[DataFrame, int]:
         rounds += 1
         if rounds > ROUNDS:
             group = _groups(state)
-            played = materialize(group.groupBy("root").applyInPandas(_play, "rid long, accepted boolean"), "placement_played")
+            played = materialize(group.groupBy("root").applyInPandas(_player(), "rid long, accepted boolean"), "placement_played")
             parts.append(played)
             state = _apply(state, played)
             if not state.filter("st = 'U'").limit(1).count():
