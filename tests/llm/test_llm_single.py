@@ -65,6 +65,18 @@ def test_token_files_formats(spark, tokenizer, scratch):
     assert token_files.token_table(docs.limit(0), path).collect() == []
 
 
+def test_token_pieces_compose_before_lower_casing(tokenizer):
+    import pyarrow as pa
+    path, tok = tokenizer
+    marks = ["\u0308", "\u030a", "\u030c", "\u0331", "\u0344", "\u0327\u030c", "\u0591\u0308", "\u0301"]
+    texts = [c + m + t for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in marks for t in ("", ".x", "E and The", " J")]
+    texts += ["THE J\u030can, DON'T.", "The plain TEXT, A=\u0338B", "T\u00fcr H\u00c4\u0308 W\u00e9"]
+    ids, counts = token_files.Encoder(path).encode(pa.array(texts, pa.large_string()))
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]
+
+
 def brute_hits(docs, items, window=10):
     windows = collections.defaultdict(set)
     for i, t in items:

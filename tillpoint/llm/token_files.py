@@ -38,6 +38,9 @@ END_ID = 2
 KEPT_WORDS = 1_500_000
 ENCODE_BYTES = 8 << 20
 BATCH_ROWS = 2_000
+# Lower-casing before NFC is not lower-casing after it: these small letters
+# compose with these marks, their capitals do not.
+SMALL_COMPOSES = "[HJTWY][^\\x00-\\x7F]*[\u0308\u030a\u030c\u0331\u0344]"
 
 
 class Encoder:
@@ -46,7 +49,7 @@ class Encoder:
 
     Exact for tokenizers that lower-case, drop white space and split words
     between an ASCII letter and an ASCII sign, which ``pieces=True`` states;
-    others encode whole texts.  Known pieces are kept
+    they may compose (NFC) first, see SMALL_COMPOSES.  Others encode whole texts.  Known pieces are kept
     as flat arrays: the pieces, where their ids start, how many they are."""
 
     def __init__(self, path: str, pieces: bool = True):
@@ -73,7 +76,8 @@ class Encoder:
         # Lower-casing A-Z and splitting off signs first leaves fewer distinct
         # pieces.  Not where that could make or break a special token.
         if not pc.any(pc.match_substring(texts, "<|")).as_py():
-            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([!-/:-@\[-`{-~])", r"\1 \2")
+            lower = pc.if_else(pc.match_substring_regex(texts, SMALL_COMPOSES), texts, pc.ascii_lower(texts))
+            texts = pc.replace_substring_regex(lower, r"([A-Za-z])([!-/:-@\[-`{-~])", r"\1 \2")
         split = pc.ascii_split_whitespace(texts)
         ends = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
