@@ -133,6 +133,58 @@ def test_jaccard_join_large_nodes_are_split(spark, monkeypatch):
     assert len({got[i].class_id for i in range(110)}) == len(set(roots))
 
 
+def signed(spark, signs):
+    rows = [(i, s.astype("<i4").tobytes(), s.astype(np.int8).tobytes()) for i, s in enumerate(signs)]
+    return spark.createDataFrame(rows, "num long, sign binary, short binary")
+
+
+def test_jaccard_filter_keeps_pairs_whose_signatures_agree_less_by_chance(spark):
+    """80 of 128 places: of the pairs at 0.8, one in 700,000 agrees in fewer."""
+    signs = []
+    for p in range(60):
+        # Low bytes of different sets never agree.
+        a = np.arange(128) * 256 * 512 + 256 * 4 * p
+        b = a.copy()
+        b[80:] += 257
+        signs += [a, b]
+    found = {r["id"]: r["root"] for r in jaccard_join.candidate_clusters(signed(spark, signs)).collect()}
+    assert all(found.get(2 * p) == found.get(2 * p + 1) == 2 * p for p in range(60))
+
+
+def test_jaccard_runs_reach_the_declared_recall(spark, monkeypatch):
+    """Simulated pairs at 0.8 whose nodes all stay large: every depth counts."""
+    rng = np.random.default_rng(3)
+    recall, pairs = 0.99, 20_000
+    least, first, runs = jaccard_join.plan(0.8, recall)
+    alike = rng.binomial(128, 0.8, pairs)
+    found = np.zeros(pairs, bool)
+    for _ in range(runs):
+        nodes = np.ones(pairs, np.int64)
+        for _ in range(jaccard_join.MAX_DEPTH):
+            nodes = rng.binomial(nodes + rng.binomial(nodes, 0.25), alike / 128)
+        found |= nodes > 0
+    assert (found & (alike >= least)).mean() >= recall
+    # The runs are made: nodes are counted by their run at the first level.
+    roots = []
+    made = jaccard_join._rooted
+    monkeypatch.setattr(jaccard_join, "_rooted", lambda sets, runs: roots.extend(runs) or made(sets, runs))
+    jaccard_join.candidate_clusters(signed(spark, [np.arange(128) * 256] * 2), 0.8, recall)
+    assert roots == list(range(runs)) and runs > first
+
+
+def test_jaccard_isolated_pairs_inside_large_nodes(spark, monkeypatch):
+    """Pairs at about 0.8 that share half of their places with all others."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 8)
+    rng = np.random.default_rng(4)
+    common, signs = np.arange(128) * 1000, []
+    for p in range(150):
+        a = np.where(np.arange(128) < 64, common, rng.integers(1, 1 << 30, 128))
+        b = np.where((np.arange(128) >= 64) & (rng.random(128) < 0.4), rng.integers(1, 1 << 30, 128), a)
+        signs += [a, b]
+    found = {r["id"]: r["root"] for r in jaccard_join.candidate_clusters(signed(spark, signs)).collect()}
+    assert all(2 * p in found and found[2 * p] == found.get(2 * p + 1) for p in range(150))
+
+
 def test_keep_one_leaves_one_row_per_class(spark, corpus):
     _, roots = brute_links(corpus)
     docs = frame(spark, corpus).withColumn("key", F.lit(7)).withColumn("drop", F.lit("x"))

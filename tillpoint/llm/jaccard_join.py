@@ -7,8 +7,8 @@ set goes to the children that a hash of the node picks, on average
 ``1/threshold`` of them.  Nodes with one set end; small nodes are compared by
 brute force; larger ones are split again.  What is still large after
 ``MAX_DEPTH`` shared tokens is linked to the node's first set.  Runs are repeated until a
-pair at the threshold is missed with probability below ``1 - RECALL`` already
-by the first level alone.
+pair at the threshold is missed with probability below ``1 - RECALL``, all
+depths and the brute force's filter counted (``plan``).
 
 The links found form candidate clusters.  Inside a cluster the whole n-gram
 sets are compared exactly, block by block, so every reported link is exact and
@@ -41,9 +41,6 @@ RECALL = 0.999999
 SIGNATURE = 128
 SMALL = 64
 MAX_DEPTH = 6
-# Agreement of two signatures below which a brute-forced pair is no candidate:
-# the threshold less four standard deviations of the estimate.
-SLACK = 4.0
 BLOCK = 256
 BLOCK_GRAMS = 1 << 20
 
@@ -104,6 +101,39 @@ def _sign(n: int):
     return run
 
 
+def plan(threshold: float, recall: float) -> tuple[int, int, int]:
+    """(least number of places in which a brute-forced pair's signatures agree,
+    runs of all sets, runs of the sets that large nodes hold): a pair at the
+    threshold is missed with probability ``1 - recall`` at most.
+
+    All runs read the same signatures, so the pairs of each number of agreeing
+    places (binomial) have their own miss.  A pair that shares a node at some
+    depth only shares one at the next by ``_children``; in the worst case all
+    its nodes stay large down to MAX_DEPTH.  A quarter of the misses is the
+    filter's, a quarter the first level's, a half the large nodes'."""
+    alike = np.arange(SIGNATURE + 1)
+    pairs = np.array([math.comb(SIGNATURE, k) * threshold ** k * (1 - threshold) ** (SIGNATURE - k) for k in alike.tolist()])
+    least = int((np.cumsum(pairs) <= (1 - recall) / 4).sum())
+    extra = min(1.0, 1 / threshold - 1)
+
+    def runs(depth: int, share: float) -> int:
+        miss = np.zeros(SIGNATURE + 1)
+        for _ in range(depth):
+            pick = 1 - alike / SIGNATURE * (1 - miss)
+            miss = (1 - extra) * pick + extra * pick ** 2
+        n = 1
+        while (pairs * miss ** n)[least:].sum() > share * (1 - recall):
+            n += 1
+        return n
+
+    first = runs(1, 0.25)
+    return least, first, max(first, runs(MAX_DEPTH, 0.5))
+
+
+def _rooted(sets: DataFrame, runs: range) -> DataFrame:
+    return sets.select("num", "sign").withColumn("node", F.explode(F.sequence(F.lit(runs.start).cast("long"), F.lit(runs.stop - 1).cast("long"))))
+
+
 def _children(rows: DataFrame, threshold: float) -> DataFrame:
     """Rows (node, num, sign) -> the same with the children each set goes to.
 
@@ -154,11 +184,9 @@ class Forest:
             self.up[y] = x
 
 
-def _brute_force(threshold: float):
+def _brute_force(least: int):
     """Compare the low bytes of all signatures inside each node (of at most
     SMALL sets); unequal values share one in 256 of them, which only adds candidates."""
-    least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / SIGNATURE)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, "node"):
             node = rows.column("node").to_numpy()
@@ -170,7 +198,7 @@ def _brute_force(threshold: float):
                 if not len(i):
                     break
                 for part in np.array_split(i, len(i) // 20_000 + 1):
-                    alike = (sign[part] == sign[part + step]).mean(axis=1) >= least
+                    alike = (sign[part] == sign[part + step]).sum(axis=1) >= least
                     for k in part[alike].tolist():
                         forest.join(ids[k], ids[k + step])
             edges = [(forest.root(x), x) for x in forest.up]
@@ -179,11 +207,12 @@ def _brute_force(threshold: float):
     return run
 
 
-def _sized(nodes: DataFrame) -> DataFrame:
+def _sized(nodes: DataFrame, read="true") -> DataFrame:
     """Rows (node, num, depth) of nodes with more than one set, with the
-    node's size and first set."""
+    node's size and first set; only of nodes that ``read`` holds for."""
     nodes = materialize(nodes, "nodes")
-    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("num").alias("first")).filter("size > 1")
+    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("num").alias("first"), F.min("depth").alias("depth"))
+    sizes = sizes.filter("size > 1").filter(read).drop("depth")
     return materialize(nodes.join(growing(materialize(sizes, "sizes")), "node"), "sized")
 
 
@@ -191,24 +220,28 @@ def candidate_clusters(sets: DataFrame, threshold: float = THRESHOLD, recall: fl
     """Distinct sets (num, sign, short) -> rows (id, root) of those in a
     cluster, by num.
 
-    All sets are split once; the sets of large nodes are split on, to all
-    further depths in one pass (the nodes below a small one are compared once
+    All sets are split once; the sets of large nodes get further runs and are
+    split on, to all further depths in one pass (the nodes below a small one are compared once
     more than need be)."""
     spark = sets.sparkSession
-    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
-    roots = sets.select("num", "sign").withColumn("node", F.explode(F.array(*[F.lit(r).cast("long") for r in range(runs)])))
-    first = _sized(_children(roots, threshold).select("node", "num", F.lit(1).alias("depth")))
+    least, runs, more = plan(threshold, recall)
+    first = _sized(_children(_rooted(sets, range(runs)), threshold).select("node", "num", F.lit(1).alias("depth")))
+    held = first.filter(F.col("size") > SMALL).select("num").distinct()
+    held = materialize(sets.select("num", "sign").join(growing(held), "num"), "held")
+    if more > runs:
+        first = first.unionByName(_sized(_children(_rooted(held, range(runs, more)), threshold).select("node", "num", F.lit(1).alias("depth"))))
     large = first.filter(F.col("size") > SMALL).select("num", "node")
-    level = materialize(large.join(growing(sets.select("num", "sign")), "num"), "large")
+    level = materialize(large.join(growing(held), "num"), "large")
     levels = []
     for depth in range(2, MAX_DEPTH + 1):
         level = _children(level, threshold)
         levels.append(level.select("node", "num", F.lit(depth).alias("depth")))
-    deeper = _sized(reduce(DataFrame.unionByName, levels))
+    # A large node's sets are read again at the last depth only.
+    deeper = _sized(reduce(DataFrame.unionByName, levels), f"size <= {SMALL} or depth = {MAX_DEPTH}")
     small = first.unionByName(deeper).filter(F.col("size") <= SMALL).join(growing(sets.select("num", "short")), "num")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = small.select("node", "num", "short").repartition(parts, "node").sortWithinPartitions("node", "num")
-    compared = ordered.mapInArrow(_brute_force(threshold), "a long, b long")
+    compared = ordered.mapInArrow(_brute_force(least), "a long, b long")
     whole = deeper.filter((F.col("size") > SMALL) & (F.col("depth") == MAX_DEPTH)).select(F.col("first").alias("a"), F.col("num").alias("b"))
     return materialize(components(compared.unionByName(whole)), "clusters")
 
