@@ -201,6 +201,17 @@ def test_quality_learns_and_scores_whole_texts(spark):
     assert sum(r.predicted == labels[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
+def test_quality_is_fitted_on_all_passages(spark, monkeypatch):
+    held = quality_mil.held_out("id")
+    ids = [r.id for r in spark.range(60).filter(~held).collect()]
+    docs = spark.createDataFrame([(i, "ab " * (400 * k), "s") for k, i in enumerate(ids)], SCHEMA)
+    bags = []
+    monkeypatch.setattr(quality_mil, "train", lambda found, labels: bags.extend(found))
+    quality_mil.fit(docs, spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int"))
+    assert sorted(map(len, bags)) == [max(1, -(-1200 * k // quality_mil.PASSAGE_BYTES)) for k in range(len(ids))]
+    assert max(map(len, bags)) > 32
+
+
 def test_quality_odd_rows(spark):
     rng = random.Random(6)
     good = lambda n: " ".join(rng.choice(["and", "the", "tion", "eronwh"]) for _ in range(n))
