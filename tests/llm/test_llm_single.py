@@ -310,6 +310,25 @@ def test_chat_roles_are_recovered(spark):
     assert text.count(chat_hmm.START) == text.count(chat_hmm.END)
 
 
+@pytest.mark.parametrize("name", [1, None, "a"])
+def test_chat_counts_do_not_depend_on_partitions(spark, name):
+    turns = [(name, k, chat_hmm.ROLES[1 + k % 2], "so\nmore" if k % 3 else "User: why?") for k in range(400)]
+    turns += [(None if name else 0, k, "system", "x") for k in range(3)] if not isinstance(name, str) else []
+    rows = spark.createDataFrame(turns, f"conv_id {'string' if isinstance(name, str) else 'long'}, turn long, role string, raw string")
+    begin, move, last = np.zeros(chat_hmm.STATES), np.zeros((chat_hmm.STATES,) * 2), {}
+    for c, _, role, raw in turns:
+        for i in range(len(chat_hmm.symbols(raw))):
+            state = chat_hmm.ROLES.index(role) * 2 + (i > 0)
+            if c in last:
+                move[last[c], state] += 1
+            else:
+                begin[state] += 1
+            last[c] = state
+    want = chat_hmm.Model(begin, move, np.zeros((chat_hmm.STATES, chat_hmm.SYMBOLS)))
+    model = chat_hmm.fit(rows)
+    assert np.allclose(model.begin, want.begin) and np.allclose(model.move, want.move)
+
+
 def test_chat_odd_rows_and_a_long_transcript(spark):
     turns = [(1, k, "user" if k % 2 == 0 else "assistant", ("User: why?" if k % 2 == 0 else "Assistant: because.\nmore") if k % 5 else "so") for k in range(3000)]
     odd = [(None, 0, "user", "Q: hi"), (None, None, "assistant", "A: yo"), (2, 0, None, None), (2, 1, "user", ""), (2, 1, "user", "\n \n"),

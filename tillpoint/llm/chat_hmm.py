@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,16 +69,20 @@ def fit(labelled: DataFrame, conv_col: str = "conv_id", order_col: str = "turn",
         text_col: str = "raw") -> Model:
     """Count starts, moves and emissions over all labelled rows; a row is one
     turn.  Roles not in ROLES are left out.  Only the table of counts, of
-    fixed size, reaches the driver.
+    fixed size, and two rows per partition reach the driver.
 
     Moves between rows are counted by a running pair inside range partitions,
-    so a long transcript needs no window of its own."""
+    so a long transcript needs no window of its own; where one goes on in the
+    next partition, its false start there becomes a move, by the first and last
+    transcript and state of each partition."""
     rows = as_frame(labelled, conv=conv_col, at=order_col, role=role_col, raw=text_col).filter(F.col("role").isin(*ROLES))
+    kind = rows.schema["conv"].dataType.simpleString()
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, SYMBOLS))
-        conv, last = object(), None
+        conv, last, first = object(), None, None
         for batch in batches:
+            conv_type = batch.column("conv").type
             for c, role, raw in zip(*(batch.column(k).to_pylist() for k in ("conv", "role", "raw"))):
                 for i, symbol in enumerate(symbols(raw)):
                     state = ROLES.index(role) * 2 + (i > 0)
@@ -87,17 +92,32 @@ def fit(labelled: DataFrame, conv_col: str = "conv_id", order_col: str = "turn",
                     else:
                         begin[state] += 1
                     conv, last = c, state
+                    first = first or (c, state)
         cells = [(k, int(i), float(x)) for k, t in (("begin", begin), ("move", move), ("emit", emit))
                  for i, x in enumerate(t.ravel()) if x]
-        yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cells], pa.string()), pa.array([c[1] for c in cells], pa.int32()),
-                                          pa.array([c[2] for c in cells], pa.float64())], names=["kind", "cell", "n"])
+        if first is None:
+            return
+        cells = [(*c, None) for c in cells] + [("first", first[1], 1.0, first[0]), ("last", last, 1.0, conv)]
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(cells), pa.int32()), pa.array([c[0] for c in cells], pa.string()),
+                                          pa.array([c[1] for c in cells], pa.int32()), pa.array([c[2] for c in cells], pa.float64()),
+                                          pa.array([c[3] for c in cells], conv_type)], names=["part", "kind", "cell", "n", "conv"])
 
     parts = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "conv", "at", "raw").sortWithinPartitions("conv", "at", "raw")
-    counted = ordered.mapInArrow(tally, "kind string, cell int, n double").groupBy("kind", "cell").agg(F.sum("n").alias("n")).collect()
+    tallied = materialize(ordered.mapInArrow(tally, f"part int, kind string, cell int, n double, conv {kind}"), "tallied")
+    is_end = F.col("kind").isin("first", "last")
+    counted = tallied.filter(~is_end).groupBy("kind", "cell").agg(F.sum("n").alias("n")).collect()
+    ends = {(r["part"], r["kind"]): r for r in tallied.filter(is_end).collect()}
     tables = {"begin": np.zeros(STATES), "move": np.zeros(STATES * STATES), "emit": np.zeros(STATES * SYMBOLS)}
     for r in counted:
         tables[r["kind"]][r["cell"]] = r["n"]
+    found = sorted({part for part, _ in ends})
+    for before, here in zip(found, found[1:]):
+        left, right = ends[before, "last"], ends[here, "first"]
+        if left["conv"] == right["conv"]:
+            tables["begin"][right["cell"]] -= 1
+            tables["move"][left["cell"] * STATES + right["cell"]] += 1
     return Model(tables["begin"], tables["move"].reshape(STATES, STATES), tables["emit"].reshape(STATES, SYMBOLS))
 
 
