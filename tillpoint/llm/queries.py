@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.llm import block_naming, chat_hmm, decontaminate, jaccard_join, line_dedup, mixing, quality_mil, suffix_dedup, token_files, warc_revisit
+from tillpoint.llm import block_naming, chat_hmm, decontaminate, imatch, jaccard_join, line_dedup, mixing, quality_mil, suffix_dedup, token_files, warc_revisit
 from tillpoint.llm.common import table
 
 
@@ -77,6 +77,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col(n["n_hit"]) > 0).alias("contaminated"))
 
 
+def op11_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = imatch.fingerprints(table(spark, sf_dir, "documents"))
+    text = {c: F.lower(F.hex(c)) for c in ("sha", "mark", "edited_mark")}
+    return found.select("doc_id", "n_chars", text["sha"].alias("edited_sha256"), text["mark"].alias("fingerprint"),
+                        text["edited_mark"].alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 EXACT_SQL = """
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
 FROM (SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -94,6 +101,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_imatch": op11_imatch,
 }
 
 ORACLE_SQL = {
