@@ -16,17 +16,17 @@ term of the two documents, mostly, so this estimates the Jaccard similarity of t
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpoint.llm.common import as_frame, materialize, process_store, text_slices
+from tillpoint.llm.common import as_frame, process_store, text_slices
 from tillpoint.llm.text import hash_words, mix, odd, split_words
 
 LOW, HIGH = 1 / 2000, 1 / 20
@@ -152,8 +152,7 @@ def edited(text: str, after: str) -> str:
     return text[:len(text) - half] + after[:half]
 
 
-_OUT = ("doc_id {kind}, n_chars long, sha binary, mark binary, edited_mark binary, near_edited double, near_next double, "
-        "role int, part int, text string")
+_OUT = ("doc_id {kind}, n_chars long, sha binary, mark binary, edited_mark binary, near_edited double, near_next double")
 
 
 def _marks(rows: list, lex: np.ndarray, member: np.ndarray, names: list[str], kind: pa.DataType) -> pa.RecordBatch:
@@ -162,20 +161,50 @@ def _marks(rows: list, lex: np.ndarray, member: np.ndarray, names: list[str], ki
         return digests(pa.array(texts, pa.large_string()), lex, member)
 
     changed = [edited(t, after) for _, t, after in rows]
-    # A text is mostly the one after the row before.
+    # Each row's next text is the text of the row after it.
     texts = [t for _, t, _ in rows]
-    own, edit, last = coded(texts), coded(changed), coded([rows[-1][2]])
-    follow = np.concatenate([own[1:], last])
-    odd_one = [i for i in range(len(rows) - 1) if rows[i][2] is not texts[i + 1]]
-    if odd_one:
-        follow[odd_one] = coded([rows[i][2] for i in odd_one])
-    n = len(rows)
+    own, edit = coded([*texts, rows[-1][2]]), coded(changed)
+    own, follow = own[:-1], own[1:]
     return pa.RecordBatch.from_arrays(
         [pa.array([r[0] for r in rows], kind), pa.array([len(t) for t in texts], pa.int64()),
          pa.array([hashlib.sha256(t.encode()).digest() for t in changed], pa.binary()),
          pa.array(packed(own), pa.binary()), pa.array(packed(edit), pa.binary()),
-         pa.array(likeness(own, edit)), pa.array(likeness(own, follow)),
-         pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names=names)
+         pa.array(likeness(own, edit)), pa.array(likeness(own, follow))], names=names)
+
+
+def _followed(keyed: DataFrame) -> DataFrame:
+    """The rows (doc_id, text), dealt to ranges and sorted.  The first row of
+    each range also stands, as ``last``, at the end of the range before, and
+    that of the first range at the end of the last.
+
+    The ranges come from the narrow rows of ids and text hashes; one border of
+    each comes to the driver."""
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc()]
+    keyed = keyed.withColumn("hash", F.xxhash64("text"))
+    narrow = keyed.select("doc_id", "hash").repartitionByRange(parts, *place).withColumn("part", F.spark_partition_id())
+    least = narrow.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id", "hash")).alias("least"))
+    borders = sorted((r[0][1:] if r[0][1] is not None else (r[0][2],) for r in least.select("least").collect()), key=lambda b: (len(b), b))
+
+    @F.arrow_udf("int")
+    def part_of(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        """The range of each row; -1 less that, if the row is its range's first."""
+        keys = [(len(b), b) for b in borders]
+        out = []
+        for i, h in zip(ids.to_pylist(), hashes.to_pylist()):
+            key = (1, (h,)) if i is None else (2, (i, h))
+            k = bisect.bisect_right(keys, key) - 1
+            out.append(-k - 1 if keys[k] == key else k)
+        return pa.array(out, pa.int32())
+
+    n = max(len(borders), 1)
+    code = F.col("code")
+    own = F.struct(F.when(code < 0, -code - 1).otherwise(code).alias("part"), F.lit(False).alias("last"))
+    before = F.struct(F.pmod(-code - 2, F.lit(n)).alias("part"), F.lit(True).alias("last"))
+    dealt = keyed.withColumn("code", part_of("doc_id", "hash")).withColumn(
+        "to", F.explode(F.when(code < 0, F.array(own, before)).otherwise(F.array(own))))
+    ranged = dealt.select("doc_id", "text", "hash", "to.part", "to.last").repartitionById(n, "part")
+    return ranged.sortWithinPartitions("last", *place).select("doc_id", "text", "last")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -195,67 +224,34 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     range, so no table should hold very many of one.  A single row is its own next
     row; an empty table gives an empty result.  Other columns are not read.
 
-    The texts are shuffled once, into ranges of ids; only the first and the
-    last text of each range are written, and meet in a second small pass."""
-    spark = docs.sparkSession
+    The texts are shuffled once, into ranges of ids."""
     lex = lexicon(docs, text_col, low, high)
-    shared, job = spark.sparkContext.broadcast(lex), uuid.uuid4().hex
+    shared, job = docs.sparkSession.sparkContext.broadcast(lex), uuid.uuid4().hex
     keyed = as_frame(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    kind = keyed.schema["doc_id"].dataType.simpleString()
-    schema = _OUT.format(kind=kind)
+    schema = _OUT.format(kind=keyed.schema["doc_id"].dataType.simpleString())
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def members() -> tuple[np.ndarray, np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = process_store()
         if store.get("imatch", (None,))[0] != job:
             store["imatch"] = (job, subsets(shared.value))
-        return shared.value, store["imatch"][1]
-
-    def border(role: int, row, id_type) -> pa.RecordBatch:
-        part = TaskContext.get().partitionId()
-        gap = [pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
-        return pa.RecordBatch.from_arrays([pa.array([row[0]], id_type), *gap, pa.array([role], pa.int32()),
-                                           pa.array([part], pa.int32()), pa.array([row[1]], pa.string())], names=names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, member = members()
-        before, ready, size, id_type = None, [], 0, None
+        lex, member = shared.value, store["imatch"][1]
+        before, ended, ready, size, id_type = None, False, [], 0, None
         for batch in batches:
             id_type = batch.column("doc_id").type
-            ids = batch.column("doc_id").to_pylist()
+            ids, last = batch.column("doc_id").to_pylist(), batch.column("last").to_pylist()
             for start, texts in text_slices(batch.column("text"), STEP_BYTES):
                 for at, text in enumerate(texts.to_pylist(), start):
-                    if before is None:
-                        yield border(1, (ids[at], text), id_type)
-                    else:
+                    if ended:
+                        continue
+                    if before is not None:
                         ready.append((*before, text))
                         size += len(before[1])
-                    before = (ids[at], text)
+                    before, ended = (ids[at], text), last[at]
                     if size > STEP_BYTES:
                         yield _marks(ready, lex, member, names, id_type)
                         ready, size = [], 0
         if ready:
             yield _marks(ready, lex, member, names, id_type)
-        if before is not None:
-            yield border(2, before, id_type)
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, member = members()
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                yield _marks([(row.column("doc_id")[0].as_py(), row.column("text")[0].as_py(), row.column("after")[0].as_py())],
-                             lex, member, names, batch.column("doc_id").type)
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-    ranged = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    done = materialize(ranged.mapInArrow(run, schema), "fingerprints")
-    # One row per range: the range after it that holds rows.
-    full = sorted(r[0] for r in done.filter("role = 1").select("part").collect())
-    following = spark.createDataFrame(list(zip(full, full[1:] + full[:1])), "part int, follows int")
-    heads = done.filter("role = 1").select(F.col("part").alias("follows"), F.col("text").alias("after"))
-    tails = done.filter("role = 2").select("part", "doc_id", "text").join(F.broadcast(following), "part").join(
-        heads.hint("merge"), "follows")
-    ends = tails.select("doc_id", "text", "after").mapInArrow(finish, schema)
-    return done.filter("role = 0").unionByName(ends).drop("role", "part", "text")
+    return _followed(keyed).mapInArrow(run, schema)
