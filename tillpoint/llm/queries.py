@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.llm import block_naming, chat_hmm, decontaminate, imatch, jaccard_join, line_dedup, mixing, quality_mil, suffix_dedup, token_files, warc_revisit
+from tillpoint.llm import block_naming, chat_hmm, collocations, decontaminate, imatch, jaccard_join, line_dedup, mixing, quality_mil, suffix_dedup, token_files, warc_revisit
 from tillpoint.llm.common import table
 
 
@@ -84,6 +84,10 @@ def op11_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
                         text["edited_mark"].alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 EXACT_SQL = """
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
 FROM (SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -102,6 +106,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
     "op11_imatch": op11_imatch,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLE_SQL = {
@@ -109,4 +114,5 @@ ORACLE_SQL = {
     "op4_warc_revisit": warc_revisit.REVISIT_SQL,
     "op7_mixing": mixing.MIX_SQL,
     "op9_line_dedup": line_dedup.LINES_SQL,
+    "op12_collocations": collocations.COLLOCATIONS_SQL,
 }
