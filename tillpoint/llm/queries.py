@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.llm import block_naming, chat_hmm, collocations, decontaminate, imatch, jaccard_join, line_dedup, mixing, quality_mil, suffix_dedup, token_files, warc_revisit
+from tillpoint.llm import block_naming, chat_hmm, collocations, decontaminate, hard_negatives, imatch, jaccard_join, line_dedup, mixing, quality_mil, suffix_dedup, token_files, warc_revisit
 from tillpoint.llm.common import table
 
 
@@ -88,6 +88,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 EXACT_SQL = """
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
 FROM (SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -107,6 +112,7 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op11_imatch": op11_imatch,
     "op12_collocations": op12_collocations,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -115,4 +121,5 @@ ORACLE_SQL = {
     "op7_mixing": mixing.MIX_SQL,
     "op9_line_dedup": line_dedup.LINES_SQL,
     "op12_collocations": collocations.COLLOCATIONS_SQL,
+    "op13_hard_negatives": hard_negatives.NEGATIVES_SQL,
 }
