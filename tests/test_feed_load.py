@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from seed import SAMPLE_FEED
 from tillpoint.plans import feed_load as L
 from tillpoint.sources.feed import read_order_feed
-from tillpoint.sources.store import RunStore
+from tillpoint.sources.store import RunCommittedError, RunStore
 
 HEADER = "order_id,customer_email,product_sku,quantity,unit_price,order_date,status\n"
 
@@ -219,18 +219,104 @@ def test_unreadable_marker_is_an_error(spark, seed, scratch):
     csv = write(os.path.join(scratch, "a.csv"), SAMPLE_FEED)
     store = RunStore(spark, os.path.join(scratch, "store"))
     L.load_feed(seed, csv, store, run_id="r1")
-    marker = os.path.join(scratch, "store", "_runs", "run_id=r1")
-    for name in os.listdir(marker):
-        if name.endswith(".parquet"):
-            write(os.path.join(marker, name), "not a parquet file")
-        elif name.endswith(".crc"):
-            os.remove(os.path.join(marker, name))
+    log = os.path.join(scratch, "store", "_log")
+    write(os.path.join(log, sorted(os.listdir(log))[-1]), "{not json")
     with pytest.raises(Exception):
         store.table("orders").count()
     with pytest.raises(Exception):
         L.load_feed(seed, csv, store, run_id="r2")
 
 
+class Overtaken(RunStore):
+    """A store in which another writer publishes first."""
+
+    def __init__(self, spark, root, other):
+        super().__init__(spark, root)
+        self.other = other
+
+    def publish(self, run_id, frames, counts=None):
+        other, self.other = self.other, None
+        if other:
+            other(RunStore(self.spark, self.root))
+        return super().publish(run_id, frames, counts)
+
+
+def test_two_writers_load_a_feed_once(spark, seed, scratch):
+    csv = write(os.path.join(scratch, "a.csv"), SAMPLE_FEED)
+    more = write(os.path.join(scratch, "b.csv"), SAMPLE_FEED + "N1,ana.silva@email.com,ELEC-005,1,79.99,2024-03-20,pending\n")
+    store = Overtaken(spark, os.path.join(scratch, "store"), lambda s: L.load_feed(seed, csv, s, run_id="b"))
+    late = L.load_feed(seed, more, store, run_id="a")
+    assert (late.records_loaded, late.records_skipped) == (1, 10)
+    orders, items, ledger = (store.table(n).collect() for n in ("orders", "order_items", "load_ledger"))
+    assert len(orders) == len(items) == len(ledger) == 11
+    assert len({(r.external_order_id, r.product_sku) for r in ledger}) == 11
+    for run in "ab":
+        for name in ("orders", "order_items"):
+            ids = sorted(r.id for r in store.table(name, run).collect())
+            assert ids == list(range(ids[0], ids[0] + len(ids)))
+    assert len({r.id for r in orders}) == len({r.id for r in items}) == 11
+    assert sorted((r.id, r.records_loaded) for r in store.table("etl_run_log").collect()) == [(1, 1), (2, 10)]
+
+
+def test_writers_of_different_rows_do_not_disturb_each_other(spark, seed, scratch):
+    csv = write(os.path.join(scratch, "a.csv"), SAMPLE_FEED)
+    other = write(os.path.join(scratch, "b.csv"), HEADER + "N1,ana.silva@email.com,ELEC-005,1,79.99,2024-03-20,pending\n")
+    store = Overtaken(spark, os.path.join(scratch, "store"), lambda s: L.load_feed(seed, other, s, run_id="b"))
+    assert L.load_feed(seed, csv, store, run_id="a").records_loaded == 10
+    ids = [r.id for r in store.table("orders").collect()]
+    assert sorted(ids) == list(range(21, 32)) and sorted(store.committed_runs()) == ["a", "b"]
+
+
+def test_one_run_id_is_committed_by_one_writer(spark, seed, scratch):
+    csv = write(os.path.join(scratch, "a.csv"), SAMPLE_FEED)
+    store = Overtaken(spark, os.path.join(scratch, "store"), lambda s: L.load_feed(seed, csv, s, run_id="a"))
+    with pytest.raises(RunCommittedError):
+        L.load_feed(seed, csv, store, run_id="a")
+    assert store.table("orders").count() == 10 and store.committed_runs() == ["a"]
+
+
+def test_a_commit_that_dies_leaves_the_run_id_loadable(spark, seed, scratch, monkeypatch):
+    csv = write(os.path.join(scratch, "a.csv"), SAMPLE_FEED)
+    store = RunStore(spark, os.path.join(scratch, "store"))
+    real, died = os.link, []
+
+    def link(source, target):
+        with open(source) as f:
+            if '"commit"' in f.read() and not died:
+                died.append(target)
+                os.rename(source, source + ".left")        # the draft stays, as after a crash
+                raise OSError("killed")
+        real(source, target)
+
+    monkeypatch.setattr(os, "link", link)
+    with pytest.raises(OSError):
+        L.load_feed(seed, csv, store, run_id="x")
+    assert died and store.table("orders").count() == 0 and store.marker("x") is None
+    assert L.load_feed(seed, csv, store, run_id="x").records_loaded == 10
+    assert sorted(r.id for r in store.table("orders").collect()) == list(range(31, 41))
+    assert [(r.status, r.records_loaded) for r in store.table("etl_run_log").orderBy("id").collect()] == [("failed", 0), ("completed", 10)]
+
+
+def test_reservations_never_overlap(spark, scratch):
+    from concurrent.futures import ThreadPoolExecutor
+    root = os.path.join(scratch, "store")
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda k: RunStore(spark, root).reserve(k, 2 * k), range(1, 9)))
+    spans = sorted((o, o + k) for k, (o, _, _) in zip(range(1, 9), got))
+    assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    assert RunStore(spark, root).version() == 8
+
+
+def test_rows_whose_total_does_not_fit_are_rejected(spark, seed, scratch):
+    rows = [f"T{i},ana.silva@email.com,ELEC-005,{q},{p},2024-03-20,pending" for i, (q, p) in enumerate(
+        [(2000000, "99999999"), (100, "99999999.99"), (100, "100000000"), (2, "4999999999.995"), (2000000000, "4.9999"), (2000000000, "5.0"), (1, "1.00")])]
+    res = L.load_feed(seed, write(os.path.join(scratch, "t.csv"), HEADER + "\n".join(rows) + "\n"), RunStore(spark, os.path.join(scratch, "store")))
+    codes = {r.row_num: r.code for r in res.rejects().collect()}
+    assert codes == {2: "bad_number", 4: "bad_number", 5: "bad_number", 6: "bad_number", 7: "bad_number"}
+    assert sorted(r.total_amount for r in res.orders.collect()) == [D("1.00"), D("9999999999.00")]
+    assert res.errors[0] == "[Row 2] Invalid number: quantity '2000000', unit_price '99999999'"
+
+
 def test_ids_follow_a_grown_base(spark, seed, scratch):
     store = RunStore(spark, os.path.join(scratch, "store"))
     L.load_feed(seed, write(os.path.join(scratch, "a.csv"), SAMPLE_FEED), store)

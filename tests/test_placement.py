@@ -10,7 +10,7 @@ import pytest
 from seed import seed_tables
 from tillpoint.plans import placement
 from tillpoint.plans.placement import place_orders, publish_placement
-from tillpoint.sources.store import RunCommittedError, RunStore
+from tillpoint.sources.store import RunCommittedError, RunConflictError, RunStore
 
 REQ_SCHEMA = "request_id long, seq long, customer_id long, items_json string"
 
@@ -148,3 +148,18 @@ def test_publication_is_one_unit_and_ids_never_repeat(spark, seed, scratch):
     assert {r.id: r.stock for r in now.products.collect()}[4] == 47 - 40
     late = place_orders(spark.createDataFrame([(9, 9, 1, '[{"product_id": 4, "quantity": 20}]')], REQ_SCHEMA), now, store=store)
     assert [r.reason for r in late.rejects.collect()] == ["insufficient_stock"]
+
+
+def test_placements_on_old_stock_conflict(spark, seed, scratch):
+    store = RunStore(spark, f"{scratch}/store")
+    request = lambda k: spark.createDataFrame([(k, k, 1, '[{"product_id": 4, "quantity": 40}]')], REQ_SCHEMA)
+    now = store.current(seed)
+    first, second = (place_orders(request(k), now, store=store) for k in (1, 2))
+    publish_placement(first, now, store, "p1")
+    with pytest.raises(RunConflictError):
+        publish_placement(second, now, store, "p2")
+    now = store.current(seed)
+    again = place_orders(request(2), now, store=store)
+    assert [r.reason for r in again.rejects.collect()] == ["insufficient_stock"]
+    publish_placement(again, now, store, "p2")
+    assert store.table("orders").count() == 1 and {r.id: r.stock for r in store.current(seed).products.collect()}[4] == 7

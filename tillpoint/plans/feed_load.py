@@ -22,7 +22,10 @@ Plan:
   first ten messages, id assignment and the outputs all read that.
 * Publication is all-or-nothing through ``RunStore`` (E14).  Loading a run
   id that is already committed returns the recorded result and writes
-  nothing.  Every run leaves an audit row, whatever became of it (E16).
+  nothing.  If another run loaded some of the same rows meanwhile, the
+  resolved rows are classified again against the ledger as it is then.  Ids
+  are reserved in the store before rows are written.  Every run leaves an
+  audit row, whatever became of it (E16).
 """
 
 from __future__ import annotations
@@ -42,14 +45,17 @@ from tillpoint.operators.ranking import dense_ids_by_int_key
 from tillpoint.schema import DEFAULT_CURRENCY, ORDER_STATUSES
 from tillpoint.session import materialize
 from tillpoint.sources.feed import number_rows, scan_order_feed
-from tillpoint.sources.store import RunCommittedError, RunStore, marks_frame, max_ids
+from tillpoint.sources.store import RunCommittedError, RunConflictError, RunStore, max_ids
 from tillpoint.sources.tables import Tables, conform
 
 STAGE_VALIDATION = 1
 STAGE_LOOKUP = 2
 MAX_ERRORS_ALLOWED = 100
 ERROR_TEXT_MESSAGES = 10
+# Publications that other writers may overtake before the load gives up.
+CONFLICT_RETRIES = 20
 PRICE_LIMIT = 10 ** 8          # unit_price is DECIMAL(10,2)
+TOTAL_LIMIT = 10 ** 10         # total_amount is DECIMAL(12,2)
 
 # ---------------------------------------------------------------------------
 # Reject codes in rule order, and their message texts.
@@ -101,6 +107,10 @@ def tag_rows(feed: DataFrame, row_prefix: bool = True) -> DataFrame:
     # More than four decimals, or more than the price column holds: no number.
     fits = (exact == exact.cast("decimal(24,4)")) & (F.abs(F.round(exact, 2)) < F.lit(PRICE_LIMIT).cast("decimal(12,2)"))
     price = F.when(fits, exact).cast("decimal(18,4)")
+    total = qty.cast("decimal(10,0)") * price
+    # The order total and the item's generated subtotal (quantity times the stored price).
+    too_large = (F.abs(F.round(total, 2)) >= F.lit(TOTAL_LIMIT).cast("decimal(12,0)")) | (
+        F.abs(qty.cast("decimal(10,0)") * F.round(price, 2)) >= F.lit(TOTAL_LIMIT).cast("decimal(12,0)"))
     when_ts = parse_lenient_timestamp(F.col("order_date"))
     status = F.lower(trim_ws(F.col("status")))
     code = (F.when(is_blank(F.col("order_id")), "missing_order_id")
@@ -109,6 +119,7 @@ def tag_rows(feed: DataFrame, row_prefix: bool = True) -> DataFrame:
              .when(qty.isNull() | price.isNull(), "bad_number")
              .when(qty <= 0, "bad_quantity")
              .when(price < 0, "negative_price")
+             .when(too_large, "bad_number")
              .when(when_ts.isNull(), "bad_date")
              .when(status.isNull() | ~status.isin(*ORDER_STATUSES), "bad_status"))
     raw = {"quantity": F.col("quantity"), "unit_price": F.col("unit_price_raw"),
@@ -241,7 +252,7 @@ class FeedLoadResult:
     items: DataFrame | None = None
     ledger: DataFrame | None = None
     run_log: DataFrame | None = None
-    marks: DataFrame | None = None
+    log_id: int | None = None
     stopped: bool = False            # fail_fast found an invalid row
     replayed: bool = False           # the run id was committed before
 
@@ -296,33 +307,43 @@ def load_feed(t: Tables, source: str | DataFrame, store: RunStore | None = None,
         if done is not None:
             return _recorded(res, done, store, max_errors)
     try:
-        _load(res, t, source, store, fail_fast, broadcast_max_rows, ledger, multiline)
-        res.status = "completed"
-        res.outcome = ("threshold_exceeded" if res.records_failed > max_errors
-                       else "errors" if res.records_failed > 0 else "ok")
-        res.duration_ms = int((time.time() - started) * 1000)
-        res.run_log = run_log_frame(spark, res, run_at, _next_log_id(store))
-        if publishing:
-            frames = {"orders": res.orders, "order_items": res.items, "load_ledger": res.ledger, "id_marks": res.marks}
+        resolved = _resolved(t, source, broadcast_max_rows, multiline)
+        for attempt in range(CONFLICT_RETRIES + 1):
+            if publishing:
+                store.begin(run_id)
+            _decide(res, t, resolved, store, publishing, fail_fast, ledger)
+            res.status = "completed"
+            res.outcome = ("threshold_exceeded" if res.records_failed > max_errors
+                           else "errors" if res.records_failed > 0 else "ok")
+            res.duration_ms = int((time.time() - started) * 1000)
+            res.run_log = run_log_frame(spark, res, run_at, res.log_id or _next_log_id(store))
+            if not publishing:
+                break
+            frames = {"orders": res.orders, "order_items": res.items, "load_ledger": res.ledger}
             frames = {} if res.stopped else frames
-            store.publish(run_id, frames | {"etl_run_log": res.run_log}, {
-                "read": res.records_read, "loaded": res.records_loaded, "failed": res.records_failed, "skipped": res.records_skipped})
+            try:
+                store.publish(run_id, frames | {"etl_run_log": res.run_log}, {
+                    "read": res.records_read, "loaded": res.records_loaded, "failed": res.records_failed, "skipped": res.records_skipped})
+                break
+            except RunConflictError:
+                if attempt == CONFLICT_RETRIES:
+                    raise
     except Exception as e:
         # Nothing was committed: the audit row says so, then the error goes on.
         res.status, res.records_loaded = "failed", 0
         res.errors = (res.errors + [f"Pipeline error: {e}"])[:ERROR_TEXT_MESSAGES]
         res.duration_ms = int((time.time() - started) * 1000)
         if publishing and not isinstance(e, RunCommittedError):
-            failed = run_log_frame(spark, res, run_at, _next_log_id(store))
+            # The audit id of the run that was not committed, if it has one.
+            failed = run_log_frame(spark, res, run_at, res.log_id or store.reserve(logs=1)[2] + 1)
             store.publish(f"{run_id}-failed-{uuid.uuid4().hex[:8]}", {"etl_run_log": failed})
         raise
     return res
 
 
 def _next_log_id(store: RunStore | None) -> int:
-    if store is None:
-        return 1
-    return (store.table("etl_run_log").agg(F.max("id")).first()[0] or 0) + 1
+    """The audit id that a run would get (it is not reserved)."""
+    return 1 if store is None else (store.log().agg(F.max("last_log_id")).first()[0] or 0) + 1
 
 
 def _recorded(res: FeedLoadResult, done, store: RunStore, max_errors: int) -> FeedLoadResult:
@@ -340,29 +361,24 @@ def _recorded(res: FeedLoadResult, done, store: RunStore, max_errors: int) -> Fe
     return res
 
 
-def _load(res: FeedLoadResult, t: Tables, source: str | DataFrame, store: RunStore | None, fail_fast: bool,
-          broadcast_max_rows: int | None, ledger: DataFrame | None, multiline: bool) -> None:
-    """Everything up to the output frames, into ``res``."""
-    spark = t.spark
-    feed = scan_order_feed(spark, source, multiline) if isinstance(source, str) else source
-    if store is not None:
-        max_o, max_i = store.id_marks(t.orders, t.order_items)
-        ledger = store.table("load_ledger") if ledger is None else ledger
-    else:
-        max_o, max_i = max_ids(t.orders, t.order_items)
-    if ledger is None:
-        ledger = spark.createDataFrame([], "external_order_id string, product_sku string")
-
-    # The first-row choice reads the resolved rows twice (aggregate and
-    # join-back): write them once so the CSV parse, checks and lookups run
-    # once.  A CSV source is numbered afterwards from the written rows' split
-    # tags, so the file is parsed a single time.
+def _resolved(t: Tables, source: str | DataFrame, broadcast_max_rows: int | None, multiline: bool) -> DataFrame:
+    """The feed with checks and lookups done, written once: the first-row
+    choice reads it twice (aggregate and join-back), and again if another
+    writer comes first.  A CSV source is numbered afterwards from the written
+    rows' split tags, so the file is parsed a single time."""
+    feed = scan_order_feed(t.spark, source, multiline) if isinstance(source, str) else source
     if "row_num" in feed.columns:
-        resolved = materialize(resolve_keys(tag_rows(feed), t, broadcast_max_rows), "feed_resolved")
-    else:
-        pre = materialize(resolve_keys(tag_rows(feed, row_prefix=False), t, broadcast_max_rows),
-                          "feed_resolved")
-        resolved = add_row_prefix(number_rows(pre))
+        return materialize(resolve_keys(tag_rows(feed), t, broadcast_max_rows), "feed_resolved")
+    pre = materialize(resolve_keys(tag_rows(feed, row_prefix=False), t, broadcast_max_rows), "feed_resolved")
+    return add_row_prefix(number_rows(pre))
+
+
+def _decide(res: FeedLoadResult, t: Tables, resolved: DataFrame, store: RunStore | None, publishing: bool,
+            fail_fast: bool, ledger: DataFrame | None) -> None:
+    """Everything from the resolved rows to the output frames, into ``res``."""
+    if ledger is None:
+        ledger = (store.table("load_ledger") if store is not None else
+                  t.spark.createDataFrame([], "external_order_id string, product_sku string"))
     classified = materialize(mark_loads(resolved, ledger), "feed_classified")
     totals = classified.agg(
         F.count(F.lit(1)).alias("read"),
@@ -379,5 +395,10 @@ def _load(res: FeedLoadResult, t: Tables, source: str | DataFrame, store: RunSto
         classified = classified.withColumn(
             "outcome", F.when(F.col("outcome") == "loaded", "not_loaded").otherwise(F.col("outcome")))
     res.classified = classified
+    if publishing:
+        n = res.records_loaded
+        max_o, max_i, last_log = store.reserve(n, n, 1 if res.log_id is None else 0, base=(t.orders, t.order_items))
+        res.log_id = res.log_id or last_log + 1
+    else:
+        max_o, max_i = max_ids(t.orders, t.order_items) if store is None else store.id_marks(t.orders, t.order_items)
     res.orders, res.items, res.ledger = build_outputs(classified, max_o, max_i)
-    res.marks = marks_frame(spark, max_o + res.records_loaded, max_i + res.records_loaded)

@@ -42,7 +42,7 @@ from tillpoint.functions.expr import subtotal_of, ts_lit
 from tillpoint.operators.components import components
 from tillpoint.operators.ranking import SortKey, dense_ids, window_positions
 from tillpoint.session import materialize
-from tillpoint.sources.store import RunStore, marks_frame, max_ids
+from tillpoint.sources.store import RunStore, max_ids
 from tillpoint.sources.tables import Tables, conform
 
 # Reject reasons in priority order (fixed).
@@ -175,7 +175,7 @@ def decide_stock(demand: DataFrame) -> tuple[DataFrame, int]:
 def place_orders(requests: DataFrame, t: Tables, placed_at: dt.datetime | None = None,
                  store: RunStore | None = None) -> PlacementResult:
     """Place ``requests`` against the tables ``t``.  With a ``store``, new ids
-    go on from the highest that the base tables or committed runs use; pass
+    are reserved there, after the highest that the base tables use; pass
     ``store.current(t)`` as ``t`` for the current stock, and publish the
     result with ``publish_placement``."""
     spark = t.spark
@@ -209,7 +209,11 @@ def place_orders(requests: DataFrame, t: Tables, placed_at: dt.datetime | None =
     decisions = materialize(decisions, "placement_decisions")
 
     accepted = decisions.filter("accepted").select("rid", "request_id", "seq", "customer_id")
-    max_o, max_i = max_ids(t.orders, t.order_items) if store is None else store.id_marks(t.orders, t.order_items)
+    if store is None:
+        max_o, max_i = max_ids(t.orders, t.order_items)
+    else:
+        n_lines = lines.join(accepted.select("rid"), "rid", "left_semi").count()
+        max_o, max_i, _ = store.reserve(accepted.count(), n_lines, base=(t.orders, t.order_items))
     numbered = dense_ids(accepted, ["seq", "rid"], "order_id", start=max_o + 1)
     acc_lines = lines.join(numbered.select("rid", "order_id"), "rid")
     items = dense_ids(acc_lines, ["order_id", "pos"], "id", start=max_i + 1)
@@ -233,12 +237,11 @@ def place_orders(requests: DataFrame, t: Tables, placed_at: dt.datetime | None =
 
 def publish_placement(result: PlacementResult, t: Tables, store: RunStore, run_id: str) -> None:
     """Publish the new orders, their items and the stock changes as one run:
-    all become visible together, and never twice for one run id."""
-    marks = store.id_marks(t.orders, t.order_items)
-    top = max_ids(result.orders, result.order_items)
-    store.publish(run_id, {
-        "orders": result.orders, "order_items": result.order_items, "stock_changes": result.stock_changes,
-        "id_marks": marks_frame(t.spark, max(marks[0], top[0]), max(marks[1], top[1]))})
+    all become visible together, and never twice for one run id.  ``t``: the tables that were placed against;
+    if another run changed stock since ``store.current`` gave them, ``RunConflictError`` is raised:
+    place the requests again."""
+    store.begin(run_id, t.version)
+    store.publish(run_id, {"orders": result.orders, "order_items": result.order_items, "stock_changes": result.stock_changes})
 
 
 def requests_from_orders(t: Tables, raw_orders: DataFrame, raw_lines: DataFrame) -> DataFrame:

@@ -1,25 +1,35 @@
 """Run store: all-or-nothing publication of a job's output tables on plain
 Parquet (feed loads: orders, items, ledger, audit row; placements: orders,
-items, stock changes).
+items, stock changes), safe for several writers at once.
 
 Layout under ``root``::
 
     <table>/run_id=<id>/attempt=<token>/...   rows written by one attempt of a run
-    _runs/run_id=<id>/...                     commit marker, written last
+    _log/<version>.json                       commits and id reservations, in order
 
-The marker names the attempt whose rows count.  An attempt writes into
-folders of its own and never touches another's, so a run that dies, is
-retried or is replayed cannot harm what is committed; the marker is written
-once and refuses to be overwritten.  Readers join each table with the
-markers, so uncommitted rows are invisible.
+The log is the only thing that decides.  Version n + 1 is one small file that is
+created exclusively: of two writers one creates it, the other one reads it
+and tries the next version.  A file appears whole or not at all, so a writer
+that dies leaves nothing behind that anyone reads.
+
+* A commit names the attempt whose rows count.  A writer notes the version at which it
+  read the store (``begin``); commits since then are checked before its own:
+  the same run id (``RunCommittedError``), ledger keys in common or stock
+  that someone else changed (``RunConflictError``: decide again and publish again).
+* ``reserve`` takes ranges of ids before rows are written, so no two
+  writers share one.  The ids of a run are consecutive; a run that dies leaves a gap.
+
+An attempt writes into folders of its own and never touches another's.
+Readers join each table with the commits, so uncommitted rows are invisible.
 
 Only a folder that does not exist counts as empty.  Anything else that keeps
-a table from being read is an error.
-"""
+a table or the log from being read is an error."""
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import os
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -31,39 +41,107 @@ from tillpoint.schema import SCHEMAS
 from tillpoint.sources.tables import Tables, conform
 
 LEDGER_SCHEMA = "external_order_id string, product_sku string, row_num long, order_id long"
-MARKS_SCHEMA = "max_order_id long, max_item_id long"
+LEDGER_KEY = ["external_order_id", "product_sku"]
 STOCK_SCHEMA = "product_id long, change long"
-MARKER_SCHEMA = ("attempt string, committed_at timestamp, records_read long, records_loaded long, "
-                 "records_failed long, records_skipped long")
+LOG_SCHEMA = ("version long, kind string, run_id string, attempt string, tables array<string>, committed_at timestamp, "
+              "records_read long, records_loaded long, records_failed long, records_skipped long, "
+              "last_order_id long, last_item_id long, last_log_id long")
 
 
 class RunCommittedError(RuntimeError):
     """The run id is already committed."""
 
 
+class RunConflictError(RuntimeError):
+    """Another run was committed meanwhile that this one depends on."""
+
+
+def create_exclusively(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with ``text``, whole or not at all; False if it exists.
+
+    A local file (or a shared mount) is linked into place, which never replaces one.
+    Elsewhere it is renamed into place, which HDFS refuses if the target exists."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getScheme() == "file":
+        place = target.toUri().getPath()
+        draft = os.path.join(os.path.dirname(place), f".{uuid.uuid4().hex}")
+        os.makedirs(os.path.dirname(place), exist_ok=True)
+        try:
+            with open(draft, "x") as f:
+                f.write(text)
+                f.flush()
+                os.fsync(f.fileno())
+            os.link(draft, place)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            if os.path.exists(draft):
+                os.unlink(draft)
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    done = not fs.exists(target) and fs.rename(draft, target)
+    if not done:
+        fs.delete(draft, False)
+    return done
+
+
 class RunStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._seen: dict[str, int] = {}
 
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def _schema(self, name: str) -> T.StructType:
-        fixed = {"load_ledger": LEDGER_SCHEMA, "id_marks": MARKS_SCHEMA, "stock_changes": STOCK_SCHEMA,
-                 "_runs": MARKER_SCHEMA}.get(name)
-        if fixed is None:
-            return SCHEMAS[name]
+        fixed = {"load_ledger": LEDGER_SCHEMA, "stock_changes": STOCK_SCHEMA}.get(name)
         # Not from the session's own parser state: a DDL string names its types.
-        return T.StructType.fromDDL(fixed)
+        return SCHEMAS[name] if fixed is None else T.StructType.fromDDL(fixed)
+
+    # -- the log ------------------------------------------------------------
+    def log(self) -> DataFrame:
+        """All entries of the log, as a table."""
+        schema = T.StructType.fromDDL(LOG_SCHEMA)
+        if not self.version():
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("mode", "FAILFAST").json(self._path("_log"))
+
+    def version(self) -> int:
+        """The latest version of the log; 0 before the first entry."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self._path("_log"))
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return 0
+        names = [f.getPath().getName() for f in fs.listStatus(folder)]
+        return max([int(n.split(".")[0]) for n in names if not n.startswith(".")], default=0)
+
+    def _append(self, version: int, entry: dict) -> bool:
+        text = json.dumps({"version": version} | {k: v for k, v in entry.items() if v is not None})
+        return create_exclusively(self.spark, f"{self._path('_log')}/{version:020d}.json", text + "\n")
+
+    def markers(self) -> DataFrame:
+        """One row per committed run."""
+        return self.log().filter("kind = 'commit'")
 
+    def committed_runs(self) -> list[str]:
+        """Ids of the committed runs, for inspection."""
+        return [r[0] for r in self.markers().select("run_id").collect()]
+
+    def marker(self, run_id: str):
+        """The commit of a run, or None."""
+        return self.markers().filter(F.col("run_id") == F.lit(run_id)).first()
+
+    # -- tables -------------------------------------------------------------
     def _read(self, name: str) -> DataFrame | None:
         """All attempts of a table, run_id and attempt as text; None if
         nothing was ever written."""
-        fields = [T.StructField("run_id", T.StringType())]
-        if name != "_runs":
-            fields.append(T.StructField("attempt", T.StringType()))
-        schema = T.StructType([*self._schema(name).fields, *fields])
+        schema = T.StructType([*self._schema(name).fields, T.StructField("run_id", T.StringType()), T.StructField("attempt", T.StringType())])
         try:
             return self.spark.read.schema(schema).parquet(self._path(name))
         except AnalysisException as e:
@@ -71,77 +149,102 @@ class RunStore:
                 return None
             raise
 
-    def markers(self) -> DataFrame:
-        """One row per committed run."""
-        found = self._read("_runs")
+    def _rows(self, name: str, commits: DataFrame) -> DataFrame:
+        found = self._read(name)
         if found is None:
-            return self.spark.createDataFrame([], f"{MARKER_SCHEMA}, run_id string")
-        return found
-
-    def committed_runs(self) -> list[str]:
-        """Ids of the committed runs, for inspection."""
-        return [r[0] for r in self.markers().select("run_id").collect()]
-
-    def marker(self, run_id: str):
-        """The commit marker of a run, or None."""
-        return self.markers().filter(F.col("run_id") == F.lit(run_id)).first()
+            return self.spark.createDataFrame([], self._schema(name))
+        rows = found.join(commits.select("run_id", "attempt"), ["run_id", "attempt"], "left_semi").drop("run_id", "attempt")
+        return conform(rows, name) if name in SCHEMAS else rows
 
     def table(self, name: str, run_id: str | None = None) -> DataFrame:
         """Committed rows of ``name`` (of one run, if given); empty with the
         declared schema when there are none."""
-        found = self._read(name)
-        if found is None:
-            return self.spark.createDataFrame([], self._schema(name))
-        marks = self.markers().select("run_id", "attempt")
-        if run_id is not None:
-            found, marks = (x.filter(F.col("run_id") == F.lit(run_id)) for x in (found, marks))
-        rows = found.join(marks, ["run_id", "attempt"], "left_semi").drop("run_id", "attempt")
-        return conform(rows, name) if name in SCHEMAS else rows
+        commits = self.markers()
+        return self._rows(name, commits if run_id is None else commits.filter(F.col("run_id") == F.lit(run_id)))
 
     def current(self, t: Tables) -> Tables:
         """``t`` with the committed runs applied: their orders and items
-        added, their stock changes summed per product."""
+        added, their stock changes summed per product.  ``version`` tells
+        which commits are in it for certain."""
+        version = self.version()
         change = self.table("stock_changes").groupBy(F.col("product_id").alias("id")).agg(F.sum("change").alias("_change"))
         products = t.products.join(change, "id", "left").withColumn(
             "stock", (F.col("stock") + F.coalesce(F.col("_change"), F.lit(0))).cast("int"))
         return t.with_(orders=t.orders.unionByName(self.table("orders")),
                        order_items=t.order_items.unionByName(self.table("order_items")),
-                       products=conform(products, "products"))
+                       products=conform(products, "products"), version=version)
+
+    # -- ids ----------------------------------------------------------------
+    def _taken(self) -> tuple[int, int, int]:
+        r = self.log().agg(F.max("last_order_id"), F.max("last_item_id"), F.max("last_log_id")).first()
+        return tuple(x or 0 for x in r)
 
     def id_marks(self, base_orders: DataFrame, base_items: DataFrame) -> tuple[int, int]:
-        """Highest order id and item id in use: the base tables' maxima, read
-        anew for every run (Parquet statistics answer them), and the marks of
-        committed runs, whose tables are not scanned."""
-        return max_ids(base_orders, base_items, self.table("id_marks"))
+        """Highest order id and item id in use or reserved: the base tables'
+        maxima, read anew for every run, and the log's; no published table is scanned."""
+        o, i = max_ids(base_orders, base_items)
+        taken = self._taken()
+        return max(o, taken[0]), max(i, taken[1])
+
+    def reserve(self, orders: int = 0, items: int = 0, logs: int = 0,
+                base: tuple[DataFrame, DataFrame] | None = None) -> tuple[int, int, int]:
+        """Reserve that many consecutive ids of orders, items and audit rows
+        for this writer.  Returns the ids before the first ones; ``base``: tables
+        whose ids are in use besides."""
+        used = max_ids(*base) if base is not None else (0, 0)
+        while True:
+            version = self.version()
+            taken = self._taken()
+            last = max(used[0], taken[0]), max(used[1], taken[1]), taken[2]
+            # Entries written since the version was read make this one fail.
+            if self._append(version + 1, {"kind": "ids", "last_order_id": last[0] + orders, "last_item_id": last[1] + items,
+                                          "last_log_id": last[2] + logs}):
+                return last
+
+    # -- publication --------------------------------------------------------
+    def begin(self, run_id: str, version: int | None = None) -> None:
+        """Note the version at which this run reads the store (default: now)."""
+        self._seen[run_id] = self.version() if version is None else version
 
     def publish(self, run_id: str, frames: dict[str, DataFrame], counts: dict[str, int] | None = None) -> str:
-        """Write every frame into a new attempt, then the commit marker.
-        Returns the attempt.  Fails if the run is already committed."""
-        attempt = uuid.uuid4().hex
+        """Write every frame into a new attempt, then commit it.  Returns the
+        attempt.  Fails if the run is already committed, or if commits since
+        ``begin`` (of any run, without it: since now) conflict with this one."""
+        attempt = "a" + uuid.uuid4().hex
+        seen = self._seen.get(run_id, self.version())
         for name, df in frames.items():
-            df.write.mode("error").parquet(f"{self._path(name)}/run_id={run_id}/attempt=a{attempt}")
+            df.write.mode("error").parquet(f"{self._path(name)}/run_id={run_id}/attempt={attempt}")
         n = counts or {}
-        marker = self.spark.createDataFrame(
-            [("a" + attempt, dt.datetime.now(dt.timezone.utc), n.get("read"), n.get("loaded"), n.get("failed"), n.get("skipped"))],
-            MARKER_SCHEMA)
-        try:
-            marker.coalesce(1).write.mode("error").parquet(f"{self._path('_runs')}/run_id={run_id}")
-        except AnalysisException as e:
-            if e.getCondition() == "PATH_ALREADY_EXISTS":
-                raise RunCommittedError(f"run {run_id} is already committed") from e
-            raise
-        return "a" + attempt
-
-
-def max_ids(base_orders: DataFrame, base_items: DataFrame, marks: DataFrame | None = None) -> tuple[int, int]:
+        entry = {"kind": "commit", "run_id": run_id, "attempt": attempt, "tables": sorted(frames),
+                 "committed_at": dt.datetime.now(dt.timezone.utc).isoformat(), "records_read": n.get("read"),
+                 "records_loaded": n.get("loaded"), "records_failed": n.get("failed"), "records_skipped": n.get("skipped")}
+        checked = 0
+        while True:
+            version = self.version()
+            if self.marker(run_id) is not None:
+                raise RunCommittedError(f"run {run_id} is already committed")
+            self._check(run_id, attempt, frames, max(seen, checked), version)
+            if self._append(version + 1, entry):
+                self._seen.pop(run_id, None)
+                return attempt
+            checked = version
+
+    def _check(self, run_id: str, attempt: str, frames: dict[str, DataFrame], after: int, upto: int) -> None:
+        """Raise if a commit of the versions after ``after`` conflicts."""
+        if upto <= after:
+            return
+        newer = self.markers().filter(F.col("version").between(after + 1, upto))
+        if "stock_changes" in frames and newer.filter(F.array_contains("tables", "stock_changes")).limit(1).count():
+            raise RunConflictError(f"run {run_id}: stock was changed meanwhile")
+        newer = newer.filter(F.array_contains("tables", "load_ledger"))
+        if "load_ledger" in frames and newer.limit(1).count():
+            mine = self.spark.read.schema(self._schema("load_ledger")).parquet(
+                f"{self._path('load_ledger')}/run_id={run_id}/attempt={attempt}")
+            both = self._rows("load_ledger", newer).select(*LEDGER_KEY).join(mine.select(*LEDGER_KEY), LEDGER_KEY)
+            if both.limit(1).count():
+                raise RunConflictError(f"run {run_id}: some of its rows were loaded meanwhile")
+
+
+def max_ids(base_orders: DataFrame, base_items: DataFrame) -> tuple[int, int]:
     """(highest order id, highest item id); 0 for empty tables."""
-    o = base_orders.agg(F.max("id")).first()[0] or 0
-    i = base_items.agg(F.max("id")).first()[0] or 0
-    if marks is not None:
-        r = marks.agg(F.max("max_order_id"), F.max("max_item_id")).first()
-        o, i = max(o, r[0] or 0), max(i, r[1] or 0)
-    return o, i
-
-
-def marks_frame(spark: SparkSession, order_id: int, item_id: int) -> DataFrame:
-    return spark.createDataFrame([(order_id, item_id)], MARKS_SCHEMA)
+    return tuple(df.agg(F.max("id")).first()[0] or 0 for df in (base_orders, base_items))

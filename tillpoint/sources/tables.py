@@ -23,6 +23,8 @@ class Tables:
     order_items: DataFrame
     # The audit log, where a caller wants it checked with the others.
     etl_run_log: DataFrame | None = None
+    # The version of the run store whose commits are applied (``RunStore.current``).
+    version: int | None = None
 
     @property
     def spark(self) -> SparkSession:
