@@ -266,7 +266,10 @@ def test_long_text_is_cut_in_overlapping_chunks(monkeypatch):
     assert first[0] == 0 and (first[1:] == first[:-1] + count[:-1]).all() and first[-1] + count[-1] == len(data) - 59
 
 
-def test_line_dedup_matches_brute_force(spark, corpus):
+@pytest.mark.parametrize("min_words", [None, 1, 10])
+def test_line_dedup_matches_brute_force(spark, corpus, monkeypatch, min_words):
+    monkeypatch.setattr(line_dedup, "HELD_UNITS", 5)
+    options = {} if min_words is None else {"min_words": min_words}
     lines = [(i, (t or "").split("\n")) for i, t in corpus]
     order = sorted(range(len(corpus)), key=lambda k: (corpus[k][0] is None, corpus[k][0] or 0))
     seen, want = {}, collections.Counter()
@@ -275,7 +278,7 @@ def test_line_dedup_matches_brute_force(spark, corpus):
         kept, units, removed = [], 0, 0
         for n, line in enumerate(mine):
             norm = tuple(line.encode().lower().split())
-            if len(norm) < 10:
+            if len(norm) < (min_words or line_dedup.MIN_WORDS):
                 kept.append(line)
                 continue
             units += 1
@@ -285,11 +288,19 @@ def test_line_dedup_matches_brute_force(spark, corpus):
             else:
                 kept.append(line)
         want[(i, units, removed, "\n".join(kept))] += 1
-    got = line_dedup.dedup_lines(frame(spark, corpus)).collect()
+    got = line_dedup.dedup_lines(frame(spark, corpus), **options).collect()
     assert collections.Counter((r.doc_id, r.units, len(r.removed), r.kept) for r in got) == want
     raw = {(r.doc_id, r.kept): r for r in got}
     for i, t in corpus:
         for r in (r for r in raw.values() if r.doc_id == i):
             for s in r.removed:
                 assert b"\n" not in (t or "").encode()[s.lo:s.hi]
-    assert line_dedup.dedup_lines(frame(spark, [])).collect() == []
+    assert line_dedup.dedup_lines(frame(spark, []), **options).collect() == []
+
+
+def test_line_dedup_stands_colliding_hashes(spark, corpus, monkeypatch):
+    rows = [(i, t) for i, t in corpus if i is not None and sum(j == i for j, _ in corpus) == 1]
+    found = lambda: sorted(map(tuple, line_dedup.dedup_lines(frame(spark, rows)).collect()))
+    want = found()
+    monkeypatch.setattr(line_dedup, "text_key", lambda *columns: F.lit(7).cast("long"))
+    assert found() == want and any(r[2] for r in want)

@@ -11,12 +11,19 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillpoint.llm.common import as_frame, growing, materialize
+from tillpoint.llm.common import SLICE_BYTES, as_frame, growing, materialize
 
 MIN_WORDS = 10
+# Units that a task holds before it passes them on.
+HELD_UNITS = 20_000
+
+
+def text_key(*columns: str) -> Column:
+    """What tells documents of one id apart."""
+    return F.xxhash64(*columns)
 
 
 def units(raw: bytes, min_words: int) -> Iterator[tuple[int, int, bytes]]:
@@ -32,36 +39,54 @@ def units(raw: bytes, min_words: int) -> Iterator[tuple[int, int, bytes]]:
 def _find(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(k, lo, hi, d) for k, t in zip(batch.column("key").to_pylist(), batch.column("bytes"))
-                   for lo, hi, d in units(t.as_py(), min_words)]
-            picked = [out[i][0] for i in range(len(out))]
-            place = {k: i for i, k in enumerate(batch.column("key").to_pylist())}
-            ids = batch.column("doc_id").take(pa.array([place[k] for k in picked], pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(picked, pa.int64()), ids, pa.array([o[1] for o in out], pa.int64()),
-                 pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.binary())],
-                names=["key", "doc_id", "lo", "hi", "digest"])
+            row, lo, hi, digest = [], [], [], []
+
+            def passed():
+                rows = pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(row, pa.int32())), batch.column("key").take(pa.array(row, pa.int32())),
+                     pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(digest, pa.binary())],
+                    names=["doc_id", "key", "lo", "hi", "digest"])
+                for column in (row, lo, hi, digest):
+                    column.clear()
+                return rows
+
+            for i, text in enumerate(batch.column("bytes")):
+                for a, b, d in units(text.as_py(), min_words):
+                    row.append(i)
+                    lo.append(a)
+                    hi.append(b)
+                    digest.append(d)
+                    if len(row) == HELD_UNITS:
+                        yield passed()
+            yield passed()
     return run
 
 
 def _remove(min_words: int):
+    spans_type = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            first, size = 0, 0
             counts, removed, kept = [], [], []
-            for text, spans in zip(batch.column("bytes"), batch.column("spans")):
+            for i, (text, spans) in enumerate(zip(batch.column("bytes"), batch.column("spans"))):
                 raw, gone = text.as_py(), sorted((s["lo"], s["hi"]) for s in spans.as_py() or ())
-                drop, at, lines = {lo for lo, _ in gone}, 0, []
+                drop, at, n, lines = {lo for lo, _ in gone}, 0, 0, []
                 for line in raw.split(b"\n"):
                     if at not in drop or not line:
                         lines.append(line)
+                    n += len(line.split(None, min_words)) >= min_words
                     at += len(line) + 1
-                counts.append(sum(1 for _ in units(raw, min_words)))
+                counts.append(n)
                 removed.append([{"lo": lo, "hi": hi} for lo, hi in gone])
                 kept.append(b"\n".join(lines).decode())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()),
-                 pa.array(removed, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(kept, pa.string())],
-                names=["doc_id", "units", "removed", "kept"])
+                size += len(raw)
+                if size > SLICE_BYTES or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").slice(first, len(kept)), pa.array(counts, pa.int64()),
+                         pa.array(removed, spans_type), pa.array(kept, pa.string())], names=["doc_id", "units", "removed", "kept"])
+                    first, size = i + 1, 0
+                    counts, removed, kept = [], [], []
     return run
 
 
@@ -73,21 +98,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Occurrences rank by id (null last), then by position.  Null and empty
     texts have no units.  Rows that agree in id and text are one document:
     they lose the same lines.  Equal texts under different ids are different
-    documents.  Other columns are not read; an empty table gives an empty
-    result.  Documents are followed by a 64-bit hash of id and text."""
+    documents.  A very long text is handled by itself, its units passed on as they come.  Other columns
+    are not read; an empty table gives an empty result.  Documents are followed
+    by their id and a 64-bit hash of id and text."""
     keyed = as_frame(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keyed = keyed.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("bytes"))
+    keyed = keyed.select("doc_id", text_key("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("bytes"))
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    found = materialize(keyed.mapInArrow(_find(min_words), f"key long, doc_id {kind}, lo long, hi long, digest binary"), "units")
+    found = materialize(keyed.mapInArrow(_find(min_words), f"doc_id {kind}, key long, lo long, hi long, digest binary"), "units")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "lo")
     # Counting a document's units once, so that repeated rows alone are no repeat.
     first = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    first = materialize(first.select("digest", "first.key", "first.lo"), "first")
-    later = found.join(growing(first.select("digest", F.col("key").alias("first_key"), F.col("lo").alias("first_lo"))), "digest")
-    later = later.filter("key <> first_key or lo <> first_lo").select("key", "lo", "hi").distinct()
-    spans = materialize(later.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    texts = keyed.join(growing(spans), "key", "left").select("doc_id", "bytes", "spans")
-    return texts.mapInArrow(_remove(min_words), f"doc_id {kind}, units long, removed array<struct<lo:long,hi:long>>, kept string")
+    first = materialize(first.select("digest", "first"), "first")
+    later = found.join(growing(first), "digest").filter(place != F.col("first")).select("doc_id", "key", "lo", "hi").distinct()
+    spans = later.groupBy(F.col("doc_id").alias("of"), F.col("key").alias("of_key")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = materialize(spans, "spans")
+    texts = keyed.join(growing(spans), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
+    return texts.select("doc_id", "bytes", "spans").mapInArrow(
+        _remove(min_words), f"doc_id {kind}, units long, removed array<struct<lo:long,hi:long>>, kept string")
 
 
 LINES_SQL = f"""
