@@ -1,6 +1,6 @@
 """Substring dedup by lines: equal normalised lines are kept once.
 
-Every line of MIN_WORDS words or more is a unit.  Units are normalised (A-Z
+Every line with a word (of MIN_WORDS or more) is a unit.  Units are normalised (A-Z
 lower-cased, runs of white space one space), their digests are grouped over
 all documents, and the occurrence that ranks first stays.  Only digests and
 offsets are shuffled; the texts meet their spans once, at the end."""
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tillpoint.llm.common import SLICE_BYTES, as_frame, growing, materialize
 
-MIN_WORDS = 10
+MIN_WORDS = 1
 # Units that a task holds before it passes them on.
 HELD_UNITS = 20_000
 
