@@ -363,3 +363,56 @@ def test_prices_that_do_not_fit_are_rejected(spark, seed, scratch):
     res = L.load_feed(seed, write(os.path.join(scratch, "p.csv"), HEADER + "\n".join(rows) + "\n"))
     assert {r.row_num: r.code for r in res.rejects().collect()} == {2: "bad_number", 4: "bad_number", 5: "bad_number"}
     assert res.orders.count() == 3
+
+
+@pytest.mark.parametrize("seed_,end", [(1, "\n"), (2, "\r\n"), (3, "\n"), (4, "\n")])
+def test_quoted_line_breaks_over_several_tasks(spark, scratch, seed_, end):
+    """Equal to the one-task parse, file by file, on random quoted files."""
+    import random
+    rng = random.Random(seed_)
+    folder = os.path.join(scratch, "q")
+    os.makedirs(folder)
+    columns = HEADER.strip().split(",")
+
+    def field():
+        x = rng.choice(["a", "b c", "", "x,y", 'say ""hi""', "two" + end + "lines", end, "three" + end + end + "gaps", 'q""' + end + '""q', "long " * 40, "é世"])
+        return f'"{x}"' if rng.random() < 0.4 or any(c in x for c in ',"\r\n') else x
+
+    for k, n in enumerate((400, 0, 37, 150)):
+        order = rng.sample(columns, len(columns))
+        rows = [",".join(order)] + [",".join(field() for _ in order) for _ in range(n)]
+        if k == 2:                                     # blank lines between records, one long quoted field, no last line end
+            rows += ["", ",".join(['"' + ("part" + end) * 900 + '"'] + ["z"] * 6), ""]
+        with open(os.path.join(folder, f"{k}.csv"), "w", newline="", encoding="utf-8") as f:
+            f.write(end.join(rows) + (end if k != 2 else ""))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        feed = read_order_feed(spark, folder, multiline=True)
+        assert spark.read.text(folder).rdd.getNumPartitions() > 10
+        got = {}
+        for r in feed.collect():
+            got.setdefault(r.source_file.split("/")[-1], []).append(r)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    seen = 0
+    for k in range(4):
+        one = spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(os.path.join(folder, f"{k}.csv")).select(*columns).collect()
+        mine = sorted(got.get(f"{k}.csv", []), key=lambda r: r.row_num)
+        assert [r.row_num for r in mine] == list(range(2, len(one) + 2))
+        assert [r.feed_seq for r in mine] == list(range(seen + 1, seen + len(one) + 1))
+        assert [tuple(r[c] for c in columns) for r in mine] == [tuple(r) for r in one]
+        seen += len(one)
+
+
+def test_headers_come_from_the_first_bytes(spark, seed, scratch):
+    import gzip
+    folder = os.path.join(scratch, "gz")
+    os.makedirs(folder)
+    with gzip.open(os.path.join(folder, "a.csv.gz"), "wt") as f:
+        f.write(HEADER + "X1,ana.silva@email.com,ELEC-005,3,4.00,2024-03-20,pending\n")
+    write(os.path.join(folder, "b.csv"), "\ufeffstatus,order_id,customer_email,product_sku,unit_price,quantity,order_date\r\n"
+                                         "pending,X2,ana.silva@email.com,ELEC-004,4.00,3,2024-03-20\r\n")
+    for multiline in (False, True):
+        got = L.load_feed(seed, folder, multiline=multiline)
+        assert sorted((r.quantity, float(r.unit_price)) for r in got.items.collect()) == [(3, 4.0), (3, 4.0)]

@@ -293,8 +293,8 @@ def load_feed(t: Tables, source: str | DataFrame, store: RunStore | None = None,
     row there before the error is raised.  Without a store the result holds
     the DataFrames only (nothing is written).
 
-    ``multiline``: quoted fields may hold line breaks (a file is then one
-    task).  A ``run_id`` that is already committed is not loaded again."""
+    ``multiline``: quoted fields may hold line breaks (one more pass over the
+    feed).  A ``run_id`` that is already committed is not loaded again."""
     spark = t.spark
     started = time.time()
     run_at = dt.datetime.now(dt.timezone.utc)          # aware: stored as the same instant

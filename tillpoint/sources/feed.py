@@ -9,63 +9,213 @@ order of magnitude as the scan's task list); offsets per file are prefix
 sums over the splits in block order; a broadcast join of that split table
 adds them back.  Files are split normally, so a large feed is read by many
 tasks.  A folder may hold files whose headers order the columns differently:
-each group of equal headers is read with its own.  Quoted fields may not contain line breaks unless ``multiline=True``
-(which makes each file a single task).
-"""
+each group of equal headers is read with its own.  Of a header only the file's first
+bytes are read.
+
+Quoted fields may hold line breaks with ``multiline=True``.  A split cannot tell
+whether it begins inside quotes, but the number of quotes before it can: it
+does if that is odd.  A first pass counts, for each split, its quotes and the
+records that begin in it in either case; the prefix XOR over a file's splits
+settles which case holds, and the prefix sum gives the record numbers.  The second pass
+numbers each line's record; the lines of the few records that span
+lines are grouped again, all others are parsed where they are."""
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tillpoint.schema import FEED_COLUMNS
 
+HEADER_BYTES = 1 << 16
+HEADER_READERS = 16
 
-def _header_groups(spark: SparkSession, files: list[str]) -> list[list[str]]:
-    """The files, grouped by their first line (one scan of the lines, one row
-    per file)."""
-    lines = spark.read.text(files).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("mid"))
-    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "mid").alias("header"))
-    groups: dict[str, list[str]] = {}
-    for r in first.collect():
-        groups.setdefault(r["header"].strip("\ufeff\r "), []).append(r["file"])
-    return [sorted(g) for _, g in sorted(groups.items())]
 
+def _header(spark: SparkSession, file: str) -> tuple[str, bool]:
+    """The first record of a file that is not empty, from its first bytes, and whether
+    its lines end with a carriage return."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    stream = path.getFileSystem(conf).open(path)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+    stream = stream if codec is None else codec.createInputStream(stream)
+    raw, start = b"", 0
+    try:
+        while True:
+            more = bytes(stream.readNBytes(HEADER_BYTES))
+            raw += more
+            while (end := raw.find(b"\n", start)) >= 0 and raw[:end].count(b'"') % 2:
+                start = end + 1
+            if end >= 0 and not raw[:end].strip(b"\r\n\xef\xbb\xbf"):
+                raw, start = raw[end + 1:], 0
+            elif end >= 0 or not more:
+                record = raw[:end] if end >= 0 else raw
+                return record.decode("utf-8", "replace").strip("\ufeff\r"), record.endswith(b"\r")
+    finally:
+        stream.close()
 
-def scan_order_feed(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """FEED_COLUMNS + source_file + split tags (_block, _mid), taken right
-    at the scan.  ``number_rows`` turns the tags into record numbers, also
-    after the rows went through joins or were written out.  Columns are bound
-    by the header of each file."""
-    reader = (spark.read.option("header", True).option("inferSchema", False)
-              .option("quote", '"').option("escape", '"').option("multiLine", multiline)
-              .option("mode", "PERMISSIVE"))
+
+def _header_groups(spark: SparkSession, files: list[str]) -> dict[tuple[str, bool], list[str]]:
+    """The files, grouped by their header."""
+    groups: dict[tuple[str, bool], list[str]] = {}
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        for file, header in zip(files, pool.map(lambda f: _header(spark, f), files)):
+            groups.setdefault(header, []).append(file)
+    return {h: sorted(g) for h, g in sorted(groups.items())}
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
     try:
-        raw = reader.csv(path)
+        return sorted(spark.read.text(path).inputFiles())
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             raise FileNotFoundError(f"CSV file not found: {path}") from e
         raise
-    files = raw.inputFiles()
-    parts = [raw]
-    if len(files) > 1:
-        groups = _header_groups(spark, files)
-        parts = [reader.csv(g) for g in groups] if len(groups) > 1 else parts
+
+
+def _require(columns: list[str]) -> None:
+    missing = [c for c in FEED_COLUMNS if c not in columns]
+    if missing:
+        raise ValueError(f"Feed header lacks columns: {', '.join(missing)}")
+
+
+_CSV_IN = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+
+
+def scan_order_feed(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """FEED_COLUMNS + source_file + split tags (_block, _mid), taken right
+    at the scan.  ``number_rows`` turns the tags into record numbers, also
+    after the rows went through joins or were written out.  Columns are bound
+    by the header of each file.  With ``multiline`` the rows are numbered already (row_num, feed_seq)."""
+    files = _files(spark, path)
+    if multiline:
+        return _scan_quoted(spark, files)
+    reader = spark.read.options(header=True, inferSchema=False, **_CSV_IN)
+    groups = _header_groups(spark, files) if len(files) > 1 else {}
+    # Line ends do not matter here: files of one header are read together.
+    by_header: dict[str, list[str]] = {}
+    for (header, _), group in groups.items():
+        by_header.setdefault(header, []).extend(group)
+    parts = [reader.csv(g) for g in by_header.values()] if len(by_header) > 1 else [reader.csv(path)]
     for part in parts:
-        missing = [c for c in FEED_COLUMNS if c not in part.columns]
-        if missing:
-            raise ValueError(f"Feed header lacks columns: {', '.join(missing)}")
+        _require(part.columns)
     out = [part.select(*[F.col(c) for c in FEED_COLUMNS], F.col("_metadata.file_path").alias("source_file"),
                        F.col("_metadata.file_block_start").alias("_block"),
                        F.monotonically_increasing_id().alias("_mid")) for part in parts]
     return reduce(DataFrame.unionByName, out)
 
 
+def _line_states(values: pa.Array, keys: list, state: dict, crlf: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each line: whether it begins inside quotes, whether it ends so, and
+    whether it is empty.  ``state``: quote parity of the split being read."""
+    quotes = pc.count_substring(values, '"').to_numpy(zero_copy_only=False).astype(np.int64)
+    empty = pc.less_equal(pc.binary_length(pc.utf8_rtrim(values, "\r") if crlf else values), 0).to_numpy(zero_copy_only=False)
+    begins = np.zeros(len(quotes), bool)
+    ends = np.zeros(len(quotes), bool)
+    # A batch holds one split's lines after another's.
+    edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+    for a, b in zip(edges, edges[1:]):
+        if a < b:
+            after = (np.cumsum(quotes[a:b]) + state.setdefault(keys[a], 0)) % 2 == 1
+            ends[a:b] = after
+            begins[a], begins[a + 1:b] = state[keys[a]] % 2 == 1, after[:-1]
+            state[keys[a]] = int(after[-1])
+    return begins, ends, empty
+
+
+def _count_splits(crlf: bool):
+    """Rows (source_file, _block, quotes, even, odd) of the splits: parity of
+    the quotes, records that begin if an even or an odd number came before."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, list[int]] = {}
+        state: dict = {}
+        for batch in batches:
+            keys = list(zip(batch.column("source_file").to_pylist(), batch.column("_block").to_pylist()))
+            begins, _, empty = _line_states(batch.column("value"), keys, state, crlf)
+            for key in dict.fromkeys(keys):
+                mine = np.array([k == key for k in keys]) if keys[0] != keys[-1] else slice(None)
+                row = found.setdefault(key, [0, 0])
+                row[0] += int((~begins[mine] & ~empty[mine]).sum())
+                row[1] += int((begins[mine] & ~empty[mine]).sum())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()),
+             pa.array([state[k] for k in found], pa.int32()), pa.array([v[0] for v in found.values()], pa.int64()),
+             pa.array([v[1] for v in found.values()], pa.int64())], names=["source_file", "_block", "quotes", "even", "odd"])
+    return run
+
+
+def _number_lines(before: dict, crlf: bool):
+    """Lines with the number of their record; empty ones between records go."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = {key: parity for key, (parity, _) in before.items()}
+        number = {key: n for key, (_, n) in before.items()}
+        for batch in batches:
+            keys = list(zip(batch.column("source_file").to_pylist(), batch.column("_block").to_pylist()))
+            begins, ends, empty = _line_states(batch.column("value"), keys, state, crlf)
+            starts = ~begins & ~empty
+            record = np.zeros(len(keys), np.int64)
+            edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for a, b in zip(edges, edges[1:]):
+                if a < b:
+                    record[a:b] = number[keys[a]] + np.cumsum(starts[a:b])
+                    number[keys[a]] = int(record[b - 1])
+            value = batch.column("value")
+            value = pc.replace_substring_regex(value, "\r$", "") if crlf else value
+            kept = pa.array(begins | ~empty)
+            yield pa.RecordBatch.from_arrays(
+                [x.filter(kept) for x in (value, batch.column("source_file"), batch.column("_block"), batch.column("_mid"),
+                                          pa.array(record), pa.array(starts & ~ends))],
+                names=["value", "source_file", "_block", "_mid", "row_num", "whole"])
+    return run
+
+
+def _scan_quoted(spark: SparkSession, files: list[str]) -> DataFrame:
+    """The feed with line breaks in quotes: FEED_COLUMNS, source_file, row_num, feed_seq.
+
+    A record that spans lines is put together in one row; a quote that is never closed
+    makes one record of the rest of its file, as in any CSV reader."""
+    parts, totals = [], {}
+    for (header, crlf), group in _header_groups(spark, files).items():
+        names = next(csv.reader([header]), []) if header else []
+        _require(names)
+        lines = spark.read.option("lineSep", "\n").text(group).select(
+            "value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_mid"))
+        splits = lines.drop("_mid").mapInArrow(_count_splits(crlf), "source_file string, _block long, quotes int, even long, odd long").collect()
+        before, running = {}, {}
+        for r in sorted(splits, key=lambda r: (r["source_file"], r["_block"])):
+            parity, n = running.get(r["source_file"], (0, 0))
+            before[r["source_file"], r["_block"]] = (parity, n)
+            running[r["source_file"]] = (parity ^ r["quotes"], n + (r["odd"] if parity else r["even"]))
+        totals |= {file: n for file, (_, n) in running.items()}
+        numbered = lines.mapInArrow(_number_lines(before, crlf), "value string, source_file string, _block long, _mid long, row_num long, whole boolean")
+        several = numbered.filter(~F.col("whole")).groupBy("source_file", "row_num").agg(
+            F.array_sort(F.collect_list(F.struct("_block", "_mid", "value"))).alias("lines"))
+        records = numbered.filter("whole").select("source_file", "row_num", "value").unionByName(
+            several.select("source_file", "row_num", F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("value")))
+        fields = ", ".join(f"c{i} string" for i in range(len(names)))
+        row = F.from_csv("value", fields, _CSV_IN).alias("row")
+        records = records.filter("row_num > 1").select("source_file", "row_num", row)
+        parts.append(records.select(*[F.col(f"row.c{names.index(c)}").alias(c) for c in FEED_COLUMNS], "source_file", "row_num"))
+    # Rows before each file, files by name; one row per file.
+    offsets, passed = [], 0
+    for file in sorted(totals):
+        offsets.append((file, passed))
+        passed += max(totals[file] - 1, 0)
+    table = spark.createDataFrame(offsets, "source_file string, _overall long")
+    return reduce(DataFrame.unionByName, parts).join(F.broadcast(table), "source_file").withColumn(
+        "feed_seq", F.col("row_num") - 1 + F.col("_overall")).drop("_overall")
+
+
 def number_rows(tagged: DataFrame) -> DataFrame:
     """Replace the split tags by ``row_num`` (index in its file + 2) and
     ``feed_seq`` (position over all files of the run, files by name), which
@@ -91,8 +241,8 @@ def number_rows(tagged: DataFrame) -> DataFrame:
 
 def read_order_feed(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Columns: order_id ... status (strings), source_file, row_num."""
-    return number_rows(scan_order_feed(spark, path, multiline)) \
-        .select(*FEED_COLUMNS, "source_file", "row_num", "feed_seq")
+    feed = scan_order_feed(spark, path, multiline)
+    return (feed if multiline else number_rows(feed)).select(*FEED_COLUMNS, "source_file", "row_num", "feed_seq")
 
 
 def write_order_feed(feed: DataFrame, path: str) -> None:
