@@ -16,7 +16,7 @@ from tillpoint.functions.expr import ts_lit
 from tillpoint.plans import analytics as A
 from tillpoint.plans import catalog as C
 from tillpoint.operators import contracts as K
-from tillpoint.session import ensure_defaults, scratch_path
+from tillpoint.session import ensure_defaults, materialize, scratch_path
 from tillpoint.sources.feed import write_feed_files
 from tillpoint.sources.sinks import to_json_documents
 from tillpoint.sources.store import RunStore
@@ -123,6 +123,48 @@ def _published(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
         .select("id", "customer_id", "status", "total_amount", "placed_at", "item_id", "product_id", "quantity"))
 
 
+class _Overtaken(RunStore):
+    """A store in which another writer publishes between a run's reading and
+    its publication."""
+
+    def __init__(self, spark, root, other):
+        super().__init__(spark, root)
+        self.other = other
+
+    def publish(self, run_id, frames, counts=None):
+        other, self.other = self.other, None
+        if other is not None:
+            other(RunStore(self.spark, self.root))
+        return super().publish(run_id, frames, counts)
+
+
+def _two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two interleaved loads of the derived feed: how often each row was
+    loaded, and how many orders and items carry its order's id."""
+    ensure_defaults(spark)
+    t = bind(spark, sf_dir)
+    feed = materialize(derive_feed(spark, sf_dir, t), "feed")
+    store = _Overtaken(spark, scratch_path(spark, "store"), lambda s: L.load_feed(t, feed.filter("row_num % 3 = 0"), s, run_id="early"))
+    L.load_feed(t, feed, store, run_id="late")
+    ledger = store.table("load_ledger")
+    of = lambda name, key: store.table(name).groupBy(F.col(key).alias("order_id")).agg(F.count(F.lit(1)).alias(name))
+    found = ledger.join(of("orders", "id"), "order_id", "left").join(of("order_items", "order_id"), "order_id", "left")
+    return for_oracle(found.groupBy("external_order_id", "product_sku").agg(
+        F.count(F.lit(1)).alias("loads"), F.sum("orders").alias("orders"), F.sum("order_items").alias("items")))
+
+
+def _line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of the derived feed, read from CSV files whose order ids hold
+    line breaks."""
+    ensure_defaults(spark)
+    t = bind(spark, sf_dir)
+    feed = derive_feed(spark, sf_dir, t).withColumn("order_id", F.replace("order_id", F.lit("EXT-"), F.lit('EXT"\n')))
+    folder = scratch_path(spark, "feed_csv")
+    write_feed_files(feed, folder, FEED_FILE_ROWS)
+    res = L.load_feed(t, folder, dry_run=True, multiline=True)
+    return for_oracle(res.ledger.select("external_order_id", "product_sku", "row_num"))
+
+
 def _hurt(t):
     """The tables with breaches of every rule, chosen by id."""
     def put(df, mod, **changes):
@@ -213,6 +255,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feed_published_twice": lambda spark, d: _published(spark, d, "orders"),
     "feed_published_ledger": lambda spark, d: _published(spark, d, "ledger"),
     "feed_published_log": lambda spark, d: _published(spark, d, "log"),
+    "feed_two_writers": _two_writers,
+    "feed_csv_line_breaks": _line_breaks,
     "contract_breaches": _q(lambda t: K.validate_contract(_hurt(t))),
     "insert_if_absent_nulls": _q(lambda t: K.insert_if_absent(
         _null_emails(t.customers.filter(F.col("created_at") < ts_lit(dt.datetime(1995, 7, 1)))),

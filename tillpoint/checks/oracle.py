@@ -497,6 +497,10 @@ SELECT (SELECT max(id) FROM ord) + seq AS id, customer_id, s AS status,
 FROM ld"""
 Q["feed_published_ledger"] = PREFIX + _FILES + """
 SELECT external_order_id, product_sku, CAST(line AS BIGINT) AS row_num, (SELECT max(id) FROM ord) + seq AS order_id FROM ld"""
+Q["feed_csv_line_breaks"] = PREFIX + _FILES + """
+SELECT replace(external_order_id, 'EXT-', 'EXT"' || chr(10)) AS external_order_id, product_sku, CAST(line AS BIGINT) AS row_num FROM ld"""
+Q["feed_two_writers"] = PREFIX + _FILES + """
+SELECT external_order_id, product_sku, CAST(1 AS BIGINT) AS loads, CAST(1 AS BIGINT) AS orders, CAST(1 AS BIGINT) AS items FROM ld"""
 Q["feed_published_log"] = PREFIX + _FILES + """
 , tot AS (SELECT count(*) AS r, count_if(outcome = 'loaded') AS l, count_if(outcome = 'rejected') AS f FROM cl)
 SELECT CAST(id AS BIGINT) AS id, source_file, status, CAST(CASE WHEN id < 3 THEN r ELSE 0 END AS BIGINT) AS records_read,
