@@ -182,11 +182,20 @@ def cut_spans(text: str | None, hit_words: bytes | None) -> str | None:
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """All documents, with the hit words cut out of their texts."""
+    """All documents, with the hit words cut out of their texts.  Null texts
+    stay null, texts without a hit as they are; an empty table gives an empty result."""
     found, names = scan(docs, benchmark, text_col=text_col, **options)
-    cut = F.udf(cut_spans, "string")
-    return found.withColumn(text_col, cut(f"`{text_col}`", f"`{names['hit_words']}`")).select(
-        *[f"`{c}`" for c in docs.columns])
+    labels, width, text_at = docs.columns, len(docs.columns), docs.columns.index(text_col)
+    found = found.select(*[f"`{c}`" for c in labels], f"`{names['hit_words']}`")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns[:width])
+            texts = [cut_spans(t.as_py(), h.as_py()) for t, h in zip(columns[text_at], batch.column(width))]
+            columns[text_at] = pa.array(texts, columns[text_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=labels)
+
+    return found.mapInArrow(run, docs.schema)
 
 
 def items_digest(items: list[str]) -> str:

@@ -40,13 +40,16 @@ def _plain_etag(tag: Column) -> Column:
 
 def latest_earlier(records: DataFrame) -> DataFrame:
     """Rows (record_id, url, time, full) -> (record_id, target) for every row
-    that is not full: the full row of the same url with the largest time below
-    its own (of several, the largest record_id); null if there is none."""
+    that is not full and has a url and a time: the full row of the same url with
+    the largest time below its own (of several, the largest record_id); null if
+    there is none.  Where record_ids repeat, a column ``row`` tells rows apart
+    and is returned in place of record_id."""
+    told = "row" if "row" in records.columns else "record_id"
     spark = records.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # At equal times a revisit comes before responses, which are not earlier.
     order = ["url", "time", "full", "record_id"]
-    placed = records.filter("url is not null and time is not null").select(*order)
+    placed = records.filter("url is not null and time is not null").select(*dict.fromkeys([*order, told]))
     placed = placed.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
     placed = materialize(placed, "placed")
     answer = F.when(F.col("full"), F.struct("time", "record_id"))
@@ -60,7 +63,7 @@ def latest_earlier(records: DataFrame) -> DataFrame:
     carried = materialize(borders.withColumn("carried", F.last("tail", ignorenulls=True).over(earlier)).select("part", "url", "carried"), "carried")
     before = Window.partitionBy("part", "url").orderBy("time", "full", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     inside = placed.withColumn("inside", F.last(answer, ignorenulls=True).over(before)).filter("not full")
-    return inside.join(carried, ["part", "url"], "left").select("record_id", F.coalesce("inside", "carried")["record_id"].alias("target"))
+    return inside.join(carried, ["part", "url"], "left").select(told, F.coalesce("inside", "carried")["record_id"].alias("target"))
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
@@ -76,16 +79,24 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     stored headers, with the revisit's for all names that do not describe the
     payload; null unless resolved.
 
-    Null headers count as none; kinds other than the two are ignored; repeated
-    record_ids must not occur among responses (each would answer)."""
-    known = records.filter(F.col("kind").isin("response", "revisit")).select(
-        "record_id", canonical_url(F.col("url")).alias("url"), F.col("time").cast("long").alias("time"),
-        (F.col("kind") == "response").alias("full"))
-    found = materialize(latest_earlier(known), "found")
-    revisits = records.filter("kind = 'revisit'").select("record_id", "etag", "last_modified", "digest", "headers")
-    stored = records.filter("kind = 'response'").select(
-        F.col("record_id").alias("target"), *[F.col(c).alias(f"old_{c}") for c in ("etag", "last_modified", "digest", "headers")])
-    asked = materialize(revisits.join(growing(found), "record_id", "left"), "asked")
+    Null headers count as none; kinds other than the two are ignored.  Each
+    revisit row is answered once, repeated ones and those without a record_id
+    too; of responses that share a record_id the least by its values counts in
+    the answers.  An empty table gives an empty result.  Payloads are not read,
+    so their length does not matter; other columns are dropped."""
+    of = ("etag", "last_modified", "digest", "headers")
+    # Rows are numbered where they are written.
+    rows = materialize(records.filter(F.col("kind").isin("response", "revisit")).select(
+        "record_id", canonical_url(F.col("url")).alias("url"), F.col("time").cast("long").alias("time"), "kind", *of,
+        F.monotonically_increasing_id().alias("row")), "records")
+    found = latest_earlier(rows.select("row", "record_id", "url", "time", (F.col("kind") == "response").alias("full")))
+    found = materialize(found, "found")
+    revisits = rows.filter("kind = 'revisit'").select("row", "record_id", *of)
+    old = F.struct(*[F.col(c).alias(f"old_{c}") for c in of])
+    entries = F.array_sort(F.map_entries("headers"))
+    stored = rows.filter("kind = 'response' and record_id is not null").groupBy(F.col("record_id").alias("target")).agg(
+        F.min_by(old, F.struct("etag", "last_modified", "digest", entries)).alias("old")).select("target", "old.*")
+    asked = materialize(revisits.join(growing(found), "row", "left"), "asked")
     both = asked.join(growing(stored), "target", "left")
     tests = [("etag", _plain_etag(F.col("etag")) == _plain_etag(F.col("old_etag"))),
              ("last_modified", F.col("last_modified") == F.col("old_last_modified")), ("digest", F.col("digest") == F.col("old_digest"))]
