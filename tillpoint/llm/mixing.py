@@ -78,7 +78,9 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     stats = stats.select(*[F.col(k).alias(v) for k, v in right.items()])
     joined = sized.join(stats, col(source_col).eqNullSafe(col(right["source"])))
     rate = col(right["rate"])
-    copies = F.floor(rate) + F.when(draw(seed, col(id_col)) < rate - F.floor(rate), F.lit(1)).otherwise(F.lit(0))
+    # Rows without an id are told apart by their texts.
+    key = F.coalesce(col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(col(text_col), F.lit("")))))
+    copies = F.floor(rate) + F.when(draw(seed, key) < rate - F.floor(rate), F.lit(1)).otherwise(F.lit(0))
     return joined.select(*[col(c) for c in docs.columns], col(names["size"]),
                          col(right["source_size"]).alias(names["source_size"]),
                          col(right["target"]).alias(names["target"]), copies.cast("int").alias(names["copies"])), names
@@ -88,8 +90,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as it is taken.
 
     Null texts have size 0; rows without words are taken like the others of
-    their source; a null source is a source; null ids share one draw; repeated
-    rows share theirs; an empty table gives an empty mix."""
+    their source; a null source is a source; null ids draw by their texts; repeated
+    rows share a draw; an empty table gives an empty mix."""
     planned, names = plan_mix(docs, **options)
     copy = free_name(planned, "copy")
     often = F.sequence(F.lit(1), col(names["copies"]))
@@ -99,7 +101,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 MIX_SQL = f"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, ''))) AS key, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -123,7 +125,7 @@ targets AS (
 drawn AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-         CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
+         CAST(CAST('0x' || substr(md5('{SEED}:' || d.key), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
