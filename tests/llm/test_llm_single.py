@@ -354,3 +354,59 @@ def test_digest_of_items(spark):
     empty = hashlib.sha256(b"").hexdigest()
     assert all((r.items_sha256 == empty) == (r.n_items == 0) and r.contaminated == (r.n_hit > 0) for r in rows)
     assert decontaminate.items_digest(["1", "20"]) == hashlib.sha256(b"1,20").hexdigest()
+
+
+def test_rows_without_ids_are_mixed_by_their_texts(spark):
+    rows = [(None, f"word{i} and more", "a") for i in range(600)] + [(i, "other words", "b") for i in range(600)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    planned, names = mixing.plan_mix(docs, weights=(1, 3), budget=1.0)
+    taken = planned.groupBy("source").agg(F.sum(F.col(names["copies"]) * F.col(names["size"])).alias("n"), F.min(names["target"]).alias("t"))
+    assert all(abs(r.n - r.t) < 0.15 * r.t for r in taken.collect())
+
+
+def test_repeated_revisits_are_answered_once_each(spark):
+    schema = "record_id long, url string, time long, kind string, etag string, last_modified long, digest string, headers map<string,string>, extra int"
+    rows = [(1, "http://a.org/", 5, "response", "x", None, "d1", {"A": "1"}, 0), (1, "http://a.org/", 5, "response", "x", None, "d2", {"A": "2"}, 0)]
+    rows += [(2, "http://a.org/", 9, "revisit", "x", None, None, None, 1)] * 2 + [(None, "http://a.org/", 9, "revisit", "y", None, None, None, 2)] * 2
+    got = warc_revisit.resolve_revisits(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.record_id or 0, r.target, r.outcome, r.digest) for r in got) == [
+        (0, 1, "mismatch", None), (0, 1, "mismatch", None), (2, 1, "resolved", "d1"), (2, 1, "resolved", "d1")]
+
+
+def test_scores_match_plain_loops_whole_and_in_pieces(spark, monkeypatch):
+    import math
+    rng = random.Random(4)
+    texts = ["", "a", "short one", " ".join("".join(rng.choices("abcdefé .!", k=6)) for _ in range(700)), "x" * 5000, "\u4e16" * 3000]
+    model = quality_mil.train([quality_mil.passages(quality_mil.pa.array([t], quality_mil.pa.large_string()))[0] for t in texts], np.array([0, 1, 0, 1, 0, 1], np.float32))
+
+    def plain(text):
+        raw, size = text.encode(), quality_mil.PASSAGE_BYTES
+        encoded = []
+        for k in range(max(1, -(-len(raw) // size))):
+            count = [0.0] * quality_mil.FEATURES
+            for i in range(k * size, min((k + 1) * size, len(raw) - 2)):
+                for base, width, code in ((0, quality_mil.SHAPES, lambda c: int(quality_mil.SHAPE[c])), (quality_mil.SHAPES, quality_mil.GRAMS, int)):
+                    tri = 0
+                    for c, m in zip(raw[i:i + 3], (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+                        tri ^= code(c) * m & 0xFFFFFFFF
+                    tri ^= tri >> 15
+                    tri = tri * 0x2C1B3C6D & 0xFFFFFFFF
+                    count[base + (tri >> 24) % width] += 1
+            total = max(sum(count) / 2, 1)
+            f = [math.sqrt(c / total) for c in count]
+            h = [math.tanh(sum(x * w for x, w in zip(f, column)) + b) for column, b in zip(model["W"].T, model["b"])]
+            act = lambda m, fn: [fn(sum(x * w for x, w in zip(h, column))) for column in m.T]
+            gate, value = act(model["U"], lambda x: 1 / (1 + math.exp(-x))), act(model["V"], math.tanh)
+            encoded.append((h, sum(g * v * w for g, v, w in zip(gate, value, model["w"]))))
+        weights = [math.exp(e) for _, e in encoded]
+        z = [sum(w * h[i] for w, (h, _) in zip(weights, encoded)) / sum(weights) for i in range(quality_mil.HIDDEN)]
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip(z, model["c"])) - model["d"][0])), max(range(len(weights)), key=weights.__getitem__)
+
+    want = {t: plain(t) for t in texts}
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for piece in (quality_mil.PIECE_BYTES, 1024):
+        monkeypatch.setattr(quality_mil, "PIECE_BYTES", piece)
+        scored, name, best = quality_mil.score(docs, model)
+        for r in scored.collect():
+            assert abs(r[name] - want[r.text][0]) < 1e-4
+            assert r[best] == want[r.text][1] * quality_mil.PASSAGE_BYTES or len(set(r.text)) == 1

@@ -80,6 +80,26 @@ def forward(model: dict, f: np.ndarray, first: np.ndarray) -> dict:
             "score": _sigmoid(z @ model["c"] + model["d"][0])}
 
 
+def score_in_pieces(model: dict, text: pa.Array, piece: int) -> tuple[float, int]:
+    """(score, passage of the largest attention) of one text, ``piece`` bytes
+    (a multiple of PASSAGE_BYTES) at a time: the softmax is carried as the largest
+    value, the sum of weights and the weighted sum of encodings so far."""
+    raw = np.frombuffer(text[0].as_buffer(), np.uint8)
+    most, total, z, top = -np.inf, 0.0, 0.0, 0
+    for at in range(0, max(len(raw), 1), piece):
+        # The last trigrams of a piece reach two bytes into the next.
+        f, _ = passages(pa.array([raw[at:at + piece + 2].tobytes()], pa.large_binary()))
+        f = f[:max(1, -(-min(piece, len(raw) - at) // PASSAGE_BYTES))]
+        h = np.tanh(f @ model["W"] + model["b"])
+        e = (_sigmoid(h @ model["U"]) * np.tanh(h @ model["V"])) @ model["w"]
+        if e.max() > most:
+            keep = np.exp(most - e.max())
+            most, total, z, top = e.max(), total * keep, z * keep, at // PASSAGE_BYTES + int(np.argmax(e))
+        a = np.exp(e - most)
+        total, z = total + a.sum(), z + a @ h
+    return float(_sigmoid(z / total @ model["c"] + model["d"][0])), top
+
+
 def _gradients(model: dict, f: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict:
     o = forward(model, f, first)
     dlogit = (o["score"] - label) * weight / weight.sum()
@@ -175,11 +195,16 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> tuple[DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in text_slices(batch.column(at), PIECE_BYTES):
-                f, first = passages(texts)
-                out = forward(shared.value, f, first)
-                top = [int(np.argmax(out["a"][a:b])) * PASSAGE_BYTES for a, b in zip(first[:-1], first[1:])]
                 part = batch.slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out["score"].astype(np.float64)), pa.array(top, pa.int64())], names=labels)
+                if len(texts) == 1 and len(texts[0].as_buffer()) > PIECE_BYTES:
+                    value, place = score_in_pieces(shared.value, texts, PIECE_BYTES)
+                    values, top = np.array([value]), [place * PASSAGE_BYTES]
+                else:
+                    f, first = passages(texts)
+                    out = forward(shared.value, f, first)
+                    values = out["score"].astype(np.float64)
+                    top = [int(np.argmax(out["a"][a:b])) * PASSAGE_BYTES for a, b in zip(first[:-1], first[1:])]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values), pa.array(top, pa.int64())], names=labels)
 
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType()), T.StructField(best, T.LongType())])
     return docs.mapInArrow(run, schema), name, best
@@ -190,6 +215,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The rows of ``docs`` that score at least ``threshold``, unchanged.
 
     Null and empty texts are scored as one empty passage; equal texts score
-    the same; an empty table gives an empty result."""
+    the same; very long texts are encoded PIECE_BYTES at a time; an empty table gives an empty result."""
     scored, name, _ = score(docs, fit(docs, labels, id_col, text_col), text_col)
     return scored.filter(col(name) >= threshold).select(*[col(c) for c in docs.columns])
