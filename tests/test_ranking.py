@@ -62,3 +62,18 @@ def test_distributed_path_on_empty_input(spark):
     out = window_positions(df, [SortKey("v", descending=True)], tie_break=("id",), rank="r",
                            row_number="rn", ntile=("nt", 4), running_sum={"s": "v"}, force="distributed")
     assert out.count() == 0 and {"r", "rn", "nt", "s"} <= set(out.columns)
+
+
+def test_nested_ranks_match_plain_windows(spark):
+    import random
+
+    from tillpoint.operators.ranking import nested_ranks
+    rng = random.Random(9)
+    # Huge tie classes over many ranges, null values and groups, a group of one row.
+    rows = [(i, rng.choice([None, 5, 5, 5, rng.randrange(40)]), rng.choice([1, 1, 1, 2, None])) for i in range(3000)] + [(9999, 5, 7)]
+    df = spark.createDataFrame(rows, "id long, v int, g int")
+    key = SortKey("v", descending=True, nulls_first=True)
+    got = nested_ranks(df, key, "g", "id", "r", "rg")
+    want = window_positions(window_positions(df, [key], rank="r", force="window"), [key], group_by=("g",), rank="rg", force="window")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    assert nested_ranks(df.limit(0), key, "g", "id", "r", "rg").count() == 0

@@ -191,6 +191,48 @@ def _distributed(df, keys, group_by, tie_break, rank, row_number, ntile, running
     return out.drop("_pid", "_rn", "_gstart", "_grn", "_grk", "_before", "_gcarry", "_tcarry", *extra)
 
 
+def nested_ranks(df: DataFrame, key: SortKey, group: str, tie_break: str, rank: str, rank_in_group: str) -> DataFrame:
+    """RANK over the whole table and RANK within each group, both by ``key``,
+    from one range sort (``tie_break`` only spreads equal keys over ranges).
+
+    In a range, a row's rank follows from its local rank, the rows of earlier
+    ranges and those of them that tie with it; within its group likewise.
+    Rows before a range are prefix sums of a count per range, or per (range,
+    group), which stays a table; ties can only reach back from the value that
+    a range begins with, so they are counted for those values."""
+    spark = df.sparkSession
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n_parts, key.expr(), F.col(tie_break).asc()).withColumn("_pid", F.spark_partition_id())
+    for name, keys in (("_rk", ["_pid"]), ("_grk", ["_pid", group])):
+        ranged = ranged.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(key.expr())))
+    staged = materialize(ranged, "ranked")
+    value = F.col(key.column)
+
+    def before(counts: DataFrame, by: list, out: str) -> DataFrame:
+        earlier = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn(out, F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+
+    number = F.count(F.lit(1)).alias("_n")
+    per_group = materialize(staged.groupBy("_pid", group).agg(number), "range_counts")
+    # One row per range; the value it begins with.
+    per_range = before(per_group.groupBy("_pid").agg(F.sum("_n").alias("_n")), [], "_before")
+    begins = staged.filter("_rk = 1").select(value.alias("_v")).distinct()
+    ties = staged.join(F.broadcast(begins), value.eqNullSafe(F.col("_v")), "left_semi").groupBy(
+        F.col("_pid"), F.col(group), value.alias("_v")).agg(number)
+    ties = materialize(ties, "ties")
+    group_ties = before(ties, [group, "_v"], "_gties").withColumnRenamed(group, "_g").withColumnRenamed("_pid", "_p")
+    all_ties = before(ties.groupBy("_pid", "_v").agg(F.sum("_n").alias("_n")), ["_v"], "_ties").withColumnRenamed("_v", "_av").withColumnRenamed("_pid", "_ap")
+    of_group = before(per_group, [group], "_gbefore").withColumnRenamed(group, "_og").withColumnRenamed("_pid", "_op")
+    out = (staged.join(F.broadcast(per_range), "_pid")
+           .join(of_group, (F.col("_pid") == F.col("_op")) & F.col(group).eqNullSafe(F.col("_og")))
+           .join(group_ties, (F.col("_pid") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")) & value.eqNullSafe(F.col("_v")), "left")
+           .join(all_ties, (F.col("_pid") == F.col("_ap")) & value.eqNullSafe(F.col("_av")), "left"))
+    zero = F.lit(0)
+    return out.select(*[F.col(c) for c in df.columns],
+                      (F.col("_rk") + F.col("_before") - F.coalesce("_ties", zero)).cast("long").alias(rank),
+                      (F.col("_grk") + F.col("_gbefore") - F.coalesce("_gties", zero)).cast("long").alias(rank_in_group))
+
+
 def dense_ids(df: DataFrame, order_cols: list[str], out: str, start: int = 1,
               force: str | None = None) -> DataFrame:
     """Consecutive ids start, start+1, ... in ``order_cols`` order (which
