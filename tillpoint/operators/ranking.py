@@ -213,13 +213,12 @@ def nested_ranks(df: DataFrame, key: SortKey, group: str, tie_break: str, rank:
         return counts.withColumn(out, F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
 
     number = F.count(F.lit(1)).alias("_n")
-    per_group = materialize(staged.groupBy("_pid", group).agg(number), "range_counts")
+    per_group = staged.groupBy("_pid", group).agg(number)
     # One row per range; the value it begins with.
     per_range = before(per_group.groupBy("_pid").agg(F.sum("_n").alias("_n")), [], "_before")
     begins = staged.filter("_rk = 1").select(value.alias("_v")).distinct()
     ties = staged.join(F.broadcast(begins), value.eqNullSafe(F.col("_v")), "left_semi").groupBy(
         F.col("_pid"), F.col(group), value.alias("_v")).agg(number)
-    ties = materialize(ties, "ties")
     group_ties = before(ties, [group, "_v"], "_gties").withColumnRenamed(group, "_g").withColumnRenamed("_pid", "_p")
     all_ties = before(ties.groupBy("_pid", "_v").agg(F.sum("_n").alias("_n")), ["_v"], "_ties").withColumnRenamed("_v", "_av").withColumnRenamed("_pid", "_ap")
     of_group = before(per_group, [group], "_gbefore").withColumnRenamed(group, "_og").withColumnRenamed("_pid", "_op")
