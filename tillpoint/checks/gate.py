@@ -199,6 +199,11 @@ def _one(fn: Callable) -> Callable:
     return _q(run)
 
 
+def _deep(pages: C.Pages, size: int, value=None) -> DataFrame:
+    """The page that holds the row at nine tenths of a listing."""
+    return pages.page(pages.totals[value] * 9 // 10 // size + 1, size, value).as_frame()
+
+
 def _sql(name: str, call: str) -> Callable[[SparkSession, str], DataFrame]:
     """A SQL table function over views of the bound tables."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,6 +246,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "products_page": _q(lambda t: C.products_page(t, *oracle.PRODUCTS_PAGE).as_frame()),
     "products_page_all": _q(lambda t: C.products_page(t, *oracle.PRODUCTS_ALL_PAGE,
                                                       active_only=False).as_frame()),
+    "orders_deep_page": _q(lambda t: _deep(C.orders_pages(t), oracle.DEEP_SIZE)),
+    "orders_deep_page_status": _q(lambda t: _deep(C.orders_pages(t), oracle.DEEP_SIZE, "shipped")),
+    "customers_deep_page": _q(lambda t: _deep(C.customers_pages(t), oracle.DEEP_SIZE)),
+    "products_deep_page": _q(lambda t: _deep(C.products_pages(t), oracle.DEEP_SIZE, True)),
     "contract_violations": _q(K.validate_contract),
     "insert_if_absent": _q(lambda t: K.insert_if_absent(
         t.customers.filter(F.col("created_at") < ts_lit(dt.datetime(1995, 7, 1))),

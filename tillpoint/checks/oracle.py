@@ -261,10 +261,28 @@ CUSTOMERS_PAGE = (2, 20)
 PRODUCTS_PAGE = (2, 20)
 PRODUCTS_ALL_PAGE = (5, 25)
 
+DEEP_SIZE = 25
+
+
+def _deep(base: str, order: str, total_sql: str) -> str:
+    """The page that holds the row at nine tenths of the listing."""
+    size = DEEP_SIZE
+    return PREFIX + f"""
+, b AS ({base}),
+tot AS (SELECT count(*) AS n, count(*) * 9 // 10 // {size} + 1 AS page FROM ({total_sql})),
+num AS (SELECT *, row_number() OVER (ORDER BY {order}) AS rn FROM b)
+SELECT num.* EXCLUDE (rn), CAST(n AS BIGINT) AS total_count, CAST(page AS BIGINT) AS page, CAST({size} AS BIGINT) AS page_size,
+       CAST(ceil(n / {size}) AS BIGINT) AS total_pages, page < ceil(n / {size}) AS has_next_page, page > 1 AS has_prev_page
+FROM num, tot WHERE rn > (page - 1) * {size} AND rn <= page * {size}"""
+
+
 Q["orders_page"] = _paged(_ORDER_SUMMARY, "placed_at DESC, id DESC", "SELECT * FROM ord",
                           *ORDERS_PAGE)
 Q["orders_page_status"] = _paged(_ORDER_SUMMARY + " WHERE o.status = 'shipped'", "placed_at DESC, id DESC",
                                  "SELECT * FROM ord WHERE status = 'shipped'", *ORDERS_STATUS_PAGE[:2])
+Q["orders_deep_page"] = _deep(_ORDER_SUMMARY, "placed_at DESC, id DESC", "SELECT * FROM ord")
+Q["orders_deep_page_status"] = _deep(_ORDER_SUMMARY + " WHERE o.status = 'shipped'", "placed_at DESC, id DESC",
+                                     "SELECT * FROM ord WHERE status = 'shipped'")
 Q["orders_by_customer"] = PREFIX + _ORDER_SUMMARY
 Q["orders_keyset_page"] = PREFIX + f"""
 SELECT * FROM ({_ORDER_SUMMARY}) ORDER BY placed_at DESC, id DESC
@@ -286,6 +304,8 @@ _CUSTOMER_COLS = "id, email, first_name, last_name, country, city, CAST(created_
 Q["customer_by_id"] = PREFIX + f"SELECT {_CUSTOMER_COLS} FROM cust"
 Q["customers_page"] = _paged(f"SELECT {_CUSTOMER_COLS} FROM cust WHERE is_active", "created_at DESC, id DESC",
                              "SELECT * FROM cust WHERE is_active", *CUSTOMERS_PAGE)
+Q["customers_deep_page"] = _deep(f"SELECT {_CUSTOMER_COLS} FROM cust WHERE is_active", "created_at DESC, id DESC",
+                                 "SELECT * FROM cust WHERE is_active")
 
 _PRODUCT_COLS = """p.id, CAST(p.category_id AS BIGINT) AS category_id, p.sku, p.name, p.description,
        CAST(p.price_c AS DOUBLE) / 100.0 AS unit_price, CAST(p.stock AS BIGINT) AS stock, p.is_active,
@@ -297,6 +317,8 @@ Q["products_by_category"] = PREFIX + f"""
 SELECT {_PRODUCT_COLS} FROM prod p WHERE p.is_active AND p.category_id IN (SELECT id FROM cat)"""
 Q["products_page"] = _paged(f"SELECT {_PRODUCT_COLS} FROM prod p WHERE p.is_active", "name, id",
                             "SELECT * FROM prod WHERE is_active", *PRODUCTS_PAGE)
+Q["products_deep_page"] = _deep(f"SELECT {_PRODUCT_COLS} FROM prod p WHERE p.is_active", "name, id",
+                                "SELECT * FROM prod WHERE is_active")
 Q["products_page_all"] = _paged(f"SELECT {_PRODUCT_COLS} FROM prod p", "name, id",
                                 "SELECT * FROM prod", *PRODUCTS_ALL_PAGE)
 

@@ -6,7 +6,8 @@ form taking a DataFrame of ids (a semi join), the natural way to look up
 many entities in one job.  Paging sorts by the documented key plus the id
 as tie-breaker, then OFFSET/LIMIT (TakeOrderedAndProject keeps only
 offset+size rows per task); ``*_after`` gives the keyset form for deep
-pages, which needs no offset at all.
+pages, which needs no offset at all; ``*_pages`` builds a directory from which
+any page number is read at the cost of one range of rows.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from tillpoint.functions.args import check_page, normalize_status_arg
 from tillpoint.functions.expr import full_name, ts_lit
+from tillpoint.operators.page_directory import PageDirectory, build_directory
 from tillpoint.operators.ranking import SortKey
 from tillpoint.plans.head_join import join_head
+from tillpoint.session import scratch_path
 from tillpoint.sources.tables import Tables
 
 
@@ -292,3 +295,52 @@ def products_page_after(t: Tables, size: int = 20, after: tuple | None = None,
         p = p.filter((F.col("name") > F.lit(name)) |
                      ((F.col("name") == F.lit(name)) & (F.col("id") > F.lit(pid))))
     return p.select(*PRODUCT_COLS).orderBy("name", "id").limit(size)
+
+
+# ---------------------------------------------------------------------------
+# Pages at any depth
+# ---------------------------------------------------------------------------
+@dataclass(frozen=True)
+class Pages:
+    """Pages of one listing, as it was when its directory was built."""
+    directory: PageDirectory
+    # Filter value -> rows that the page metadata counts; None: all rows.
+    totals: dict
+
+    def page(self, page: int = 1, size: int = 20, value=None) -> PagedResult:
+        check_page(page, size)
+        items = self.directory.slice((page - 1) * size, size, value)
+        return PagedResult(items, self.totals.get(value, 0), page, size)
+
+
+def _totals(df: DataFrame, column: str) -> dict:
+    """Rows per value of a column with few values, and of all."""
+    found = {r[0]: r[1] for r in df.groupBy(column).count().collect()}
+    return {k: n for k, n in found.items() if k is not None} | {None: sum(found.values())}
+
+
+def orders_pages(t: Tables, path: str | None = None, ranges: int | None = None) -> Pages:
+    """The listing of ``orders_page``: ``page(n, size, status)``, ``status`` in
+    lower case.  Orders and customers are joined once, when it is built.  ``path``: a
+    folder to keep it in (default: a scratch folder)."""
+    keys = [SortKey("placed_at", descending=True), SortKey("id", descending=True)]
+    rows = _order_summaries(t, t.orders)
+    return Pages(build_directory(rows, keys, path or scratch_path(t.spark, "orders_pages"), "status", ranges),
+                 _totals(t.orders, "status"))
+
+
+def customers_pages(t: Tables, path: str | None = None, ranges: int | None = None) -> Pages:
+    """The listing of ``customers_page`` (active customers, newest first)."""
+    keys = [SortKey("created_at", descending=True), SortKey("id", descending=True)]
+    rows = t.customers.filter(F.col("is_active")).select(*CUSTOMER_COLS)
+    found = build_directory(rows, keys, path or scratch_path(t.spark, "customers_pages"), None, ranges)
+    return Pages(found, {None: found.total()})
+
+
+def products_pages(t: Tables, path: str | None = None, ranges: int | None = None) -> Pages:
+    """The listing of ``products_page``: ``page(n, size, True)`` has the active
+    products, ``page(n, size)`` all of them."""
+    keys = [SortKey("name"), SortKey("id")]
+    rows = t.products.select(*PRODUCT_COLS)
+    return Pages(build_directory(rows, keys, path or scratch_path(t.spark, "products_pages"), "is_active", ranges),
+                 _totals(t.products, "is_active"))
