@@ -22,6 +22,7 @@ from tillpoint.sources.sinks import to_json_documents
 from tillpoint.sources.store import RunStore
 from tillpoint.sources.testdata import bind, derive_feed
 from tillpoint.plans import feed_load as L
+from tillpoint.plans import live_views as V
 from tillpoint.plans import placement as P
 
 AS_OF = dt.datetime(2001, 9, 1)
@@ -199,6 +200,25 @@ def _one(fn: Callable) -> Callable:
     return _q(run)
 
 
+def _live(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A live view registered over half of the orders; the others are committed
+    afterwards, in two runs."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ensure_defaults(spark)
+        t = bind(spark, sf_dir)
+        part = lambda *rest: t.with_(orders=t.orders.filter((F.col("id") % 4).isin(*rest)),
+                                     order_items=t.order_items.filter((F.col("order_id") % 4).isin(*rest)))
+        store = RunStore(spark, scratch_path(spark, "store"))
+        V.register_live_views(part(0, 1), store, f"gate_live_{name}_")
+        for k in (2, 3):
+            new = part(k)
+            store.publish(f"run{k}", {"orders": new.orders, "order_items": new.order_items}
+                          | V.sales_deltas(new.orders, new.order_items, t.products))
+        view = spark.sql(f"SELECT * FROM gate_live_{name}_{name}")
+        return for_oracle(view.drop("days_since_last_order"))
+    return run
+
+
 def _deep(pages: C.Pages, size: int, value=None) -> DataFrame:
     """The page that holds the row at nine tenths of a listing."""
     return pages.page(pages.totals[value] * 9 // 10 // size + 1, size, value).as_frame()
@@ -250,6 +270,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "orders_deep_page_status": _q(lambda t: _deep(C.orders_pages(t), oracle.DEEP_SIZE, "shipped")),
     "customers_deep_page": _q(lambda t: _deep(C.customers_pages(t), oracle.DEEP_SIZE)),
     "products_deep_page": _q(lambda t: _deep(C.products_pages(t), oracle.DEEP_SIZE, True)),
+    **{f"live_{name}": _live(name) for name in V.NAMES},
     "contract_violations": _q(K.validate_contract),
     "insert_if_absent": _q(lambda t: K.insert_if_absent(
         t.customers.filter(F.col("created_at") < ts_lit(dt.datetime(1995, 7, 1))),

@@ -632,3 +632,6 @@ Q["category_shares"] = (Q["category_performance"].replace("p.category_id, i.quan
                         .replace("c.id AS category_id, c.name AS category", "c.id AS category_id, c.sku AS category").replace("FROM cat c LEFT JOIN ca", "FROM prod c LEFT JOIN ca"))
 Q["sql_sales_by_period"] = Q["sales_by_period"]
 Q["sql_top_customers"] = Q["top_customers_country"]
+# Live views: the same reports, the rows committed in several runs.
+Q |= {f"live_{name}": Q[name] for name in ("monthly_revenue_summary", "product_sales_ranking", "category_performance")}
+Q["live_customer_lifetime_value"] = f"SELECT * EXCLUDE (days_since_last_order) FROM ({Q['customer_lifetime_value']})"

@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from tillpoint.functions.expr import is_blank, parse_lenient_timestamp, trim_ws
 from tillpoint.operators.contracts import with_generated
 from tillpoint.operators.ranking import dense_ids_by_int_key
+from tillpoint.plans.live_views import sales_deltas
 from tillpoint.schema import DEFAULT_CURRENCY, ORDER_STATUSES
 from tillpoint.session import materialize
 from tillpoint.sources.feed import number_rows, scan_order_feed
@@ -320,6 +321,7 @@ def load_feed(t: Tables, source: str | DataFrame, store: RunStore | None = None,
             if not publishing:
                 break
             frames = {"orders": res.orders, "order_items": res.items, "load_ledger": res.ledger}
+            frames |= sales_deltas(res.orders, res.items, t.products)
             frames = {} if res.stopped else frames
             try:
                 store.publish(run_id, frames | {"etl_run_log": res.run_log}, {

@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from tillpoint.functions.expr import subtotal_of, ts_lit
 from tillpoint.operators.components import components
 from tillpoint.operators.ranking import SortKey, dense_ids, window_positions
+from tillpoint.plans.live_views import sales_deltas
 from tillpoint.session import materialize
 from tillpoint.sources.store import RunStore, max_ids
 from tillpoint.sources.tables import Tables, conform
@@ -241,7 +242,8 @@ def publish_placement(result: PlacementResult, t: Tables, store: RunStore, run_i
     if another run changed stock since ``store.current`` gave them, ``RunConflictError`` is raised:
     place the requests again."""
     store.begin(run_id, t.version)
-    store.publish(run_id, {"orders": result.orders, "order_items": result.order_items, "stock_changes": result.stock_changes})
+    frames = {"orders": result.orders, "order_items": result.order_items, "stock_changes": result.stock_changes}
+    store.publish(run_id, frames | sales_deltas(result.orders, result.order_items, t.products))
 
 
 def requests_from_orders(t: Tables, raw_orders: DataFrame, raw_lines: DataFrame) -> DataFrame:

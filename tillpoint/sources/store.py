@@ -43,6 +43,15 @@ from tillpoint.sources.tables import Tables, conform
 LEDGER_SCHEMA = "external_order_id string, product_sku string, row_num long, order_id long"
 LEDGER_KEY = ["external_order_id", "product_sku"]
 STOCK_SCHEMA = "product_id long, change long"
+# What a run adds to the reports (``plans/live_views.py``), the key first.
+DELTA_SCHEMAS = {
+    "product_delta": {"product_id": "bigint", "orders": "bigint", "units": "bigint", "revenue": "decimal(38,2)",
+                      "price_sum": "decimal(38,2)", "price_n": "bigint"},
+    "category_delta": {"category_id": "bigint", "orders": "bigint"},
+    "customer_delta": {"customer_id": "bigint", "orders": "bigint", "revenue": "decimal(38,2)",
+                       "first_order_at": "timestamp", "last_order_at": "timestamp"},
+    "month_delta": {"month": "timestamp", "orders": "bigint", "revenue": "decimal(38,2)"},
+}
 LOG_SCHEMA = ("version long, kind string, run_id string, attempt string, tables array<string>, committed_at timestamp, "
               "records_read long, records_loaded long, records_failed long, records_skipped long, "
               "last_order_id long, last_item_id long, last_log_id long")
@@ -100,7 +109,8 @@ class RunStore:
         return f"{self.root}/{name}"
 
     def _schema(self, name: str) -> T.StructType:
-        fixed = {"load_ledger": LEDGER_SCHEMA, "stock_changes": STOCK_SCHEMA}.get(name)
+        deltas = {n: ", ".join(f"{c} {kind}" for c, kind in fields.items()) for n, fields in DELTA_SCHEMAS.items()}
+        fixed = ({"load_ledger": LEDGER_SCHEMA, "stock_changes": STOCK_SCHEMA} | deltas).get(name)
         # Not from the session's own parser state: a DDL string names its types.
         return SCHEMAS[name] if fixed is None else T.StructType.fromDDL(fixed)
 
@@ -174,6 +184,17 @@ class RunStore:
                        order_items=t.order_items.unionByName(self.table("order_items")),
                        products=conform(products, "products"), version=version)
 
+    def prepare(self, *names: str) -> None:
+        """Give the log and these tables a folder, if they have none, so that SQL
+        over the folders resolves before the first run.  A table gets an attempt without rows
+        that no commit names."""
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self._path("_log"))
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(folder)
+        for name in names:
+            self.spark.createDataFrame([], self._schema(name)).write.mode("ignore").parquet(
+                f"{self._path(name)}/run_id=no-run/attempt=no-attempt")
+
     # -- ids ----------------------------------------------------------------
     def _taken(self) -> tuple[int, int, int]:
         r = self.log().agg(F.max("last_order_id"), F.max("last_item_id"), F.max("last_log_id")).first()
