@@ -31,6 +31,7 @@ import datetime as dt
 import json
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,7 @@ from tillpoint.sources.tables import Tables, conform
 
 LEDGER_SCHEMA = "external_order_id string, product_sku string, row_num long, order_id long"
 LEDGER_KEY = ["external_order_id", "product_sku"]
+PARALLEL_WRITES = 4
 STOCK_SCHEMA = "product_id long, change long"
 # What a run adds to the reports (``plans/live_views.py``), the key first.
 DELTA_SCHEMAS = {
@@ -233,8 +235,12 @@ class RunStore:
         ``begin`` (of any run, without it: since now) conflict with this one."""
         attempt = "a" + uuid.uuid4().hex
         seen = self._seen.get(run_id, self.version())
-        for name, df in frames.items():
-            df.write.mode("error").parquet(f"{self._path(name)}/run_id={run_id}/attempt={attempt}")
+        def write(frame: tuple[str, DataFrame]) -> None:
+            frame[1].write.mode("error").parquet(f"{self._path(frame[0])}/run_id={run_id}/attempt={attempt}")
+
+        # Independent jobs: the small tables are written while tasks of the large ones run.
+        with ThreadPoolExecutor(PARALLEL_WRITES) as pool:
+            list(pool.map(write, frames.items()))
         n = counts or {}
         entry = {"kind": "commit", "run_id": run_id, "attempt": attempt, "tables": sorted(frames),
                  "committed_at": dt.datetime.now(dt.timezone.utc).isoformat(), "records_read": n.get("read"),
