@@ -104,7 +104,9 @@ def fit(labelled: DataFrame, conv_col: str = "conv_id", order_col: str = "turn",
                                           pa.array([c[3] for c in cells], conv_type)], names=["part", "kind", "cell", "n", "conv"])
 
     parts = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "conv", "at", "raw").sortWithinPartitions("conv", "at", "raw")
+    # Ranges are sampled by the texts' hashes, as whole texts would go to the driver.
+    order = ["conv", "at", F.xxhash64("raw"), "raw"]
+    ordered = rows.repartitionByRange(parts, *order[:3]).sortWithinPartitions(*order)
     tallied = materialize(ordered.mapInArrow(tally, f"part int, kind string, cell int, n double, conv {kind}"), "tallied")
     is_end = F.col("kind").isin("first", "last")
     counted = tallied.filter(~is_end).groupBy("kind", "cell").agg(F.sum("n").alias("n")).collect()
