@@ -416,3 +416,39 @@ def test_headers_come_from_the_first_bytes(spark, seed, scratch):
     for multiline in (False, True):
         got = L.load_feed(seed, folder, multiline=multiline)
         assert sorted((r.quantity, float(r.unit_price)) for r in got.items.collect()) == [(3, 4.0), (3, 4.0)]
+
+
+def test_a_load_reads_only_ledger_parts_that_may_hold_its_keys(spark, scratch, monkeypatch):
+    from tillpoint.sources import store as S
+    monkeypatch.setattr(S, "PART_KEYS", 2_000)
+    store = RunStore(spark, os.path.join(scratch, "store"))
+
+    def ledger(run, n):
+        return spark.range(n).select(F.format_string(f"{run}-%d", "id").alias("external_order_id"), F.lit("SKU").alias("product_sku"),
+                                     F.col("id").alias("row_num"), F.col("id").alias("order_id"))
+    for run, n in (("a", 20_000), ("b", 5_000), ("c", 700), ("empty", 0)):
+        store.publish(run, {"load_ledger": ledger(run, n)})
+    assert store.table("load_ledger").count() == 25_700
+    assert sorted(store.table("load_ledger", "c").columns) == ["external_order_id", "order_id", "product_sku", "row_num"]
+    # Whole runs again: all their parts, and no part of another run.
+    assert {r for r, _, _ in store.ledger_parts(ledger("b", 5_000))} == {"b"}
+    assert len(store.ledger_parts(ledger("a", 20_000))) == 16
+    assert store.ledger_for(ledger("a", 20_000)).join(ledger("a", 20_000), S.LEDGER_KEY, "left_semi").count() == 20_000
+    # One key: the part that holds it.
+    one = store.ledger_for(ledger("a", 1))
+    assert len(one.inputFiles()) == 1 and one.filter("external_order_id = 'a-0'").count() == 1 and one.count() < 3_000
+    # New keys: 27,000 tests against filters that pass about one in a million.
+    assert len(store.ledger_parts(ledger("new", 9_000))) <= 1
+    assert store.ledger_for(ledger("new", 0)).count() == 0
+
+
+def test_uncommitted_attempts_are_not_in_the_ledger(spark, scratch, monkeypatch):
+    store = RunStore(spark, os.path.join(scratch, "store"))
+    keys = spark.createDataFrame([("X1", "SKU", 1, 1)], "external_order_id string, product_sku string, row_num long, order_id long")
+    with monkeypatch.context() as m:
+        m.setattr(RunStore, "_append", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.publish("dead", {"load_ledger": keys})
+    assert store.ledger_parts(keys) == [] and store.ledger_for(keys).count() == 0
+    store.publish("dead", {"load_ledger": keys})
+    assert len(store.ledger_parts(keys)) == 1 and store.ledger_for(keys).count() == 1

@@ -379,7 +379,7 @@ def _decide(res: FeedLoadResult, t: Tables, resolved: DataFrame, store: RunStore
             fail_fast: bool, ledger: DataFrame | None) -> None:
     """Everything from the resolved rows to the output frames, into ``res``."""
     if ledger is None:
-        ledger = (store.table("load_ledger") if store is not None else
+        ledger = (store.ledger_for(resolved.filter(F.col("code").isNull())) if store is not None else
                   t.spark.createDataFrame([], "external_order_id string, product_sku string"))
     classified = materialize(mark_loads(resolved, ledger), "feed_classified")
     totals = classified.agg(

@@ -5,6 +5,7 @@ items, stock changes), safe for several writers at once.
 Layout under ``root``::
 
     <table>/run_id=<id>/attempt=<token>/...   rows written by one attempt of a run
+    load_ledger/run_id=<id>/attempt=<token>/part=<n>/...   keys, in parts by their hash
     _log/<version>.json                       commits and id reservations, in order
 
 The log is the only thing that decides.  Version n + 1 is one small file that is
@@ -19,6 +20,12 @@ that dies leaves nothing behind that anyone reads.
 * ``reserve`` takes ranges of ids before rows are written, so no two
   writers share one.  The ids of a run are consecutive; a run that dies leaves a gap.
 
+The ledger grows with every run, and a load asks it about the keys of one feed.
+``publish`` therefore writes a Bloom filter of a run's keys beside them, in
+blocks of about 1,000 keys (``ledger_filter``); ``ledger_for`` tests the feed's
+keys against the blocks that they fall into, and reads only the parts that may
+hold one.
+
 An attempt writes into folders of its own and never touches another's.
 Readers join each table with the commits, so uncommitted rows are invisible.
 
@@ -34,7 +41,7 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +51,12 @@ from tillpoint.sources.tables import Tables, conform
 LEDGER_SCHEMA = "external_order_id string, product_sku string, row_num long, order_id long"
 LEDGER_KEY = ["external_order_id", "product_sku"]
 PARALLEL_WRITES = 4
+# The Bloom filter of a run's ledger: bitmaps of 2^15 bits, 32 bits and 12
+# positions a key, so about one absent key in a million passes.
+FILTER_SCHEMA = "blocks long, parts long, block long, bits binary"
+BLOCK_KEYS = 1_000
+PART_KEYS = 1_000_000
+HASHES, SLICES, SLICE_BITS = 3, 4, 15
 STOCK_SCHEMA = "product_id long, change long"
 # What a run adds to the reports (``plans/live_views.py``), the key first.
 DELTA_SCHEMAS = {
@@ -112,7 +125,7 @@ class RunStore:
 
     def _schema(self, name: str) -> T.StructType:
         deltas = {n: ", ".join(f"{c} {kind}" for c, kind in fields.items()) for n, fields in DELTA_SCHEMAS.items()}
-        fixed = ({"load_ledger": LEDGER_SCHEMA, "stock_changes": STOCK_SCHEMA} | deltas).get(name)
+        fixed = ({"load_ledger": LEDGER_SCHEMA, "ledger_filter": FILTER_SCHEMA, "stock_changes": STOCK_SCHEMA} | deltas).get(name)
         # Not from the session's own parser state: a DDL string names its types.
         return SCHEMAS[name] if fixed is None else T.StructType.fromDDL(fixed)
 
@@ -165,7 +178,7 @@ class RunStore:
         found = self._read(name)
         if found is None:
             return self.spark.createDataFrame([], self._schema(name))
-        rows = found.join(commits.select("run_id", "attempt"), ["run_id", "attempt"], "left_semi").drop("run_id", "attempt")
+        rows = found.join(commits.select("run_id", "attempt"), ["run_id", "attempt"], "left_semi").drop("run_id", "attempt", "part")
         return conform(rows, name) if name in SCHEMAS else rows
 
     def table(self, name: str, run_id: str | None = None) -> DataFrame:
@@ -197,6 +210,38 @@ class RunStore:
             self.spark.createDataFrame([], self._schema(name)).write.mode("ignore").parquet(
                 f"{self._path(name)}/run_id=no-run/attempt=no-attempt")
 
+    # -- ledger -------------------------------------------------------------
+    def ledger_parts(self, keys: DataFrame) -> list[tuple[str, str, int]]:
+        """(run_id, attempt, part) of the committed ledger parts that may hold
+        a key of ``keys``.  Only the filters are read; what reaches the driver is
+        folder names."""
+        filters = self._read("ledger_filter")
+        if filters is None:
+            return []
+        commits = self.markers().select("run_id", "attempt")
+        filters = filters.join(commits, ["run_id", "attempt"], "left_semi")
+        # Block counts are powers of two: at most 63 different ones.
+        counts = [r[0] for r in filters.select("blocks").distinct().collect()]
+        if not counts:
+            return []
+        probe = keys.select(*LEDGER_KEY).distinct().select(
+            F.explode(F.array(*[F.struct(F.lit(n).alias("blocks"), _block(n).alias("block")) for n in counts])).alias("at"),
+            F.array(*_positions()).alias("positions")).select("at.*", "positions")
+        bit = lambda p: F.conv(F.hex(F.substring(F.col("bits"), (F.shiftright(p, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        found = probe.join(filters, ["blocks", "block"]).filter(
+            F.forall("positions", lambda p: F.getbit(bit(p), (p % 8).cast("int")) == 1))
+        part = F.pmod("block", "parts").alias("part")
+        return [tuple(r) for r in found.select("run_id", "attempt", part).distinct().collect()]
+
+    def ledger_for(self, keys: DataFrame) -> DataFrame:
+        """The committed ledger rows of the parts that may hold a key of
+        ``keys``: all that an anti join of ``keys`` with the ledger needs."""
+        parts = self.ledger_parts(keys)
+        if not parts:
+            return self.spark.createDataFrame([], self._schema("load_ledger"))
+        paths = [f"{self._path('load_ledger')}/run_id={r}/attempt={a}/part={p}" for r, a, p in sorted(parts)]
+        return self.spark.read.schema(self._schema("load_ledger")).parquet(*paths)
+
     # -- ids ----------------------------------------------------------------
     def _taken(self) -> tuple[int, int, int]:
         r = self.log().agg(F.max("last_order_id"), F.max("last_item_id"), F.max("last_log_id")).first()
@@ -235,8 +280,12 @@ class RunStore:
         ``begin`` (of any run, without it: since now) conflict with this one."""
         attempt = "a" + uuid.uuid4().hex
         seen = self._seen.get(run_id, self.version())
+        if "load_ledger" in frames:
+            frames = frames | ledger_frames(frames["load_ledger"])
+
         def write(frame: tuple[str, DataFrame]) -> None:
-            frame[1].write.mode("error").parquet(f"{self._path(frame[0])}/run_id={run_id}/attempt={attempt}")
+            by = ["part"] if frame[0] == "load_ledger" else []
+            frame[1].write.mode("error").partitionBy(*by).parquet(f"{self._path(frame[0])}/run_id={run_id}/attempt={attempt}")
 
         # Independent jobs: the small tables are written while tasks of the large ones run.
         with ThreadPoolExecutor(PARALLEL_WRITES) as pool:
@@ -275,3 +324,31 @@ class RunStore:
 def max_ids(base_orders: DataFrame, base_items: DataFrame) -> tuple[int, int]:
     """(highest order id, highest item id); 0 for empty tables."""
     return tuple(df.agg(F.max("id")).first()[0] or 0 for df in (base_orders, base_items))
+
+
+def _block(blocks: int | Column) -> Column:
+    return F.pmod(F.xxhash64(*LEDGER_KEY), F.lit(blocks).cast("long"))
+
+
+def _positions() -> list[Column]:
+    """The bits of a key inside its block, cut from hashes that do not choose the block."""
+    hashes = [F.xxhash64(*LEDGER_KEY, F.lit(k)) for k in range(HASHES)]
+    low = F.lit((1 << SLICE_BITS) - 1).cast("long")
+    return [F.shiftright(h, SLICE_BITS * i).bitwiseAND(low) for h in hashes for i in range(SLICES)]
+
+
+def _power(n: int) -> int:
+    """The least power of two that is at least ``n``, and 1."""
+    return 1 << max(n - 1, 0).bit_length()
+
+
+def ledger_frames(ledger: DataFrame) -> dict[str, DataFrame]:
+    """The ledger of a run with its parts, and the filter of its keys.  A
+    part is a union of blocks, as both counts are powers of two."""
+    rows = ledger.count()
+    blocks, parts = _power(-(-rows // BLOCK_KEYS)), _power(-(-rows // PART_KEYS))
+    ledger = ledger.withColumn("part", F.pmod(_block(blocks), F.lit(parts)).cast("int")).repartition(parts, "part")
+    bits = ledger.select(_block(blocks).alias("block"), F.explode(F.array(*_positions())).alias("position"))
+    bits = bits.groupBy("block").agg(F.bitmap_construct_agg("position").alias("bits"))
+    filters = bits.select(F.lit(blocks).cast("long").alias("blocks"), F.lit(parts).cast("long").alias("parts"), "block", "bits")
+    return {"load_ledger": ledger, "ledger_filter": filters}
