@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillpoint.checks import oracle
-from tillpoint.functions.expr import ts_lit
+from tillpoint.functions.expr import normalize_status, ts_lit
 from tillpoint.plans import analytics as A
 from tillpoint.plans import catalog as C
 from tillpoint.operators import contracts as K
 from tillpoint.session import ensure_defaults, materialize, scratch_path
+from tillpoint.sources import tables
 from tillpoint.sources.feed import write_feed_files
 from tillpoint.sources.sinks import to_json_documents
 from tillpoint.sources.store import RunStore
@@ -94,6 +95,56 @@ def _place(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
     return for_oracle(frame)
 
 
+def _placement_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stock as readers of the store see it after the placement is published."""
+    ensure_defaults(spark)
+    base = bind(spark, sf_dir)
+    store = RunStore(spark, scratch_path(spark, "store"))
+    t = store.current(base)
+    raw = [spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet") for name in ("orders", "lineitem")]
+    res = P.place_orders(P.requests_from_orders(t, *raw), t, placed_at=PLACED_AT)
+    P.publish_placement(res, t, store, "placement")
+    return for_oracle(store.current(base).products.select("id", "sku", "stock"))
+
+
+def _feed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run's figures and its outcome below and at an error threshold."""
+    ensure_defaults(spark)
+    t = bind(spark, sf_dir)
+    feed = materialize(derive_feed(spark, sf_dir, t), "feed")
+    failed = L.load_feed(t, feed, dry_run=True).records_failed
+    runs = [L.load_feed(t, feed, dry_run=True, max_errors=n) for n in (failed - 1, failed)]
+    return spark.createDataFrame(
+        [(k, r.records_read, r.records_loaded, r.records_skipped, r.records_failed, r.success_pct, r.outcome) for k, r in enumerate(runs)],
+        "run long, records_read long, records_loaded long, records_skipped long, records_failed long, success_pct double, outcome string")
+
+
+def _reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order summaries from the tables as saved and loaded again."""
+    ensure_defaults(spark)
+    root = scratch_path(spark, "saved")
+    tables.save(bind(spark, sf_dir), root)
+    t = tables.load(spark, root)
+    return for_oracle(C.orders_by_customer(t, customer_ids=t.customers.select("id")))
+
+
+def _ad_hoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL with a parameter over a registered table and a registered view."""
+    ensure_defaults(spark)
+    tables.register_views(bind(spark, sf_dir), "adhoc_")
+    return for_oracle(tables.sql(spark, """
+        SELECT o.status, count(*) AS orders, sum(o.total_amount) AS total_amount, count(v.customer_id) AS with_value
+        FROM adhoc_orders o LEFT JOIN adhoc_customer_lifetime_value v ON v.customer_id = o.customer_id AND v.total_orders > 5
+        WHERE o.placed_at >= :since GROUP BY o.status""", {"since": PERIOD[0]}))
+
+
+def _statuses(t):
+    """Statuses in four spellings: as they are, upper case, padded, unknown."""
+    c = F.col("status")
+    raw = F.when(F.col("id") % 4 == 0, c).when(F.col("id") % 4 == 1, F.upper(c)).when(F.col("id") % 4 == 2, F.concat(c, F.lit(" "))).otherwise("lost")
+    return t.orders.select("id", normalize_status(raw).alias("status"))
+
+
 FEED_FILE_ROWS = 5_000
 
 
@@ -309,6 +360,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "place_orders_items": lambda spark, d: _place(spark, d, "items"),
     "place_orders_rejects": lambda spark, d: _place(spark, d, "rejects"),
     "place_orders_stock": lambda spark, d: _place(spark, d, "stock"),
+    "place_orders_published": _placement_published,
+    "feed_summary": _feed_summary,
+    "saved_tables": _reloaded,
+    "ad_hoc_sql": _ad_hoc,
+    "normalized_status": _q(_statuses),
 }
 
 

@@ -635,3 +635,17 @@ Q["sql_top_customers"] = Q["top_customers_country"]
 # Live views: the same reports, the rows committed in several runs.
 Q |= {f"live_{name}": Q[name] for name in ("monthly_revenue_summary", "product_sales_ranking", "category_performance")}
 Q["live_customer_lifetime_value"] = f"SELECT * EXCLUDE (days_since_last_order) FROM ({Q['customer_lifetime_value']})"
+Q["place_orders_published"] = Q["place_orders_stock"]
+Q["feed_summary"] = PREFIX + _FEED + """
+, tot AS (SELECT count(*) AS r, count_if(outcome = 'loaded') AS l, count_if(outcome = 'skipped') AS s, count_if(outcome = 'rejected') AS f FROM cl)
+SELECT CAST(run AS BIGINT) AS run, CAST(r AS BIGINT) AS records_read, CAST(l AS BIGINT) AS records_loaded, CAST(s AS BIGINT) AS records_skipped,
+       CAST(f AS BIGINT) AS records_failed, l * CAST(100 AS DOUBLE) / r AS success_pct,
+       CASE WHEN run = 0 THEN 'threshold_exceeded' ELSE 'errors' END AS outcome
+FROM tot, (VALUES (0), (1)) v(run)"""
+Q["saved_tables"] = Q["orders_by_customer"]
+Q["ad_hoc_sql"] = PREFIX + """
+, many AS (SELECT customer_id FROM ord WHERE status NOT IN ('cancelled', 'refunded') GROUP BY customer_id HAVING count(*) > 5)
+SELECT status, count(*) AS orders, CAST(sum(total_c) AS DOUBLE) / 100.0 AS total_amount, count(m.customer_id) AS with_value
+FROM ord o LEFT JOIN many m ON m.customer_id = o.customer_id
+WHERE placed_at >= TIMESTAMP '1997-01-01 00:00:00' GROUP BY status"""
+Q["normalized_status"] = PREFIX + "SELECT id, CASE WHEN id % 4 < 2 THEN status END AS status FROM ord"
