@@ -410,3 +410,20 @@ def test_scores_match_plain_loops_whole_and_in_pieces(spark, monkeypatch):
         for r in scored.collect():
             assert abs(r[name] - want[r.text][0]) < 1e-4
             assert r[best] == want[r.text][1] * quality_mil.PASSAGE_BYTES or len(set(r.text)) == 1
+
+
+def test_benchmark_beyond_one_broadcast_matches_the_broadcast_scan(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"w{rng.randint(0, 400)}" for _ in range(n))
+    items = [(k, text(rng.choice([3, 9, 10, 40]))) for k in range(80)] + [(None, text(15)), (7, None)]
+    planted = [text(20) + " " + items[k][1].upper() + ", " + text(5) for k in range(0, 80, 3)]
+    docs = planted + planted[:1] * 200 + [text(rng.randint(0, 60)) for _ in range(100)] + [None, "", items[80][1], " ".join(t for _, t in items if t) * 20]
+    frame = spark.createDataFrame([(k % 290, t, 1, "x", "y") for k, t in enumerate(docs)], "doc_id long, text string, key int, spans string, items string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = {}
+    for block in (100_000, 50):
+        found, names = decontaminate.scan(frame, bench, block_windows=block)
+        got = found.select("doc_id", "text", "key", "spans", "items", *names.values()).collect()
+        rows[block] = sorted(map(str, got))
+        assert sum(r[names["n_hit"]] > 0 for r in got) >= len(planted) + 200
+    assert rows[50] == rows[100_000] and len(rows[50]) == len(docs)

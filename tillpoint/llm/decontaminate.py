@@ -1,9 +1,10 @@
 """Benchmark decontamination by shared word n-grams.
 
-The benchmark's windows are hashed into sorted arrays that are broadcast in
-blocks of bounded size; each block scans every training text's windows once
-and verifies each hit on the words themselves.  A benchmark of any size takes
-as many scans as it has blocks, so no broadcast grows with it."""
+A benchmark of at most BLOCK_WINDOWS windows is broadcast as a hash set, and
+each hit is verified on the words in the scan itself.  Of a larger one only a
+bitmap of bounded size is broadcast: one scan cuts out the windows that
+may occur, which are verified by a join on their words.  Either way every text is
+scanned for windows once, and no broadcast grows with the benchmark."""
 
 from __future__ import annotations
 
@@ -16,12 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillpoint.llm.common import as_frame, free_name, materialize, text_slices
-from tillpoint.llm.text import hash_words, split_words, window_hashes
+from tillpoint.llm.common import as_frame, col, free_name, growing, materialize, text_slices
+from tillpoint.llm.text import Words, hash_words, split_words, window_hashes
 
 WINDOW = 10
-# Windows in one broadcast block (about 250 bytes each with their words).
+# Windows of a broadcast hash set (about 250 bytes each with their words).
 BLOCK_WINDOWS = 100_000
+# The bitmap of a larger benchmark: 32 bits a window, of which two are set, and
+# at most 32 MB; above eight million windows more candidates pass it.
+WINDOW_BITS = 32
+MAX_BITS = 1 << 28
+SLICE_BITS = 15
+CANDIDATE_ROWS = 20_000
 
 
 # A block: window length -> sorted hashes, and the windows' words -> items.
@@ -65,22 +72,26 @@ def _block(rows: list) -> Block:
     return lengths, words
 
 
-def _blocks(windows: DataFrame, block_windows: int) -> Iterator[Block]:
-    """Blocks of at most ``block_windows`` windows, fetched one at a time."""
-    total = windows.count()
-    parts = max(1, -(-total // block_windows))
-    # Blocks by hash come out uneven by far less than the factor two left here.
-    parts = parts if parts == 1 else parts * 2
-    for k in range(parts):
-        rows = windows.filter(F.pmod(F.xxhash64("words"), F.lit(parts)) == k).collect() if parts > 1 else windows.collect()
-        yield _block(rows)
+def _inside(found: np.ndarray, w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows of ``n`` words that start at the words ``found``, those that lie in
+    one text, and their texts."""
+    owner = np.searchsorted(w.docs, found, side="right") - 1
+    whole = found + n <= w.docs[owner + 1]
+    return found[whole], owner[whole]
+
 
+def _maps(hit: np.ndarray, w: Words) -> list[bytes | None]:
+    """A bitmap of each text's hit words, None without any; ``hit`` holds the
+    steps of the number of occurrences over a word."""
+    inside = np.cumsum(hit)[:-1] > 0
+    parts = [inside[a:b] for a, b in zip(w.docs[:-1], w.docs[1:])]
+    return [np.packbits(p).tobytes() if p.any() else None for p in parts]
 
-def _hits(texts: pa.Array, block: Block, covered: list[bytes | None]) -> tuple[list, list[bytes], np.ndarray]:
+
+def _hits(texts: pa.Array, block: Block) -> tuple[list, list[bytes | None], np.ndarray]:
     """Per text: the items with occurring windows, a bitmap of its words that
-    are inside an occurrence (joined with ``covered``), its number of words."""
+    are inside an occurrence, its number of words."""
     w = split_words(texts)
-    counts = np.diff(w.docs)
     hit = np.zeros(len(w.starts) + 1, dtype=np.int64)
     items: dict[int, set] = {}
     hashes = hash_words(w)
@@ -88,24 +99,99 @@ def _hits(texts: pa.Array, block: Block, covered: list[bytes | None]) -> tuple[l
     for n, wanted in lengths.items():
         found = window_hashes(hashes, n)
         place = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
-        at = np.flatnonzero(wanted[place] == found) if len(wanted) else np.zeros(0, np.int64)
-        owner = np.searchsorted(w.docs, at, side="right") - 1
-        at, owner = at[at + n <= w.docs[owner + 1]], owner[at + n <= w.docs[owner + 1]]
+        at, owner = _inside(np.flatnonzero(wanted[place] == found) if len(wanted) else np.zeros(0, np.int64), w, n)
         for i, d in zip(at.tolist(), owner.tolist()):
             names = words.get(w.joined(i, i + n))
             if names:
                 hit[i] += 1
                 hit[i + n] -= 1
                 items.setdefault(d, set()).update(names)
-    inside = np.cumsum(hit)[:-1] > 0
-    maps, out = [], []
-    for d in range(len(texts)):
-        mine = inside[w.docs[d]:w.docs[d + 1]]
-        if covered[d] is not None:
-            mine = mine | np.unpackbits(np.frombuffer(covered[d], np.uint8), count=len(mine)).astype(bool)
-        maps.append(np.packbits(mine).tobytes() if mine.any() else None)
-        out.append(items.get(d, set()))
-    return out, maps, counts
+    return [items.get(d, set()) for d in range(len(texts))], _maps(hit, w), np.diff(w.docs)
+
+
+def _filter(hashed: DataFrame, total: int) -> np.ndarray:
+    """The bitmap of all window hashes, as bytes; at most MAX_BITS bits reach
+    the driver."""
+    bits = 1 << SLICE_BITS
+    while bits < min(total * WINDOW_BITS, MAX_BITS):
+        bits *= 2
+    mask, low = F.lit(bits - 1).cast("long"), F.lit((1 << SLICE_BITS) - 1).cast("long")
+    places = F.array(*[F.shiftrightunsigned("hash", k).bitwiseAND(mask) for k in (0, 32)])
+    slices = (hashed.select(F.explode(places).alias("p"))
+              .groupBy(F.shiftright("p", SLICE_BITS).alias("slice")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(low)).alias("bits")))
+    out = np.zeros(bits // 8, np.uint8)
+    size = (1 << SLICE_BITS) // 8
+    for r in slices.toLocalIterator():
+        out[r["slice"] * size:(r["slice"] + 1) * size] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def _may_hold(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    mask = np.uint64(len(bitmap) * 8 - 1)
+    ok = np.ones(len(hashes), bool)
+    for k in (0, 32):
+        p = ((hashes >> np.uint64(k)) & mask).astype(np.int64)
+        ok &= (bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
+    return ok
+
+
+def _hashed(windows: DataFrame) -> DataFrame:
+    """The hash of each window's words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in text_slices(batch.column("words").cast(pa.large_binary()).cast(pa.large_string())):
+                lengths = batch.column("length").slice(first, len(texts)).to_numpy()
+                w = split_words(texts)
+                hashes = hash_words(w)
+                out = np.zeros(len(texts), np.uint64)
+                for n in np.unique(lengths):
+                    out[lengths == n] = window_hashes(hashes, int(n))[w.docs[:-1][lengths == n]]
+                yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], names=["hash"])
+
+    return windows.select("words", "length").mapInArrow(run, "hash long")
+
+
+def _candidates(texts_of: DataFrame, lengths: list[int], shared) -> DataFrame:
+    """Rows (key, at, length, words): the windows of each text, known by its
+    digest, that pass the bitmap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in text_slices(batch.column("text")):
+                w = split_words(texts)
+                hashes = hash_words(w)
+                keys: dict[int, str] = {}
+                for n in lengths:
+                    at, owner = _inside(np.flatnonzero(_may_hold(shared.value, window_hashes(hashes, n))), w, n)
+                    for d in np.unique(owner).tolist():
+                        if d not in keys:
+                            keys[d] = hashlib.sha256(texts[d].as_py().encode()).hexdigest()
+                    for k in range(0, len(at), CANDIDATE_ROWS):
+                        part, of = at[k:k + CANDIDATE_ROWS], owner[k:k + CANDIDATE_ROWS]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([keys[d] for d in of.tolist()], pa.string()), pa.array(part - w.docs[of], pa.int64()),
+                             pa.array(np.full(len(part), n), pa.int32()),
+                             pa.array([w.joined(i, i + n) for i in part.tolist()], pa.binary())], names=["key", "at", "length", "words"])
+
+    return texts_of.mapInArrow(run, "key string, at long, length int, words binary")
+
+
+def _with_hits(docs: DataFrame, windows: DataFrame, total: int, text_col: str) -> DataFrame:
+    """``docs`` with two more columns: the occurrences (at, length) in a text and their
+    items, null without any.  For a benchmark that is too large to be broadcast."""
+    spark = docs.sparkSession
+    lengths = sorted(r[0] for r in windows.select("length").distinct().collect())     # at most ``window`` values
+    shared = spark.sparkContext.broadcast(_filter(_hashed(windows), total))
+    # Copies of a text find the same: they are one from here on.
+    maybe = materialize(_candidates(as_frame(docs, text=text_col), lengths, shared).distinct(), "candidates")
+    found = materialize(maybe.join(growing(windows.select("words").distinct()), "words", "left_semi"), "occurrences")
+    spans = found.groupBy("key").agg(F.collect_list(F.struct("at", "length")).alias("spans"))
+    named = found.select("key", "words").distinct().join(growing(windows.filter("item is not null")), "words")
+    items = named.select("key", "item").distinct().groupBy("key").agg(F.collect_list("item").alias("items"))
+    hits = materialize(spans.join(growing(items), "key", "left"), "hits")
+    key, spans, items = (free_name(docs, c) for c in ("key", "spans", "items"))
+    hits = hits.select(F.col("key").alias(key), F.col("spans").alias(spans), F.col("items").alias(items))
+    joined = docs.withColumn(key, F.sha2(col(text_col), 256)).join(growing(hits), key, "left")
+    return joined.select(*[col(c) for c in docs.columns], spans, items)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
@@ -126,27 +212,39 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
                           T.StructField(names["hit_items"], T.ArrayType(T.StringType())),
                           T.StructField(names["hit_words"], T.BinaryType())])
     windows = materialize(benchmark_windows(benchmark, item_col, item_text_col, window), "windows")
-    out = docs
-    width = len(docs.columns)
-    text_at = docs.columns.index(text_col)
-    for k, block in enumerate(_blocks(windows, block_windows)):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, again=k > 0) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for first, texts in text_slices(batch.column(text_at)):
-                    part = batch.slice(first, len(texts))
-                    items, maps, counts = _hits(texts, shared.value, part.column(width + 3).to_pylist() if again else [None] * len(texts))
-                    if again:
-                        items = [s | set(old) for s, old in zip(items, part.column(width + 2).to_pylist())]
-                    hit = [int(np.unpackbits(np.frombuffer(m, np.uint8)).sum()) if m else 0 for m in maps]
-                    yield pa.RecordBatch.from_arrays(
-                        [*part.columns[:width], pa.array(counts, pa.int64()), pa.array(hit, pa.int64()),
-                         pa.array([sorted(x for x in s if x is not None) for s in items], pa.list_(pa.string())),
-                         pa.array(maps, pa.binary())], names=[f"c{i}" for i in range(width + 4)])
-
-        out = _by_position(out.mapInArrow, run, T.StructType([*docs.schema.fields, *added.fields]))
-    return out, names
+    total = windows.count()
+    width, text_at = len(docs.columns), docs.columns.index(text_col)
+    if total <= block_windows:
+        shared = spark.sparkContext.broadcast(_block(windows.collect()))
+        rows = docs
+
+        def found(batch: pa.RecordBatch, texts: pa.Array) -> tuple[list, list[bytes | None], np.ndarray]:
+            return _hits(texts, shared.value)
+    else:
+        rows = _with_hits(docs, windows, total, text_col)
+
+        def found(batch: pa.RecordBatch, texts: pa.Array) -> tuple[list, list[bytes | None], np.ndarray]:
+            w = split_words(texts)
+            hit = np.zeros(len(w.starts) + 1, dtype=np.int64)
+            for d, spans in enumerate(batch.column(width)):
+                if spans.is_valid:
+                    at, n = (spans.values.field(c).to_numpy() for c in ("at", "length"))
+                    np.add.at(hit, w.docs[d] + at, 1)
+                    np.add.at(hit, w.docs[d] + at + n, -1)
+            return [x or [] for x in batch.column(width + 1).to_pylist()], _maps(hit, w), np.diff(w.docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in text_slices(batch.column(text_at)):
+                part = batch.slice(first, len(texts))
+                items, maps, counts = found(part, texts)
+                hit = [int(np.unpackbits(np.frombuffer(m, np.uint8)).sum()) if m else 0 for m in maps]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:width], pa.array(counts, pa.int64()), pa.array(hit, pa.int64()),
+                     pa.array([sorted(x for x in s if x is not None) for s in items], pa.list_(pa.string())),
+                     pa.array(maps, pa.binary())], names=[f"c{i}" for i in range(width + 4)])
+
+    return _by_position(rows.mapInArrow, run, T.StructType([*docs.schema.fields, *added.fields])), names
 
 
 def _by_position(apply, run, schema: T.StructType) -> DataFrame:
