@@ -196,6 +196,16 @@ def test_keep_one_leaves_one_row_per_class(spark, corpus):
     assert jaccard_join.keep_one(frame(spark, [])).collect() == []
 
 
+def test_keep_one_with_a_weak_key(spark, monkeypatch):
+    """Rows whose keys collide are told apart by their ids."""
+    monkeypatch.setattr(jaccard_join, "_key", lambda doc_id, text: F.coalesce(F.length(text), F.lit(0)).cast("long") * 0)
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(30)) for _ in range(20)]
+    rows = [(k, texts[k % 20]) for k in range(30)] + [(30, None), (31, ""), (32, texts[0] + " more"), (33, texts[19]), (33, texts[19])]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(20), 30, 31]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)]

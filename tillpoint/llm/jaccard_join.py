@@ -28,7 +28,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint.llm.common import as_frame, col, free_name, growing, materialize, text_slices
@@ -297,8 +297,12 @@ def _grams(n: int):
     return run
 
 
+def _key(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id, text)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return as_frame(docs, doc_id=id_col, text=text_col).withColumn("key", F.xxhash64("doc_id", "text"))
+    return as_frame(docs, doc_id=id_col, text=text_col).withColumn("key", _key(F.col("doc_id"), F.col("text")))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM,
@@ -358,19 +362,24 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """``docs`` without all but one row of each class (the smallest id; a null
     id only where the class has no other), with all columns as they are.
 
-    Of rows that agree in id and text, and stay, one is kept."""
+    Of rows that agree in id and text, and stay, one is kept.  Rows are
+    followed by their id and a hash of id and text, so only rows of one id
+    could be taken for each other."""
     found = materialize(jaccard_join(docs, id_col, text_col, **options), "joined").filter("class_docs > 1")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    stay = materialize(found.groupBy("class_set").agg(least.alias("first")).select("class_set", F.col("first.key").alias("stay")), "stay")
-    act = (found.groupBy("key", "class_set").agg(F.count(F.lit(1)).alias("rows")).join(growing(stay), "class_set")
-           .withColumn("drop", F.col("key") != F.col("stay")).filter("drop or rows > 1"))
-    act = materialize(act.groupBy("key").agg(F.min("drop").alias("drop")), "act")
-    key, drop, seen = free_name(docs, "key"), free_name(docs, "drop"), free_name(docs, "seen")
-    marked = docs.withColumn(key, F.xxhash64(col(id_col), col(text_col)))
-    of = act.select(F.col("key").alias(seen), F.col("drop").alias(drop))
-    out = marked.join(growing(of.select(seen)), col(key) == col(seen), "left_anti").select(*[col(c) for c in docs.columns])
+    stay = materialize(found.groupBy("class_set").agg(least.alias("first")).select(
+        "class_set", F.col("first.doc_id").alias("stay_id"), F.col("first.key").alias("stay_key")), "stay")
+    stays = F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("key") == F.col("stay_key"))
+    act = (found.groupBy("doc_id", "key", "class_set").agg(F.count(F.lit(1)).alias("rows")).join(growing(stay), "class_set")
+           .withColumn("drop", ~stays).filter("drop or rows > 1"))
+    act = materialize(act.groupBy("doc_id", "key").agg(F.min("drop").alias("drop")), "act")
+    key, drop, seen, seen_id = (free_name(docs, c) for c in ("key", "drop", "seen", "seen_id"))
+    marked = docs.withColumn(key, _key(col(id_col), col(text_col)))
+    of = act.select(F.col("doc_id").alias(seen_id), F.col("key").alias(seen), F.col("drop").alias(drop))
+    same = (col(key) == col(seen)) & col(id_col).eqNullSafe(col(seen_id))
+    out = marked.join(growing(of.select(seen, seen_id)), same, "left_anti").select(*[col(c) for c in docs.columns])
     if act.filter("not drop").limit(1).count():
-        one = marked.join(growing(of.filter(~col(drop))), col(key) == col(seen), "left_semi")
+        one = marked.join(growing(of.filter(~col(drop))), same, "left_semi")
         first = F.first(F.struct(*[col(c) for c in docs.columns])).alias(drop)
-        out = out.unionByName(one.groupBy(col(key)).agg(first).select(f"{drop}.*"))
+        out = out.unionByName(one.groupBy(col(key), col(id_col)).agg(first).select(f"{drop}.*"))
     return out
