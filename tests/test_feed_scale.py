@@ -97,3 +97,51 @@ def test_large_generated_methods_are_not_interpreted(spark):
     from tillpoint.session import HUGE_METHOD, ensure_defaults
     ensure_defaults(spark)
     assert spark.conf.get(HUGE_METHOD) == "8000"
+
+
+def test_line_breaks_move_no_records(spark, scratch):
+    """Records that lie in one split are put together where they are read."""
+    from tillpoint.schema import FEED_COLUMNS
+    from tillpoint.sources.feed import read_order_feed
+    with open(f"{scratch}/a.csv", "w") as f:
+        f.write(",".join(FEED_COLUMNS) + "\n" + "".join(f'"E\n\n{i}",c@x,S,1,2,2024-01-01,pending\n' for i in range(50)))
+    df = read_order_feed(spark, f"{scratch}/a.csv", multiline=True)
+    assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.row_num, r.order_id) for r in df.collect()) == [(i + 2, f"E\n\n{i}") for i in range(50)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_records_over_batches(seed, monkeypatch):
+    """Lines in batches of any size, of several splits: as the whole file in one."""
+    import pyarrow as pa
+
+    from tillpoint.sources import feed
+    monkeypatch.setattr(feed, "HELD_BYTES", (10, 1 << 20)[seed % 2])
+    rng = random.Random(seed)
+    lines, before, record, inside = [], {}, 0, False
+    want: dict = {}
+    for n in range(300):
+        key = ("f", n // 60)
+        if key not in before:
+            before[key] = (int(inside), record)
+        text = rng.choice(["", "x", 'a"b', 'a"b"c', '"', "y,z"])
+        if not inside and not text:
+            lines.append((text, *key, n))
+            continue
+        record += not inside
+        want.setdefault(record, []).append(text)
+        inside ^= text.count('"') % 2
+        lines.append((text, *key, n))
+    batches, at = [], 0
+    while at < len(lines):
+        step = rng.randrange(1, 50)
+        batches.append(pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*lines[at:at + step])], names=["value", "source_file", "_block", "_mid"]))
+        at += step
+    rows = [r for b in feed._number_lines(before, False)(iter(batches)) for r in b.to_pylist()]
+    got: dict = {}
+    for r in sorted(rows, key=lambda r: r["_mid"]):
+        got.setdefault(r["row_num"], []).append(r)
+    assert {k: "\n".join(r["value"] for r in v) for k, v in got.items()} == {k: "\n".join(v) for k, v in want.items()}
+    assert all(len(v) == 1 for v in got.values() if v[0]["whole"])
+    if seed % 2:
+        assert sum(not r["whole"] for r in rows) < len(rows) / 2
