@@ -163,3 +163,30 @@ def test_placements_on_old_stock_conflict(spark, seed, scratch):
     assert [r.reason for r in again.rejects.collect()] == ["insufficient_stock"]
     publish_placement(again, now, store, "p2")
     assert store.table("orders").count() == 1 and {r.id: r.stock for r in store.current(seed).products.collect()}[4] == 7
+
+
+def test_groups_are_played_by_many_tasks(spark):
+    """Few bytes, but much work: the groups are dealt over all tasks, and played as one by one."""
+    import random
+
+    from tillpoint.plans import placement as P
+    rng = random.Random(3)
+    stock = {p: rng.randrange(5, 40) for p in range(60)}
+    rows = []
+    for rid in range(600):
+        root = rng.randrange(20)
+        for p in rng.sample([root, root + 20, root + 40], rng.randrange(1, 4)):
+            rows.append((root, rid, rid // 2, p, rng.randrange(1, 6), stock[p], "A" if rid % 7 == 0 else "U"))
+    df = spark.createDataFrame(rows, "root long, rid long, seq long, product_id long, d long, stock long, st string")
+    played = P._played(df)
+    assert played.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want, left = {}, dict(stock)
+    for rid in range(600):
+        lines = [(r[3], r[4]) for r in rows if r[1] == rid]
+        fits = all(d <= left[p] for p, d in lines)
+        if fits or rid % 7 == 0:
+            for p, d in lines:
+                left[p] -= d
+        if rid % 7:
+            want[rid] = fits
+    assert {r.rid: r.accepted for r in played.collect()} == want

@@ -31,6 +31,7 @@ Sequential stock without a loop over requests:
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -114,25 +115,51 @@ def _apply(state: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def _player():
-    """The function that places the requests of one connected group one by
-    one.  A nested function reaches the workers by value, so executors need no
+    """The function that places the requests of connected groups one by one,
+    from rows in the order of (root, seq, rid).  It keeps the stock of one group and the lines of
+    one request.  A nested function reaches the workers by value, so executors need no
     copy of this package."""
-    def play(rows: pd.DataFrame) -> pd.DataFrame:
-        left = dict(zip(rows["product_id"], rows["stock"]))
-        out = []
-        for (_, rid), lines in rows.sort_values(["seq", "rid"]).groupby(["seq", "rid"], sort=False):
-            wanted = list(zip(lines["product_id"], lines["d"]))
-            undecided = lines["st"].iloc[0] == "U"
+    def play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left: dict = {}
+        at, undecided, wanted = None, False, []
+        out: list = []
+
+        def finish() -> None:
             fits = all(d <= left[p] for p, d in wanted)
             if fits or not undecided:
                 for p, d in wanted:
                     left[p] -= d
             if undecided:
-                out.append((rid, fits))
-        return pd.DataFrame(out, columns=["rid", "accepted"])
+                out.append((at[1], fits))
+
+        for rows in batches:
+            for root, rid, product, d, stock, st in zip(*(rows[c].tolist() for c in ("root", "rid", "product_id", "d", "stock", "st"))):
+                if at != (root, rid):
+                    if wanted:
+                        finish()
+                    if at is None or at[0] != root:
+                        left = {}
+                    at, undecided, wanted = (root, rid), st == "U", []
+                left.setdefault(product, stock)
+                wanted.append((product, d))
+            if out:
+                yield pd.DataFrame(out, columns=["rid", "accepted"])
+                out.clear()
+        if wanted:
+            finish()
+        if out:
+            yield pd.DataFrame(out, columns=["rid", "accepted"])
     return play
 
 
+def _played(group: DataFrame) -> DataFrame:
+    """A row (rid, accepted) for each undecided request of the groups.  The number of
+    tasks is given: the rows are few bytes, but each of them is work."""
+    tasks = int(group.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = group.repartition(tasks, "root").sortWithinPartitions("root", "seq", "rid")
+    return rows.mapInPandas(_player(), "rid long, accepted boolean")
+
+
 def _groups(state: DataFrame) -> DataFrame:
     """The lines of connected groups that one task can play through, with
     their group: products are linked by the undecided requests that want them."""
@@ -156,7 +183,7 @@ def decide_stock(demand: DataFrame) -> tuple[DataFrame, int]:
         rounds += 1
         if rounds > ROUNDS:
             group = _groups(state)
-            played = materialize(group.groupBy("root").applyInPandas(_player(), "rid long, accepted boolean"), "placement_played")
+            played = materialize(_played(group), "placement_played")
             parts.append(played)
             state = _apply(state, played)
             if not state.filter("st = 'U'").limit(1).count():
