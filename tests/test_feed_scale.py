@@ -145,3 +145,19 @@ def test_records_over_batches(seed, monkeypatch):
     assert all(len(v) == 1 for v in got.values() if v[0]["whole"])
     if seed % 2:
         assert sum(not r["whole"] for r in rows) < len(rows) / 2
+
+
+def test_order_documents_move_narrow_items(spark):
+    """Items meet their order once they are gathered; equal orders make one row."""
+    from tillpoint.plans import catalog as C
+    t = TD.bind(spark, SF)
+    odd = t.with_(orders=t.orders.unionByName(t.orders.filter("id % 3 = 0")), products=t.products.unionByName(t.products.filter("id % 5 = 0")))
+    df = C.order_detail(odd, order_ids=t.orders.select("id"))
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    gathered = [line for line in lines if "collect_list" in line]
+    assert len(gathered) == 1 and "customer_email" not in gathered[0]
+    got = {(r.id, i) for r in df.collect() for i in [tuple(sorted(x.id for x in r["items"]))]}
+    want: dict = {}
+    for r in C.order_detail_lines(odd, order_ids=t.orders.select("id")).select("id", "item_id").collect():
+        want.setdefault(r.id, []).append(r.item_id)
+    assert got == {(k, tuple(sorted(v))) for k, v in want.items()} and df.count() == len(want)

@@ -156,11 +156,8 @@ ORDER_DETAIL_LINE = [
 ]
 
 
-def order_detail_lines(t: Tables, order_id=None, order_ids: DataFrame | None = None) -> DataFrame:
-    """Flat form of the order detail: one row per item with its order,
-    customer and product (four inner joins; an order with no items yields
-    nothing).  The id filter is applied to orders and items before the
-    joins (Catalyst infers it for items through the join key)."""
+def _order_heads(t: Tables, order_id=None, order_ids: DataFrame | None = None) -> DataFrame:
+    """The chosen orders with their customers (inner join)."""
     o = t.orders
     if order_ids is not None:
         o = o.join(order_ids.select(F.col(order_ids.columns[0]).alias("id")), "id", "left_semi")
@@ -170,27 +167,48 @@ def order_detail_lines(t: Tables, order_id=None, order_ids: DataFrame | None = N
                            F.col("first_name").alias("customer_first_name"),
                            F.col("last_name").alias("customer_last_name"),
                            F.col("country").alias("customer_country"))
+    return o.join(c, "customer_id")
+
+
+def _detail_items(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Items (``id``: their order) and products as the order detail shows them."""
     i = t.order_items.select(F.col("id").alias("item_id"), F.col("order_id").alias("id"),
                              "product_id", "quantity", "unit_price", "subtotal")
     p = t.products.select(F.col("id").alias("product_id"), F.col("sku").alias("product_sku"),
                           F.col("name").alias("product_name"))
-    return o.join(c, "customer_id").join(i, "id").join(p, "product_id").select(*ORDER_DETAIL_LINE)
+    return i, p
+
+
+def order_detail_lines(t: Tables, order_id=None, order_ids: DataFrame | None = None) -> DataFrame:
+    """Flat form of the order detail: one row per item with its order,
+    customer and product (four inner joins; an order with no items yields
+    nothing).  The id filter is applied to orders and items before the
+    joins (Catalyst infers it for items through the join key)."""
+    i, p = _detail_items(t)
+    return _order_heads(t, order_id, order_ids).join(i, "id").join(p, "product_id").select(*ORDER_DETAIL_LINE)
 
 
 def order_detail(t: Tables, order_id=None, order_ids: DataFrame | None = None) -> DataFrame:
     """Nested order: order columns, a ``customer`` struct and an ``items``
     array of structs (each with a ``product`` struct), sorted by item id.
     Grouping is by order id: one order's items go to one task, which is the
-    unit of the result (an order row)."""
-    lines = order_detail_lines(t, order_id, order_ids)
+    unit of the result (an order row).
+
+    Items are gathered before they meet their order, so no item carries the order and customer
+    columns.  Equal order rows make one row that holds their items that many times."""
     item = F.struct(F.col("item_id").alias("id"), F.col("id").alias("order_id"), "product_id", "quantity",
                     "unit_price", "subtotal",
                     F.struct(F.col("product_id").alias("id"), F.col("product_sku").alias("sku"),
                              F.col("product_name").alias("name")).alias("product"))
-    g = lines.groupBy("id", "customer_id", "status", "total_amount", "currency", "placed_at",
-                      "shipped_at", "delivered_at", "customer_email", "customer_first_name",
-                      "customer_last_name", "customer_country").agg(
-        F.array_sort(F.collect_list(item)).alias("items"))
+    i, p = _detail_items(t)
+    items = i.join(p, "product_id").groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    # Dealt by id once, for the grouping and the join.
+    heads = _order_heads(t, order_id, order_ids).repartition("id").groupBy(
+        "id", "customer_id", "status", "total_amount", "currency", "placed_at",
+        "shipped_at", "delivered_at", "customer_email", "customer_first_name",
+        "customer_last_name", "customer_country").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    several = F.array_sort(F.flatten(F.array_repeat(F.col("_items"), F.col("_n"))))
+    g = heads.join(items, "id").withColumn("items", F.when(F.col("_n") == 1, F.col("_items")).otherwise(several))
     return g.select("id", "customer_id", "status", "total_amount", "currency", "placed_at",
                     "shipped_at", "delivered_at",
                     F.struct(F.col("customer_id").alias("id"), F.col("customer_email").alias("email"),
