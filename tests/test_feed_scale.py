@@ -19,7 +19,7 @@ def written(monkeypatch):
     names = []
     for module in (L, ranking):
         keep = module.materialize
-        monkeypatch.setattr(module, "materialize", lambda df, name="stage", keep=keep: names.append((name, df.columns)) or keep(df, name))
+        monkeypatch.setattr(module, "materialize", lambda df, name="stage", *how, keep=keep: names.append((name, df.columns)) or keep(df, name, *how))
     return names
 
 
@@ -161,3 +161,14 @@ def test_order_documents_move_narrow_items(spark):
     for r in C.order_detail_lines(odd, order_ids=t.orders.select("id")).select("id", "item_id").collect():
         want.setdefault(r.id, []).append(r.item_id)
     assert got == {(k, tuple(sorted(v))) for k, v in want.items()} and df.count() == len(want)
+
+
+def test_highest_ids_sort_no_items(spark):
+    """The highest item id is counted; other items are asked themselves."""
+    from tillpoint.sources.store import max_ids
+    t = TD.bind(spark, SF)
+    assert "Window" not in t.id_tables()[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert max_ids(*t.id_tables()) == max_ids(t.orders, t.order_items)
+    less = t.with_(order_items=t.order_items.filter("order_id < 100"))
+    assert max_ids(*less.id_tables()) == max_ids(less.orders, less.order_items) != max_ids(*t.id_tables())
+    assert t.with_(orders=t.orders.limit(1)).last_item_ids is not None

@@ -238,10 +238,10 @@ def place_orders(requests: DataFrame, t: Tables, placed_at: dt.datetime | None =
 
     accepted = decisions.filter("accepted").select("rid", "request_id", "seq", "customer_id")
     if store is None:
-        max_o, max_i = max_ids(t.orders, t.order_items)
+        max_o, max_i = max_ids(*t.id_tables())
     else:
         n_lines = lines.join(accepted.select("rid"), "rid", "left_semi").count()
-        max_o, max_i, _ = store.reserve(accepted.count(), n_lines, base=(t.orders, t.order_items))
+        max_o, max_i, _ = store.reserve(accepted.count(), n_lines, base=t.id_tables())
     numbered = dense_ids(accepted, ["seq", "rid"], "order_id", start=max_o + 1)
     acc_lines = lines.join(numbered.select("rid", "order_id"), "rid")
     items = dense_ids(acc_lines, ["order_id", "pos"], "id", start=max_i + 1)
