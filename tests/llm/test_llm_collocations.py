@@ -70,3 +70,13 @@ def test_collocations_of_odd_tables(spark):
     got = collocations.collocations(docs, text_col="body", lang_col="tongue").collect()
     assert [tuple(r) for r in got] == [("und", 1, "ab cd", 10, 10, 10, 20, 1_000_000)]
     assert collocations.collocations(docs.limit(0), text_col="body", lang_col="tongue").count() == 0
+
+
+def test_counts_are_shuffled_without_their_hash(spark):
+    """What tells phrases apart in the sort is taken after the shuffle, which holds the counts alone."""
+    rows = spark.createDataFrame([(k, k % 7, k % 5, 1) for k in range(100)], "place long, a long, b long, c long")
+    found = collocations._frequent(rows, ["a", "b"], 3)
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    below = lines[next(i for i, line in enumerate(lines) if "Exchange" in line):]
+    assert len([line for line in lines if "Exchange" in line]) == 1 and "xxhash64" not in "".join(below)
+    assert sorted(map(tuple, found.collect())) == sorted((k, k % 7, k % 5, k % 35, 3) for k in range(100) if k % 35 < 30)

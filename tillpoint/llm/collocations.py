@@ -186,9 +186,10 @@ def _extend(length: int):
 def _frequent(counts: DataFrame, keys: list[str], support: int) -> DataFrame:
     """Rows (place, *keys, c) of runs -> those of phrases that reach the
     support, with the phrase's number ``id`` (its smallest place) and count ``f``."""
-    # Sorted by one number first: it tells most phrases apart.
+    # Sorted by one number first: it tells most phrases apart.  It is taken after the
+    # shuffle: no bytes of it compress.
     by = Window.partitionBy("spread", *keys)
-    found = counts.withColumn("spread", F.xxhash64(*keys)).withColumn("f", F.sum("c").over(by)).withColumn("id", F.min("place").over(by))
+    found = counts.repartition(*keys).withColumn("spread", F.xxhash64(*keys)).withColumn("f", F.sum("c").over(by)).withColumn("id", F.min("place").over(by))
     return found.filter(F.col("f") >= support).select("place", *keys, "id", "f")
 
 
@@ -197,7 +198,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sup
     """(rows (lang, n) of word totals, for each length the frequent phrases):
     (id, lang, word, f) for words, (id, a, b, f) for longer ones, ``a`` and ``b`` being the
     numbers of the phrase without its last and without its first word."""
-    runs = materialize(occurrences(docs, text_col, lang_col, run_words, step), "runs")
+    runs = materialize(occurrences(docs, text_col, lang_col, run_words, step), "runs", "zstd")
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)
     totals = materialize(runs.groupBy("lang").agg(F.sum(total).alias("n")), "totals")
     words = runs.select("lang", "run", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x"))
@@ -205,7 +206,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sup
                         F.col("x.counts").alias("c"))
     keys, found = ["lang", "word"], []
     for length in range(1, LONGEST + 1):
-        kept = materialize(_frequent(rows, keys, support), f"kept{length}")
+        kept = materialize(_frequent(rows, keys, support), f"kept{length}", "zstd")
         found.append(kept.filter("place = id").select("id", *keys, "f"))
         if length == LONGEST:
             return totals, found
