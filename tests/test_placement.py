@@ -7,6 +7,8 @@ from decimal import Decimal as D
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from seed import seed_tables
 from tillpoint.plans import placement
 from tillpoint.plans.placement import place_orders, publish_placement
@@ -190,3 +192,21 @@ def test_groups_are_played_by_many_tasks(spark):
         if rid % 7:
             want[rid] = fits
     assert {r.rid: r.accepted for r in played.collect()} == want
+
+
+def test_requests_are_read_as_json_twice_at_most(spark, monkeypatch):
+    """One pass tells whether the text is one array, one takes it apart; odd texts as before."""
+    texts = ["[]", " \t\r\n[ ]", "[] x", "[1],[2]", "[1]],[[2]", "[1],5]x", "[1]]", "[[1]", "{}", "1", '"[]"', "[1,]", "﻿[]", "\x0b[]", "", None]
+    rows = spark.createDataFrame([(k, k, 1, t) for k, t in enumerate(texts)],
+                                 "request_id long, seq long, customer_id long, items_json string")
+    seen = []
+    keep = placement.materialize
+    monkeypatch.setattr(placement, "materialize", lambda df, name="stage", *how: seen.append(df) or keep(df, name, *how))
+    heads, _ = placement._lines(rows)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("json_array_length") + plan.count("lengthOfJsonArray") == 1
+    text = F.col("items_json")
+    two = F.json_array_length(F.concat(F.lit("["), text, F.lit(",0]"))) == 2
+    strict = F.coalesce(F.json_array_length(text).isNotNull() & two, F.lit(False))
+    want = {r.request_id: not r.s and r.items_json is not None for r in rows.select("*", strict.alias("s")).collect()}
+    assert {r.request_id: r.bad_json for r in heads.collect()} == want

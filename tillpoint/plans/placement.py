@@ -69,10 +69,10 @@ def _lines(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """R1: one row per JSON element, plus per-request parse status.  The
     parsed requests are written once; heads and lines both read them.
 
-    The text must be one JSON array and nothing else: it must parse as an
-    array, and as the first of two elements of a longer one."""
+    The text must be one JSON array and nothing else: it must begin as an array, and
+    parse as the first of two elements of a longer one."""
     text = F.col("items_json")
-    strict = F.json_array_length(text).isNotNull() & (
+    strict = F.ltrim(text, F.lit(" \t\r\n")).startswith("[") & (
         F.json_array_length(F.concat(F.lit("["), text, F.lit(",0]"))) == 2)
     parsed = materialize(requests.select(
         "request_id", "seq", "customer_id", F.monotonically_increasing_id().alias("rid"),
@@ -282,7 +282,7 @@ def requests_from_orders(t: Tables, raw_orders: DataFrame, raw_lines: DataFrame)
         F.col("o_custkey").alias("customer_id"))
     items = (raw_lines.join(pend.select(F.col("request_id").alias("l_orderkey")), "l_orderkey", "left_semi")
              .groupBy(F.col("l_orderkey").alias("request_id"))
-             .agg(F.to_json(F.array_sort(F.collect_list(F.struct(
+             .agg(F.to_json(F.sort_array(F.collect_list(F.struct(
                  F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("product_id"),
                  F.col("l_quantity").cast("int").alias("quantity"))))
                  .cast("array<struct<ln:int,product_id:long,quantity:int>>")).alias("_j")))
