@@ -1,5 +1,6 @@
 """What the feed jobs write and move, and the paths behind it."""
 
+import glob
 import random
 
 import pytest
@@ -9,6 +10,8 @@ from tillpoint.operators import ranking
 from tillpoint.operators.ranking import dense_ids, dense_ids_by_int_key
 from tillpoint.plans import feed_load as L
 from tillpoint.sources import testdata as TD
+from tillpoint.sources.feed import name_files, number_files, scan_order_feed, write_feed_files
+from tillpoint.sources.store import RunStore
 
 SF = "/root/testdata/sf0.001"
 
@@ -172,3 +175,40 @@ def test_highest_ids_sort_no_items(spark):
     less = t.with_(order_items=t.order_items.filter("order_id < 100"))
     assert max_ids(*less.id_tables()) == max_ids(less.orders, less.order_items) != max_ids(*t.id_tables())
     assert t.with_(orders=t.orders.limit(1)).last_item_ids is not None
+
+
+def test_a_file_is_a_number_while_its_rows_move(spark, tmp_path, written):
+    folder = str(tmp_path / "feed")
+    feed = TD.derive_feed(spark, SF).filter("row_num < 302")
+    write_feed_files(feed, folder, 100)
+    assert not glob.glob(f"{folder}/**/*.csv", recursive=True) and len(glob.glob(f"{folder}/**/*.csv.gz", recursive=True)) == 3
+    scanned = scan_order_feed(spark, folder)
+    short, table = number_files(scanned)
+    assert short.filter("source_file IS NOT NULL OR _file IS NULL").count() == 0
+    assert sorted(map(str, name_files(short, table).select(*scanned.columns).collect())) == sorted(map(str, scanned.collect()))
+    # A file outside the list keeps its text.
+    short = short.withColumn("_file", F.lit(None).cast("int")).withColumn("source_file", F.lit("elsewhere"))
+    assert {r.source_file for r in name_files(short, table).collect()} == {"elsewhere"}
+    written.clear()
+    res = L.load_feed(TD.bind(spark, SF), folder, dry_run=True)
+    assert [name for name, columns in written if "_file" in columns] == ["feed_resolved"]
+    want = {(r.row_num, r.order_id or "") for r in feed.select((F.col("row_num") - 2).alias("row_num"), "order_id").collect()}
+    at = (F.regexp_extract("source_file", r"chunk=(\d+)", 1).cast("long") * 100 + F.col("row_num") - 2).alias("row_num")
+    got = res.classified.select(at, "external_order_id").collect()
+    assert {(n, (x or "").strip()) for n, x in got} == {(n, x.strip()) for n, x in want}
+
+
+def test_ledger_keys_move_once(spark, tmp_path, monkeypatch):
+    """Keys are asked about with one shuffle, and their positions stay at home."""
+    store = RunStore(spark, str(tmp_path / "store"))
+    keys = spark.range(500).select(F.concat(F.lit("X"), (F.col("id") % 250).cast("string")).alias("external_order_id"), F.lit("SKU").alias("product_sku"),
+                                   F.col("id").alias("row_num"), F.col("id").alias("order_id"))
+    store.publish("a", {"load_ledger": keys.filter("id < 250")})
+    files = glob.glob(f"{store.root}/load_ledger/**/*.parquet", recursive=True) + glob.glob(f"{store.root}/ledger_filter/**/*.parquet", recursive=True)
+    assert len(files) >= 2 and all(f.endswith(".zstd.parquet") for f in files)
+    plans, collect = [], type(keys).collect
+    monkeypatch.setattr(type(keys), "collect", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or collect(df))
+    assert [part for _, _, part in store.ledger_parts(keys)] == [0]
+    probe = plans[-1]
+    assert probe.count("RepartitionByExpression") == 1
+    assert "Aggregate [blocks" in probe and "Aggregate [external_order_id" not in probe
