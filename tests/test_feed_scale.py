@@ -177,6 +177,15 @@ def test_highest_ids_sort_no_items(spark):
     assert t.with_(orders=t.orders.limit(1)).last_item_ids is not None
 
 
+def test_subtotal_is_not_written(spark, written):
+    t = TD.bind(spark, SF)
+    res = L.load_feed(t, TD.derive_feed(spark, SF), dry_run=True)
+    assert ["subtotal" in columns for name, columns in written if name == "feed_resolved"] == [False]
+    assert dict(res.classified.dtypes)["subtotal"] == dict(L.tag_rows(TD.derive_feed(spark, SF)).dtypes)["subtotal"]
+    rows = res.classified.filter("code IS NULL")
+    assert rows.count() == rows.filter("subtotal = quantity * unit_price").count() > 0
+
+
 def test_a_file_is_a_number_while_its_rows_move(spark, tmp_path, written):
     folder = str(tmp_path / "feed")
     feed = TD.derive_feed(spark, SF).filter("row_num < 302")

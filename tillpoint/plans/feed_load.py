@@ -394,12 +394,18 @@ def _resolved(t: Tables, source: str | DataFrame, broadcast_max_rows: int | None
     rows' split tags, so the file is parsed a single time."""
     feed = scan_order_feed(t.spark, source, multiline) if isinstance(source, str) else source
     if "row_num" in feed.columns:
-        return materialize(resolve_keys(tag_rows(feed), t, broadcast_max_rows), "feed_resolved", "zstd")
+        return _written(resolve_keys(tag_rows(feed), t, broadcast_max_rows))
     feed, files = number_files(feed)
-    pre = materialize(resolve_keys(tag_rows(feed, row_prefix=False), t, broadcast_max_rows), "feed_resolved", "zstd")
+    pre = _written(resolve_keys(tag_rows(feed, row_prefix=False), t, broadcast_max_rows))
     return add_row_prefix(number_rows(name_files(pre, files)))
 
 
+def _written(resolved: DataFrame) -> DataFrame:
+    """The resolved rows, written without the subtotal and read with it."""
+    kept = materialize(resolved.drop("subtotal"), "feed_resolved", "zstd")
+    return kept.withColumn("subtotal", line_total(F.col("quantity"), F.col("unit_price"))).select(*resolved.columns)
+
+
 def _decide(res: FeedLoadResult, t: Tables, resolved: DataFrame, store: RunStore | None, publishing: bool,
             fail_fast: bool, ledger: DataFrame | None) -> None:
     """Everything from the resolved rows to the output frames, into ``res``."""
