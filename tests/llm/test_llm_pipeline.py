@@ -21,7 +21,7 @@ def test_every_operator_and_the_pipeline_are_registered():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(queries.ORACLE_SQL[name]).to_arrow_table().to_pandas()
     got = queries.QUERIES[name](spark, SF).toPandas()
